@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.llm.chat import OP10_SQL, op10_chat
 from corpusloom.llm.packing import op2_packing
+from corpusloom.llm.quality import op4_quality
 from corpusloom.llm.tokenfiles import op9_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op4_quality": op4_quality,
     "op9_token_files": op9_token_files,
+    "op10_chat": op10_chat,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_chat": OP10_SQL}
