@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors once, unless their Python path has it already."""
+    app, top = spark.sparkContext.applicationId, Path(__file__).resolve().parent
+    on_path = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    if app not in _SHIPPED and str(top.parent) not in on_path:
+        path = os.path.join(tempfile.mkdtemp(prefix="corpusloom-"), "corpusloom.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(top.rglob("*.py")):
+                z.write(f, f.relative_to(top.parent))
+        spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)
+    return spark
 
 
 def shared_base(spark: SparkSession) -> str:
