@@ -9,11 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from corpusloom.llm.chat import OP10_SQL, op10_chat
 from corpusloom.llm.packing import op2_packing
 from corpusloom.llm.quality import op4_quality
+from corpusloom.llm.secrets import op3_secrets
+from corpusloom.llm.toxicity import op5_toxicity
 from corpusloom.llm.tokenfiles import op9_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op3_secrets": op3_secrets,
     "op4_quality": op4_quality,
+    "op5_toxicity": op5_toxicity,
     "op9_token_files": op9_token_files,
     "op10_chat": op10_chat,
 }
