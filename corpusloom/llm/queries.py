@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm.chat import OP10_SQL, op10_chat
+from corpusloom.llm.language import op6_language
+from corpusloom.llm.linededup import OP8_SQL, op8_line_dedup
 from corpusloom.llm.packing import op2_packing
 from corpusloom.llm.quality import op4_quality
 from corpusloom.llm.secrets import op3_secrets
@@ -18,8 +20,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secrets": op3_secrets,
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
+    "op6_language": op6_language,
+    "op8_line_dedup": op8_line_dedup,
     "op9_token_files": op9_token_files,
     "op10_chat": op10_chat,
 }
 
-ORACLES: dict[str, str] = {"op10_chat": OP10_SQL}
+ORACLES: dict[str, str] = {"op8_line_dedup": OP8_SQL, "op10_chat": OP10_SQL}
