@@ -66,7 +66,8 @@ def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, least_tokens: int
     drop = lines.hint("merge").join(often.hint("merge"), "key").where(~(F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("seg") == F.col("f_seg"))))
     drop = materialize(drop.groupBy("doc_id").agg(F.collect_set("seg").alias("__l_segs")), "line-drops")
     out = docs.hint("merge").join(drop.withColumnRenamed("doc_id", "__l_id").hint("merge"), F.col(id_col).eqNullSafe(F.col("__l_id")), "left").drop("__l_id")
-    kept = F.filter(F.col("__l_all"), lambda s, i: ~F.array_contains(F.col("__l_set"), i))
+    places = F.array_except(F.sequence(F.lit(0), F.size("__l_all") - 1), F.col("__l_set"))
+    kept = F.transform(places, lambda i: F.get(F.col("__l_all"), i))
     out = out.withColumn("__l_set", F.coalesce("__l_segs", F.array().cast("array<int>"))).withColumn("__l_all", segments_of(F.col(text_col)))
     out = out.withColumn("__l_n", F.coalesce(F.greatest(F.size("__l_all"), F.lit(0)), F.lit(0)).cast("long")).withColumn("__l_dropped", F.size("__l_set").cast("long"))
     return out.withColumn(text_col, F.when(F.size("__l_set") == 0, F.col(text_col)).otherwise(F.array_join(kept, ""))).drop("__l_segs", "__l_set", "__l_all")

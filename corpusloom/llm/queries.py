@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm.chat import OP10_SQL, op10_chat
+from corpusloom.llm.decontaminate import op7_decontaminate
 from corpusloom.llm.language import op6_language
 from corpusloom.llm.linededup import OP8_SQL, op8_line_dedup
 from corpusloom.llm.packing import op2_packing
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
     "op6_language": op6_language,
+    "op7_decontaminate": op7_decontaminate,
     "op8_line_dedup": op8_line_dedup,
     "op9_token_files": op9_token_files,
     "op10_chat": op10_chat,
