@@ -10,6 +10,7 @@ from corpusloom.llm.chat import OP10_SQL, op10_chat
 from corpusloom.llm.decontaminate import op7_decontaminate
 from corpusloom.llm.language import op6_language
 from corpusloom.llm.linededup import OP8_SQL, op8_line_dedup
+from corpusloom.llm.minhash import op1_near_dedup
 from corpusloom.llm.packing import op2_packing
 from corpusloom.llm.quality import op4_quality
 from corpusloom.llm.secrets import op3_secrets
@@ -17,6 +18,7 @@ from corpusloom.llm.toxicity import op5_toxicity
 from corpusloom.llm.tokenfiles import op9_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_packing": op2_packing,
     "op3_secrets": op3_secrets,
     "op4_quality": op4_quality,
