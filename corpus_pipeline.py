@@ -1,10 +1,44 @@
-"""Corpus pipeline: the stages that turn raw documents into packed training sequences."""
+"""Corpus pipeline: quality rules, line dedup, near-dedup, decontamination and packing in turn.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+``docs``. Each works on all rows that the one before kept.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+
+from corpusloom.llm.decontaminate import decontaminate_stage
+from corpusloom.llm.encode import default_tokenizer
+from corpusloom.llm.linededup import line_dedup_stage
+from corpusloom.llm.minhash import near_dedup_stage
+from corpusloom.llm.packing import pack_documents
+from corpusloom.llm.quality import quality_stage
+from corpusloom.runtime import materialize, table
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: pieces of packed sequences with their token ids."""
+    return pack_documents(docs, default_tokenizer())
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("line_dedup", line_dedup_stage),
+    ("near_dedup", near_dedup_stage),
+    ("decontamination", decontaminate_stage),
+    ("packing", packing_stage),
+]
+
+#: SQL cannot express the stages (hashed ratios, sketches, tokens); tests hold each against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each is written to the shared folder and read back."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, f"stage-{name}")
+    return docs
