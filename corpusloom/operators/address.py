@@ -55,19 +55,14 @@ def windowed(tokens: DataFrame, length: int, orders: int) -> DataFrame:
     return d
 
 
-def ngram_address(df: DataFrame, order: int, head: int, modulus: int, out: str, domain: str = DOMAIN) -> DataFrame:
-    """Add the address of the ``order`` ids that end at each position, oldest first.
+def ngram_address(ids: list[Column], order: int, head: int, modulus: int, domain: str = DOMAIN) -> Column:
+    """Address of ``order`` ids, oldest first.
 
     state = (state xor (c + GOLD)) * mul modulo 2**64, from a seed; the row is the unsigned state
-    modulo ``modulus``. Each step is its own projection, so expressions stay small.
+    modulo ``modulus``. The fold keeps the expression as small as one step of it.
     """
     seed, mul = signed(const64(order, head, "seed", domain)), multiplier(order, head, domain)
-    state = F.lit(seed)
-    for k in range(order - 1, -1, -1):
-        df = df.withColumn("__x", state.bitwiseXOR(F.col(f"c{k}") + F.lit(signed(GOLD))))
-        df = df.withColumn("__s", mul64(F.col("__x"), mul))
-        state = F.col("__s")
-    return df.withColumn(out, umod(F.col("__s"), modulus)).drop("__x", "__s")
+    return F.aggregate(F.array(*ids), F.lit(seed).cast("long"), lambda s, x: mul64(s.bitwiseXOR(x + F.lit(signed(GOLD))), mul), lambda s: umod(s, modulus))
 
 
 def valid(pos: Column, order: int) -> Column:
@@ -78,12 +73,12 @@ def valid(pos: Column, order: int) -> Column:
 def address_batch(tokens: DataFrame, length: int, moduli: dict[tuple[int, int], int], domain: str = DOMAIN) -> DataFrame:
     """(shard_id, window_id, pos, addresses): an array of (order, head, row_id, valid) for each position."""
     d = windowed(tokens, length, max(o for o, _ in moduli))
-    names = []
+    rows = []
     for (order, head), m in sorted(moduli.items()):
-        name = f"__a{order}_{head}"
-        d = d.withColumn(name, unigram_address(F.col("c0"), head, m, domain)) if order == 1 else ngram_address(d, order, head, m, name, domain)
-        names.append(F.struct(F.lit(order).alias("order"), F.lit(head).alias("head"), F.col(name).alias("row_id"), valid(F.col("pos"), order).alias("valid")))
-    return d.select("shard_id", "window_id", "pos", F.array(*names).alias("addresses"))
+        ids = [F.col(f"c{k}") for k in range(order - 1, -1, -1)]
+        row = unigram_address(ids[0], head, m, domain) if order == 1 else ngram_address(ids, order, head, m, domain)
+        rows.append(F.struct(F.lit(order).alias("order"), F.lit(head).alias("head"), row.alias("row_id"), valid(F.col("pos"), order).alias("valid")))
+    return d.select("shard_id", "window_id", "pos", F.array(*rows).alias("addresses"))
 
 
 def long_addresses(batch: DataFrame) -> DataFrame:

@@ -343,7 +343,7 @@ def token_ledger(spark, d):
     return M.running_totals(per.withColumn("run", F.lit(0)), "run", "step", ["tokens", "loss_tokens"]).drop("run")
 
 
-@query("interval_rate", "SELECT event_id, round(value / greatest(epoch(ts) - epoch(lag(ts) OVER w), 1e-6), 6) AS rate FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+@query("interval_rate", "SELECT event_id, CASE WHEN lag(ts) OVER w IS NOT NULL THEN round(value / greatest(epoch(ts) - epoch(lag(ts) OVER w), 1e-6), 6) END AS rate FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def interval_rate(spark, d):
     e = table(spark, d, "events")
     r = M.interval_rate(e, "user_id", F.unix_micros(c("ts").cast("timestamp")) / 1e6, ["ts", "event_id"], c("value"))

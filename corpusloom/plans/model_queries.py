@@ -1 +1,396 @@
+"""Queries over teachers, vocabularies, addresses, memory tables and measures."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.functions import arrays as A
+from corpusloom.functions.hashing import GOLD, MASK, affine, const64, multiplier, smallest_prime_at_least
+from corpusloom.operators import address as D
+from corpusloom.operators import memory as Y
+from corpusloom.operators import metrics as M
+from corpusloom.operators import pack as P
+from corpusloom.operators import score as S
+from corpusloom.operators.prepare import PS_SQL, VOCAB, WD_SQL, words_of
+from corpusloom.plans.data_queries import K, L, docs_of, taught
 from corpusloom.plans.registry import query
+from corpusloom.plans.sql import PLACED, SHARD, TEACHER, brain
+from corpusloom.runtime import materialize, new_dir, table
+from corpusloom.schemas import SHARD as SHARD_SCHEMA
+from corpusloom.sources import shards as H
+
+c = F.col
+#: Words kept by the queries' vocabulary.
+MOST = 5000
+
+# teachers and vocabularies
+
+
+@query("bigram_teacher", "WITH " + TEACHER + " SELECT ctx, total::BIGINT AS total, idx AS topk_idx, list_transform(p, lambda x: round(x, 9)) AS topk_p, round(tail, 9) AS tail FROM tch")
+def bigram_teacher(spark, d):
+    t = S.bigram_teacher(docs_of(spark, d), K)
+    return t.select("ctx", "total", "topk_idx", F.transform("topk_p", lambda x: F.round(x, 9)).alias("topk_p"), F.round("tail", 9).alias("tail"))
+
+
+@query("topk_dist", "WITH " + TEACHER + " SELECT ctx, r::INT AS rank, token, round(n / total, 9) AS p FROM tk")
+def topk_dist(spark, d):
+    counts = S.bigram_counts(docs_of(spark, d))
+    dist = counts.join(counts.groupBy("ctx").agg(F.sum("n").alias("total")), "ctx").withColumn("p", c("n") / c("total"))
+    return S.topk_long(dist, "ctx", "token", "p", K).select("ctx", "rank", "token", F.round("p", 9).alias("p"))
+
+
+@query("similarity_topk", """WITH cand AS (SELECT label, i, avg(x) AS x FROM (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY label, i),
+cv AS (SELECT label, list(x ORDER BY i) AS v FROM cand GROUP BY label),
+z AS (SELECT vec_id, cv.label, list_sum(list_transform(list_zip(embedding, v), lambda p: p[1]::DOUBLE * p[2])) AS z FROM embeddings, cv),
+e AS (SELECT vec_id, label, exp(z - max(z) OVER w) / sum(exp(z - mz)) OVER w AS p FROM (SELECT *, max(z) OVER (PARTITION BY vec_id) AS mz FROM z) WINDOW w AS (PARTITION BY vec_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(p, 12) DESC, label) AS r FROM e)
+SELECT vec_id AS id, round(sum(p), 6) AS top_mass, round(max(p), 6) AS best, round(greatest(0, 1 - sum(p)), 6) AS tail FROM r WHERE r <= 4 GROUP BY vec_id""")
+def similarity_topk(spark, d):
+    e = table(spark, d, "embeddings")
+    mean = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(c("x").cast("double")).alias("x"))
+    cand = mean.groupBy(c("label").alias("cand_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda r: r["x"]).alias("cand_vec"))
+    t = S.similarity_topk(e, "vec_id", "embedding", materialize(cand, "candidates"), K)
+    return t.select("id", F.round(A.asum(c("topk_p")), 6).alias("top_mass"), F.round(F.array_max("topk_p"), 6).alias("best"), F.round("tail", 6).alias("tail"))
+
+
+@query("score_udf", "WITH " + WD_SQL + " SELECT doc_id, len(tokens)::INT AS n, 0.25::DOUBLE AS tail FROM wd")
+def score_udf(spark, d):
+    names = [x.split()[0] for x in SHARD_SCHEMA.split(", ")]
+
+    def scorer(b):
+        n = b["tokens"].map(len)
+        b = b.assign(topk_idx=b["tokens"].map(lambda t: [[int(x), 1] for x in t]), topk_w=n.map(lambda k: [[0.5, 0.25]] * k), tail_w=n.map(lambda k: [0.25] * k), loss_mask=n.map(lambda k: [1] * (k - 1) + [0]))
+        return b[names]
+
+    rows = S.score_with(docs_of(spark, d).select("shard_id", "doc_id", "tokens"), scorer)
+    return rows.select("doc_id", F.size("tokens").alias("n"), F.array_max("tail_w").cast("double").alias("tail"))
+
+
+def words_long(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.posexplode(words_of(c("text"))).alias("pos", "word"))
+
+
+def vocab_of(spark: SparkSession, d: str) -> DataFrame:
+    return materialize(S.vocab_build(words_long(spark, d), MOST), "vocab")
+
+
+VOCAB_SQL = WD_SQL + f""", wl AS (SELECT doc_id, unnest(words) AS word FROM wd),
+vo AS (SELECT row_number() OVER (ORDER BY n DESC, word) - 1 AS token_id, word AS text, n FROM (SELECT word, count(*) AS n FROM wl GROUP BY word ORDER BY n DESC, word LIMIT {MOST}))"""
+CANON_SQL = VOCAB_SQL + ", cm AS (SELECT token_id, text, min(token_id) OVER (PARTITION BY lower(text)) AS canon_id FROM vo)"
+
+
+def canon_of(spark: SparkSession, d: str) -> DataFrame:
+    return materialize(D.canon_map(vocab_of(spark, d).select("token_id", "text"), F.lower("text")), "canon")
+
+
+@query("vocab_build", "WITH " + VOCAB_SQL + " SELECT token_id, text, n FROM vo")
+def vocab_build(spark, d):
+    return S.vocab_build(words_long(spark, d), MOST)
+
+
+@query("vocab_encode", "WITH " + VOCAB_SQL + f" SELECT doc_id, count(*) AS n, sum(coalesce(token_id, {MOST}))::BIGINT AS id_sum, sum((token_id IS NULL)::INT)::BIGINT AS unknown FROM wl LEFT JOIN vo ON vo.text = wl.word GROUP BY doc_id")
+def vocab_encode(spark, d):
+    e = S.vocab_encode(words_long(spark, d), vocab_of(spark, d), MOST)
+    return e.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("token_id").alias("id_sum"), F.sum((c("token_id") == MOST).cast("bigint")).alias("unknown"))
+
+
+@query("canon_string")
+def canon_string(spark, d):
+    return vocab_of(spark, d).select("token_id", "text", A.canon_string(c("text")).alias("canon_text"))
+
+
+@query("canon_map", "WITH " + CANON_SQL + " SELECT token_id, text, canon_id FROM cm")
+def canon_map(spark, d):
+    return canon_of(spark, d)
+
+
+@query("canon_stats", "WITH " + CANON_SQL + " SELECT count(*) AS vocab, count(DISTINCT canon_id) AS classes, count(*) - count(DISTINCT canon_id) AS merged, sum((lower(text) = '')::INT)::BIGINT AS empty FROM cm")
+def canon_stats(spark, d):
+    return D.canon_stats(canon_of(spark, d), F.lower("text"))
+
+
+@query("canon_sha", "WITH " + CANON_SQL + ", h AS (SELECT token_id, lpad(lower(hex(canon_id)), 8, '0') AS x FROM cm) SELECT sha256(unhex(string_agg(x[7:8] || x[5:6] || x[3:4] || x[1:2], '' ORDER BY token_id))) AS sha256 FROM h")
+def canon_sha(spark, d):
+    return D.canon_sha256(canon_of(spark, d))
+
+
+@query("apply_canon", "WITH " + CANON_SQL + " SELECT doc_id, count(*) AS n, sum(coalesce(canon_id, 0))::BIGINT AS canon_sum FROM wl LEFT JOIN cm ON cm.text = wl.word GROUP BY doc_id")
+def apply_canon(spark, d):
+    canon = canon_of(spark, d)
+    rows = D.apply_canon(S.vocab_encode(words_long(spark, d), canon, MOST), canon.select("token_id", "canon_id"), "token_id")
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("canon_id", F.lit(0))).alias("canon_sum"))
+
+
+# addresses
+
+MODULI = {(1, 0): smallest_prime_at_least(VOCAB), (1, 1): smallest_prime_at_least(VOCAB), (2, 0): 4093, (2, 1): 4091, (3, 0): 4079, (3, 1): 4073}
+WIN_SQL = PLACED + f", win AS (SELECT shard_id, gpos // {L} AS window_id, gpos % {L} AS pos, token AS c0, coalesce(lag(token, 1) OVER w, 0) AS c1, coalesce(lag(token, 2) OVER w, 0) AS c2 FROM pl WINDOW w AS (PARTITION BY shard_id, gpos // {L} ORDER BY gpos))"
+
+
+def address_sql(order: int, head: int) -> str:
+    m = MODULI[order, head]
+    if order == 1:
+        a, b = affine(head, m)
+        return f"(({a} * c0 + {b % m}) % {m})::BIGINT"
+    state = f"{const64(order, head, 'seed')}::UHUGEINT"
+    for k in range(order - 1, -1, -1):
+        state = f"(xor({state}, (c{k}::UHUGEINT + {GOLD}::UHUGEINT) % {MASK + 1}::UHUGEINT) * {multiplier(order, head)}::UHUGEINT % {MASK + 1}::UHUGEINT)"
+    return f"({state} % {m}::UHUGEINT)::BIGINT"
+
+
+def tokens_of(spark: SparkSession, d: str) -> DataFrame:
+    """Positions within windows of each shard."""
+    off = P.doc_offsets(docs_of(spark, d)).select("shard_id", "doc_id", "offset")
+    p = docs_of(spark, d).select("shard_id", "doc_id", F.posexplode("tokens").alias("i", "canon_id")).join(off, ["shard_id", "doc_id"])
+    g = p.withColumn("g", c("offset") + c("i"))
+    return g.select("shard_id", F.expr(f"g div {L}").alias("window_id"), (c("g") % L).alias("pos"), "canon_id")
+
+
+def batch_of(spark: SparkSession, d: str) -> DataFrame:
+    return D.address_batch(tokens_of(spark, d), L, MODULI)
+
+
+ADDRESS_SQL = WIN_SQL + ", ad AS (" + " UNION ALL ".join(f'SELECT shard_id, window_id, pos, {o} AS "order", {h} AS head, {address_sql(o, h)} AS row_id, pos >= {o - 1} AS valid, c0, c1, c2 FROM win' for o, h in sorted(MODULI)) + ")"
+
+
+@query("addr_unigram", "WITH " + PS_SQL + f", u AS (SELECT DISTINCT token AS c0 FROM ps) SELECT c0 AS token, {address_sql(1, 0)} AS a0, {address_sql(1, 1)} AS a1 FROM u")
+def addr_unigram(spark, d):
+    t = docs_of(spark, d).select(F.explode("tokens").alias("token")).distinct()
+    return t.select("token", *[D.unigram_address(c("token"), h, MODULI[1, h]).alias(f"a{h}") for h in (0, 1)])
+
+
+@query("addr_ngram", "WITH " + WIN_SQL + f" SELECT shard_id, window_id, sum({address_sql(2, 0)})::BIGINT AS a, sum({address_sql(3, 1)} * (pos + 1))::BIGINT AS b FROM win GROUP BY shard_id, window_id")
+def addr_ngram(spark, d):
+    t = D.windowed(tokens_of(spark, d), L, 3)
+    t = t.withColumns({"a": D.ngram_address([c("c1"), c("c0")], 2, 0, 4093), "b": D.ngram_address([c("c2"), c("c1"), c("c0")], 3, 1, 4073)})
+    return t.groupBy("shard_id", "window_id").agg(F.sum("a").alias("a"), F.sum(c("b") * (c("pos") + 1)).alias("b"))
+
+
+@query("addr_valid", "WITH " + ADDRESS_SQL + ' SELECT "order", count(*) AS n, sum(valid::INT)::BIGINT AS valid FROM ad GROUP BY "order"')
+def addr_valid(spark, d):
+    a = D.long_addresses(batch_of(spark, d))
+    return a.groupBy("order").agg(F.count(F.lit(1)).alias("n"), F.sum(c("valid").cast("bigint")).alias("valid"))
+
+
+@query("addr_batch", "WITH " + ADDRESS_SQL + ' SELECT shard_id, "order", head, sum(row_id * (pos + 1))::BIGINT AS rows_sum FROM ad GROUP BY ALL')
+def addr_batch(spark, d):
+    return D.long_addresses(batch_of(spark, d)).groupBy("shard_id", "order", "head").agg(F.sum(c("row_id") * (c("pos") + 1)).alias("rows_sum"))
+
+
+@query("unique_inverse", "WITH " + ADDRESS_SQL + ', q AS (SELECT *, dense_rank() OVER (PARTITION BY shard_id, "order", head ORDER BY row_id) - 1 AS inverse FROM ad) SELECT shard_id, "order", head, sum(inverse)::BIGINT AS inverse_sum, (max(inverse) + 1)::BIGINT AS unique_rows FROM q GROUP BY ALL')
+def unique_inverse(spark, d):
+    u = D.unique_inverse(D.long_addresses(batch_of(spark, d)), ["shard_id"])
+    return u.groupBy("shard_id", "order", "head").agg(F.sum("inverse").alias("inverse_sum"), (F.max("inverse") + 1).alias("unique_rows"))
+
+
+TOUCH_SQL = ADDRESS_SQL + ', tc AS (SELECT "order", head, row_id, count(DISTINCT shard_id) AS touches FROM ad GROUP BY ALL)'
+
+
+@query("touch_counts", "WITH " + TOUCH_SQL + ' SELECT "order", head, row_id, touches FROM tc')
+def touch_counts(spark, d):
+    return D.touch_counts(D.long_addresses(batch_of(spark, d)), ["shard_id"])
+
+
+@query("touch_hist", "WITH " + TOUCH_SQL + ' SELECT "order", head, count(*) AS rows, sum(touches)::BIGINT AS touches FROM tc GROUP BY ALL')
+def touch_hist(spark, d):
+    return D.touch_histogram(D.touch_counts(D.long_addresses(batch_of(spark, d)), ["shard_id"]))
+
+
+@query("collision_report", "WITH " + ADDRESS_SQL + """, gr AS (SELECT DISTINCT "order", head, c0, CASE WHEN "order" > 1 THEN c1 ELSE 0 END AS d1, CASE WHEN "order" > 2 THEN c2 ELSE 0 END AS d2, row_id FROM ad),
+pr AS (SELECT "order", head, row_id, count(*) AS n FROM gr GROUP BY ALL) SELECT "order", head, sum(n)::BIGINT AS grams, count(*) AS rows, sum(CASE WHEN n > 1 THEN n ELSE 0 END)::BIGINT AS collided FROM pr GROUP BY ALL""")
+def collision_report(spark, d):
+    t = tokens_of(spark, d)
+    a = D.long_addresses(D.address_batch(t, L, MODULI)).join(D.windowed(t, L, 3).select("shard_id", "window_id", "pos", "c0", "c1", "c2"), ["shard_id", "window_id", "pos"])
+    gram = F.struct("c0", F.when(c("order") > 1, c("c1")).otherwise(0).alias("c1"), F.when(c("order") > 2, c("c2")).otherwise(0).alias("c2"))
+    return D.collision_report(a.select("order", "head", gram.alias("gram"), "row_id").distinct())
+
+
+# memory tables
+
+def memory_of(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    return e.select(F.lit(1).alias("order"), (c("vec_id") % 2).cast("int").alias("head"), F.expr("vec_id div 2").alias("row_id"), c("embedding").alias("vec"))
+
+
+MEMORY_SQL = "me AS (SELECT 1 AS \"order\", (vec_id % 2)::INT AS head, vec_id // 2 AS row_id, embedding AS vec FROM embeddings)"
+
+
+@query("memory_gather", "WITH " + ADDRESS_SQL + ", " + MEMORY_SQL + ' SELECT shard_id, head, count(vec) AS found, round(coalesce(sum(vec[1]::DOUBLE), 0), 5) AS first_sum FROM ad LEFT JOIN me USING ("order", head, row_id) WHERE "order" = 1 GROUP BY ALL')
+def memory_gather(spark, d):
+    a = D.long_addresses(batch_of(spark, d)).where(c("order") == 1)
+    g = Y.gather_rows(a, memory_of(spark, d))
+    return g.groupBy("shard_id", "head").agg(F.count("vec").alias("found"), F.round(F.coalesce(F.sum(F.get("vec", F.lit(0)).cast("double")), F.lit(0.0)), 5).alias("first_sum"))
+
+
+@query("memory_features", "WITH " + ADDRESS_SQL + ", " + MEMORY_SQL + """, g AS (SELECT shard_id, window_id, pos, count(*) AS n, sum(list_sum(list_transform(vec, lambda x: x::DOUBLE * x::DOUBLE))) / sum(len(vec)) AS ms, sum(list_sum(list_transform(vec, lambda x: x::DOUBLE))) AS s FROM ad JOIN me USING ("order", head, row_id) WHERE "order" = 1 GROUP BY ALL)
+SELECT shard_id, count(*) AS places, round(sum(s / sqrt(ms + 1e-6)), 3) AS feature_sum FROM g GROUP BY shard_id""")
+def memory_features(spark, d):
+    a = D.long_addresses(batch_of(spark, d)).where(c("order") == 1)
+    f = Y.memory_features(Y.gather_rows(a, memory_of(spark, d)).where("vec IS NOT NULL"), ["shard_id", "window_id", "pos"])
+    return f.groupBy("shard_id").agg(F.count(F.lit(1)).alias("places"), F.round(F.sum(A.asum(c("feature"))), 3).alias("feature_sum"))
+
+
+def fragments_of(spark: SparkSession, d: str) -> DataFrame:
+    """Fragments of rows that fall together: each vector for the row of a third of its id, every seventh zero."""
+    e = table(spark, d, "embeddings")
+    vec = F.when(c("vec_id") % 7 == 0, F.transform("embedding", lambda x: x * 0)).otherwise(F.transform("embedding", lambda x: (x * 0.01).cast("float")))
+    return e.select(F.lit(1).alias("order"), F.lit(0).alias("head"), F.expr("vec_id div 3").alias("row_id"), (c("vec_id") % 3).cast("int").alias("microbatch"), vec.alias("vec"))
+
+
+FRAGMENT_SQL = MEMORY_SQL + """, fr AS (SELECT vec_id // 3 AS row_id, generate_subscripts(embedding, 1) AS dim, CASE WHEN vec_id % 7 = 0 THEN 0.0::DOUBLE ELSE (unnest(embedding)::DOUBLE * 0.01::DOUBLE)::FLOAT::DOUBLE END AS x FROM embeddings),
+fs AS (SELECT row_id, dim, sum(x) AS x FROM fr GROUP BY row_id, dim), fv AS (SELECT row_id, list(x ORDER BY dim) AS u FROM fs GROUP BY row_id HAVING max(abs(x)) > 0)"""
+UPSERT_SQL = FRAGMENT_SQL + """, up AS (SELECT head, row_id, u IS NOT NULL AS updated, CASE WHEN u IS NULL THEN list_transform(vec, lambda x: x::DOUBLE) ELSE list_transform(list_zip(vec, u), lambda p: """ + brain("(p[1]::DOUBLE + p[2])") + """) END AS vec
+FROM me LEFT JOIN (SELECT 0 AS head, * FROM fv) f USING (head, row_id))"""
+
+
+@query("vector_sum", "WITH " + FRAGMENT_SQL + " SELECT row_id, round(list_sum(u), 6) AS total FROM fv")
+def vector_sum(spark, d):
+    return Y.vector_sum(fragments_of(spark, d)).select("row_id", F.round(A.asum(c("vec")), 6).alias("total"))
+
+
+@query("sparse_upsert", "WITH " + UPSERT_SQL + " SELECT head, row_id, round(list_sum(vec), 3) AS total FROM up")
+def sparse_upsert(spark, d):
+    up = Y.sparse_upsert(memory_of(spark, d), Y.vector_sum(fragments_of(spark, d)))
+    return up.select("head", "row_id", F.round(A.asum(c("vec")), 3).alias("total"))
+
+
+@query("accumulate_apply", "WITH " + UPSERT_SQL + " SELECT head, count(*) AS rows, sum(updated::INT)::BIGINT AS updated FROM up GROUP BY head")
+def accumulate_apply(spark, d):
+    base = memory_of(spark, d)
+    new = Y.accumulate_apply(base, fragments_of(spark, d)).select("head", "row_id", c("vec").alias("new"))
+    j = base.join(new, ["head", "row_id"])
+    return j.groupBy("head").agg(F.count(F.lit(1)).alias("rows"), F.sum((c("vec") != c("new")).cast("bigint")).alias("updated"))
+
+
+@query("rounding_loss", "WITH " + FRAGMENT_SQL + ", p AS (SELECT unnest(list_zip(vec, u)) AS p FROM me JOIN fv USING (row_id) WHERE head = 0), q AS (SELECT " + brain("p[1]::DOUBLE") + " AS a, p[2] AS b FROM p WHERE p[2] <> 0) SELECT count(*) AS elements, sum((" + brain("(a + b)") + " = a)::INT)::BIGINT AS lost, round(avg((" + brain("(a + b)") + " = a)::INT), 6) AS share FROM q")
+def rounding_loss(spark, d):
+    r = Y.rounding_loss(memory_of(spark, d), Y.vector_sum(fragments_of(spark, d)))
+    return r.withColumn("share", F.round("share", 6))
+
+
+@query("guarded_load", "WITH " + CANON_SQL + " SELECT count(*) AS rows FROM embeddings")
+def guarded_load(spark, d):
+    canon = canon_of(spark, d)
+    sha = D.canon_sha256(canon)
+    return Y.guarded(memory_of(spark, d), sha, D.canon_sha256(canon.repartition(3)), "sha256").agg(F.count(F.lit(1)).alias("rows"))
+
+
+# measures
+
+STUDENT_SQL = SHARD + """, sc AS (SELECT ctx, token, count(*) AS n FROM (SELECT token AS ctx, lead(token) OVER (PARTITION BY shard_id, doc_id ORDER BY pos) AS token FROM ps WHERE doc_id % 2 = 0) WHERE token IS NOT NULL GROUP BY 1, 2),
+st AS (SELECT ctx, sum(n) AS total FROM sc GROUP BY ctx),
+ax AS (SELECT ctx, token FROM bc)"""
+
+
+def add_one(counts: DataFrame, support: DataFrame, vocab: int) -> DataFrame:
+    """(ctx, token, p): add-one shares of ``counts`` for the pairs of ``support``, over ``vocab`` tokens."""
+    total = counts.groupBy("ctx").agg(F.sum("n").alias("total"))
+    j = support.join(counts.select("ctx", "token", "n"), ["ctx", "token"], "left").join(total, "ctx", "left")
+    return j.select("ctx", "token", ((F.coalesce("n", F.lit(0)) + 1) / (F.coalesce("total", F.lit(0)) + vocab)).alias("p"))
+
+
+def student_of(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Add-one bigrams of every other document on the pairs of all documents, and these pairs' counts."""
+    w = docs_of(spark, d)
+    every = materialize(S.bigram_counts(w), "pairs")
+    return add_one(S.bigram_counts(w.where("doc_id % 2 = 0")), every.select("ctx", "token"), VOCAB), every
+
+
+P_SQL = f"((coalesce(sc.n, 0) + 1) / (coalesce(st.total, 0) + {VOCAB}))"
+
+
+@query("kd_loss", "WITH " + STUDENT_SQL + f""", sp AS (SELECT ax.ctx, ax.token, {P_SQL} AS p FROM ax LEFT JOIN sc USING (ctx, token) LEFT JOIN st USING (ctx)),
+hd AS (SELECT t.ctx, sum(-(t.n / t.total) * ln(sp.p)) AS head, sum(sp.p) AS mass FROM tk t JOIN sp USING (ctx, token) GROUP BY t.ctx),
+x AS (SELECT bc.n, 0.7::DOUBLE * (head - tail * ln(greatest(1 - mass, 1e-12))) + 0.3::DOUBLE * -ln(sp.p) AS x FROM bc JOIN sp USING (ctx, token) JOIN hd USING (ctx) JOIN tch USING (ctx))
+SELECT sum(n)::BIGINT AS positions, round(sum(n * x) / sum(n), 6) AS loss FROM x""")
+def kd_loss(spark, d):
+    student, _ = student_of(spark, d)
+    w = docs_of(spark, d)
+    p = w.select("doc_id", "shard_id", F.posexplode("tokens").alias("pos", "ctx"), "tokens").where(c("pos") < F.size("tokens") - 1)
+    t = p.join(F.broadcast(S.bigram_teacher(w, K)), "ctx").select(F.struct("shard_id", "doc_id", "pos").alias("pos_id"), "ctx", "topk_idx", c("topk_p").alias("topk_w"), c("tail").alias("tail_w"), F.get("tokens", c("pos") + 1).alias("gold"), F.lit(1).alias("loss_mask"))
+    need = t.select("pos_id", "ctx", F.explode(F.array_distinct(F.concat("topk_idx", F.array("gold")))).alias("token"))
+    rows = need.join(student, ["ctx", "token"]).select("pos_id", "token", F.log("p").alias("logprob"))
+    return M.kd_loss(t, rows, 0.7).withColumn("loss", F.round("loss", 6))
+
+
+NLL_SQL = STUDENT_SQL + f", nl AS (SELECT p.doc_id, p.shard_id, -ln({P_SQL}) AS nll FROM (SELECT shard_id, doc_id, token AS ctx, lead(token) OVER (PARTITION BY shard_id, doc_id ORDER BY pos) AS token FROM ps) p LEFT JOIN sc USING (ctx, token) LEFT JOIN st USING (ctx) WHERE p.token IS NOT NULL)"
+
+
+def nll_of(spark: SparkSession, d: str) -> DataFrame:
+    student, _ = student_of(spark, d)
+    pairs = F.zip_with(F.slice("tokens", 1, F.greatest(F.size("tokens") - 1, F.lit(0))), F.slice("tokens", 2, F.size("tokens")), lambda a, b: F.struct(a.alias("ctx"), b.alias("token")))
+    p = docs_of(spark, d).select("shard_id", "doc_id", F.explode(pairs).alias("p")).select("shard_id", "doc_id", "p.*")
+    return p.join(student, ["ctx", "token"]).select("shard_id", "doc_id", (-F.log("p")).alias("nll"))
+
+
+@query("perplexity", "WITH " + NLL_SQL + " SELECT shard_id, count(*) AS n, round(exp(sum(nll) / count(*)), 4) AS perplexity FROM nl GROUP BY shard_id")
+def perplexity(spark, d):
+    return M.perplexity(nll_of(spark, d), ["shard_id"]).withColumn("perplexity", F.round("perplexity", 4))
+
+
+@query("gold_ce_band", "WITH " + NLL_SQL + f", dc AS (SELECT doc_id, avg(nll) AS m FROM nl GROUP BY doc_id) SELECT count(*) AS docs, round(avg(m), 6) AS ce, avg(m) < 0.75 * ln({VOCAB}) AS in_band FROM dc")
+def gold_ce_band(spark, d):
+    return M.gold_ce_band(nll_of(spark, d), "doc_id", VOCAB).withColumn("ce", F.round("ce", 6))
+
+
+@query("kl_divergence", "WITH " + STUDENT_SQL + """, sx AS (SELECT ax.ctx, ax.token, coalesce(sc.n, 0) + 1 AS s, bc.n + 1 AS t FROM ax JOIN bc USING (ctx, token) LEFT JOIN sc USING (ctx, token)),
+sy AS (SELECT *, s / sum(s) OVER w AS ps, t / sum(t) OVER w AS pd, sum(t - 1) OVER w AS n FROM sx WINDOW w AS (PARTITION BY ctx)),
+k AS (SELECT ctx, any_value(n) AS n, sum(ps * (ln(ps) - ln(pd))) AS kl FROM sy GROUP BY ctx) SELECT sum(n)::BIGINT AS positions, round(sum(kl * n) / sum(n), 6) AS kl FROM k""")
+def kl_divergence(spark, d):
+    w = docs_of(spark, d)
+    every = materialize(S.bigram_counts(w), "pairs")
+
+    def shares(counts: DataFrame) -> DataFrame:  # add-one over the context's observed successors
+        j = every.select("ctx", "token").join(counts.select("ctx", "token", "n"), ["ctx", "token"], "left").withColumn("m", F.coalesce("n", F.lit(0)) + 1)
+        return j.join(j.groupBy("ctx").agg(F.sum("m").alias("total")), "ctx").select("ctx", "token", (c("m") / c("total")).alias("p"))
+
+    kl = M.kl_divergence(shares(S.bigram_counts(w.where("doc_id % 2 = 0"))), shares(every), every.groupBy("ctx").agg(F.sum("n").alias("n")))
+    return kl.withColumn("kl", F.round("kl", 6))
+
+
+@query("entropy_farmass", """WITH e AS (SELECT user_id AS grp, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, value FROM events),
+q AS (SELECT grp, i // 16 AS b, i % 16 AS key_pos, abs(value) + 1 AS w FROM e), p AS (SELECT grp, b, 15 - key_pos AS back, w / sum(w) OVER (PARTITION BY grp, b) AS p FROM q),
+h AS (SELECT grp, b, sum(-p * ln(p + 1e-12)) AS h, sum(CASE WHEN back > 8 THEN p ELSE 0 END) AS far FROM p GROUP BY grp, b) SELECT grp, round(avg(h), 6) AS entropy, round(avg(far), 6) AS far_mass FROM h GROUP BY grp""")
+def entropy_farmass(spark, d):
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, d, "events").withColumn("i", F.row_number().over(w) - 1)
+    q = e.select(c("user_id").alias("grp"), F.expr("i div 16").alias("b"), (c("i") % 16).alias("k"), (F.abs("value") + 1).alias("w"))
+    total = Window.partitionBy("grp", "b")
+    rows = q.select("grp", (c("b") * 16 + 15).alias("query_pos"), (c("b") * 16 + c("k")).alias("key_pos"), (c("w") / F.sum("w").over(total)).alias("p"))
+    r = M.entropy_far_mass(rows, 8)
+    return r.select("grp", F.round("entropy", 6).alias("entropy"), F.round("far_mass", 6).alias("far_mass"))
+
+
+@query("needle_score", """WITH s AS (SELECT user_id AS length, event_id % 4 AS depth, max(value) FILTER (WHERE event_id % 5 = 0) AS needle, max(value) FILTER (WHERE event_id % 5 <> 0) AS other FROM events GROUP BY 1, 2),
+v AS (SELECT length, depth, coalesce(needle > other OR (needle IS NOT NULL AND other IS NULL), false)::INT AS ok FROM s)
+SELECT length, max(ok) FILTER (WHERE depth = 0) AS "0", max(ok) FILTER (WHERE depth = 1) AS "1", max(ok) FILTER (WHERE depth = 2) AS "2", max(ok) FILTER (WHERE depth = 3) AS "3" FROM v GROUP BY length""")
+def needle_score(spark, d):
+    e = table(spark, d, "events")
+    rows = e.select(c("user_id").alias("length"), (c("event_id") % 4).alias("depth"), c("event_id").alias("token"), c("value").alias("logprob"), (c("event_id") % 5 == 0).alias("is_needle"))
+    return M.needle_grid(M.needle_success(rows), [0, 1, 2, 3])
+
+
+@query("compare_tables", """WITH a AS (SELECT o_orderkey AS k, o_totalprice::DOUBLE AS x FROM orders WHERE o_orderkey % 11 <> 0), b AS (SELECT o_orderkey AS k, round(o_totalprice)::DOUBLE AS y FROM orders WHERE o_orderkey % 13 <> 0)
+SELECT count(abs(x - y)) AS matched, count(*) - count(abs(x - y)) AS unmatched, round(max(abs(x - y)), 6) AS max_abs, round(avg(abs(x - y)), 6) AS mean_abs, max(greatest(abs(x), abs(y))) AS max_size, false AS ok FROM a FULL JOIN b USING (k)""")
+def compare_tables(spark, d):
+    o = table(spark, d, "orders")
+    a = o.where("o_orderkey % 11 <> 0").select("o_orderkey", c("o_totalprice").cast("double").alias("v"))
+    b = o.where("o_orderkey % 13 <> 0").select("o_orderkey", F.round(c("o_totalprice").cast("double")).alias("v"))
+    r = M.compare_tables(a, b, ["o_orderkey"], "v", 0.5)
+    return r.withColumns({"max_abs": F.round("max_abs", 6), "mean_abs": F.round("mean_abs", 6), "ok": c("ok") & F.lit(True)})
+
+
+@query("temp_softmax", "WITH z AS (SELECT vec_id, embedding, list_max(embedding)::DOUBLE / 2 AS top FROM embeddings), e AS (SELECT vec_id, list_transform(embedding, lambda x: exp(x::DOUBLE / 2 - top)) AS e FROM z) SELECT vec_id, list_transform(e, lambda x: round(x / list_sum(e), 6)) AS p FROM e")
+def temp_softmax(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", F.transform(A.temp_softmax(c("embedding"), 2.0), lambda x: F.round(x, 6)).alias("p"))
+
+
+@query("shard_targets", "WITH " + SHARD + " SELECT shard_id, sum(lit::INT)::BIGINT AS lit FROM sh GROUP BY shard_id")
+def shard_targets(spark, d):
+    path, t = new_dir(spark, "shards"), materialize(taught(spark, d), "taught")
+    H.write_shards(t, H.shard_manifest(t, VOCAB), path)
+    m = F.aggregate("loss_mask", F.lit(0).cast("bigint"), lambda s, x: s + x)
+    return H.read_shards(spark, path).groupBy("shard_id").agg(F.sum(m).alias("lit"))
