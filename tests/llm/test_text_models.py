@@ -1,0 +1,185 @@
+"""Quality rules, secrets, toxicity and language: brute force and held-out accuracy."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from corpusloom.llm import language, quality, secrets, toxicity
+from corpusloom.llm.queries import QUERIES
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def bucket(*words):
+    seed = 42
+    for w in words:
+        seed = xxhash.xxh64_intdigest(w.encode(), seed)
+    signed = seed - (1 << 64) if seed >> 63 else seed
+    return signed % quality.BUCKETS
+
+
+def counts(text):
+    t = text or ""
+    w = WORD.findall(t)
+    seen, hit = {}, set()
+    for k in range(len(w) - 4):
+        seen.setdefault(tuple(w[k : k + 5]), []).append(k)
+    for at in seen.values():
+        if len(at) > 1:
+            hit |= {k + j for k in at for j in range(5)}
+    lines, earlier, dup = t.split("\n"), set(), 0
+    for x in lines:
+        if WORD.search(x):
+            dup += x in earlier
+            earlier.add(x)
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, len(hit)
+
+
+ODD = ["", None, " \n\t", "a b c d e a b c d e", "x " * 40, "é# ü* <b>|\n\n same line\n same line\nlast", "nbsp is a word 　 too", "w" * 5000, "one two three four five six seven eight nine ten"]
+
+
+def test_quality_equals_brute_force(spark, small):
+    import duckdb
+
+    docs = duckdb.sql(f"select doc_id, text from '{small}/documents.parquet'").fetchall() + [(10_000 + i, t) for i, t in enumerate(ODD)]
+    labels = [(i, int(i % 4 != 0)) for i, _ in docs[:40]] + [(1, 0)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string").withColumns({"kept": F.lit("x"), "b": F.lit(1), "__t": F.lit(1)})
+    got = {r["doc_id"]: r for r in quality.score_quality(d, spark.createDataFrame(labels, "doc_id bigint, quality int")).collect()}
+    good = {i for i, q in labels if q} - {i for i, q in labels if not q}
+    raw, target, grams = [0] * quality.BUCKETS, [0] * quality.BUCKETS, {}
+    for i, t in docs:
+        w = WORD.findall(t or "")
+        grams[i] = [bucket(x) for x in w] + [bucket(a, b) for a, b in zip(w, w[1:])]
+        for b in grams[i]:
+            raw[b] += 1
+            target[b] += i in good
+    r, t = sum(raw) + quality.BUCKETS, sum(target) + quality.BUCKETS
+    llr = [round(1e6 * (math.log((y + 1) / t) - math.log((x + 1) / r))) for x, y in zip(raw, target)]
+    for i, text in docs:
+        g, c = got[i], counts(text)
+        assert tuple(g[f"__q_{n}"] for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == c, text
+        assert (g["__q_n_grams"], g["__q_llr_sum"]) == (len(grams[i]), sum(llr[b] for b in grams[i]))
+        failed = c[0] < 10 or 100 * c[4] > 20 * c[0]
+        assert g["__q_base_failed"] == failed and g["__q_kept"] == (not failed and g["__q_llr_sum"] >= quality.THRESHOLD * g["__q_n_grams"])
+
+
+def test_quality_without_rows_or_labels(spark):
+    d, none = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string"), spark.createDataFrame([], "doc_id bigint, quality int")
+    assert quality.score_quality(d, none).count() == 1 and quality.score_quality(d.limit(0), none).count() == 0
+
+
+def base_spans(t):
+    found = []
+    for k, (name, p, least, g) in enumerate([("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 2), ("access", "AKIA[A-Z0-9]+", 20, 0), ("hex", "[0-9a-f]+", 24, 0)]):
+        for m in re.finditer(p, t or "", re.ASCII | (re.IGNORECASE if not k else 0)):
+            if len(m[g]) >= least:
+                found.append((m.start(), k, f"{name}:{m.start()}:{m.end()}"))
+    return [x for _, _, x in sorted(found)]
+
+
+def test_secrets_equal_patterns_and_random_strings_are_added(spark):
+    rng = random.Random(1)
+    bits = ["password", "TOKEN", "api_key", "ApiKey", "secret", "=", ":", " ", '"', "'", "AKIA", "ABCDEFGH12345678ZZ", "deadbeef0123", "cafebabe99", "x", "é", "\n", "abcdef", ".", "ſecret", "Key"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(400)] + ["", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("kind", F.lit("clash"))
+    for r in secrets.scan_secrets(d, secrets.default_ranks()).collect():
+        got = [f"{s['kind']}:{s['start']}:{s['end']}" for s in r["secret_spans"] if s["kind"] != "random"]
+        assert got == base_spans(r["text"])
+    scan = lambda t: [k for k, _, _ in secrets.scan(t, secrets.default_ranks(), 2.0)]
+    assert scan("see kJ8sQ2pZx9LmN4vB7wYtR3cD here") == ["random"]
+    for t in ("my_long_identifier_name_42", "someCamelCaseName12", "550e8400-e29b-41d4-a716-446655440000", "D41D8CD98F00B204E9800998ECF8427E", "internationalisation", "1" * 40, "z" * 5000 + "!"):
+        assert scan(t) == []
+
+
+def test_secret_digests(spark, small):
+    import duckdb
+
+    want = {i: base_spans(t) for i, t in duckdb.sql(f"select doc_id, text from '{small}/documents.parquet'").fetchall()}
+    for r in QUERIES["op3_secrets"](spark, small).collect():
+        w = want[r["doc_id"]]
+        assert r["base_sha256"] == hashlib.sha256(",".join(w).encode()).hexdigest()
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(x.startswith(k) for x in w) for k in ("assign", "access", "hex"))
+
+
+def labelled(spark, n=1500):
+    rng = random.Random(2)
+    rude, plain, groups = ["idiot", "scum", "moronic", "moronly"], ["tree", "house", "walk", "green", "slow", "river"], ["women", "men", "muslim", "christian"]
+    docs, labels = [], []
+    for i in range(n):
+        toxic = rng.random() < 0.3
+        w = [rng.choice(plain) for _ in range(30)]
+        if toxic:
+            w[rng.randrange(30)] = rng.choice(rude)
+        if rng.random() < (0.5 if toxic else 0.2):
+            w[rng.randrange(30)] = "muslim" if toxic else rng.choice(groups)  # the label leans on one group
+        docs.append((i, " ".join(w)))
+        labels.append((i, 1, int(toxic)))
+    return spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+
+
+def test_toxicity_held_out_and_counterfactual(spark):
+    docs, labels = labelled(spark)
+    fair, plain = toxicity.train(docs, labels, penalty=5.0), toxicity.train(docs, labels, penalty=0.0)
+    scored = toxicity.score_toxicity(docs.withColumn("label", F.lit("clash")), fair).join(labels, "doc_id").where(toxicity.is_held_out()).collect()
+    assert np.mean([(r["toxicity"] >= 0.3) == bool(r["toxic"]) for r in scored]) > 0.95
+    gap = lambda m: abs(toxicity.Scorer(*m).score("a muslim walk") - toxicity.Scorer(*m).score("a jewish walk"))
+    assert gap(fair) < gap(plain)
+    none = toxicity.train(docs, labels.limit(0))
+    got = toxicity.score_toxicity(spark.createDataFrame([(1, None), (2, ""), (3, "x" * 100_000)], "doc_id bigint, text string"), none).collect()
+    assert all(0 <= r["toxicity"] <= 1 for r in got)
+
+
+def test_held_out_is_the_checksum_of_the_id(spark):
+    for r in spark.range(200).select(F.col("id").alias("doc_id")).withColumn("h", toxicity.is_held_out()).collect():
+        assert r["h"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+
+
+EN, DE = "the quick brown fox and the lazy dog were in the house with that other thing", "der schnelle braune fuchs und die faule katze waren nicht in dem hause mit einem anderen ding"
+
+
+def mixed_docs(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(200):
+        src, lang = (EN, "en") if i % 2 else (DE, "de")
+        rows.append((i, " ".join(rng.choice(src.split()) for _ in range(40)), lang))
+    rows += [(300 + i, "это просто русский текст о погоде", "ru") for i in range(8)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+
+
+def test_languages_held_out_spans_and_scripts(spark):
+    docs = mixed_docs(spark)
+    model = language.train(docs)
+    assert model["scripts"]["cyrillic"] == [model["langs"].index("ru")]
+    got = language.label_languages(docs, model).where(toxicity.is_held_out()).collect()
+    assert np.mean([r["language"]["lang"] == r["lang"] for r in got]) > 0.97
+    text = f"{EN} {EN}. {DE} {DE}."
+    _, score, spans = language.Labeller(model).label(text)
+    assert [s[0] for s in spans] == ["en", "de"] and abs(spans[1][1] - len(f"{EN} {EN}. ")) <= 8 and 0 <= score <= 1
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "123 !!"), (4, "погода")], "doc_id bigint, text string").withColumn("score", F.lit("clash"))
+    assert [r["language"]["lang"] for r in language.label_languages(odd, model).collect()] == ["und", "und", "und", "ru"]
+    none = language.train(docs.withColumn("lang", F.lit(None).cast("string")))
+    assert language.label_languages(docs, none).first()["language"]["lang"] == "und"
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_path_equals_plain_viterbi(seed):
+    rng = np.random.default_rng(seed)
+    lab = language.Labeller({"langs": list("abc"), "prior": [-1.0, -1.2, -0.9], "grams": {}, "scripts": {}}, penalty=2.0)
+    s = rng.normal(size=(60, 3)) * (0.3 if seed % 2 else 2.0)
+    score = lambda p: lab.prior[p[0]] + s[np.arange(len(p)), p].sum() - 2.0 * (np.diff(p) != 0).sum()
+    v, back = s[0] + lab.prior, []
+    for t in range(1, len(s)):
+        m = v[None, :] - 2.0 * (1 - np.eye(3))
+        back.append(m.argmax(axis=1))
+        v = m.max(axis=1) + s[t]
+    assert abs(score(lab.path(s)) - v.max()) < 1e-9
