@@ -6,6 +6,7 @@ from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,11 +101,11 @@ def band_keys(s: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return x.view(np.int64)
 
 
-SIGNATURE = "doc_id long, n long, d1 long, d2 long, bands array<long>"
+SIGNATURE = "doc_id long, n long, d1 long, d2 long, bands array<long>, sketch binary"
 
 
 def signatures(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row: set size, 128-bit digest of the set, and band keys (none for an empty set)."""
+    """For each row: set size, 128-bit digest of the set, band keys and the sketch's low bytes (none for an empty set)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -114,13 +115,15 @@ def signatures(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
                 got = [sets(x) for x in part.column(1).to_pylist()]
+                made = [sketch(x) if len(x) else None for x in got]
                 digest = [np.frombuffer(xxhash.xxh3_128_digest(x.tobytes()), "<i8") for x in got]
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": part.column(0),
                     "n": pa.array([len(x) for x in got], pa.int64()),
                     "d1": pa.array([int(d[0]) for d in digest], pa.int64()),
                     "d2": pa.array([int(d[1]) for d in digest], pa.int64()),
-                    "bands": pa.array([band_keys(sketch(x)) if len(x) else [] for x in got], pa.list_(pa.int64())),
+                    "bands": pa.array([[] if x is None else band_keys(x) for x in made], pa.list_(pa.int64())),
+                    "sketch": pa.array([b"" if x is None else x.astype(np.uint8).tobytes() for x in made], pa.binary()),
                 })
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(sign, SIGNATURE)
@@ -158,6 +161,99 @@ def verify(pairs: DataFrame, texts: DataFrame, shingle: int, least: tuple[int, i
     return both.mapInArrow(check, "a long, b long").distinct()
 
 
+#: Members of a bucket that one block holds, and rows of a matrix within it.
+BLOCK, TILE = 2048, 256
+
+
+def intersections(p: list[np.ndarray], q: list[np.ndarray], width: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of each set of ``p`` with each of ``q``, as products of 0/1 matrices."""
+    out = np.zeros((len(p), len(q)), np.float32)
+    x, y = np.concatenate(p), np.concatenate(q)
+    both = np.intersect1d(x, y)
+    at = [np.repeat(np.arange(len(z)), [len(v) for v in z]) for z in (p, q)]
+    cols = []
+    for v in (x, y):
+        k = np.minimum(np.searchsorted(both, v), max(0, len(both) - 1))
+        cols.append(np.where(both[k] == v, k, -1) if len(both) else np.full(len(v), -1))
+    for c in range(0, len(both), width):
+        mats = []
+        for rows, col, n in zip(at, cols, (len(p), len(q))):
+            m = np.zeros((n, min(width, len(both) - c)), np.float32)
+            here = (col >= c) & (col < c + width)
+            m[rows[here], col[here] - c] = 1
+            mats.append(m)
+        out += mats[0] @ mats[1].T
+    return out
+
+
+def least_agreement(least: tuple[int, int]) -> float:
+    """Coordinates that two sketches share at least, six standard deviations below the mean at the threshold.
+
+    A pair at the threshold falls below with a chance of about 1e-9.
+    """
+    p = least[0] / least[1]
+    return COORDINATES * p - 6 * (COORDINATES * p * (1 - p)) ** 0.5
+
+
+def compare_blocks(rest: DataFrame, sketches: DataFrame, texts: DataFrame, shingle: int, least: tuple[int, int]) -> DataFrame:
+    """Links (a, b) between components of ``rest`` (key, rep, n, comp, m) whose members share a bucket.
+
+    A bucket of ``m`` members has ``ceil(m / BLOCK)`` blocks by a hash of the id; each pair of blocks is
+    one group of at most about ``2 * BLOCK`` members, so no task holds a large bucket. Sketches come
+    first: only members near one of another component go on to their full sets. No pair leaves a task
+    but a confirmed link.
+    """
+    d = rest.withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int"))
+    d = d.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(11)), F.col("nb")).cast("int"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda k: F.struct(F.least("block", k).alias("lo"), F.greatest("block", k).alias("hi")))
+    d = d.select("key", "rep", "n", "comp", "block", F.explode(pair).alias("p")).select("key", "rep", "n", "comp", "block", "p.lo", "p.hi")
+    d = d.hint("merge").join(sketches.hint("merge"), "rep")
+    (num, den), agree = least, least_agreement(least)
+    sets = None
+
+    def tiles(group: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, pd.DataFrame, np.ndarray]]:
+        """Pairs of tiles with the mask of pairs of different components whose sizes allow a link."""
+        lo, hi = int(group["lo"].iloc[0]), int(group["hi"].iloc[0])
+        group = group.sort_values(["comp", "rep"])
+        p, q = group[group["block"] == lo], group[group["block"] == hi]
+        for i in range(0, len(p), TILE):
+            for j in range(i if lo == hi else 0, len(q), TILE):
+                a, b = p.iloc[i : i + TILE], q.iloc[j : j + TILE]
+                na, nb = a["n"].to_numpy(), b["n"].to_numpy()
+                may = np.not_equal.outer(a["comp"].to_numpy(), b["comp"].to_numpy()) & (den * np.minimum.outer(na, nb) >= num * np.maximum.outer(na, nb))
+                if may.any():
+                    yield a, b, may
+
+    def sift(group: pd.DataFrame) -> pd.DataFrame:
+        kept: set[int] = set()
+        for a, b, may in tiles(group):
+            x, y = (np.frombuffer(b"".join(z["sketch"]), np.uint8).reshape(len(z), -1) for z in (a, b))
+            for r in np.flatnonzero(may.any(axis=1)):
+                near = np.flatnonzero(may[r] & ((x[r] == y).sum(axis=1) >= agree))
+                if len(near):
+                    kept.add(a.index[r])
+                    kept.update(b.index[near])
+        return group.loc[sorted(kept), ["key", "lo", "hi", "block", "rep", "n", "comp"]]
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        nonlocal sets
+        sets = sets or Shingler(shingle)
+        got = {i: sets(t) for i, t in group["text"].items()}
+        found: set[tuple[int, int]] = set()
+        for a, b, may in tiles(group):
+            same = intersections([got[i] for i in a.index], [got[i] for i in b.index]).astype(np.int64)
+            size = np.add.outer(a["n"].to_numpy(), b["n"].to_numpy())
+            ca, cb = a["comp"].to_numpy(), b["comp"].to_numpy()
+            for x, y in np.argwhere(may & (den * same >= num * (size - same))):
+                found.add((min(int(ca[x]), int(cb[y])), max(int(ca[x]), int(cb[y]))))
+        return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
+
+    left = d.groupBy("key", "lo", "hi").applyInPandas(sift, "key long, lo int, hi int, block int, rep long, n long, comp long")
+    left = materialize(left, "dedup-sifted")
+    left = left.hint("merge").join(texts.hint("merge"), F.col("rep") == F.col("doc_id")).drop("doc_id")
+    return left.groupBy("key", "lo", "hi").applyInPandas(compare, "a long, b long").distinct()
+
+
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, component): smallest id reachable over links (a, b); only ids with a link.
 
@@ -189,8 +285,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, least: tuple[int, int] =
 
     Equal sets make one class with one representative, so copies are never paired. Representatives
     share a bucket where a band of their sketches agrees. In each bucket the members are linked to its
-    smallest id, then, where that leaves it in several components, each pair of members of different
-    components that was not compared yet is; all links are confirmed on full sets.
+    smallest id; where that leaves it in several components, all its members are compared in blocks of
+    bounded size, which yield links of components only. All links are confirmed on full sets.
 
     Null and empty texts have no shingles and no links. Rows with a null id have no component and are
     kept. Rows of one id are one document: its rows' links count together, and each row is returned.
@@ -199,7 +295,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, least: tuple[int, int] =
     c = F.col
     sig = materialize(signatures(docs, shingle, id_col, text_col), "dedup-signatures")
     real = sig.where("n > 0 AND doc_id IS NOT NULL")
-    classes = materialize(real.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "dedup-classes")
+    classes = materialize(real.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "dedup-classes")
     keys = classes.select("rep", "n", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("c"), F.max("rep").alias("last")).where("c.rep <> last")
     shared = materialize(shared.select("key", c("c.rep").alias("center"), c("c.n").alias("center_n")), "dedup-buckets")
@@ -212,14 +308,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, least: tuple[int, int] =
     star = members.where((c("rep") != c("center")) & near(c("n"), c("center_n"))).select(c("center").alias("a"), c("rep").alias("b")).distinct()
     links = materialize(verify(star, texts, shingle, least), "dedup-links")
     comp = materialize(components(links), "dedup-components")
-    # buckets still in several components: pairs that the star left out
+    # buckets still in several components: their members are compared in blocks
     placed = members.hint("merge").join(comp.hint("merge"), c("rep") == c("id"), "left").withColumn("comp", F.coalesce("component", "rep"))
-    open_ = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rest = materialize(placed.where("rep <> center").hint("merge").join(open_.hint("merge"), "key", "left_semi").select("key", "rep", "n", "comp"), "dedup-rest")
-    one, two = rest.toDF("key", "a", "na", "ca"), rest.toDF("key", "b", "nb", "cb")
-    cross = one.hint("merge").join(two.hint("merge"), "key").where((c("ca") < c("cb")) & near(c("na"), c("nb")))
-    more = materialize(verify(cross.select("a", "b").distinct(), texts, shingle, least), "dedup-more-links")
-    comp = components(links.union(more))
+    mark = lambda k: F.bit_xor(F.xxhash64("rep", F.lit(k)))
+    open_ = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"), mark(1).alias("x"), mark(2).alias("y"))
+    # bands often agree on their members: one bucket of each set of members is enough
+    open_ = open_.where("lo <> hi").groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key", "m")
+    rest = placed.where("rep <> center").select("key", "rep", "n", "comp").hint("merge").join(open_.hint("merge"), "key")
+    rest = materialize(rest, "dedup-rest")
+    more = materialize(compare_blocks(rest, classes.select("rep", "sketch"), texts, shingle, least), "dedup-more-links")
+    joined = components(more).withColumnsRenamed({"id": "old", "component": "new"})
+    comp = comp.hint("merge").join(joined.hint("merge"), c("component") == c("old"), "left").select("id", F.coalesce("new", "component").alias("component"))
+    comp = materialize(comp.union(joined.select("old", "new")).groupBy("id").agg(F.min("component").alias("component")), "dedup-all-components")
 
     rep = classes.select("d1", "d2", "rep").hint("merge").join(comp.hint("merge"), c("rep") == c("id"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     out = real.select("doc_id", "n", "d1", "d2").hint("merge").join(rep.hint("merge"), ["d1", "d2"])
