@@ -163,6 +163,8 @@ def verify(pairs: DataFrame, texts: DataFrame, shingle: int, least: tuple[int, i
 
 #: Members of a bucket that one block holds, and rows of a matrix within it.
 BLOCK, TILE = 2048, 256
+#: Rows that one call of Python takes on average.
+CALL = 4000
 
 
 def intersections(p: list[np.ndarray], q: list[np.ndarray], width: int = 8192) -> np.ndarray:
@@ -199,7 +201,7 @@ def compare_blocks(rest: DataFrame, sketches: DataFrame, texts: DataFrame, shing
     """Links (a, b) between components of ``rest`` (key, rep, n, comp, m) whose members share a bucket.
 
     A bucket of ``m`` members has ``ceil(m / BLOCK)`` blocks by a hash of the id; each pair of blocks is
-    one group of at most about ``2 * BLOCK`` members, so no task holds a large bucket. Sketches come
+    taken apart from the others, at most about ``2 * BLOCK`` members, so no task holds a large bucket. Sketches come
     first: only members near one of another component go on to their full sets. No pair leaves a task
     but a confirmed link.
     """
@@ -208,50 +210,67 @@ def compare_blocks(rest: DataFrame, sketches: DataFrame, texts: DataFrame, shing
     pair = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda k: F.struct(F.least("block", k).alias("lo"), F.greatest("block", k).alias("hi")))
     d = d.select("key", "rep", "n", "comp", "block", F.explode(pair).alias("p")).select("key", "rep", "n", "comp", "block", "p.lo", "p.hi")
     d = d.hint("merge").join(sketches.hint("merge"), "rep")
+    # many buckets go to one call; each keeps its rows together
+    calls = F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(max(1, rest.count() // CALL)))
     (num, den), agree = least, least_agreement(least)
     sets = None
 
-    def tiles(group: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, pd.DataFrame, np.ndarray]]:
-        """Pairs of tiles with the mask of pairs of different components whose sizes allow a link."""
-        lo, hi = int(group["lo"].iloc[0]), int(group["hi"].iloc[0])
-        group = group.sort_values(["comp", "rep"])
-        p, q = group[group["block"] == lo], group[group["block"] == hi]
-        for i in range(0, len(p), TILE):
-            for j in range(i if lo == hi else 0, len(q), TILE):
-                a, b = p.iloc[i : i + TILE], q.iloc[j : j + TILE]
-                na, nb = a["n"].to_numpy(), b["n"].to_numpy()
-                may = np.not_equal.outer(a["comp"].to_numpy(), b["comp"].to_numpy()) & (den * np.minimum.outer(na, nb) >= num * np.maximum.outer(na, nb))
-                if may.any():
-                    yield a, b, may
+    def tiles(group: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Places of the rows of two tiles of a bucket, and which of their pairs are of different
+        components and of sizes that allow a link."""
+        key, lo, hi, block, n, comp = (group[x].to_numpy() for x in ("key", "lo", "hi", "block", "n", "comp"))
+        order = np.lexsort((group["rep"].to_numpy(), comp, hi, lo, key))
+        k, x, y = key[order], lo[order], hi[order]
+        cuts = np.flatnonzero((k[1:] != k[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
+        for at in np.split(order, cuts):
+            one = lo[at[0]] == hi[at[0]]
+            p = at if one else at[block[at] == lo[at[0]]]
+            q = at if one else at[block[at] == hi[at[0]]]
+            for i in range(0, len(p), TILE):
+                for j in range(i if one else 0, len(q), TILE):
+                    a, b = p[i : i + TILE], q[j : j + TILE]
+                    na, nb = n[a][:, None], n[b][None, :]
+                    may = (comp[a][:, None] != comp[b][None, :]) & (den * np.minimum(na, nb) >= num * np.maximum(na, nb))
+                    if may.any():
+                        yield a, b, may
 
     def sift(group: pd.DataFrame) -> pd.DataFrame:
-        kept: set[int] = set()
+        flat = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group), -1)
+        kept = np.zeros(len(group), bool)
         for a, b, may in tiles(group):
-            x, y = (np.frombuffer(b"".join(z["sketch"]), np.uint8).reshape(len(z), -1) for z in (a, b))
+            x, y = flat[a], flat[b]
             for r in np.flatnonzero(may.any(axis=1)):
-                near = np.flatnonzero(may[r] & ((x[r] == y).sum(axis=1) >= agree))
+                near = np.flatnonzero(may[r])
+                near = near[(x[r] == y[near]).sum(axis=1) >= agree]
                 if len(near):
-                    kept.add(a.index[r])
-                    kept.update(b.index[near])
-        return group.loc[sorted(kept), ["key", "lo", "hi", "block", "rep", "n", "comp"]]
+                    kept[a[r]] = True
+                    kept[b[near]] = True
+        return group.loc[kept, ["key", "lo", "hi", "block", "rep", "n", "comp"]]
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         nonlocal sets
         sets = sets or Shingler(shingle)
-        got = {i: sets(t) for i, t in group["text"].items()}
+        made: dict[int, np.ndarray] = {}
+        rep, text, n, comp = (group[x].to_numpy() for x in ("rep", "text", "n", "comp"))
+
+        def of(i: int) -> np.ndarray:
+            if rep[i] not in made:
+                made[rep[i]] = sets(text[i])
+            return made[rep[i]]
+
         found: set[tuple[int, int]] = set()
         for a, b, may in tiles(group):
-            same = intersections([got[i] for i in a.index], [got[i] for i in b.index]).astype(np.int64)
-            size = np.add.outer(a["n"].to_numpy(), b["n"].to_numpy())
-            ca, cb = a["comp"].to_numpy(), b["comp"].to_numpy()
+            same = intersections([of(i) for i in a], [of(i) for i in b]).astype(np.int64)
+            size = np.add.outer(n[a], n[b])
             for x, y in np.argwhere(may & (den * same >= num * (size - same))):
-                found.add((min(int(ca[x]), int(cb[y])), max(int(ca[x]), int(cb[y]))))
+                u, v = int(comp[a[x]]), int(comp[b[y]])
+                found.add((min(u, v), max(u, v)))
         return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
 
-    left = d.groupBy("key", "lo", "hi").applyInPandas(sift, "key long, lo int, hi int, block int, rep long, n long, comp long")
+    left = d.groupBy(calls.alias("call")).applyInPandas(sift, "key long, lo int, hi int, block int, rep long, n long, comp long")
     left = materialize(left, "dedup-sifted")
     left = left.hint("merge").join(texts.hint("merge"), F.col("rep") == F.col("doc_id")).drop("doc_id")
-    return left.groupBy("key", "lo", "hi").applyInPandas(compare, "a long, b long").distinct()
+    return left.groupBy(calls.alias("call")).applyInPandas(compare, "a long, b long").distinct()
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
