@@ -14,6 +14,8 @@ DEPTH = 8
 LEAST_TOKENS = 5
 #: A template recurs if it is in so many documents with different texts.
 LEAST_DOCS = 3
+#: In the pipeline two texts are enough for templates of ``DEPTH`` tokens or more.
+LONG_DOCS = 2
 
 
 def segments_of(text: Column) -> Column:
@@ -40,31 +42,35 @@ def template_key(tokens: Column, depth: int) -> Column:
 
 
 def line_rows(docs: DataFrame, depth: int = DEPTH, least_tokens: int = LEAST_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, doc_id, seg, digest) for each line or sentence of ``least_tokens`` or more."""
+    """(key, doc_id, seg, digest, long) for each line or sentence of ``least_tokens`` or more; ``long`` ones have ``depth`` tokens."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("digest"), F.posexplode(segments_of(F.col(text_col))).alias("seg", "line"))
     rows = src.select("doc_id", "digest", "seg", tokens_of(F.col("line")).alias("tokens")).where(F.size("tokens") >= least_tokens)
-    return rows.select(template_key(F.col("tokens"), depth).alias("key"), "doc_id", "seg", "digest")
+    return rows.select(template_key(F.col("tokens"), depth).alias("key"), "doc_id", "seg", "digest", (F.size("tokens") >= depth).alias("long"))
 
 
-def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, least_tokens: int = LEAST_TOKENS, least_docs: int = LEAST_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, least_tokens: int = LEAST_TOKENS, least_docs: int = LEAST_DOCS, long_docs: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents with all their columns and two more: ``__l_n`` segments and ``__l_dropped``, those dropped.
 
     A line or sentence goes down a tree of fixed depth: by its count of tokens, then by its leading
     ``depth`` tokens, where tokens with a digit are variable. Tokens behind are generalised. Lines at
     one leaf have one template; if it recurs in ``least_docs`` documents of different texts, it stays
-    at its first place (lowest id, then position) and is dropped at all others.
+    at its first place (lowest id, then position) and is dropped at all others. If ``long_docs`` is
+    given, templates of ``depth`` tokens or more need only so many (2 or more).
 
     Null texts stay null; null ids come first; rows that repeat an id are cleaned alike where their
     segments have the same positions; an empty table stays empty.
     """
-    rows = materialize(line_rows(docs, depth, least_tokens, id_col, text_col), "line-all")
+    rows = line_rows(docs, depth, least_tokens, id_col, text_col)
+    rows = materialize(rows.drop("long") if long_docs is None else rows, "line-all")
+    enough = F.lit(least_docs) if long_docs is None else F.when(F.col("long"), long_docs).otherwise(least_docs)
     # 1. templates of two texts or more: one row for each template and task is shuffled
     shared = rows.groupBy("key").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("key")
     shared = materialize(shared, "line-shared")
     # 2. their lines, and of these the templates of enough texts
     lines = materialize(rows.hint("merge").join(shared.hint("merge"), "key"), "line-rows")
-    texts = lines.groupBy("key", "digest").agg(F.min(F.struct("doc_id", "seg")).alias("first"))
-    often = texts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first")).where(F.col("n") >= least_docs)
+    by = ["key"] if long_docs is None else ["key", "long"]
+    texts = lines.groupBy(*by, "digest").agg(F.min(F.struct("doc_id", "seg")).alias("first"))
+    often = texts.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first")).where(F.col("n") >= enough)
     often = materialize(often.select("key", F.col("first.doc_id").alias("f_doc"), F.col("first.seg").alias("f_seg")), "line-templates")
     # 3. places to drop, by document
     drop = lines.hint("merge").join(often.hint("merge"), "key").where(~(F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("seg") == F.col("f_seg"))))
@@ -84,8 +90,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without their recurring lines; those left without a word go."""
-    d = drop_recurring_lines(docs)
+    """Pipeline stage: documents without their recurring lines; those left without a word go.
+
+    Lines of ``DEPTH`` tokens or more recur from two different texts on.
+    """
+    d = drop_recurring_lines(docs, long_docs=LONG_DOCS)
     return d.where((F.col("__l_dropped") == 0) | F.col("text").rlike("[^ \\t-\\r]")).select(*docs.columns)
 
 

@@ -130,6 +130,15 @@ def test_copies_of_a_whole_text_are_left_to_near_dedup(spark):
     assert all(r["text"] == text for r in L.drop_recurring_lines(d).collect())
 
 
+def test_the_stage_drops_long_lines_of_two_texts_and_short_ones_of_three(spark):
+    note, short = "The parcel {} was handed over at the gate on day {}.", "all rights of this kept."
+    rows = [(i, f"own words {'abcd'[i]} of this one only here.\n{note.format(i, i + 3) if i < 2 else ''}\n{short if i > 1 else ''}\n") for i in range(4)]
+    rows.append((4, rows[1][1]))  # copies of one text count once
+    out = {r["doc_id"]: r["text"] for r in L.line_dedup_stage(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()}
+    assert [i for i in out if "parcel" in out[i]] == [0] and [i for i in sorted(out) if short in out[i]] == [2, 3]
+    assert len(out) == 5 and all("own words" in t for t in out.values())
+
+
 def items_and_docs():
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(2, 7)))
