@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.llm.minhash import _GOLD, _WordHashes, mix
 from corpusloom.llm.quality import SPACE
 from corpusloom.runtime import materialize, table
 
@@ -16,6 +22,10 @@ LEAST_TOKENS = 5
 LEAST_DOCS = 3
 #: In the pipeline two texts are enough for templates of ``DEPTH`` tokens or more.
 LONG_DOCS = 2
+#: Words of a run that recurs wherever it stands, and of the grams that stand for it.
+RUN, GRAM = 16, 8
+
+_WORD = re.compile("[^ \\t-\\r]+")
 
 
 def segments_of(text: Column) -> Column:
@@ -83,6 +93,111 @@ def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, least_tokens: int
     return out.withColumn(text_col, F.when(F.size("__l_set") == 0, F.col(text_col)).otherwise(F.array_join(kept, ""))).drop("__l_segs", "__l_set", "__l_all")
 
 
+class Runs:
+    """64-bit hashes of a text's runs of ``run`` words, and of the least gram within each."""
+
+    def __init__(self, run: int = RUN, gram: int = GRAM):
+        self.run, self.gram, self.memo = run, gram, _WordHashes()
+
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        words = _WORD.findall(text) if text else []
+        n = len(words) - self.run + 1
+        if n < 1:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        h = np.fromiter((self.memo[w.encode("utf-8", "surrogatepass")] for w in words), np.uint64, len(words))
+        with np.errstate(over="ignore"):
+            grams, runs = np.zeros(len(h) - self.gram + 1, np.uint64), np.zeros(n, np.uint64)
+            for j in range(self.run):
+                runs = runs * _GOLD + h[j : j + n]
+                runs ^= runs >> np.uint64(29)
+            for j in range(self.gram):
+                grams = grams * _GOLD + h[j : j + len(grams)]
+                grams ^= grams >> np.uint64(29)
+            runs, grams = mix(runs), mix(grams)
+        least = grams[:n].copy()
+        for j in range(1, self.run - self.gram + 1):
+            np.minimum(least, grams[j : j + n], out=least)
+        return runs.view(np.int64), least.view(np.int64)
+
+
+def without_runs(text: str, starts: list[int], run: int) -> str:
+    """The text without the words of the runs that begin at ``starts``; a line end beside a run stays."""
+    words = [m.span() for m in _WORD.finditer(text)]
+    gone = np.zeros(len(words) + 1, np.int64)
+    for k in starts:
+        gone[k] += 1
+        gone[k + run] -= 1
+    gone = np.cumsum(gone)[:-1] > 0
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))).reshape(-1, 2)
+    out, at = [], 0
+    for a, b in edges.tolist():
+        left = words[a - 1][1] if a else 0
+        right = words[b][0] if b < len(words) else len(text)
+        before, after = text[left : words[a][0]], text[words[b - 1][1] : right]
+        out += [text[at:left], after if "\n" in after and "\n" not in before else before]
+        at = right
+    return "".join([*out, text[at:]])
+
+
+def drop_recurring_runs(docs: DataFrame, run: int = RUN, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Documents with all their columns and ``__r_dropped``, the runs of words dropped from each.
+
+    A run of ``run`` words that stands in two different texts, whatever surrounds it, stays at its first
+    place (lowest id, then text and position) and is dropped at all others. Copies of a whole text count
+    once and are treated alike. Equal runs have the same least gram, so first only these are shuffled,
+    about one in five words; then every run whose gram is in two texts.
+
+    Null texts stay null; rows are met by id and text, so repeated and null ids do no harm.
+    """
+    c = F.col
+    src = docs.select(c(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("digest"), c(text_col).cast("string").alias("text"))
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = Runs(run, gram)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                got = [np.unique(runs(t)[1]) for t in part.column(2).to_pylist()]
+                at = pa.array(np.repeat(np.arange(len(got)), [len(g) for g in got]))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(np.concatenate(got))], ["doc_id", "digest", "gram"])
+
+    def shared_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = Runs(run, gram)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                keys, places, n = [], [], []
+                for t, wanted in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
+                    h, g = runs(t)
+                    at = np.flatnonzero(np.isin(g, np.array(wanted, np.int64)))
+                    keys.append(h[at])
+                    places.append(at.astype(np.int32))
+                    n.append(len(at))
+                at = pa.array(np.repeat(np.arange(len(n)), n))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), part.column(0).take(at), part.column(1).take(at), pa.array(np.concatenate(places))], ["key", "doc_id", "digest", "pos"])
+
+    # 1. grams of two texts or more: one row for each gram and task is shuffled
+    grams = materialize(src.mapInArrow(least, "doc_id long, digest long, gram long"), "run-grams")
+    both = grams.groupBy("gram").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("gram")
+    met = grams.hint("merge").join(materialize(both, "run-shared").hint("merge"), "gram")
+    met = materialize(met.groupBy("doc_id", "digest").agg(F.collect_set("gram").alias("grams")).withColumnsRenamed({"doc_id": "i", "digest": "d"}), "run-met")
+    # 2. their runs, and of these the ones of two texts with their first place
+    here = c("doc_id").eqNullSafe(c("i")) & (c("digest") == c("d"))
+    rows = src.hint("merge").join(met.hint("merge"), here).select("doc_id", "digest", "text", "grams")
+    rows = materialize(rows.mapInArrow(shared_runs, "key long, doc_id long, digest long, pos int"), "run-rows")
+    first = rows.groupBy("key").agg(F.min("digest").alias("a"), F.max("digest").alias("b"), F.min(F.struct("doc_id", "digest", "pos")).alias("f")).where("a <> b")
+    first = materialize(first.select("key", c("f.digest").alias("f_digest"), c("f.pos").alias("f_pos")), "run-first")
+    # 3. places to drop, by document; a run that overlaps its own first place stays
+    drop = rows.hint("merge").join(first.hint("merge"), "key").where((c("digest") != c("f_digest")) | (c("pos") >= c("f_pos") + run))
+    drop = materialize(drop.groupBy("doc_id", "digest").agg(F.collect_set("pos").alias("__r_at")).withColumnsRenamed({"doc_id": "__r_id", "digest": "__r_digest"}), "run-drops")
+
+    # Spark calls it for every row; only texts that lose runs are sent
+    cut = F.udf(lambda text, at: None if at is None else without_runs(text, at, run), "string")
+    out = docs.hint("merge").join(drop.hint("merge"), c(id_col).cast("long").eqNullSafe(c("__r_id")) & (F.xxhash64(text_col) == c("__r_digest")), "left")
+    out = out.withColumn("__r_dropped", F.greatest(F.size("__r_at"), F.lit(0)).cast("long")).drop("__r_id", "__r_digest")
+    return out.withColumn(text_col, F.when(c("__r_dropped") == 0, c(text_col)).otherwise(cut(F.when(c("__r_dropped") > 0, c(text_col)), c("__r_at")))).drop("__r_at")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's count of lines and sentences, how many were dropped, and a digest of what stays."""
     d = drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -90,12 +205,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without their recurring lines; those left without a word go.
+    """Pipeline stage: documents without their recurring runs of words and lines; those left without a word go.
 
-    Lines of ``DEPTH`` tokens or more recur from two different texts on.
+    Lines of ``DEPTH`` tokens or more recur from two different texts on, as runs do.
     """
-    d = drop_recurring_lines(docs, long_docs=LONG_DOCS)
-    return d.where((F.col("__l_dropped") == 0) | F.col("text").rlike("[^ \\t-\\r]")).select(*docs.columns)
+    d = drop_recurring_lines(materialize(drop_recurring_runs(docs), "run-cut"), long_docs=LONG_DOCS)
+    return d.where((F.col("__l_dropped") + F.col("__r_dropped") == 0) | F.col("text").rlike("[^ \\t-\\r]")).select(*docs.columns)
 
 
 #: The template is written as text here where the operator hashes it.

@@ -139,6 +139,43 @@ def test_the_stage_drops_long_lines_of_two_texts_and_short_ones_of_three(spark):
     assert len(out) == 5 and all("own words" in t for t in out.values())
 
 
+def test_the_stage_finds_a_passage_in_mid_sentence_without_marks(spark):
+    rng = random.Random(10)
+    some = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    passage, own = some(60), [(some(9 + i), some(30 - i)) for i in range(4)]
+    rows = [(i, f"{a} {passage} {b}") for i, (a, b) in enumerate(own[:3])] + [(None, f"{own[3][0]}\n{own[3][1]}"), (9, None), (9, ""), (8, "x " * 100), (7, "x " * 90 + "y")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = L.line_dedup_stage(spark, d, "")
+    got = {(r["doc_id"], r["text"]) for r in out.collect()}
+    assert out.columns == d.columns
+    assert got >= {rows[0], *((i, f"{own[i][0]} {own[i][1]}") for i in (1, 2)), rows[3], (9, None), (9, "")}
+    runs = {r["doc_id"]: r["text"] for r in L.drop_recurring_runs(d.where("doc_id in (7, 8)")).collect()}
+    assert runs[7].split() == ["x"] * 16 + ["y"] and not runs[8].split()
+    assert L.drop_recurring_runs(d.limit(0)).count() == 0
+
+
+def test_runs_equal_brute_force(spark):
+    rng = random.Random(11)
+    bits = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(3, 40))) for _ in range(12)]
+    rows = [(i, " ".join(rng.choice(bits) if rng.random() < 0.5 else f"u{rng.randrange(10**6)}" for _ in range(rng.randint(1, 12)))) for i in range(40)]
+    texts, first = defaultdict(set), {}
+    for i, t in rows:
+        w = t.split()
+        for k in range(len(w) - L.RUN + 1):
+            texts[tuple(w[k : k + L.RUN])].add(t)
+            first.setdefault(tuple(w[k : k + L.RUN]), (i, k))
+    want = {}
+    for i, t in rows:
+        w, gone = t.split(), set()
+        for k in range(len(w) - L.RUN + 1):
+            g = tuple(w[k : k + L.RUN])
+            if len(texts[g]) > 1 and (first[g][0] != i or k >= first[g][1] + L.RUN):
+                gone |= set(range(k, k + L.RUN))
+        want[i] = [x for k, x in enumerate(w) if k not in gone]
+    got = {r["doc_id"]: r["text"].split() for r in L.drop_recurring_runs(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == want and any(len(want[i]) < len(t.split()) for i, t in rows)
+
+
 def items_and_docs():
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(2, 7)))
