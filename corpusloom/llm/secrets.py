@@ -24,6 +24,10 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 #: Candidate strings: long runs that hold a digit.
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+#: UUIDs and strings of hexadecimal digits within a run.
+_KNOWN = re.compile(r"(?<![0-9a-zA-Z])(?:" + _UUID.pattern + r"|[0-9a-fA-F]{32,})(?![0-9a-zA-Z])")
+#: Characters of a random string at least, and parts between marks that one may have.
+LEAST, STRETCH = 16, 16
 #: A part of an identifier between marks: words in one case or with a capital, a few digits at the end.
 _PART = re.compile(r"(?:[A-Z]?[a-z]++|[A-Z]{2,}+)*+[A-Z]?\d{0,4}")
 #: Lengths of hexadecimal digests: MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512.
@@ -54,6 +58,43 @@ def is_excluded(run: str) -> bool:
     return bool(_UUID.fullmatch(run)) or all(_PART.fullmatch(x) for x in re.split("[-_/+=]+", run))
 
 
+def is_random(run: str, ranks: str, most_chars_per_token: float) -> bool:
+    """Letters and digits with few characters for each token, and nothing known."""
+    if len(run) < LEAST or not re.search(r"\d", run) or not re.search("[A-Za-z]", run) or is_excluded(run):
+        return False
+    return len(run) <= most_chars_per_token * len(_encoding(ranks).encode_ordinary(run))
+
+
+def random_parts(run: str, at: int, taken: list[tuple[int, int]], ranks: str, most_chars_per_token: float) -> list[tuple[int, int]]:
+    """Spans of random strings in a run that begins at ``at``, outside the spans ``taken``.
+
+    A free run is scored whole, then any stretch of neighbouring parts between marks, so that a string
+    glued to words is found as well as one that holds marks itself. The longest stretch that passes is
+    taken whose first and last parts are not plain words; UUIDs and digests within are left out.
+    """
+    end = at + len(run)
+    if not taken and is_random(run, ranks, most_chars_per_token):
+        return [(at, end)]
+    known = [(at + m.start(), at + m.end()) for m in _KNOWN.finditer(run) if is_excluded(m[0])]
+    parts = [(at + m.start(), at + m.end()) for m in re.finditer("[A-Za-z0-9]+", run)]
+    parts = [(s, e, _PART.fullmatch(run, s - at, e - at) is None) for s, e in parts if not any(a < e and s < b for a, b in [*taken, *known])]
+    found, k = [], 0
+    while k < len(parts):
+        last = k
+        # a stretch holds no part that was left out: its parts are one mark apart or a few
+        while last + 1 < len(parts) and last + 1 - k < STRETCH and not any(parts[last][1] <= a < parts[last + 1][0] for a, _ in [*taken, *known]):
+            last += 1
+        got = next((j for j in range(last, k - 1, -1) if parts[k][2] and parts[j][2] and is_random(run[parts[k][0] - at : parts[j][1] - at], ranks, most_chars_per_token)), None)
+        if got is not None:
+            # longer ones go on while their last parts pass
+            while got - k + 1 >= STRETCH and got < len(parts) - 1 and parts[got + 1][2] and is_random(run[parts[got + 2 - STRETCH][0] - at : parts[got + 1][1] - at], ranks, most_chars_per_token) and not any(parts[got][1] <= a < parts[got + 1][0] for a, _ in [*taken, *known]):
+                got += 1
+            found.append((parts[k][0], parts[got][1]))
+            k = got
+        k += 1
+    return found
+
+
 def scan(text: str | None, ranks: str, most_chars_per_token: float) -> list[tuple[str, int, int]]:
     """Spans (kind, start, end) of one text in code points, by start and kind."""
     if not text:
@@ -68,13 +109,8 @@ def scan(text: str | None, ranks: str, most_chars_per_token: float) -> list[tupl
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     base = sorted(found)
     for m in _RUN.finditer(text):
-        run = m[0]
-        if run.isalpha() or not re.search(r"\d", run) or not re.search("[A-Za-z]", run) or is_excluded(run):
-            continue
-        if any(s < m.end() and m.start() < e for s, _, e in base):
-            continue
-        if len(run) <= most_chars_per_token * len(_encoding(ranks).encode_ordinary(run)):
-            found.append((m.start(), 3, m.end()))
+        if re.search(r"\d", m[0]):
+            found += [(s, 3, e) for s, e in random_parts(m[0], m.start(), [(s, e) for s, _, e in base if s < m.end() and m.start() < e], ranks, most_chars_per_token)]
     return [(KINDS[k], s, e) for s, k, e in sorted(found)]
 
 
@@ -85,7 +121,7 @@ def secret_spans(text: Column, ranks: str, most_chars_per_token: float = 2.0) ->
     capitals or digits, 20 or more. ``hex``: 24 or more lower-case hexadecimal digits. ``random``:
     other runs of 16 or more characters with letters and digits that have at most
     ``most_chars_per_token`` characters for each token of the ranks, unless they are digests of a
-    known length, UUIDs or identifiers. Whole texts are read; null and empty texts have no spans.
+    known length, UUIDs or identifiers; so are parts of a run between marks, or a stretch of parts. Whole texts are read; null and empty texts have no spans.
     """
 
     @F.pandas_udf(SPAN)
