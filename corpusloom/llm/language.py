@@ -160,16 +160,18 @@ class Labeller:
     def path(self, s: np.ndarray) -> np.ndarray:
         """The best language for each word: sum of scores less ``penalty`` for each switch.
 
-        If in no stretch of words any other language gains more over the best single one than a switch
-        costs, then neither does a row of such stretches, and that language is the whole path; only
-        other texts go through the recursion.
+        The best single language is the whole path if no stretch of words in another gains more over it
+        than a switch costs, and no stretch at the beginning and one at the end do so together: ``k``
+        stretches in others cost ``k`` switches, or ``k - 1`` where they hold both ends and nothing is
+        left of the best. Only other texts go through the recursion.
         """
         p = self.penalty
         total = s.sum(axis=0) + self.prior
         best = int(np.argmax(total))
         gain = np.cumsum(s - s[:, best : best + 1], axis=0) + (self.prior - self.prior[best])
         low = np.minimum.accumulate(np.concatenate([np.minimum(0.0, self.prior - self.prior[best])[None, :], gain[:-1]]), axis=0)
-        if float((gain - low).max()) <= p:
+        ends = gain.max() + max(0.0, float((gain[-1] - gain[:-1].min(axis=0)).max())) if len(s) > 1 else 0.0
+        if float((gain - low).max()) <= p and ends <= p:
             return np.full(len(s), best)
         n, states = s.shape
         back, own = array("H"), range(states)

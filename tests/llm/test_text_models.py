@@ -201,3 +201,19 @@ def test_path_equals_plain_viterbi(seed):
         back.append(m.argmax(axis=1))
         v = m.max(axis=1) + s[t]
     assert abs(score(lab.path(s)) - v.max()) < 1e-9
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_path_splits_where_two_languages_meet_over_a_third(seed):
+    rng = np.random.default_rng(seed)
+    lab = language.Labeller({"langs": list("abcd"), "prior": [0.0, -0.5, 0.0, -0.2], "grams": {}, "scripts": {}}, penalty=12.0)
+    for n in (1, 2, 20, 40):
+        s = rng.normal(size=(n, 4)) * 0.1
+        s[: n // 2] += [20 / max(1, n), -1.2, 0, -2.0]  # each half leans less than a switch costs, both together more
+        s[n // 2 :] += [-1.2, 20 / max(1, n), 0, -2.0]
+        v = s[0] + lab.prior
+        for x in s[1:]:
+            v = np.maximum(v, v.max() - 12.0) + x
+        path = lab.path(s)
+        assert abs(lab.prior[path[0]] + s[np.arange(n), path].sum() - 12.0 * (np.diff(path) != 0).sum() - v.max()) < 1e-9
+        assert n < 20 or set(path.tolist()) == {0, 1}
