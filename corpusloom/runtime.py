@@ -62,5 +62,50 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Intermediate tables of one operator, deleted once its result no longer needs them.
+
+    ``with Scratch(spark) as s: ... return s.result(df, name)`` writes tables with ``s.table``; the result
+    is written too, and stays. If the operator fails, its tables go as well.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        discard(self.spark, *self.paths)
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        path = new_dir(self.spark, name)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        return materialize(df, name)
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete folders below the shared folder through Spark's own file systems; missing ones do no harm."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def merge_join(a: DataFrame, b: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A shuffled sort-merge join, whatever the planner believes about sizes; AQE splits its skewed keys."""
+    return a.hint("merge").join(b.hint("merge"), on, how)
+
+
+def small_join(a: DataFrame, b: DataFrame, on, how: str = "inner", most_rows: int = 1_000_000) -> DataFrame:
+    """Join with ``b`` broadcast if it is counted at ``most_rows`` or less, else by merging."""
+    if b.limit(most_rows + 1).count() <= most_rows:
+        return a.join(b.hint("broadcast"), on, how)
+    return merge_join(a, b, on, how)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
