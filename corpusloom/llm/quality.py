@@ -120,6 +120,20 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", *[F.col(f"__q_{n}").alias(n) for n in names])
 
 
+def rows_where(d: DataFrame, flag: str, columns: list[str]) -> DataFrame:
+    """``columns`` of the rows whose ``flag`` is true.
+
+    The optimiser copies a computed column into a filter on it, once for every reference, and filters
+    share no common parts. A generator between the verdict and the filter keeps it computed once.
+    """
+    one = F.array(F.struct(F.col(flag).alias("__keep"), *[F.col(f"`{c}`") for c in columns]))
+    return d.select(F.inline(F.filter(one, lambda r: r["__keep"]))).select(*[f"`{c}`" for c in columns])
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that the rules keep, with their own columns."""
-    return score_quality(docs, table(spark, sf_dir, "labels")).where("__q_kept").select(*docs.columns)
+    """Pipeline stage: the documents that the rules keep, with their own columns.
+
+    Null, empty and short texts fail the base rules and go; repeated rows and null ids are judged one by
+    one; an empty table stays empty.
+    """
+    return rows_where(score_quality(docs, table(spark, sf_dir, "labels")), "__q_kept", docs.columns)
