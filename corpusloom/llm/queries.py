@@ -10,7 +10,7 @@ from corpusloom.llm.chat import OP10_SQL, op10_chat
 from corpusloom.llm.decontaminate import op7_decontaminate
 from corpusloom.llm.language import op6_language
 from corpusloom.llm.linededup import OP8_SQL, op8_line_dedup
-from corpusloom.llm.minhash import op1_near_dedup
+from corpusloom.llm.minhash import OP1_SQL, op1_near_dedup
 from corpusloom.llm.packing import op2_packing
 from corpusloom.llm.quality import op4_quality
 from corpusloom.llm.secrets import op3_secrets
@@ -30,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat": op10_chat,
 }
 
-ORACLES: dict[str, str] = {"op8_line_dedup": OP8_SQL, "op10_chat": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_near_dedup": OP1_SQL, "op8_line_dedup": OP8_SQL, "op10_chat": OP10_SQL}
