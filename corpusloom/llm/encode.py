@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -37,8 +38,22 @@ class _Words(dict):
         return got
 
 
-#: A comma or stop after another mark: the two are one word of the vocabulary's splitter.
-_MARKS = re.compile(r"[^\w\s][.,]|_[.,]")
+#: A comma or stop after another mark: the two are one word of the vocabulary's splitter, which takes
+#: the separators U+001C to U+001F for marks.
+_MARKS = re.compile("[^\\w\\s][.,]|[_\x1c-\x1f][.,]")
+#: Normaliser and splitter that encoding word by word stands for (fixed values of the vocabulary's format).
+_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLITTER = [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
+def is_by_words(tokenizer) -> bool:
+    """Whether the vocabulary normalises and splits as encoding word by word needs."""
+    state = json.loads(tokenizer.to_str())
+    parts = [(state.get("normalizer") or {}).get("normalizers"), (state.get("pre_tokenizer") or {}).get("pretokenizers")]
+    return parts == [_NORMALIZER, _SPLITTER] and not state["model"].get("continuing_subword_prefix")
 
 
 class WordEncoder:
@@ -47,8 +62,9 @@ class WordEncoder:
     For a vocabulary in lower case that drops white space and never merges over it, the ids of a text
     are those of its space-separated words in a row; a comma or stop after a letter or digit is a word
     of its own. So a memo of words, bounded by ``cap``, saves most of the merging. Words of lower-case
-    Latin letters go straight to the vocabulary's merges, all others through the whole tokenizer. Ids
-    come as bytes of little-endian unsigned 32-bit integers.
+    Latin letters go straight to the vocabulary's merges, all others through the whole tokenizer. Texts
+    of any other vocabulary go through the whole tokenizer as they are. Ids come as bytes of
+    little-endian unsigned 32-bit integers.
     """
 
     def __init__(self, path: str, cap: int = 700_000):
@@ -56,11 +72,14 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo = _Words(self.tokenizer, cap)
+        self.memo = _Words(self.tokenizer, cap) if is_by_words(self.tokenizer) else None
 
     def encode_one(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if self.memo is None:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
