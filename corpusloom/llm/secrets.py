@@ -29,7 +29,10 @@ _KNOWN = re.compile(r"(?<![0-9a-zA-Z])(?:" + _UUID.pattern + r"|[0-9a-fA-F]{32,}
 #: Characters of a random string at least, and parts between marks that one may have.
 LEAST, STRETCH = 16, 16
 #: A part of an identifier between marks: words in one case or with a capital, a few digits at the end.
-_PART = re.compile(r"(?:[A-Z]?[a-z]++|[A-Z]{2,}+)*+[A-Z]?\d{0,4}")
+_PART, _CASED = re.compile(r"(?:[A-Z]?[a-z]++|[A-Z]{2,}+)*+[A-Z]?\d{0,4}"), re.compile("[A-Z]?[a-z]+|[A-Z]+")
+#: Letters for each word of an identifier on average where capitals join several (noise of mixed case has
+#: fewer), and in any one of them at most (longer words are judged by their tokens).
+WORD_LETTERS, LONGEST_WORD = 4, 12
 #: Lengths of hexadecimal digests: MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512.
 _DIGESTS = {32, 40, 56, 64, 96, 128}
 
@@ -51,11 +54,19 @@ def _encoding(path: str):
     return tiktoken.Encoding("secrets", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def is_identifier(part: str) -> bool:
+    """Words in one case or joined by capitals, neither too short nor too long, and at most four digits at the end."""
+    if not _PART.fullmatch(part):
+        return False
+    sizes = list(map(len, _CASED.findall(part)))
+    return max(sizes, default=0) <= LONGEST_WORD and (len(sizes) < 2 or sum(sizes) >= WORD_LETTERS * len(sizes))
+
+
 def is_excluded(run: str) -> bool:
     """Known digests, UUIDs and identifiers are not random secrets."""
     if len(run) in _DIGESTS and not re.search("[^0-9a-fA-F]", run):
         return True
-    return bool(_UUID.fullmatch(run)) or all(_PART.fullmatch(x) for x in re.split("[-_/+=]+", run))
+    return bool(_UUID.fullmatch(run)) or all(map(is_identifier, re.split("[-_/+=]+", run)))
 
 
 def is_random(run: str, ranks: str, most_chars_per_token: float) -> bool:
@@ -77,7 +88,7 @@ def random_parts(run: str, at: int, taken: list[tuple[int, int]], ranks: str, mo
         return [(at, end)]
     known = [(at + m.start(), at + m.end()) for m in _KNOWN.finditer(run) if is_excluded(m[0])]
     parts = [(at + m.start(), at + m.end()) for m in re.finditer("[A-Za-z0-9]+", run)]
-    parts = [(s, e, _PART.fullmatch(run, s - at, e - at) is None) for s, e in parts if not any(a < e and s < b for a, b in [*taken, *known])]
+    parts = [(s, e, not is_identifier(run[s - at : e - at])) for s, e in parts if not any(a < e and s < b for a, b in [*taken, *known])]
     found, k = [], 0
     while k < len(parts):
         last = k
@@ -121,7 +132,9 @@ def secret_spans(text: Column, ranks: str, most_chars_per_token: float = 2.0) ->
     capitals or digits, 20 or more. ``hex``: 24 or more lower-case hexadecimal digits. ``random``:
     other runs of 16 or more characters with letters and digits that have at most
     ``most_chars_per_token`` characters for each token of the ranks, unless they are digests of a
-    known length, UUIDs or identifiers; so are parts of a run between marks, or a stretch of parts. Whole texts are read; null and empty texts have no spans.
+    known length, UUIDs or identifiers; so are parts of a run between marks, or a stretch of parts.
+
+    Whole texts are read; null and empty texts have no spans; repeated rows are scanned one by one.
     """
 
     @F.pandas_udf(SPAN)
