@@ -26,14 +26,27 @@ SCRIPTS = (
 )
 _FIRST = [a for a, _ in SCRIPTS]
 
-_WORD = re.compile(r"[^\W\d_]+")
+#: Numerals and marks that ``\\w`` takes but that are no letters, besides decimal digits.
+_NUMERALS = "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_WORD, _ALNUM = re.compile(f"[^\\W\\d_{_NUMERALS}]+"), re.compile(r"[^\W\d_]+")
 #: Training takes at most so many documents for each language, the first by a hash of the id, and keeps
 #: so many n-grams for each.
 DOCS_PER_LANG, GRAMS_PER_LANG = 800, 20_000
-MODEL_LANGS = 200
+#: Languages that a model has at most, and shares (n-grams times languages): 8 bytes each are broadcast.
+MODEL_LANGS, MODEL_CELLS = 200, 20_000_000
 UNKNOWN = "und"
 
 
+def pattern_of(text: str) -> re.Pattern:
+    """The pattern of a text's words: runs of letters. Only texts with other numerals need the slower one."""
+    return _ALNUM if "".join(_ALNUM.findall(text)).isalpha() else _WORD
+
+
+def words_of(text: str) -> list[str]:
+    words = _ALNUM.findall(text)
+    return words if "".join(words).isalpha() else _WORD.findall(text)
+
+
 def script_of(word: str) -> str:
     return SCRIPTS[bisect_right(_FIRST, ord(word[0])) - 1][1]
 
@@ -48,14 +61,21 @@ def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, grams_per_lang: i
     """Per-language log shares of n-grams, prior shares and scripts, from rows that are not held out.
 
     At most ``MODEL_LANGS`` languages (the most frequent) and ``docs_per_lang`` whole documents of each
-    are read, so the model is bounded. Rows with a null language, id or text are not used.
+    are read, and n-grams of each are kept within ``MODEL_CELLS``, so the model is bounded. A language's
+    documents are first thinned by a hash of their ids to some four times as many, in place; only these
+    are ordered by it. Rows with a null language, id or text are not used; repeated rows count once.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~is_held_out()).select("doc_id", F.col(lang_col).alias("lang"))
     priors = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MODEL_LANGS).collect()}
     if not priors:
         return {"langs": [], "prior": [], "grams": {}, "scripts": {}}
+    grams_per_lang = max(1, min(grams_per_lang, MODEL_CELLS // (2 * len(priors) ** 2)))
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.where(F.col("lang").isin(sorted(priors))).withColumn("r", F.row_number().over(first)).where(F.col("r") <= docs_per_lang).select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang"))
+    # a draw from 0 to 2 ** 20 - 1; rare languages keep all their documents
+    draw = F.xxhash64("doc_id", F.lit(3)).bitwiseAND(F.lit((1 << 20) - 1))
+    most = F.create_map(*[F.lit(x) for lang, n in sorted(priors.items()) for x in (lang, min(1 << 20, (4 * docs_per_lang << 20) // n))])
+    thin = known.withColumn("most", F.try_element_at(most, F.col("lang"))).where(draw < F.col("most"))
+    ids = thin.dropDuplicates(["lang", "doc_id"]).withColumn("r", F.row_number().over(first)).where(F.col("r") <= docs_per_lang).select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang"))
     chosen = F.broadcast(ids.dropDuplicates(["__id"]))  # at most MODEL_LANGS * docs_per_lang rows
     sample = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("__id")).select(F.col("__lang").alias("lang"), "text")
 
@@ -64,7 +84,7 @@ def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, grams_per_lang: i
 
         for b in batches:
             for lang, part in b.groupby("lang"):
-                words = Counter(w for t in part["text"] for w in _WORD.findall(t.lower()))
+                words = Counter(w for t in part["text"] for w in words_of(t.lower()))
                 grams: Counter = Counter()
                 for w, n in words.items():
                     grams["#" + script_of(w)] += n * len(w)
@@ -190,7 +210,7 @@ class Labeller:
 
     def label(self, text: str | None) -> tuple[str, float, list[tuple[str, int, int]]]:
         """Language of most letters, its mean posterior share, and spans (language, start, end)."""
-        words = _WORD.findall(text) if text and self.langs else []
+        words = words_of(text) if text and self.langs else []
         if not words:
             return UNKNOWN, 0.0, []
         pieces = []
@@ -204,7 +224,7 @@ class Labeller:
         score = min(1.0, max(0.0, float(post[:, k] @ length / length.sum())))
         if not len(cuts):
             return self.langs[k], score, [(self.langs[k], text.index(words[0]), text.rindex(words[-1]) + len(words[-1]))]
-        found, edges = list(_WORD.finditer(text)), [0, *cuts.tolist(), len(path)]
+        found, edges = list(pattern_of(text).finditer(text)), [0, *cuts.tolist(), len(path)]
         return self.langs[k], score, [(self.langs[path[a]], found[a].start(), found[b - 1].end()) for a, b in zip(edges, edges[1:])]
 
 
