@@ -12,7 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.runtime import table
+from corpusloom.llm.quality import rows_where
+from corpusloom.operators.prefix import ordered_sums
+from corpusloom.runtime import materialize, table
 
 _WORD = re.compile(r"\w+")
 #: Passages are ``3 * STRIDE`` words, one every ``STRIDE``; so any ``2 * STRIDE`` words lie within one.
@@ -180,29 +182,45 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, ma
 
     Every passage of every whole text asks the index for all items of at least ``threshold`` of an
     item's own BM25 score; an item is a hit if half of the three-word sequences of its question and
-    half of its answer's are near the passage. Items go to the tasks in indexes of at most
-    ``max_items`` (by ranges of id), and each index adds a pass; nothing is shuffled.
+    half of its answer's are near the passage. An entry is at most ``ENTRY_WORDS`` words of an item; a
+    last one of fewer than 8 words is left to the entry before, as the item's verification covers it.
 
-    Null texts and items have no hits; items with equal ids count separately; without items the
-    column holds empty arrays.
+    Items go to the tasks in indexes of at most ``max_items``, dealt by ranks that Spark sums up; a
+    benchmark of more takes one pass after the other, each written before the next, so that the driver
+    and a task hold one index at a time. Nothing is shuffled but the items.
+
+    Null texts and items have no hits; items with equal ids count separately, equal items once; repeated
+    rows and null ids are searched one by one; without items the column holds empty arrays.
     """
-    bench = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
+    bench = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     n = bench.count()
-    found = []
-    for k in range(-(-n // max_items)):
-        # a range of rows in the order of ids: at most max_items go to the driver
-        part = bench.orderBy("item_id", "text").offset(k * max_items).limit(max_items).collect()
-        found.append(contamination(F.col(text_col), [(r["item_id"], r["text"]) for r in part], threshold))
-    hits = F.concat(*found) if found else F.array().cast(HITS)
-    return docs.withColumn(out, hits)
+    if n <= max_items:
+        parts = [bench] if n else []
+    else:
+        ranked = materialize(ordered_sums(bench, [], ["item_id", "text"]), "bench-ranked")
+        parts = [ranked.where(F.expr(f"rank div {max_items} = {k}")) for k in range(-(-n // max_items))]
+    docs = docs.withColumn(out, F.array().cast(HITS))
+    for k, part in enumerate(parts):
+        items = [(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").collect()]  # at most max_items rows
+        docs = docs.withColumn(out, F.concat(F.col(out), contamination(F.col(text_col), items, threshold)))
+        if k + 1 < len(parts):
+            docs = materialize(docs, "bench-pass")
+    return docs
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaks: a row for each document and the test item found in it."""
     docs = find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return docs.select("doc_id", F.explode("__leaks").alias("h")).select("doc_id", "h.item_id", "h.score", "h.question", "h.answer")
+    # explode_outer: of explode the optimiser makes a filter that would search every text twice
+    hits = docs.select("doc_id", F.explode_outer("__leaks").alias("h")).select("doc_id", F.inline(F.filter(F.array("h"), lambda h: h["item_id"].isNotNull())))
+    return hits.select("doc_id", "item_id", "score", "question", "answer")
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents in which no test item is found."""
-    return find_leaks(docs, table(spark, sf_dir, "benchmark")).where(F.size("__leaks") == 0).select(*docs.columns)
+    """Pipeline stage: the documents in which no test item is found.
+
+    Null and empty texts stay; repeated rows and null ids are judged one by one; an empty table stays
+    empty, and without items all documents stay.
+    """
+    found = find_leaks(docs, table(spark, sf_dir, "benchmark")).withColumn("__clean", F.size("__leaks") == 0)
+    return rows_where(found, "__clean", docs.columns)
