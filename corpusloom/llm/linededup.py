@@ -11,17 +11,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.minhash import _GOLD, _WordHashes, mix
-from corpusloom.llm.quality import SPACE
-from corpusloom.runtime import materialize, table
+from corpusloom.llm.quality import SPACE, rows_where
+from corpusloom.runtime import Scratch, materialize, merge_join, table
 
-#: Leading tokens that a template keeps; the rest of its tokens are variable.
+#: Leading tokens that lead to a leaf of the tree.
 DEPTH = 8
+#: Parts of a line's tokens behind the leading ones; a template may have one of them as a field.
+PARTS = 3
 #: Shorter lines are never dropped.
 LEAST_TOKENS = 5
-#: A template recurs if it is in so many documents with different texts.
-LEAST_DOCS = 3
-#: In the pipeline two texts are enough for templates of ``DEPTH`` tokens or more.
-LONG_DOCS = 2
+#: A template of ``DEPTH`` tokens or more recurs from two different texts on, a shorter one from three.
+LONG_DOCS, LEAST_DOCS = 2, 3
 #: Words of a run that recurs wherever it stands, and of the grams that stand for it.
 RUN, GRAM = 16, 8
 
@@ -46,46 +46,60 @@ def tokens_of(segment: Column) -> Column:
     return F.split(F.btrim(masked, F.lit(SPACE)), "[ \\t-\\r]+")
 
 
-def template_key(tokens: Column, depth: int) -> Column:
-    """The leaf of the tree: the count of tokens, then the leading ones."""
-    return F.xxhash64(F.size(tokens), F.array_join(F.slice(tokens, 1, depth), " "))
+def part_hashes(tokens: Column, depth: int, parts: int) -> Column:
+    """Hashes of the parts of the tokens behind the leading ``depth``, as even as can be; null for short lines."""
+    n = F.size(tokens) - depth
+    edge = lambda k: F.floor(n * k / parts).cast("int")
+    one = lambda k: F.xxhash64(F.array_join(F.slice(tokens, edge(k) + (depth + 1), edge(k + 1) - edge(k)), " "))
+    return F.when(n > 0, F.array(*[one(k) for k in range(parts)]))
 
 
 def line_rows(docs: DataFrame, depth: int = DEPTH, least_tokens: int = LEAST_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, doc_id, seg, digest, long) for each line or sentence of ``least_tokens`` or more; ``long`` ones have ``depth`` tokens."""
+    """(key, doc_id, seg, digest, long, parts) for each line or sentence of ``least_tokens`` or more.
+
+    ``key`` is its leaf: the count of tokens, then the leading ones; ``long`` ones have ``depth`` tokens.
+    """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("digest"), F.posexplode(segments_of(F.col(text_col))).alias("seg", "line"))
     rows = src.select("doc_id", "digest", "seg", tokens_of(F.col("line")).alias("tokens")).where(F.size("tokens") >= least_tokens)
-    return rows.select(template_key(F.col("tokens"), depth).alias("key"), "doc_id", "seg", "digest", (F.size("tokens") >= depth).alias("long"))
+    leaf = F.xxhash64(F.size("tokens"), F.array_join(F.slice("tokens", 1, depth), " "))
+    return rows.select(leaf.alias("key"), "doc_id", "seg", "digest", (F.size("tokens") >= depth).alias("long"), part_hashes(F.col("tokens"), depth, PARTS).alias("parts"))
 
 
-def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, least_tokens: int = LEAST_TOKENS, least_docs: int = LEAST_DOCS, long_docs: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, least_tokens: int = LEAST_TOKENS, least_docs: int = LEAST_DOCS, long_docs: int = LONG_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents with all their columns and two more: ``__l_n`` segments and ``__l_dropped``, those dropped.
 
     A line or sentence goes down a tree of fixed depth: by its count of tokens, then by its leading
-    ``depth`` tokens, where tokens with a digit are variable. Tokens behind are generalised. Lines at
-    one leaf have one template; if it recurs in ``least_docs`` documents of different texts, it stays
-    at its first place (lowest id, then position) and is dropped at all others. If ``long_docs`` is
-    given, templates of ``depth`` tokens or more need only so many (2 or more).
-
-    Null texts stay null; null ids come first; rows that repeat an id are cleaned alike where their
-    segments have the same positions; an empty table stays empty.
+    ``depth`` tokens, where tokens with a digit are variable. Within a leaf, lines have a template in
+    common that agree on all but one of three parts of the tokens behind; that part is its field. So
+    at most a third of the tokens behind the leading ones are generalised, and lines that agree on
+    their beginning alone share nothing. A template recurs if it is in ``least_docs`` documents of
+    different texts, or in ``long_docs`` (2 or more) if it has ``depth`` tokens or more. Each recurring
+    template stays at its first place (lowest id, then text and position); a line that is the first
+    of none of its recurring templates is dropped.
+
+    Null texts stay null; null ids come first; rows are met by id and text, so rows that repeat an id
+    keep their own lines, and copies of a whole text count once and are treated alike; an empty table
+    stays empty.
     """
-    rows = line_rows(docs, depth, least_tokens, id_col, text_col)
-    rows = materialize(rows.drop("long") if long_docs is None else rows, "line-all")
-    enough = F.lit(least_docs) if long_docs is None else F.when(F.col("long"), long_docs).otherwise(least_docs)
-    # 1. templates of two texts or more: one row for each template and task is shuffled
-    shared = rows.groupBy("key").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("key")
-    shared = materialize(shared, "line-shared")
-    # 2. their lines, and of these the templates of enough texts
-    lines = materialize(rows.hint("merge").join(shared.hint("merge"), "key"), "line-rows")
-    by = ["key"] if long_docs is None else ["key", "long"]
-    texts = lines.groupBy(*by, "digest").agg(F.min(F.struct("doc_id", "seg")).alias("first"))
-    often = texts.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first")).where(F.col("n") >= enough)
-    often = materialize(often.select("key", F.col("first.doc_id").alias("f_doc"), F.col("first.seg").alias("f_seg")), "line-templates")
-    # 3. places to drop, by document
-    drop = lines.hint("merge").join(often.hint("merge"), "key").where(~(F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("seg") == F.col("f_seg"))))
-    drop = materialize(drop.groupBy("doc_id").agg(F.collect_set("seg").alias("__l_segs")), "line-drops")
-    out = docs.hint("merge").join(drop.withColumnRenamed("doc_id", "__l_id").hint("merge"), F.col(id_col).eqNullSafe(F.col("__l_id")), "left").drop("__l_id")
+    with Scratch(docs.sparkSession) as tmp:
+        rows = tmp.table(line_rows(docs, depth, least_tokens, id_col, text_col), "line-all")
+        # 1. leaves of two texts or more: one row for each leaf and task is shuffled
+        shared = rows.groupBy("key").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("key")
+        lines = merge_join(rows, tmp.table(shared, "line-shared"), "key")
+        # 2. the templates of their lines, and of these the ones of enough texts with their first places
+        part = F.col("parts")
+        without = F.array(*[F.xxhash64("key", F.lit(k), *[F.get(part, F.lit(j)) for j in range(PARTS) if j != k]) for k in range(PARTS)])
+        lines = tmp.table(lines.select("doc_id", "seg", "digest", "long", F.explode(F.when(part.isNull(), F.array("key")).otherwise(without)).alias("template")), "line-templates")
+        texts = lines.groupBy("template", "long", "digest").agg(F.min(F.struct("doc_id", "digest", "seg")).alias("first"))
+        often = texts.groupBy("template", "long").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first")).where(F.col("n") >= F.when(F.col("long"), long_docs).otherwise(least_docs))
+        often = tmp.table(often.select("template", "first"), "line-often")
+        # 3. places to drop, by document and text
+        place = F.struct("doc_id", "digest", "seg")
+        met = merge_join(lines, often, "template").groupBy("doc_id", "digest", "seg").agg(F.max(place.eqNullSafe(F.col("first"))).alias("stays"))
+        drop = met.where("NOT stays").groupBy("doc_id", "digest").agg(F.collect_set("seg").alias("__l_segs"))
+        drop = materialize(drop.withColumnsRenamed({"doc_id": "__l_id", "digest": "__l_digest"}), "line-drops")
+    here = F.col(id_col).cast("long").eqNullSafe(F.col("__l_id")) & (F.xxhash64(text_col) == F.col("__l_digest"))
+    out = merge_join(docs, drop, here, "left").drop("__l_id", "__l_digest")
     places = F.array_except(F.sequence(F.lit(0), F.size("__l_all") - 1), F.col("__l_set"))
     kept = F.transform(places, lambda i: F.get(F.col("__l_all"), i))
     out = out.withColumn("__l_set", F.coalesce("__l_segs", F.array().cast("array<int>"))).withColumn("__l_all", segments_of(F.col(text_col)))
@@ -176,24 +190,25 @@ def drop_recurring_runs(docs: DataFrame, run: int = RUN, gram: int = GRAM, id_co
                 at = pa.array(np.repeat(np.arange(len(n)), n))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), part.column(0).take(at), part.column(1).take(at), pa.array(np.concatenate(places))], ["key", "doc_id", "digest", "pos"])
 
-    # 1. grams of two texts or more: one row for each gram and task is shuffled
-    grams = materialize(src.mapInArrow(least, "doc_id long, digest long, gram long"), "run-grams")
-    both = grams.groupBy("gram").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("gram")
-    met = grams.hint("merge").join(materialize(both, "run-shared").hint("merge"), "gram")
-    met = materialize(met.groupBy("doc_id", "digest").agg(F.collect_set("gram").alias("grams")).withColumnsRenamed({"doc_id": "i", "digest": "d"}), "run-met")
-    # 2. their runs, and of these the ones of two texts with their first place
-    here = c("doc_id").eqNullSafe(c("i")) & (c("digest") == c("d"))
-    rows = src.hint("merge").join(met.hint("merge"), here).select("doc_id", "digest", "text", "grams")
-    rows = materialize(rows.mapInArrow(shared_runs, "key long, doc_id long, digest long, pos int"), "run-rows")
-    first = rows.groupBy("key").agg(F.min("digest").alias("a"), F.max("digest").alias("b"), F.min(F.struct("doc_id", "digest", "pos")).alias("f")).where("a <> b")
-    first = materialize(first.select("key", c("f.digest").alias("f_digest"), c("f.pos").alias("f_pos")), "run-first")
-    # 3. places to drop, by document; a run that overlaps its own first place stays
-    drop = rows.hint("merge").join(first.hint("merge"), "key").where((c("digest") != c("f_digest")) | (c("pos") >= c("f_pos") + run))
-    drop = materialize(drop.groupBy("doc_id", "digest").agg(F.collect_set("pos").alias("__r_at")).withColumnsRenamed({"doc_id": "__r_id", "digest": "__r_digest"}), "run-drops")
+    with Scratch(docs.sparkSession) as tmp:
+        # 1. grams of two texts or more: one row for each gram and task is shuffled
+        grams = tmp.table(src.mapInArrow(least, "doc_id long, digest long, gram long"), "run-grams")
+        both = grams.groupBy("gram").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("gram")
+        met = merge_join(grams, tmp.table(both, "run-shared"), "gram")
+        met = tmp.table(met.groupBy("doc_id", "digest").agg(F.collect_set("gram").alias("grams")).withColumnsRenamed({"doc_id": "i", "digest": "d"}), "run-met")
+        # 2. their runs, and of these the ones of two texts with their first place
+        here = c("doc_id").eqNullSafe(c("i")) & (c("digest") == c("d"))
+        rows = merge_join(src, met, here).select("doc_id", "digest", "text", "grams")
+        rows = tmp.table(rows.mapInArrow(shared_runs, "key long, doc_id long, digest long, pos int"), "run-rows")
+        first = rows.groupBy("key").agg(F.min("digest").alias("a"), F.max("digest").alias("b"), F.min(F.struct("doc_id", "digest", "pos")).alias("f")).where("a <> b")
+        first = tmp.table(first.select("key", c("f.digest").alias("f_digest"), c("f.pos").alias("f_pos")), "run-first")
+        # 3. places to drop, by document; a run that overlaps its own first place stays
+        drop = merge_join(rows, first, "key").where((c("digest") != c("f_digest")) | (c("pos") >= c("f_pos") + run))
+        drop = materialize(drop.groupBy("doc_id", "digest").agg(F.collect_set("pos").alias("__r_at")).withColumnsRenamed({"doc_id": "__r_id", "digest": "__r_digest"}), "run-drops")
 
     # Spark calls it for every row; only texts that lose runs are sent
     cut = F.udf(lambda text, at: None if at is None else without_runs(text, at, run), "string")
-    out = docs.hint("merge").join(drop.hint("merge"), c(id_col).cast("long").eqNullSafe(c("__r_id")) & (F.xxhash64(text_col) == c("__r_digest")), "left")
+    out = merge_join(docs, drop, c(id_col).cast("long").eqNullSafe(c("__r_id")) & (F.xxhash64(text_col) == c("__r_digest")), "left")
     out = out.withColumn("__r_dropped", F.greatest(F.size("__r_at"), F.lit(0)).cast("long")).drop("__r_id", "__r_digest")
     return out.withColumn(text_col, F.when(c("__r_dropped") == 0, c(text_col)).otherwise(cut(F.when(c("__r_dropped") > 0, c(text_col)), c("__r_at")))).drop("__r_at")
 
@@ -207,10 +222,13 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without their recurring runs of words and lines; those left without a word go.
 
-    Lines of ``DEPTH`` tokens or more recur from two different texts on, as runs do.
+    Null, empty and blank texts, from which nothing was dropped, stay; repeated rows are treated alike;
+    an empty table stays empty.
     """
-    d = drop_recurring_lines(materialize(drop_recurring_runs(docs), "run-cut"), long_docs=LONG_DOCS)
-    return d.where((F.col("__l_dropped") + F.col("__r_dropped") == 0) | F.col("text").rlike("[^ \\t-\\r]")).select(*docs.columns)
+    cut = materialize(drop_recurring_runs(docs), "run-cut")
+    d = drop_recurring_lines(cut)
+    flag = (F.col("__l_dropped") + F.col("__r_dropped") == 0) | F.col("text").rlike("[^ \\t-\\r]")
+    return rows_where(d.withColumn("__l_stays", flag), "__l_stays", docs.columns)
 
 
 #: The template is written as text here where the operator hashes it.
@@ -221,9 +239,11 @@ LINES_SQL = r"""
 DEDUP_SQL = r"""
   l AS (""" + LINES_SQL + r"""),
   k AS (SELECT doc_id, text, seg, line, string_split_regex(trim(regexp_replace(line, '[^ \t-\r]*[0-9][^ \t-\r]*', '<*>', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[ \t-\r]+') AS tok FROM l),
-  t AS (SELECT doc_id, text, seg, line, CASE WHEN len(tok) >= 5 THEN len(tok) || ' ' || array_to_string(tok[1:8], ' ') END AS key FROM k),
-  often AS (SELECT key, min(row(doc_id, seg)) AS first FROM t WHERE key IS NOT NULL GROUP BY key HAVING count(DISTINCT text) >= 3),
-  cut AS (SELECT t.*, often.key IS NOT NULL AND row(t.doc_id, t.seg) <> often.first AS gone FROM t LEFT JOIN often USING (key)),
+  p AS (SELECT doc_id, text, seg, line, len(tok) AS n, tok, array_to_string(tok[1:8], ' ') AS head, [array_to_string(tok[9 + j * (len(tok) - 8) // 3 : 8 + (j + 1) * (len(tok) - 8) // 3], ' ') FOR j IN range(3)] AS part FROM k),
+  t AS (SELECT doc_id, text, seg, n, unnest(CASE WHEN n > 8 THEN [n || ' ' || head || chr(1) || '_' || chr(1) || part[2] || chr(1) || part[3], n || ' ' || head || chr(1) || part[1] || chr(1) || '_' || chr(1) || part[3], n || ' ' || head || chr(1) || part[1] || chr(1) || part[2] || chr(1) || '_'] ELSE [n || ' ' || head] END) AS template FROM p WHERE n >= 5),
+  often AS (SELECT template, min(row(doc_id, text, seg)) AS first FROM t GROUP BY template, n HAVING count(DISTINCT text) >= CASE WHEN n >= 8 THEN 2 ELSE 3 END),
+  met AS (SELECT doc_id, text, seg, bool_or(row(doc_id, text, seg) = first) AS stays FROM t JOIN often USING (template) GROUP BY ALL),
+  cut AS (SELECT l.doc_id, l.seg, l.line, NOT coalesce(stays, true) AS gone FROM l LEFT JOIN met ON met.doc_id IS NOT DISTINCT FROM l.doc_id AND met.text IS NOT DISTINCT FROM l.text AND met.seg = l.seg),
   deduped AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, coalesce(string_agg(line, '' ORDER BY seg) FILTER (WHERE NOT gone), '') AS text FROM cut GROUP BY doc_id)
 """
 OP8_SQL = "WITH " + DEDUP_SQL.replace("{docs}", "documents") + "SELECT doc_id, n_lines, n_dropped, length(text) AS n_chars_kept, md5(text) AS text_md5 FROM deduped"
