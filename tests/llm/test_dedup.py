@@ -90,6 +90,72 @@ def test_null_and_repeated_ids_and_empty_table(spark):
     assert M.near_duplicates(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
+def link_rows(rows, num=85, den=100, k=3):
+    """Components of rows that may repeat ids: every text of an id counts."""
+    ids, parent = sorted({i for i, _ in rows}), {i: i for i, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    sets = [(i, shingles(t, k)) for i, t in rows]
+    for i, a in sets:
+        for j, b in sets:
+            same = len(a & b)
+            if i < j and same and den * same >= num * len(a | b):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    return sorted((i, len(s), find(i)) for i, s in sets) if ids else []
+
+
+def test_texts_that_share_an_id_keep_their_own_links(spark):
+    text = lambda p, *odd: " ".join(f"{p}{'x' if k in odd else k}" for k in range(60))
+    rows = [(5, text("a")), (5, text("b")), (7, text("a", 59)), (8, text("b", 59)), (9, text("c")), (9, text("a", 0)), (10, text("c", 3))]
+    for order in (rows, rows[::-1], rows[1:] + rows[:1]):
+        got = M.near_duplicates(spark.createDataFrame(order, "doc_id bigint, text string"), 3, (85, 100)).collect()
+        assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == link_rows(rows)
+
+
+def test_fresh_centres_and_main_components_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(M, "LARGE", 4)
+    monkeypatch.setattr(M, "BLOCK", 4)
+    rng = random.Random(13)
+    rows, base = [], [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    for i in range(70):
+        v = list(base)
+        for k in rng.sample(range(60), rng.randint(0, 4)):
+            v[k] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(v)))
+    rows += [(100 + i, " ".join(f"t{j}" for j in range(i * 2, i * 2 + 60))) for i in range(12)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in M.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, (85, 100)).collect()}
+    assert got == brute(rows)
+
+
+def test_components_equal_sql(spark, small):
+    same_rows(QUERIES["op1_near_dedup"](spark, small), ORACLES["op1_near_dedup"], small, TABLES)
+
+
+def test_intermediate_tables_are_deleted(spark):
+    import os
+
+    from corpusloom.runtime import shared_base
+
+    folder = shared_base(spark).removeprefix("file://") + "/corpusloom"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    M.near_duplicates(spark.createDataFrame(corpus(), "doc_id bigint, text string"), 3)
+    assert [x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before] == ["dedup-result"]
+
+
+def test_the_stage_keeps_one_of_rows_that_repeat_id_and_text(spark):
+    same = " ".join(f"w{k}" for k in range(30))
+    rows = [(1, same, "x"), (1, same, "x"), (2, same, "y"), (3, "other words of a third text", "z"), (3, "a wholly different text of row three", "z"), (None, same, "n"), (None, same, "n"), (4, None, "e"), (5, "", "e")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, kept string")
+    out = M.near_dedup_stage(spark, d, "")
+    assert out.columns == d.columns
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, [rows[0], *rows[3:]]))
+    assert M.near_dedup_stage(spark, d.limit(0), "").count() == 0
+
+
 def test_sketch_estimates_similarity_and_fills():
     rng = np.random.default_rng(7)
     x = rng.integers(0, 1 << 63, 1200).astype(np.uint64)
@@ -130,6 +196,33 @@ def test_copies_of_a_whole_text_are_left_to_near_dedup(spark):
     assert all(r["text"] == text for r in L.drop_recurring_lines(d).collect())
 
 
+def test_lines_that_agree_on_their_beginning_alone_are_kept(spark):
+    head = "The quick brown fox jumps over the lazy"
+    rows = [(k, f"{head} {t}.\nSome line of its own is here {t}.\n") for k, t in enumerate(("dog today", "cat never", "cow slowly", "hen twice"))]
+    out = L.drop_recurring_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["text"] for r in out} == dict(rows)
+
+
+def test_a_field_behind_the_leading_tokens_is_generalised(spark):
+    line = "The parcel for this street was given to the keeper {} of the old house."
+    rows = [(k, f"own words {n} of this text only.\n{line.format(n)}\n") for k, n in enumerate(("Anna", "Berta", "Clara", "Dora"))]
+    out = {r["doc_id"]: r["text"] for r in L.drop_recurring_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [k for k in sorted(out) if "parcel" in out[k]] == [0] and all("own words" in t for t in out.values())
+
+
+def test_rows_that_repeat_an_id_keep_their_own_lines(spark):
+    note = "this line of nine words recurs in many texts."
+    rows = [(3, f"first row has one.\n{note}\n"), (3, f"{note}\nIts second line is unique and must not be lost at all.\n"), (4, f"a fourth text.\n{note}\n"), (None, f"no id here.\n{note}\n"), (None, "another row without an id and without the note."), (None, None)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = L.drop_recurring_lines(d).collect()
+    texts = [r["text"] for r in out]
+    assert len(out) == 6 and sum(note in (t or "") for t in texts) == 1
+    assert any(t and "Its second line is unique" in t for t in texts) and rows[4][1] in texts and None in texts
+    long = "word " * 30_000 + "end."
+    got = L.drop_recurring_lines(spark.createDataFrame([(1, long), (2, long + " tail"), (3, "x")], "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["__l_dropped"] for r in got} == {1: 0, 2: 1, 3: 0}  # the first stop ends the line
+
+
 def test_the_stage_drops_long_lines_of_two_texts_and_short_ones_of_three(spark):
     note, short = "The parcel {} was handed over at the gate on day {}.", "all rights of this kept."
     rows = [(i, f"own words {'abcd'[i]} of this one only here.\n{note.format(i, i + 3) if i < 2 else ''}\n{short if i > 1 else ''}\n") for i in range(4)]
@@ -218,6 +311,18 @@ def test_leaks_are_found_and_clean_texts_left(spark):
     assert C.find_leaks(d, bench.limit(0)).where(F.size("__leaks") > 0).count() == 0
 
 
+def test_leaks_of_long_texts_repeated_rows_and_repeated_items(spark):
+    items, _ = items_and_docs()
+    bench = spark.createDataFrame([*items[:8], items[3], (3, items[5][1])], "item_id bigint, text string")
+    long = "filler words here " * 30_000 + items[3][1] + " more filler" * 5000
+    rows = [(1, long), (2, items[5][1]), (2, items[5][1]), (None, items[0][1]), (4, "clean words only")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("h", F.lit("clash"))
+    want = [(1, (3,)), (2, (3, 5)), (2, (3, 5)), (None, (0,)), (4, ())]
+    for most in (20_000, 4):
+        got = [(r["doc_id"], tuple(sorted(x["item_id"] for x in r["__leaks"]))) for r in C.find_leaks(d, bench, max_items=most).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_question_alone_is_no_leak():
     items, _ = items_and_docs()
     q = re.split(r"(?<=[.!?])\s+", items[3][1])[0]

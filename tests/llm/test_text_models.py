@@ -72,6 +72,20 @@ def test_quality_equals_brute_force(spark, small):
         assert g["__q_base_failed"] == failed and g["__q_kept"] == (not failed and g["__q_llr_sum"] >= quality.THRESHOLD * g["__q_n_grams"])
 
 
+def test_quality_of_repeated_rows_and_a_very_long_text(spark):
+    long = " ".join(f"w{k}" for k in range(60_000)) + " a b c d e a b c d e"
+    d = spark.createDataFrame([(1, long), (2, "one two"), (2, "one two"), (None, "x " * 12)], "doc_id bigint, text string")
+    got = quality.score_quality(d, spark.createDataFrame([(1, 1), (1, 1), (None, 1)], "doc_id bigint, quality int")).collect()
+    assert sorted(r["__q_n_words"] for r in got) == [2, 2, 12, 60_010]
+    assert next(r["__q_n_repeat_words"] for r in got if r["doc_id"] == 1) == counts(long)[4] == 10
+
+
+def test_the_stage_scores_each_text_once(spark):
+    d = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")
+    plan = quality.quality_stage(spark, d, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if re.match(r"\W*Filter", x) and "split(" in x]
+
+
 def test_quality_without_rows_or_labels(spark):
     d, none = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string"), spark.createDataFrame([], "doc_id bigint, quality int")
     assert quality.score_quality(d, none).count() == 1 and quality.score_quality(d.limit(0), none).count() == 0
@@ -97,7 +111,29 @@ def test_secrets_equal_patterns_and_random_strings_are_added(spark):
     scan = lambda t: [k for k, _, _ in secrets.scan(t, secrets.default_ranks(), 2.0)]
     assert scan("see kJ8sQ2pZx9LmN4vB7wYtR3cD here") == ["random"]
     for t in ("my_long_identifier_name_42", "someCamelCaseName12", "550e8400-e29b-41d4-a716-446655440000", "D41D8CD98F00B204E9800998ECF8427E", "internationalisation", "1" * 40, "z" * 5000 + "!"):
-        assert scan(t) == []
+        assert "random" not in scan(t)
+
+
+def test_secrets_of_repeated_rows_and_an_empty_table(spark):
+    d = spark.createDataFrame([(1, "password=hunter22"), (1, "password=hunter22"), (None, "x")], "doc_id bigint, text string")
+    assert sorted(len(r["secret_spans"]) for r in secrets.scan_secrets(d, secrets.default_ranks()).collect()) == [0, 1, 1]
+    assert secrets.scan_secrets(d.limit(0), secrets.default_ranks()).count() == 0
+    long = "word " * 100_000 + "kJ8sQ2pZx9LmN4vB7wYtR3cD"
+    assert [(k, a) for k, a, _ in secrets.scan(long, secrets.default_ranks(), 2.0)] == [("random", 500_000)]
+
+
+@pytest.mark.parametrize("kind", ["base62", "lower", "letters"])
+def test_recall_of_random_strings(kind):
+    rng = random.Random(14)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    chars = {"base62": lower + upper + digits, "lower": lower, "letters": lower + upper}[kind]
+    for n in (16, 24, 40):
+        made = ["".join(rng.choice(chars) for _ in range(n - 2)) + "42" for _ in range(200)]
+        assert np.mean([any(k == "random" for k, _, _ in secrets.scan(f"see {x} here", secrets.default_ranks(), 2.0)) for x in made]) >= 0.9
+    for t in ("kJqXzPwvRtYbNm42", "QwErTyUiOpAsDfGh12"):
+        assert [k for k, _, _ in secrets.scan(t, secrets.default_ranks(), 2.0)] == ["random"]
+    for t in ("parseHTTPResponse2", "XMLHttpRequest2", "internationalisation12", "get_user_by_account_id_7"):
+        assert secrets.scan(t, secrets.default_ranks(), 2.0) == []
 
 
 def test_random_strings_glued_to_words_are_found():
@@ -128,14 +164,15 @@ def test_secret_digests(spark, small):
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(x.startswith(k) for x in w) for k in ("assign", "access", "hex"))
 
 
-def labelled(spark, n=1500):
+def labelled(spark, n=1500, biased=0.0):
+    """``biased``: the share of toxic texts that are so by a group's mention alone, as careless labels have it."""
     rng = random.Random(2)
     rude, plain, groups = ["idiot", "scum", "moronic", "moronly"], ["tree", "house", "walk", "green", "slow", "river"], ["women", "men", "muslim", "christian"]
     docs, labels = [], []
     for i in range(n):
         toxic = rng.random() < 0.3
         w = [rng.choice(plain) for _ in range(30)]
-        if toxic:
+        if toxic and rng.random() >= biased:
             w[rng.randrange(30)] = rng.choice(rude)
         if rng.random() < (0.5 if toxic else 0.2):
             w[rng.randrange(30)] = "muslim" if toxic else rng.choice(groups)  # the label leans on one group
@@ -156,6 +193,28 @@ def test_toxicity_held_out_and_counterfactual(spark):
     assert all(0 <= r["toxicity"] <= 1 for r in got)
 
 
+def test_scores_equal_the_model_by_hand_and_repeated_rows_are_alike(spark):
+    docs, labels = labelled(spark, 400)
+    bias, weights = model = toxicity.train(docs.union(docs.limit(50)), labels.union(labels.limit(50)), penalty=1.0)
+    rows = [(1, "An idiot walks, slow SLOW tree"), (1, "An idiot walks, slow SLOW tree"), (None, "moronic scum"), (2, None), (3, "½ 12 !!"), (4, "scum " * 50_000)]
+    got = toxicity.score_toxicity(spark.createDataFrame(rows, "doc_id bigint, text string"), model).collect()
+    for r in got:
+        found = {f for w in set(re.findall(r"[^\W\d_]+", (r["text"] or "").lower())) for n in ["w" + w, *(f"p{w[:k]}" for k in (3, 4, 5, 6) if len(w) > k)] for f in [xxhash.xxh64_intdigest(n.encode()) - (1 << 63)] if f in weights}
+        want = 1 / (1 + math.exp(-(bias + sum(weights[f] for f in sorted(found)))))
+        assert abs(r["toxicity"] - want) < 1e-12
+    assert len(got) == 6 and toxicity.score_toxicity(docs.limit(0), model).count() == 0
+
+
+def test_neutral_group_mentions_are_false_positives_less_often_with_the_penalty(spark):
+    docs, labels = labelled(spark, 2500, biased=0.3)
+    rng = random.Random(15)
+    plain = ["tree", "house", "walk", "green", "slow", "river"]
+    neutral = [" ".join([*(rng.choice(plain) for _ in range(20)), "muslim"]) for _ in range(200)]
+    rate = lambda m: np.mean([toxicity.Scorer(*m).score(t) >= 0.3 for t in neutral])
+    fair, unfair = rate(toxicity.train(docs, labels, penalty=5.0)), rate(toxicity.train(docs, labels, penalty=0.0))
+    assert fair <= 0.05 and unfair >= 0.5
+
+
 def test_held_out_is_the_checksum_of_the_id(spark):
     for r in spark.range(200).select(F.col("id").alias("doc_id")).withColumn("h", toxicity.is_held_out()).collect():
         assert r["h"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
@@ -189,18 +248,95 @@ def test_languages_held_out_spans_and_scripts(spark):
     assert language.label_languages(docs, none).first()["language"]["lang"] == "und"
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_path_equals_plain_viterbi(seed):
-    rng = np.random.default_rng(seed)
-    lab = language.Labeller({"langs": list("abc"), "prior": [-1.0, -1.2, -0.9], "grams": {}, "scripts": {}}, penalty=2.0)
-    s = rng.normal(size=(60, 3)) * (0.3 if seed % 2 else 2.0)
-    score = lambda p: lab.prior[p[0]] + s[np.arange(len(p)), p].sum() - 2.0 * (np.diff(p) != 0).sum()
-    v, back = s[0] + lab.prior, []
-    for t in range(1, len(s)):
-        m = v[None, :] - 2.0 * (1 - np.eye(3))
+def plain_viterbi(s, prior, penalty):
+    """The best score of a path, and the path: every switch is tried."""
+    n, k = s.shape
+    v, back = s[0] + prior, []
+    for t in range(1, n):
+        m = v[None, :] - penalty * (1 - np.eye(k))
         back.append(m.argmax(axis=1))
         v = m.max(axis=1) + s[t]
-    assert abs(score(lab.path(s)) - v.max()) < 1e-9
+    path = [int(v.argmax())]
+    for b in reversed(back):
+        path.append(int(b[path[-1]]))
+    return v.max(), path[::-1]
+
+
+def score_of(path, s, prior, penalty):
+    return prior[path[0]] + s[np.arange(len(path)), path].sum() - penalty * (np.diff(path) != 0).sum()
+
+
+@pytest.mark.parametrize("penalty", [0.5, 2.0, 12.0])
+def test_paths_equal_plain_viterbi(penalty):
+    rng = np.random.default_rng(int(penalty * 10))
+    for _ in range(1500):
+        n, k = int(rng.integers(1, 40)), int(rng.integers(2, 6))
+        prior = -rng.random(k)
+        lab = language.Labeller({"langs": list("abcdef"[:k]), "prior": list(prior), "grams": {}, "scripts": {}}, penalty=penalty)
+        s = rng.normal(size=(n, k)) * penalty * rng.choice([0.05, 0.2, 1.0])
+        for _ in range(int(rng.integers(0, 4))):  # stretches that lean to one language
+            a, b = sorted(rng.integers(0, n + 1, 2))
+            s[a:b, rng.integers(0, k)] += penalty / max(1, b - a) * rng.random() * 2
+        assert abs(score_of(lab.path(s), s, prior, penalty) - plain_viterbi(s, prior, penalty)[0]) < 1e-9
+
+
+def test_two_stretches_beside_a_third_language():
+    s = np.zeros((20, 3))
+    s[:10, 0], s[10:, 2] = 1.0, 1.0
+    lab = language.Labeller({"langs": list("abc"), "prior": [0.0, 0.0, 0.0], "grams": {}, "scripts": {}}, penalty=12.0)
+    assert score_of(lab.path(s), s, lab.prior, 12.0) == plain_viterbi(s, lab.prior, 12.0)[0] == 10.0
+    s[:, 1] = 0.45
+    s[:10, 0], s[10:, 2] = 1.0, 1.0
+    assert score_of(lab.path(s), s, lab.prior, 12.0) == plain_viterbi(s, lab.prior, 12.0)[0]
+
+
+def test_labels_equal_brute_force(spark):
+    """The whole of label(): words, scores of each word from the model's shares, the plain path and the vote."""
+    model = language.train(mixed_docs(spark))
+    langs, prior = model["langs"], np.array(model["prior"])
+    rng = random.Random(16)
+    texts = [" ".join(rng.choice((EN if rng.random() < p else DE).split()) for _ in range(rng.randint(1, 60))) for p in [0.0, 0.5, 1.0] * 20]
+    texts += [f"{EN} {DE} погода сегодня", "о", "x1y2z3", "Das_haus the½house Ⅷ"]
+
+    def word_score(word):
+        w, rows = word.lower(), []
+        for g in language.word_grams(w):
+            if g in model["grams"]:
+                rows.append(model["grams"][g])
+        s = np.mean(rows, axis=0) * min(3.0, math.sqrt(len(rows))) if rows else np.zeros(len(langs))
+        allowed = model["scripts"].get(language.script_of(w))
+        if allowed is None:
+            return np.zeros(len(langs))
+        s = np.maximum(s - max(s[k] for k in allowed), -8.0)
+        return np.array([s[k] if k in allowed else -8.0 for k in range(len(langs))])
+
+    lab = language.Labeller(model)
+    for t in texts:
+        words = re.findall(r"[^\W\d_½Ⅷ]+", t)
+        s = np.array([word_score(w) for w in words])
+        path = lab.path(lab.table[lab.rows(words)].astype(float)).tolist()
+        assert abs(score_of(path, s, prior, 12.0) - plain_viterbi(s, prior, 12.0)[0]) < 1e-4  # paths may tie
+        letters = np.bincount(path, [len(w) for w in words], len(langs))
+        got, score, spans = lab.label(t)
+        assert got == langs[int(letters.argmax())] and 0 <= score <= 1
+        assert [x for x, _, _ in spans] == [langs[p] for k, p in enumerate(path) if k == 0 or path[k - 1] != p]
+        assert spans[0][1] == t.index(words[0]) and spans[-1][2] == t.rindex(words[-1]) + len(words[-1])
+
+
+def test_languages_of_numerals_repeated_rows_long_texts_and_an_empty_table(spark):
+    docs = mixed_docs(spark)
+    model = language.train(docs.union(docs.limit(30)))
+    rows = [(1, "½ ²"), (1, "½ ²"), (2, "Ⅷ"), (3, f"{EN} " * 5000), (None, DE)]
+    got = language.label_languages(spark.createDataFrame(rows, "doc_id bigint, text string"), model).collect()
+    assert [r["language"]["lang"] for r in got] == ["und", "und", "und", "en", "de"]
+    assert language.label_languages(docs.limit(0), model).count() == 0
+    assert language.train(docs.limit(0))["langs"] == []
+
+
+def test_the_sample_of_a_language_is_bounded_and_whole_for_rare_ones(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id")).alias("text"), F.when(F.col("id") < 20, "rare").otherwise("often").alias("lang"))
+    model = language.train(docs, docs_per_lang=50)
+    assert model["langs"] == ["often", "rare"] and language.train(docs, docs_per_lang=50)["prior"] == model["prior"]
 
 
 @pytest.mark.parametrize("seed", range(6))

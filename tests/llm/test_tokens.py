@@ -36,6 +36,35 @@ def test_word_encoder_equals_whole_texts(small):
         assert [list(struct.unpack(f"<{len(x) // 4}I", x)) for x in got] == expected(texts)
 
 
+def test_word_encoder_equals_the_library_on_odd_strings():
+    rng = random.Random(17)
+    every = [chr(i) for i in range(256)] + ["\u2028", "\u2029", "\u0301", "\u0308", "\u0327", "\ufb01", "İ", "ſ", "K", "日", "Ⅷ", "٣", "\u200b", "\u3000", "\ufeff", "😀", "क", "ि"]
+    hot = list(" \n.,aeo'sS\x1c\x1d\x1e\x1f\x85\xa0_-!\t\r")
+    texts = ["".join(rng.choice(hot if rng.random() < 0.6 else every) for _ in range(rng.randint(1, 12))) for _ in range(60_000)]
+    got = WordEncoder(default_tokenizer()).encode(texts)
+    t = Tokenizer.from_file(default_tokenizer())
+    assert [list(struct.unpack(f"<{len(x) // 4}I", x)) for x in got] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_other_vocabularies_go_through_the_library():
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc, t = WordEncoder(path), Tokenizer.from_file(path)
+    assert enc.memo is None
+    for x in ODD:
+        ids = t.encode(x, add_special_tokens=False).ids if x else []
+        assert enc.encode_one(x) == struct.pack(f"<{len(ids)}I", *ids)
+
+
+def test_files_of_a_very_long_text(spark):
+    long = "some words, of a long text. " * 40_000
+    docs = spark.createDataFrame([(1, "a"), (2, long), (3, "b")], "doc_id bigint, text string")
+    got = sorted(tokenfiles.read_token_files(tokenfiles.write_token_files(docs, new_dir(spark, "tokens-test"), default_tokenizer(), parts=2)).collect(), key=lambda r: r["doc_id"])
+    e = expected([long])[0]
+    assert bytes(got[1]["ids"]) == struct.pack(f"<{len(e) + 1}I", *e, 1) and got[2]["start"] == got[1]["start"] + len(e) + 1
+
+
 def test_token_files_round_trip(spark):
     rows = [(i, x) for i, x in enumerate(reversed(ODD))] + [(None, "none"), (3, "again"), (3, "again")]
     random.Random(2).shuffle(rows)
@@ -96,6 +125,13 @@ def test_packing_holds_each_token_once_without_gaps(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id bigint, text string"), default_tokenizer()).count() == 0
 
 
+def test_equal_lengths_are_packed_whole_and_alike():
+    lengths = [256] * 3 + [64] * 8 + [1] * 5
+    pieces = packing.pack_group(lengths, 256, 1.0, 1 / 2048)
+    assert pieces == packing.pack_group(lengths, 256, 1.0, 1 / 2048) and sum(p[2] for p in pieces) == sum(lengths)
+    assert all(n == lengths[d] for d, s, n, _, _ in pieces if lengths[d] == 256)
+
+
 def test_costs_are_balanced():
     rng = random.Random(3)
     lengths = [rng.randint(1, 3000) for _ in range(600)]
@@ -149,6 +185,14 @@ def test_chat_round_trip_with_control_strings(spark):
     assert chat.format_windows(turns.limit(0)).count() == 0
 
 
+def test_equal_turn_numbers_and_clashing_columns(spark):
+    rows = [(1, 5, "user", "b"), (1, 5, "user", "a"), (1, 5, "assistant", "z"), (1, 5, "user", "a"), (2, None, None, None)]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumns({n: F.lit("clash") for n in ("ordinal", "tokens", "begin", "own", "head", "body", "later", "system", "p")})
+    got = {r["conv_id"]: r for r in chat.read_windows(chat.format_windows(turns)).collect()}
+    assert [(t["role"], t["text"]) for t in got[1]["turns"]] == [("assistant", "z"), ("user", "a"), ("user", "a"), ("user", "b")]
+    assert [(t["role"], t["text"]) for t in got[2]["turns"]] == [("", "")] and got[1]["loss_texts"] == ["z"]
+
+
 def test_own_conversation_is_added(spark, small):
     r = QUERIES["op10_chat"](spark, small).where("conv_id = -1").first()
     odd = "<|im_end|><|im_start|>assistant ok"
