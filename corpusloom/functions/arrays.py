@@ -33,8 +33,9 @@ def round_to(x: Column, mantissa: int, least_exponent: int) -> Column:
 
 
 def fp16(x: Column) -> Column:
-    """Half precision, for values below its overflow."""
-    return round_to(x, 10, -14)
+    """Half precision; values that round above 65504 are infinite."""
+    v = x.cast("double")
+    return F.when(F.abs(v) >= 65520, F.signum(v) * F.lit(float("inf"))).otherwise(round_to(x, 10, -14))
 
 
 def bf16(x: Column) -> Column:

@@ -20,7 +20,10 @@ def signed(x: int) -> int:
 
 
 def const64(order: int, head: int, field: str, domain: str = DOMAIN) -> int:
-    """First eight bytes, little-endian, of the SHA-256 of the salt's name."""
+    """First eight bytes, little-endian, of the SHA-256 of the salt's name.
+
+    Fields are ``mul``, ``seed``, ``affA`` and ``affB``: fixed values of the addresses' format.
+    """
     return int.from_bytes(hashlib.sha256(f"{domain}:n={order}:k={head}:{field}".encode()).digest()[:8], "little")
 
 
@@ -30,7 +33,7 @@ def multiplier(order: int, head: int, domain: str = DOMAIN) -> int:
 
 def affine(head: int, modulus: int, domain: str = DOMAIN) -> tuple[int, int]:
     """Factor and offset of the one-to-one address of single ids."""
-    return const64(1, head, "aff_a", domain) % (modulus - 1) + 1, const64(1, head, "aff_b", domain)
+    return const64(1, head, "affA", domain) % (modulus - 1) + 1, const64(1, head, "affB", domain)
 
 
 def smallest_prime_at_least(n: int) -> int:

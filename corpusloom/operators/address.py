@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions.hashing import DOMAIN, GOLD, affine, const64, mul64, multiplier, signed, umod
+from corpusloom.runtime import merge_join, small_join
 
 
 def canon_map(vocab: DataFrame, canon: Column) -> DataFrame:
@@ -31,9 +32,9 @@ def canon_sha256(canon: DataFrame) -> DataFrame:
 
 
 def apply_canon(rows: DataFrame, canon: DataFrame, token: str) -> DataFrame:
-    """``rows`` with ``canon_id`` of their token; the map is a bounded vocabulary and is broadcast."""
-    m = F.broadcast(canon.select(F.col("token_id").alias("__t"), "canon_id"))
-    return rows.join(m, F.col(token) == F.col("__t"), "left").drop("__t")
+    """``rows`` with ``canon_id`` of their token; the map is broadcast if it is small."""
+    m = canon.select(F.col("token_id").alias("__t"), "canon_id")
+    return small_join(rows, m, F.col(token) == F.col("__t"), "left").drop("__t")
 
 
 def unigram_address(canon_id: Column, head: int, modulus: int, domain: str = DOMAIN) -> Column:
@@ -42,17 +43,15 @@ def unigram_address(canon_id: Column, head: int, modulus: int, domain: str = DOM
     return F.pmod(F.lit(a).cast("long") * canon_id + F.lit(b % modulus), F.lit(modulus).cast("long"))
 
 
-def windowed(tokens: DataFrame, length: int, orders: int) -> DataFrame:
-    """Positions with the ids before them (c1, c2, ... back): 0 where the window of ``length`` begins later.
+def windowed(windows: DataFrame, orders: int) -> DataFrame:
+    """(shard_id, window_id, pos, c0, c1, ...): positions of ``windows`` (tokens as canonical ids) with the
+    ids before them, 0 where the window begins later.
 
-    ``tokens`` has window keys (shard_id, window_id), pos within the window and canon_id. Contexts
-    are those of windows; document ends are not looked at.
+    Contexts are taken by place from the window's own array; document ends are not looked at.
     """
-    order = Window.partitionBy("shard_id", "window_id").orderBy("pos")
-    d = tokens.withColumn("c0", F.col("canon_id"))
-    for k in range(1, orders):
-        d = d.withColumn(f"c{k}", F.coalesce(F.lag("canon_id", k).over(order), F.lit(0)))
-    return d
+    back = [F.col("tokens") if k == 0 else F.slice(F.concat(F.array_repeat(F.lit(0).cast("bigint"), k), F.col("tokens")), F.lit(1), F.size("tokens")) for k in range(orders)]
+    z = F.arrays_zip(*[x.alias(f"c{k}") for k, x in enumerate(back)])
+    return windows.select("shard_id", "window_id", F.posexplode(z).alias("pos", "z")).select("shard_id", "window_id", "pos", "z.*")
 
 
 def ngram_address(ids: list[Column], order: int, head: int, modulus: int, domain: str = DOMAIN) -> Column:
@@ -70,19 +69,33 @@ def valid(pos: Column, order: int) -> Column:
     return pos >= order - 1
 
 
-def address_batch(tokens: DataFrame, length: int, moduli: dict[tuple[int, int], int], domain: str = DOMAIN) -> DataFrame:
-    """(shard_id, window_id, pos, addresses): an array of (order, head, row_id, valid) for each position."""
-    d = windowed(tokens, length, max(o for o, _ in moduli))
+def address_batch(windows: DataFrame, moduli: dict[tuple[int, int], int], domain: str = DOMAIN) -> DataFrame:
+    """(shard_id, window_id, pos, c0, c1, ..., addresses): an array of (order, head, row_id, valid) for each position.
+
+    Each step of the hash is a column of its own projection, which compiles; the fold does not.
+    """
+    orders = max(o for o, _ in moduli)
+    d = windowed(windows, orders)
+    many = sorted((o, h) for o, h in moduli if o > 1)
+    d = d.withColumns({f"__s_{o}_{h}": F.lit(signed(const64(o, h, "seed", domain))).cast("long") for o, h in many})
+    for k in range(orders - 1, -1, -1):
+        now = [(o, h) for o, h in many if o > k]
+        d = d.withColumns({f"__x_{o}_{h}": F.col(f"__s_{o}_{h}").bitwiseXOR(F.col(f"c{k}") + F.lit(signed(GOLD))) for o, h in now})
+        d = d.withColumns({f"__s_{o}_{h}": mul64(F.col(f"__x_{o}_{h}"), multiplier(o, h, domain)) for o, h in now})
     rows = []
     for (order, head), m in sorted(moduli.items()):
-        ids = [F.col(f"c{k}") for k in range(order - 1, -1, -1)]
-        row = unigram_address(ids[0], head, m, domain) if order == 1 else ngram_address(ids, order, head, m, domain)
+        row = unigram_address(F.col("c0"), head, m, domain) if order == 1 else umod(F.col(f"__s_{order}_{head}"), m)
         rows.append(F.struct(F.lit(order).alias("order"), F.lit(head).alias("head"), row.alias("row_id"), valid(F.col("pos"), order).alias("valid")))
-    return d.select("shard_id", "window_id", "pos", F.array(*rows).alias("addresses"))
+    return d.select("shard_id", "window_id", "pos", *[f"c{k}" for k in range(orders)], F.array(*rows).alias("addresses"))
 
 
 def long_addresses(batch: DataFrame) -> DataFrame:
-    return batch.select("shard_id", "window_id", "pos", F.explode("addresses").alias("a")).select("shard_id", "window_id", "pos", "a.*")
+    """A row for each address of a batch, with the other columns of its position.
+
+    From a plain explode the optimiser makes a filter and writes the whole hash into it, step in step.
+    """
+    rest = [n for n in batch.columns if n != "addresses"]
+    return batch.select(*rest, F.explode_outer("addresses").alias("a")).select(*rest, "a.*")
 
 
 def unique_inverse(addresses: DataFrame, batch_key: list[str]) -> DataFrame:
@@ -93,7 +106,7 @@ def unique_inverse(addresses: DataFrame, batch_key: list[str]) -> DataFrame:
     keys = [*batch_key, "order", "head"]
     uniq = addresses.select(*keys, "row_id").distinct()
     uniq = uniq.withColumn("inverse", (F.row_number().over(Window.partitionBy(*keys).orderBy("row_id")) - 1).cast("bigint"))
-    return addresses.join(uniq, [*keys, "row_id"])
+    return merge_join(addresses, uniq, [*keys, "row_id"])
 
 
 def touch_counts(addresses: DataFrame, batch_key: list[str]) -> DataFrame:

@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.arrays import asum, bf16
+from corpusloom.runtime import merge_join
 
 KEY = ["order", "head", "row_id"]
 
 
 def gather_rows(addresses: DataFrame, memory: DataFrame) -> DataFrame:
     """Addresses with their row's ``vec``; each distinct row is looked up once, missing rows are null."""
-    rows = addresses.select(*KEY).distinct().join(memory, KEY)
-    return addresses.join(rows, KEY, "left")
+    rows = merge_join(addresses.select(*KEY).distinct(), memory, KEY)
+    return merge_join(addresses, rows, KEY, "left")
 
 
 def memory_features(gathered: DataFrame, place: list[str], eps: float = 1e-6) -> DataFrame:
@@ -35,7 +36,7 @@ def sparse_upsert(base: DataFrame, updates: DataFrame, key: list[str] = KEY) ->
     """Base rows plus their update, rounded as stored; rows without one stay as they are, bit by bit."""
     u = updates.select(*key, F.col("vec").alias("__u"))
     new = F.zip_with("vec", "__u", lambda a, b: bf16(a.cast("double") + b.cast("double")).cast("float"))
-    return base.join(u, key, "left").withColumn("vec", F.when(F.col("__u").isNull(), F.col("vec")).otherwise(new)).drop("__u")
+    return merge_join(base, u, key, "left").withColumn("vec", F.when(F.col("__u").isNull(), F.col("vec")).otherwise(new)).drop("__u")
 
 
 def accumulate_apply(base: DataFrame, fragments: DataFrame, key: list[str] = KEY) -> DataFrame:
@@ -45,14 +46,25 @@ def accumulate_apply(base: DataFrame, fragments: DataFrame, key: list[str] = KEY
 
 def rounding_loss(base: DataFrame, updates: DataFrame, key: list[str] = KEY) -> DataFrame:
     """(elements, lost, share): of updated elements, how many a rounded sum leaves as they were."""
-    j = base.join(updates.select(*key, F.col("vec").alias("__u")), key)
+    j = merge_join(base, updates.select(*key, F.col("vec").alias("__u")), key)
     pairs = F.zip_with("vec", "__u", lambda a, b: F.when(b != 0, (bf16(bf16(a) + b.cast("double")) == bf16(a)).cast("int")))
     d = j.select(F.explode(pairs).alias("same")).where("same IS NOT NULL")
     return d.agg(F.count(F.lit(1)).alias("elements"), F.coalesce(F.sum("same"), F.lit(0)).alias("lost")).withColumn("share", F.when(F.col("elements") > 0, F.col("lost") / F.col("elements")).otherwise(F.lit(0.0)))
 
 
-def guarded(rows: DataFrame, have: DataFrame, want: DataFrame, key: str) -> DataFrame:
-    """``rows`` only if the one-row manifests ``have`` and ``want`` agree on ``key``; else the job fails."""
-    ok = have.select(F.col(key).alias("__h")).join(want.select(F.col(key).alias("__w")), F.col("__h").eqNullSafe(F.col("__w"))).limit(1).count()
-    said = F.raise_error(F.lit(f"manifests differ in {key}; rows are not loaded")).cast("boolean")
-    return rows if ok else rows.where(said)
+def same_version(have: DataFrame, want: DataFrame, keys: list[str]) -> bool:
+    """Whether the one-row manifests ``have`` and ``want`` agree on all ``keys`` (checksum, shape, ...)."""
+    a, b = (x.select(*keys).limit(2).collect() for x in (have, want))
+    return len(a) == len(b) == 1 and a[0] == b[0]
+
+
+def guarded(rows: DataFrame, have: DataFrame, want: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` only if the manifests agree on ``keys``; else the job fails."""
+    said = F.raise_error(F.lit(f"manifests differ in {', '.join(keys)}; rows are not loaded")).cast("boolean")
+    return rows if same_version(have, want, keys) else rows.where(said)
+
+
+def table_shape(memory: DataFrame) -> DataFrame:
+    """(tables, rows, dims): number of tables and rows, and widths of the vectors, as a manifest holds them."""
+    one = memory.agg(F.countDistinct("order", "head").alias("tables"), F.count(F.lit(1)).alias("rows"), F.sort_array(F.collect_set(F.size("vec"))).alias("dims"))
+    return one.select("tables", "rows", F.array_join("dims", ",").alias("dims"))

@@ -6,31 +6,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.operators.pack import ema_fold
+from corpusloom.operators.prefix import ordered_sums
+from corpusloom.runtime import merge_join
 
-def kd_loss(teacher: DataFrame, student: DataFrame, alpha: float) -> DataFrame:
+
+def kd_loss(teacher: DataFrame, student: DataFrame, alpha: float, temperature: float = 1.0) -> DataFrame:
     """(positions, loss): mean over unmasked positions of alpha * KD + (1 - alpha) * CE.
 
-    ``teacher``: pos_id, topk_idx, topk_w, tail_w, gold, loss_mask; ``student``: pos_id, token, logprob
-    with a row for each listed candidate and the gold token. KD lumps what is outside the candidates:
-    -sum w log p - tail * log(max(1 - sum p, 1e-12)). Without unmasked positions the loss is 0.
+    ``teacher``: pos_id, topk_idx, topk_w, tail_w, gold, loss_mask, and ``n`` if a row stands for so many
+    equal positions; ``student``: pos_id, token, logprob with a row for each listed candidate and the
+    gold token. KD lumps what is outside the candidates: -sum w log p - tail * log(max(1 - sum p, 1e-12)).
+    Another ``temperature`` than 1 needs a row for every token: log probabilities are divided by it
+    and normalised anew. Without unmasked positions the loss is 0.
     """
     t = teacher.where("loss_mask = 1")
+    t = t if "n" in t.columns else t.withColumn("n", F.lit(1))
+    if temperature != 1.0:
+        d = student.withColumn("z", F.col("logprob") / temperature)
+        norm = d.groupBy("pos_id").agg(F.log(F.sum(F.exp("z"))).alias("norm"))
+        student = merge_join(d, norm, "pos_id").select("pos_id", "token", (F.col("z") - F.col("norm")).alias("logprob"))
     long = t.select("pos_id", F.explode(F.arrays_zip("topk_idx", "topk_w")).alias("z")).select("pos_id", F.col("z.topk_idx").alias("token"), F.col("z.topk_w").alias("w"))
-    per = long.join(student, ["pos_id", "token"]).groupBy("pos_id").agg(F.sum(-F.col("w") * F.col("logprob")).alias("head"), F.sum(F.exp("logprob")).alias("p"))
-    gold = t.select("pos_id", F.col("gold").alias("token"), "tail_w").join(student, ["pos_id", "token"]).select("pos_id", "tail_w", (-F.col("logprob")).alias("ce"))
+    per = merge_join(long, student, ["pos_id", "token"]).groupBy("pos_id").agg(F.sum(-F.col("w") * F.col("logprob")).alias("head"), F.sum(F.exp("logprob")).alias("p"))
+    gold = merge_join(t.select("pos_id", F.col("gold").alias("token"), "tail_w", "n"), student, ["pos_id", "token"]).select("pos_id", "tail_w", "n", (-F.col("logprob")).alias("ce"))
     kd = F.col("head") - F.col("tail_w") * F.log(F.greatest(1 - F.col("p"), F.lit(1e-12)))
-    d = per.join(gold, "pos_id").select((alpha * kd + (1 - alpha) * F.col("ce")).alias("x"))
-    return d.agg(F.count(F.lit(1)).alias("positions"), (F.coalesce(F.sum("x"), F.lit(0.0)) / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("loss"))
+    d = merge_join(per, gold, "pos_id").select("n", (alpha * kd + (1 - alpha) * F.col("ce")).alias("x"))
+    n = F.coalesce(F.sum("n"), F.lit(0)).cast("bigint")
+    return d.agg(n.alias("positions"), (F.coalesce(F.sum(F.col("n") * F.col("x")), F.lit(0.0)) / F.greatest(n, F.lit(1))).alias("loss"))
 
 
 def perplexity(nll: DataFrame, by: list[str]) -> DataFrame:
-    """exp of the mean of ``nll`` over groups; groups without rows do not appear."""
-    return nll.groupBy(*by).agg(F.count("nll").alias("n"), F.exp(F.sum("nll") / F.greatest(F.count("nll"), F.lit(1))).alias("perplexity"))
+    """exp of the mean of ``nll`` over groups, weighted by ``n`` if there is one; groups without rows do not appear."""
+    n = F.when(F.col("nll").isNotNull(), F.col("n") if "n" in nll.columns else F.lit(1))
+    return nll.groupBy(*by).agg(F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias("n"), F.exp(F.sum(F.col("nll") * n) / F.greatest(F.sum(n), F.lit(1))).alias("perplexity"))
 
 
 def gold_ce_band(nll: DataFrame, doc: str, vocab: int) -> DataFrame:
     """(docs, ce, in_band): the mean over documents of their mean loss, and if it is below 0.75 ln V."""
-    per = nll.groupBy(doc).agg(F.avg("nll").alias("m"))
+    n = F.col("n") if "n" in nll.columns else F.lit(1)
+    per = nll.groupBy(doc).agg((F.sum(F.col("nll") * n) / F.sum(n)).alias("m"))
     one = per.agg(F.count(F.lit(1)).alias("docs"), F.avg("m").alias("ce"))
     return one.withColumn("in_band", F.col("ce") < 0.75 * F.log(F.lit(float(vocab))))
 
@@ -40,8 +54,8 @@ def kl_divergence(student: DataFrame, teacher: DataFrame, weights: DataFrame) ->
 
     Both hold full distributions (ctx, token, p) of one support; ``weights`` (ctx, n) counts positions.
     """
-    j = student.select("ctx", "token", F.col("p").alias("ps")).join(teacher.select("ctx", "token", F.col("p").alias("pd")), ["ctx", "token"])
-    per = j.groupBy("ctx").agg(F.sum(F.col("ps") * (F.log("ps") - F.log("pd"))).alias("kl")).join(weights, "ctx")
+    j = merge_join(student.select("ctx", "token", F.col("p").alias("ps")), teacher.select("ctx", "token", F.col("p").alias("pd")), ["ctx", "token"])
+    per = merge_join(j.groupBy("ctx").agg(F.sum(F.col("ps") * (F.log("ps") - F.log("pd"))).alias("kl")), weights, "ctx")
     return per.agg(F.sum("n").alias("positions"), (F.sum(F.col("kl") * F.col("n")) / F.greatest(F.sum("n"), F.lit(1))).alias("kl"))
 
 
@@ -89,7 +103,21 @@ def interval_rate(rows: DataFrame, key: str, ts: Column, order: list[str], amoun
     return d.withColumn("rate", F.when(F.col("__d").isNotNull(), amount / F.greatest(F.col("__d"), F.lit(1e-6)))).drop("__t", "__d")
 
 
+def step_progress(rows: DataFrame, run: str, step: str, steps: str, seconds: str, reseed: bool = False, decay: float = 0.9) -> DataFrame:
+    """``rows`` with ``percent`` done, ``seconds_ema`` and ``eta``: the seconds that the steps left will take.
+
+    The moving average begins with the run's first value, or with the second if ``reseed`` (a first step
+    that compiles tells nothing). It is folded over the last 400 rows, beyond which weights vanish.
+    """
+    w = Window.partitionBy(run).orderBy(step)
+    d = rows.withColumns({"__r": F.row_number().over(w), "__x": F.collect_list(F.col(seconds).cast("double")).over(w.rowsBetween(-400, Window.currentRow))})
+    late = F.expr("slice(__x, 2, size(__x) - 1)")
+    values = F.when((F.col("__r") > 1) & (F.col("__r") <= 401), late).otherwise(F.col("__x")) if reseed else F.col("__x")
+    d = d.withColumns({"percent": 100.0 * F.col(step) / F.col(steps), "seconds_ema": ema_fold(values, decay)})
+    return d.withColumn("eta", F.greatest(F.col(steps) - F.col(step), F.lit(0)) * F.col("seconds_ema")).drop("__r", "__x")
+
+
 def running_totals(per_step: DataFrame, run: str, step: str, columns: list[str]) -> DataFrame:
-    """Running sums over a run's steps, of rows already summed by step."""
-    w = Window.partitionBy(run).orderBy(step).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return per_step.withColumns({f"total_{c}": F.sum(c).over(w) for c in columns})
+    """Running sums over a run's steps, of rows already summed by step; a run of any length takes many tasks."""
+    d = ordered_sums(per_step, [run], [step], columns, rank="__rank")
+    return d.select(*per_step.columns, *[(F.col(f"{c}_before") + F.col(c)).alias(f"total_{c}") for c in columns])

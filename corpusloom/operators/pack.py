@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.operators.prefix import ordered_sums
+from corpusloom.runtime import merge_join, small_join
+
 
 def shift_chunks(bulk: DataFrame) -> DataFrame:
     """Bulk positions (predicting the token itself) to shard positions (predicting the next).
@@ -22,40 +25,39 @@ def shift_chunks(bulk: DataFrame) -> DataFrame:
 
 
 def number_docs(docs: DataFrame, length: Column) -> DataFrame:
-    """``docs`` with ``local_doc`` (dense from 0), ``len`` and ``offset`` (exclusive sum) within the shard.
+    """(shard_id, doc_id, local_doc, len, offset): dense numbers from 0 and exclusive sums within the shard.
 
-    Windows run over one small row for each document; a shard bounds a window's task.
+    One small row for each document is dealt by ranges, so a shard of any size takes many tasks.
     """
-    d = docs.withColumn("len", length.cast("bigint"))
-    order = Window.partitionBy("shard_id").orderBy("doc_id")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    return d.withColumns({"local_doc": (F.row_number().over(order) - 1).cast("bigint"), "offset": F.coalesce(F.sum("len").over(before), F.lit(0)).cast("bigint")})
+    d = docs.select("shard_id", "doc_id", length.cast("bigint").alias("len"))
+    n = ordered_sums(d, ["shard_id"], ["doc_id", "len"], ["len"], rank="local_doc")
+    return n.select("shard_id", "doc_id", "local_doc", "len", F.col("len_before").alias("offset"))
 
 
 def doc_offsets(docs: DataFrame) -> DataFrame:
-    return number_docs(docs.select("shard_id", "doc_id", F.size("tokens").alias("__len")), F.col("__len")).drop("__len")
+    return number_docs(docs, F.size("tokens"))
 
 
-def pack_windows(docs: DataFrame, length: int) -> DataFrame:
+def pack_windows(docs: DataFrame, length: int, partial: bool = False) -> DataFrame:
     """(shard_id, window_id, tokens, doc_ids, loss_mask): full windows of ``length`` over each shard.
 
     Only the offsets of documents are numbered in order; each document is then cut into the windows it
     overlaps, so that whole segments are shuffled, by (shard, window). The last, partial window of a
-    shard goes. The mask is off at the end of a document and of a window.
+    shard goes unless ``partial``. The mask is off at the end of a document and of a window.
     """
     off = doc_offsets(docs).select("shard_id", "doc_id", "local_doc", "offset")
-    d = docs.select("shard_id", "doc_id", "tokens").join(off, ["shard_id", "doc_id"]).where(F.size("tokens") > 0)
+    d = merge_join(docs.select("shard_id", "doc_id", "tokens"), off, ["shard_id", "doc_id"]).where(F.size("tokens") > 0)
     first, last = F.expr(f"offset div {length}"), F.expr(f"(offset + size(tokens) - 1) div {length}")
     s = d.withColumn("window_id", F.explode(F.sequence(first, last)))
     begin = F.greatest(F.lit(0), F.col("window_id") * length - F.col("offset"))
     end = F.least(F.size("tokens"), (F.col("window_id") + 1) * length - F.col("offset"))
-    s = s.withColumns({"b": begin.cast("int"), "e": end.cast("int")})
-    at = F.sequence(F.col("b"), F.col("e") - 1)
-    on = F.transform(at, lambda i: ((i < F.size("tokens") - 1) & ((F.col("offset") + i + 1) % length != 0)).cast("tinyint"))
-    seg = F.struct((F.col("offset") + F.col("b")).alias("at"), F.slice("tokens", F.col("b") + 1, F.col("e") - F.col("b")).alias("tokens"), F.transform(at, lambda _: F.col("local_doc")).alias("doc"), on.alias("mask"))
+    s = s.select("shard_id", "window_id", "local_doc", (F.col("offset") + begin).alias("at"), F.slice("tokens", (begin + 1).cast("int"), (end - begin).cast("int")).alias("tokens"))
+    # every overlap ends with a document's or a window's end: its last position is off
+    on = F.concat(F.array_repeat(F.lit(1).cast("tinyint"), F.size("tokens") - 1), F.array(F.lit(0).cast("tinyint")))
+    seg = F.struct("at", "tokens", F.array_repeat("local_doc", F.size("tokens")).alias("doc"), on.alias("mask"))
     g = s.groupBy("shard_id", "window_id").agg(F.sort_array(F.collect_list(seg)).alias("seg"))
     g = g.select("shard_id", "window_id", F.flatten("seg.tokens").alias("tokens"), F.flatten("seg.doc").alias("doc_ids"), F.flatten("seg.mask").alias("loss_mask"))
-    return g.where(F.size("tokens") == length)
+    return g if partial else g.where(F.size("tokens") == length)
 
 
 def boundary_mask(docs: DataFrame, length: int) -> DataFrame:
@@ -70,14 +72,14 @@ def boundary_mask(docs: DataFrame, length: int) -> DataFrame:
     lo, hi = F.greatest("offset", F.col("window_id") * length), F.least(F.col("offset") + F.col("len"), (F.col("window_id") + 1) * length)
     # every overlap ends with a document's or a window's end: one position of it is off
     g = d.groupBy("shard_id", "window_id").agg(F.sum(hi - lo - 1).alias("loss_tokens"))
-    full = g.join(total, "shard_id").where((F.col("window_id") + 1) * length <= F.col("total"))
+    full = merge_join(g, total, "shard_id").where((F.col("window_id") + 1) * length <= F.col("total"))
     return full.select("shard_id", "window_id", F.col("loss_tokens").cast("bigint").alias("loss_tokens"))
 
 
 def shuffle_windows(windows: DataFrame, seed: int) -> DataFrame:
     """``windows`` (shard_id, window_id) with ``place``: a seeded order within each shard, the same every time."""
-    order = Window.partitionBy("shard_id").orderBy(F.xxhash64(F.lit(seed), "shard_id", "window_id"), "window_id")
-    return windows.withColumn("place", (F.row_number().over(order) - 1).cast("bigint"))
+    key = F.md5(F.concat_ws("|", F.lit(seed), "shard_id", "window_id"))
+    return ordered_sums(windows, ["shard_id"], [key, "window_id"], rank="place")
 
 
 def assign_steps(windows: DataFrame, batch: int, accum: int) -> DataFrame:
@@ -89,7 +91,7 @@ def assign_steps(windows: DataFrame, batch: int, accum: int) -> DataFrame:
     before = Window.orderBy("shard_id").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select("shard_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     per = batch * accum
-    d = windows.join(base, "shard_id").withColumn("idx", (F.col("base") + F.col("place")).cast("bigint")).drop("base")
+    d = small_join(windows, base, "shard_id").withColumn("idx", (F.col("base") + F.col("place")).cast("bigint")).drop("base")
     return d.withColumns({"step": F.expr(f"idx div {per}"), "micro": F.expr(f"(idx % {per}) div {batch}")})
 
 
@@ -105,7 +107,13 @@ def ema_fold(values: Column, decay: float = 0.9) -> Column:
     return F.aggregate(F.slice(values, 2, F.greatest(F.size(values), F.lit(1))), first, lambda e, x: decay * e + (1 - decay) * x.cast("double"))
 
 
-def ema_by_key(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    """(key, n, ema) over each key's rows in order; a key's values are held together."""
-    g = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(value).alias("x")))).alias("r"))
-    return g.select(key, F.size("r").cast("bigint").alias("n"), ema_fold(F.col("r.x")).alias("ema"))
+def ema_by_key(rows: DataFrame, key: str, order: list[str], value: str, decay: float = 0.9) -> DataFrame:
+    """(key, n, ema): the moving average over each key's rows in order, which begins with the first.
+
+    The average is a sum of values with weights that depend on their ranks alone, so keys of any size
+    are ranked by ranges and summed in parts.
+    """
+    d = ordered_sums(rows.select(key, *order, F.col(value).cast("double").alias("x")), [key], [*order, "x"], rank="r")
+    n = merge_join(d, d.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("n")), F.col(key).eqNullSafe(F.col("__key")))
+    weight = F.when(F.col("r") == 0, 1.0).otherwise(1 - decay) * F.pow(F.lit(decay), F.col("n") - 1 - F.col("r"))
+    return n.groupBy(key).agg(F.first("n").alias("n"), F.sum(F.col("x") * weight).alias("ema"))

@@ -16,7 +16,8 @@ def ordered_sums(rows: DataFrame, groups: list[str], order: list, sums: list[str
     No task holds a group: rows are dealt by ranges of (groups, order), each range is summed, the sums
     of ranges before are taken over one row for each range and group, and ranks within a range are
     added. The dealt rows are written once, so that a lost executor cannot deal them anew. Rows that
-    tie in ``order`` share a range; put a tie breaker last. ``rows`` should hold keys and numbers only.
+    tie in ``order`` share a range; put a tie breaker last. ``rows`` should hold keys and numbers only;
+    ``sums`` are whole numbers.
     """
     spark = rows.sparkSession
     n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions.arrays import dot, fp16, tail_mass
+from corpusloom.runtime import merge_join, small_join
 from corpusloom.schemas import SHARD
 
 
@@ -37,45 +39,61 @@ def bigram_teacher(docs: DataFrame, k: int) -> DataFrame:
     Counts are partially aggregated before the shuffle; the rows are bounded by the vocabulary.
     """
     counts = bigram_counts(docs)
-    total = counts.groupBy("ctx").agg(F.sum("n").alias("total"))
-    top = topk_long(counts, "ctx", "token", "n", k).groupBy("ctx").agg(F.sort_array(F.collect_list(F.struct("rank", "token", "n"))).alias("r"))
-    t = top.join(total, "ctx").select("ctx", "total", F.col("r.token").alias("topk_idx"), F.transform("r", lambda x: x["n"] / F.col("total")).alias("topk_p"))
+    by = Window.partitionBy("ctx")
+    top = topk_long(counts.withColumn("total", F.sum("n").over(by)), "ctx", "token", "n", k)
+    t = top.groupBy("ctx").agg(F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("rank", "token", "n"))).alias("r"))
+    t = t.select("ctx", "total", F.col("r.token").alias("topk_idx"), F.transform("r", lambda x: x["n"] / F.col("total")).alias("topk_p"))
     return t.withColumn("tail", tail_mass(F.col("topk_p")))
 
 
-def teach(docs: DataFrame, teacher: DataFrame) -> DataFrame:
+#: Ids below this, and a teacher of fewer rows, are looked up in place.
+LOOKUP = 200_000
+
+
+def teach(docs: DataFrame, teacher: DataFrame, most: int = LOOKUP) -> DataFrame:
     """Shard documents: each position gets its token's distribution over the next one.
 
-    ``teacher`` has one row for each id of a bounded vocabulary and is broadcast. Positions without a
-    distribution, and the last of each document, are masked. Tail mass comes from the exact
-    probabilities; the stored ones are rounded to half precision.
+    ``teacher`` has one row for each id of a vocabulary. If its ids lie below ``most`` it is looked up in
+    place, as a literal of its rows, and nothing is shuffled; a larger one is joined by merging.
+    Positions without a distribution, and the last of each document, are masked. Tail mass comes from
+    the exact probabilities; the stored ones are rounded to half precision.
     """
-    p = docs.select("shard_id", "doc_id", F.size("tokens").alias("len"), F.posexplode("tokens").alias("pos", "token"))
-    j = p.join(F.broadcast(teacher), F.col("token") == F.col("ctx"), "left")
-    has = F.col("ctx").isNotNull() & (F.col("pos") < F.col("len") - 1)
-    row = F.struct(
-        "pos", "token",
-        F.when(has, F.col("topk_idx")).otherwise(F.array().cast("array<bigint>")).alias("idx"),
-        F.when(has, F.transform("topk_p", lambda v: fp16(v).cast("float"))).otherwise(F.array().cast("array<float>")).alias("w"),
-        F.when(has, F.col("tail")).otherwise(F.lit(1.0)).cast("float").alias("tail"),
-        has.cast("tinyint").alias("mask"),
+    t = teacher.select("ctx", F.col("topk_idx").alias("i"), F.transform("topk_p", lambda v: fp16(v).cast("float")).alias("w"), F.col("tail").cast("float").alias("t"))
+    span = t.agg(F.min("ctx"), F.max("ctx")).first()
+    if span[0] is None or (span[0] >= 0 and span[1] < most):
+        rows: list[dict | None] = [None] * ((span[1] or 0) + 1)
+        for r in t.collect():  # at most ``most`` rows
+            rows[r["ctx"]] = {"i": r["i"], "w": r["w"], "t": r["t"]}
+        # one text, folded to a literal when the plan is optimised
+        table = F.from_json(F.lit(json.dumps(rows)), "array<struct<i:array<bigint>,w:array<float>,t:float>>")
+        found = docs.select("shard_id", "doc_id", "tokens", F.transform("tokens", lambda x, k: F.when(k < F.size("tokens") - 1, F.get(table, x.cast("int")))).alias("r"))
+    else:
+        p = docs.select("shard_id", "doc_id", F.size("tokens").alias("len"), F.posexplode("tokens").alias("pos", "token"))
+        j = merge_join(p, t, F.col("token") == F.col("ctx"), "left")
+        one = F.when(F.col("ctx").isNotNull() & (F.col("pos") < F.col("len") - 1), F.struct("i", "w", "t"))
+        g = j.groupBy("shard_id", "doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "token", one.alias("r")))).alias("g"))
+        found = g.select("shard_id", "doc_id", F.col("g.token").alias("tokens"), F.col("g.r").alias("r"))
+    return found.select(
+        "shard_id", "doc_id", "tokens",
+        F.transform("r", lambda x: F.coalesce(x["i"], F.array().cast("array<bigint>"))).alias("topk_idx"),
+        F.transform("r", lambda x: F.coalesce(x["w"], F.array().cast("array<float>"))).alias("topk_w"),
+        F.transform("r", lambda x: F.coalesce(x["t"], F.lit(1.0).cast("float"))).alias("tail_w"),
+        F.transform("r", lambda x: x.isNotNull().cast("tinyint")).alias("loss_mask"),
     )
-    g = j.groupBy("shard_id", "doc_id").agg(F.sort_array(F.collect_list(row)).alias("r"))
-    return g.select("shard_id", "doc_id", F.col("r.token").alias("tokens"), F.col("r.idx").alias("topk_idx"), F.col("r.w").alias("topk_w"), F.col("r.tail").alias("tail_w"), F.col("r.mask").alias("loss_mask"))
 
 
 def similarity_topk(vectors: DataFrame, id_col: str, vec_col: str, candidates: DataFrame, k: int, most_candidates: int = 10_000) -> DataFrame:
     """(id, topk ids, their shares, tail): softmax of dot products with a stated, bounded set of candidates.
 
-    ``candidates`` (cand_id, cand_vec) is counted and must not exceed ``most_candidates``; it is then
-    broadcast against all rows. The matrix of scores is never stored.
+    ``candidates`` (cand_id, cand_vec) is counted and must not exceed ``most_candidates``. All of them
+    meet each row in one array, so the scores of a row never leave it.
     """
     n = candidates.count()
     if n > most_candidates:
         raise ValueError(f"{n} candidates; at most {most_candidates} are scored at once")
-    scored = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).crossJoin(F.broadcast(candidates)).select("id", F.struct(dot(F.col("v"), F.col("cand_vec")).alias("z"), F.col("cand_id").alias("c")).alias("s"))
-    g = scored.groupBy("id").agg(F.collect_list("s").alias("s"), F.max("s.z").alias("top"))
-    e = g.select("id", F.transform("s", lambda x: F.struct(F.exp(x["z"] - F.col("top")).alias("e"), x["c"].alias("c"))).alias("s"))
+    every = candidates.agg(F.sort_array(F.collect_list(F.struct("cand_id", F.transform("cand_vec", lambda x: x.cast("double")).alias("cand_vec")))).alias("c"))  # one row
+    scored = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).join(F.broadcast(every)).select("id", F.transform("c", lambda x: F.struct(dot(F.col("v"), x["cand_vec"]).alias("z"), x["cand_id"].alias("c"))).alias("s"))
+    e = scored.withColumn("top", F.array_max("s.z")).withColumn("s", F.transform("s", lambda x: F.struct(F.exp(x["z"] - F.col("top")).alias("e"), x["c"].alias("c"))))
     e = e.withColumn("sum", F.aggregate("s", F.lit(0.0), lambda a, x: a + x["e"]))
     t = e.select("id", topk_array(F.col("s.c"), F.transform("s", lambda x: x["e"] / F.col("sum")), k).alias("t"))
     return t.select("id", F.col("t.id").alias("topk_idx"), F.col("t.p").alias("topk_p"), tail_mass(F.col("t.p")).alias("tail"))
@@ -101,6 +119,6 @@ def vocab_build(words: DataFrame, most: int) -> DataFrame:
 
 
 def vocab_encode(words: DataFrame, vocab: DataFrame, unknown: int) -> DataFrame:
-    """``words`` with ``token_id``; words outside the (bounded, broadcast) vocabulary get ``unknown``."""
-    v = F.broadcast(vocab.select("token_id", F.col("text").alias("__text")))
-    return words.join(v, F.col("word") == F.col("__text"), "left").drop("__text").withColumn("token_id", F.coalesce("token_id", F.lit(unknown)))
+    """``words`` with ``token_id``; words outside the vocabulary (broadcast if small) get ``unknown``."""
+    v = vocab.select("token_id", F.col("text").alias("__text"))
+    return small_join(words, v, F.col("word") == F.col("__text"), "left").drop("__text").withColumn("token_id", F.coalesce("token_id", F.lit(unknown)))

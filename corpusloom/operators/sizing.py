@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.runtime import small_join
+
 
 def assign_files(rows: DataFrame, limit: int) -> DataFrame:
     """(shard_id, doc_id, file_no) of (shard_id, doc_id, bytes): greedy in the order of ids.
@@ -51,4 +53,4 @@ def provenance(manifest: DataFrame, by: list[str]) -> DataFrame:
 
 def slice_alpha(windows: DataFrame, manifest: DataFrame, alpha: float) -> DataFrame:
     """Windows with their shard's own mixing weight, else the run's. One manifest row for each shard."""
-    return windows.join(manifest.select("shard_id", "alpha_override"), "shard_id", "left").withColumn("alpha", F.coalesce("alpha_override", F.lit(alpha))).drop("alpha_override")
+    return small_join(windows, manifest.select("shard_id", "alpha_override"), "shard_id", "left").withColumn("alpha", F.coalesce("alpha_override", F.lit(alpha))).drop("alpha_override")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions.arrays import asum
+from corpusloom.runtime import merge_join, small_join
 
 
 def _reasons(*rules: tuple[str, Column]) -> Column:
@@ -61,12 +62,17 @@ def bulk_schema_faults(df: DataFrame, ddl: str) -> list[str]:
 
 
 def chunk_tiling(chunks: DataFrame, totals: DataFrame) -> DataFrame:
-    """(file, faults): chunks that do not begin where the ones before end, are empty, or miss the total."""
+    """(file, faults): chunks that do not begin where the ones before end, are empty, or miss the total.
+
+    A file with chunks and no positions, or with positions and no chunks, has a fault too.
+    """
     order = Window.partitionBy("file").orderBy("chunk")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     c = chunks.withColumn("due", F.coalesce(F.sum("length").over(before), F.lit(0)))
     per = c.groupBy("file").agg(F.sum(((F.col("start") != F.col("due")) | (F.col("length") < 1)).cast("long")).alias("bad"), F.sum("length").alias("sum"))
-    return per.join(totals, "file").select("file", (F.col("bad") + (F.col("sum") != F.col("total")).cast("long")).alias("faults"))
+    both = merge_join(per, totals, "file", "full_outer")
+    miss = (~F.col("sum").eqNullSafe(F.col("total"))).cast("long")
+    return both.select("file", (F.coalesce("bad", F.lit(0)) + miss).alias("faults"))
 
 
 def gold_slot(bulk: DataFrame) -> DataFrame:
@@ -75,10 +81,21 @@ def gold_slot(bulk: DataFrame) -> DataFrame:
 
 
 def shard_reconcile(shards: DataFrame, manifest: DataFrame) -> DataFrame:
-    """(shard_id, stored and stated tokens and documents, ok)."""
-    s = shards.groupBy("shard_id").agg(F.sum(F.size("tokens")).alias("tokens_stored"), F.count(F.lit(1)).alias("docs_stored"))
-    j = s.join(manifest.select("shard_id", "total_tokens", "num_documents"), "shard_id", "full_outer")
-    ok = (F.col("tokens_stored") == F.col("total_tokens")) & (F.col("docs_stored") == F.col("num_documents"))
+    """(shard_id, stored and stated tokens, documents and k, faulty documents, ok).
+
+    A document is faulty if its arrays differ in length, or an unmasked position has another number of
+    candidates than the manifest's ``k``. A shard that either side lacks is not ok.
+    """
+    stated = manifest.select("shard_id", "total_tokens", "num_documents", F.col("k").alias("k_stated"))
+    t = F.size("tokens")
+    lengths = F.array(*[F.size(n) for n in ("topk_idx", "topk_w", "tail_w", "loss_mask")])
+    wide = F.array_distinct(F.filter(F.flatten(F.array(F.transform("topk_idx", F.size), F.transform("topk_w", F.size))), lambda n: n > 0))
+    d = shards.select("shard_id", t.alias("t"), F.exists(lengths, lambda n: n != t).alias("uneven"), wide.alias("wide"))
+    d = small_join(d, stated.select("shard_id", "k_stated"), "shard_id", "left")
+    bad = F.col("uneven") | F.exists("wide", lambda n: ~n.eqNullSafe(F.col("k_stated")))
+    s = d.groupBy("shard_id").agg(F.sum("t").alias("tokens_stored"), F.count(F.lit(1)).alias("docs_stored"), F.max(F.coalesce(F.array_max("wide"), F.lit(0))).alias("k_stored"), F.sum(bad.cast("long")).alias("docs_faulty"))
+    j = merge_join(s, stated, "shard_id", "full_outer")
+    ok = (F.col("tokens_stored") == F.col("total_tokens")) & (F.col("docs_stored") == F.col("num_documents")) & (F.col("docs_faulty") == 0)
     return j.withColumn("ok", F.coalesce(ok, F.lit(False)))
 
 
@@ -105,6 +122,6 @@ def reconcile(left: DataFrame, right: DataFrame, key: str, allow_regex: str) ->
     """(key, status) of two sets of names: matched, unused (left alone), allowed-new or unfilled."""
     a = left.select(F.col(key).alias("k")).distinct().withColumn("l", F.lit(True))
     b = right.select(F.col(key).alias("k")).distinct().withColumn("r", F.lit(True))
-    j = a.join(b, "k", "full_outer")
+    j = merge_join(a, b, "k", "full_outer")
     status = F.when(F.col("l") & F.col("r"), "matched").when(F.col("r").isNull(), "unused").when(F.col("k").rlike(allow_regex), "allowed-new").otherwise("unfilled")
     return j.select(F.col("k").alias(key), status.alias("status"))

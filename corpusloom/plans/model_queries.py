@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import arrays as A
-from corpusloom.functions.hashing import GOLD, MASK, affine, const64, multiplier, smallest_prime_at_least
 from corpusloom.operators import address as D
 from corpusloom.operators import memory as Y
 from corpusloom.operators import metrics as M
@@ -16,7 +15,7 @@ from corpusloom.operators.prepare import PS_SQL, VOCAB, WD_SQL, words_of
 from corpusloom.plans.data_queries import K, L, docs_of, taught
 from corpusloom.plans.registry import query
 from corpusloom.plans.sql import PLACED, SHARD, TEACHER, brain
-from corpusloom.runtime import materialize, new_dir, table
+from corpusloom.runtime import materialize, merge_join, new_dir, small_join, table
 from corpusloom.schemas import SHARD as SHARD_SCHEMA
 from corpusloom.sources import shards as H
 
@@ -36,7 +35,7 @@ def bigram_teacher(spark, d):
 @query("topk_dist", "WITH " + TEACHER + " SELECT ctx, r::INT AS rank, token, round(n / total, 9) AS p FROM tk")
 def topk_dist(spark, d):
     counts = S.bigram_counts(docs_of(spark, d))
-    dist = counts.join(counts.groupBy("ctx").agg(F.sum("n").alias("total")), "ctx").withColumn("p", c("n") / c("total"))
+    dist = merge_join(counts, counts.groupBy("ctx").agg(F.sum("n").alias("total")), "ctx").withColumn("p", c("n") / c("total"))
     return S.topk_long(dist, "ctx", "token", "p", K).select("ctx", "rank", "token", F.round("p", 9).alias("p"))
 
 
@@ -124,31 +123,40 @@ def apply_canon(spark, d):
 
 # addresses
 
-MODULI = {(1, 0): smallest_prime_at_least(VOCAB), (1, 1): smallest_prime_at_least(VOCAB), (2, 0): 4093, (2, 1): 4091, (3, 0): 4079, (3, 1): 4073}
+MODULI = {(1, 0): 997, (1, 1): 997, (2, 0): 4093, (2, 1): 4091, (3, 0): 4079, (3, 1): 4073}
 WIN_SQL = PLACED + f", win AS (SELECT shard_id, gpos // {L} AS window_id, gpos % {L} AS pos, token AS c0, coalesce(lag(token, 1) OVER w, 0) AS c1, coalesce(lag(token, 2) OVER w, 0) AS c2 FROM pl WINDOW w AS (PARTITION BY shard_id, gpos // {L} ORDER BY gpos))"
 
 
+#: Salts of this library's domain as plain numbers, so that SQL does not depend on the functions it is held
+#: against: factor and offset of single ids, multiplier and seed of longer ones.
+SALTS = {
+    (1, 0): (3370989940819556197, 6311849672153884034),
+    (1, 1): (9270902551911591063, 10609426937654381659),
+    (2, 0): (11142614602220716043, 7791443884017340700),
+    (2, 1): (3579651548564170489, 11913955384542123582),
+    (3, 0): (13717310673233592107, 4448107548694637996),
+    (3, 1): (3597500236054146143, 13548173205611523855),
+}
+TWO64, STEP = 18446744073709551616, 11400714819323198485
+
+
 def address_sql(order: int, head: int) -> str:
-    m = MODULI[order, head]
+    m, (x, y) = MODULI[order, head], SALTS[order, head]
     if order == 1:
-        a, b = affine(head, m)
-        return f"(({a} * c0 + {b % m}) % {m})::BIGINT"
-    state = f"{const64(order, head, 'seed')}::UHUGEINT"
+        return f"(({x % (m - 1) + 1} * c0 + {y % m}) % {m})::BIGINT"
+    state = f"{y}::UHUGEINT"
     for k in range(order - 1, -1, -1):
-        state = f"(xor({state}, (c{k}::UHUGEINT + {GOLD}::UHUGEINT) % {MASK + 1}::UHUGEINT) * {multiplier(order, head)}::UHUGEINT % {MASK + 1}::UHUGEINT)"
+        state = f"(xor({state}, (c{k}::UHUGEINT + {STEP}::UHUGEINT) % {TWO64}::UHUGEINT) * {x}::UHUGEINT % {TWO64}::UHUGEINT)"
     return f"({state} % {m}::UHUGEINT)::BIGINT"
 
 
-def tokens_of(spark: SparkSession, d: str) -> DataFrame:
-    """Positions within windows of each shard."""
-    off = P.doc_offsets(docs_of(spark, d)).select("shard_id", "doc_id", "offset")
-    p = docs_of(spark, d).select("shard_id", "doc_id", F.posexplode("tokens").alias("i", "canon_id")).join(off, ["shard_id", "doc_id"])
-    g = p.withColumn("g", c("offset") + c("i"))
-    return g.select("shard_id", F.expr(f"g div {L}").alias("window_id"), (c("g") % L).alias("pos"), "canon_id")
+def contexts_of(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of each shard, the last and partial ones too."""
+    return P.pack_windows(docs_of(spark, d), L, partial=True)
 
 
 def batch_of(spark: SparkSession, d: str) -> DataFrame:
-    return D.address_batch(tokens_of(spark, d), L, MODULI)
+    return D.address_batch(contexts_of(spark, d), MODULI)
 
 
 ADDRESS_SQL = WIN_SQL + ", ad AS (" + " UNION ALL ".join(f'SELECT shard_id, window_id, pos, {o} AS "order", {h} AS head, {address_sql(o, h)} AS row_id, pos >= {o - 1} AS valid, c0, c1, c2 FROM win' for o, h in sorted(MODULI)) + ")"
@@ -162,7 +170,7 @@ def addr_unigram(spark, d):
 
 @query("addr_ngram", "WITH " + WIN_SQL + f" SELECT shard_id, window_id, sum({address_sql(2, 0)})::BIGINT AS a, sum({address_sql(3, 1)} * (pos + 1))::BIGINT AS b FROM win GROUP BY shard_id, window_id")
 def addr_ngram(spark, d):
-    t = D.windowed(tokens_of(spark, d), L, 3)
+    t = D.windowed(contexts_of(spark, d), 3)
     t = t.withColumns({"a": D.ngram_address([c("c1"), c("c0")], 2, 0, 4093), "b": D.ngram_address([c("c2"), c("c1"), c("c0")], 3, 1, 4073)})
     return t.groupBy("shard_id", "window_id").agg(F.sum("a").alias("a"), F.sum(c("b") * (c("pos") + 1)).alias("b"))
 
@@ -200,8 +208,7 @@ def touch_hist(spark, d):
 @query("collision_report", "WITH " + ADDRESS_SQL + """, gr AS (SELECT DISTINCT "order", head, c0, CASE WHEN "order" > 1 THEN c1 ELSE 0 END AS d1, CASE WHEN "order" > 2 THEN c2 ELSE 0 END AS d2, row_id FROM ad),
 pr AS (SELECT "order", head, row_id, count(*) AS n FROM gr GROUP BY ALL) SELECT "order", head, sum(n)::BIGINT AS grams, count(*) AS rows, sum(CASE WHEN n > 1 THEN n ELSE 0 END)::BIGINT AS collided FROM pr GROUP BY ALL""")
 def collision_report(spark, d):
-    t = tokens_of(spark, d)
-    a = D.long_addresses(D.address_batch(t, L, MODULI)).join(D.windowed(t, L, 3).select("shard_id", "window_id", "pos", "c0", "c1", "c2"), ["shard_id", "window_id", "pos"])
+    a = D.long_addresses(batch_of(spark, d))
     gram = F.struct("c0", F.when(c("order") > 1, c("c1")).otherwise(0).alias("c1"), F.when(c("order") > 2, c("c2")).otherwise(0).alias("c2"))
     return D.collision_report(a.select("order", "head", gram.alias("gram"), "row_id").distinct())
 
@@ -259,7 +266,7 @@ def sparse_upsert(spark, d):
 def accumulate_apply(spark, d):
     base = memory_of(spark, d)
     new = Y.accumulate_apply(base, fragments_of(spark, d)).select("head", "row_id", c("vec").alias("new"))
-    j = base.join(new, ["head", "row_id"])
+    j = merge_join(base, new, ["head", "row_id"])
     return j.groupBy("head").agg(F.count(F.lit(1)).alias("rows"), F.sum((c("vec") != c("new")).cast("bigint")).alias("updated"))
 
 
@@ -269,11 +276,23 @@ def rounding_loss(spark, d):
     return r.withColumn("share", F.round("share", 6))
 
 
-@query("guarded_load", "WITH " + CANON_SQL + " SELECT count(*) AS rows FROM embeddings")
+@query("guarded_load", "SELECT 'as stored' AS version, true AS loads, count(*) AS rows FROM embeddings UNION ALL SELECT 'other vocabulary', false, 0 UNION ALL SELECT 'fewer rows', false, 0")
 def guarded_load(spark, d):
-    canon = canon_of(spark, d)
-    sha = D.canon_sha256(canon)
-    return Y.guarded(memory_of(spark, d), sha, D.canon_sha256(canon.repartition(3)), "sha256").agg(F.count(F.lit(1)).alias("rows"))
+    canon, memory = canon_of(spark, d), memory_of(spark, d)
+    keys = ["sha256", "tables", "rows", "dims"]
+    stored = D.canon_sha256(canon).crossJoin(Y.table_shape(memory))  # one row each
+    other = canon.withColumn("canon_id", F.when(c("token_id") == 0, c("canon_id") + 1).otherwise(c("canon_id")))
+    cases = {
+        "as stored": D.canon_sha256(canon.repartition(3)).crossJoin(Y.table_shape(memory.repartition(3))),
+        "other vocabulary": D.canon_sha256(other).crossJoin(Y.table_shape(memory)),
+        "fewer rows": D.canon_sha256(canon).crossJoin(Y.table_shape(memory.where("row_id > 0"))),
+    }
+    out = []
+    for name, want in cases.items():
+        ok = Y.same_version(stored, want, keys)
+        rows = Y.guarded(memory, stored, want, keys).count() if ok else 0
+        out.append(spark.range(1).select(F.lit(name).alias("version"), F.lit(ok).alias("loads"), F.lit(rows).cast("bigint").alias("rows")))
+    return out[0].union(out[1]).union(out[2])
 
 
 # measures
@@ -286,7 +305,7 @@ ax AS (SELECT ctx, token FROM bc)"""
 def add_one(counts: DataFrame, support: DataFrame, vocab: int) -> DataFrame:
     """(ctx, token, p): add-one shares of ``counts`` for the pairs of ``support``, over ``vocab`` tokens."""
     total = counts.groupBy("ctx").agg(F.sum("n").alias("total"))
-    j = support.join(counts.select("ctx", "token", "n"), ["ctx", "token"], "left").join(total, "ctx", "left")
+    j = merge_join(merge_join(support, counts.select("ctx", "token", "n"), ["ctx", "token"], "left"), total, "ctx", "left")
     return j.select("ctx", "token", ((F.coalesce("n", F.lit(0)) + 1) / (F.coalesce("total", F.lit(0)) + vocab)).alias("p"))
 
 
@@ -294,7 +313,7 @@ def student_of(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Add-one bigrams of every other document on the pairs of all documents, and these pairs' counts."""
     w = docs_of(spark, d)
     every = materialize(S.bigram_counts(w), "pairs")
-    return add_one(S.bigram_counts(w.where("doc_id % 2 = 0")), every.select("ctx", "token"), VOCAB), every
+    return materialize(add_one(S.bigram_counts(w.where("doc_id % 2 = 0")), every.select("ctx", "token"), VOCAB), "student"), every
 
 
 P_SQL = f"((coalesce(sc.n, 0) + 1) / (coalesce(st.total, 0) + {VOCAB}))"
@@ -305,33 +324,35 @@ hd AS (SELECT t.ctx, sum(-(t.n / t.total) * ln(sp.p)) AS head, sum(sp.p) AS mass
 x AS (SELECT bc.n, 0.7::DOUBLE * (head - tail * ln(greatest(1 - mass, 1e-12))) + 0.3::DOUBLE * -ln(sp.p) AS x FROM bc JOIN sp USING (ctx, token) JOIN hd USING (ctx) JOIN tch USING (ctx))
 SELECT sum(n)::BIGINT AS positions, round(sum(n * x) / sum(n), 6) AS loss FROM x""")
 def kd_loss(spark, d):
-    student, _ = student_of(spark, d)
-    w = docs_of(spark, d)
-    p = w.select("doc_id", "shard_id", F.posexplode("tokens").alias("pos", "ctx"), "tokens").where(c("pos") < F.size("tokens") - 1)
-    t = p.join(F.broadcast(S.bigram_teacher(w, K)), "ctx").select(F.struct("shard_id", "doc_id", "pos").alias("pos_id"), "ctx", "topk_idx", c("topk_p").alias("topk_w"), c("tail").alias("tail_w"), F.get("tokens", c("pos") + 1).alias("gold"), F.lit(1).alias("loss_mask"))
+    # teacher and student look at one token back, so equal pairs are one position that counts n times
+    student, pairs = student_of(spark, d)
+    gold = pairs.select("ctx", c("token").alias("gold"), "n")
+    t = merge_join(gold, S.bigram_teacher(docs_of(spark, d), K), "ctx").select(F.struct("ctx", "gold").alias("pos_id"), "ctx", "topk_idx", c("topk_p").alias("topk_w"), c("tail").alias("tail_w"), "gold", "n", F.lit(1).alias("loss_mask"))
+    t = materialize(t, "teacher")
     need = t.select("pos_id", "ctx", F.explode(F.array_distinct(F.concat("topk_idx", F.array("gold")))).alias("token"))
-    rows = need.join(student, ["ctx", "token"]).select("pos_id", "token", F.log("p").alias("logprob"))
+    rows = materialize(merge_join(need, student, ["ctx", "token"]).select("pos_id", "token", F.log("p").alias("logprob")), "student-rows")
     return M.kd_loss(t, rows, 0.7).withColumn("loss", F.round("loss", 6))
 
 
 NLL_SQL = STUDENT_SQL + f", nl AS (SELECT p.doc_id, p.shard_id, -ln({P_SQL}) AS nll FROM (SELECT shard_id, doc_id, token AS ctx, lead(token) OVER (PARTITION BY shard_id, doc_id ORDER BY pos) AS token FROM ps) p LEFT JOIN sc USING (ctx, token) LEFT JOIN st USING (ctx) WHERE p.token IS NOT NULL)"
 
 
-def nll_of(spark: SparkSession, d: str) -> DataFrame:
+def nll_of(spark: SparkSession, d: str, key: str) -> DataFrame:
+    """(key, n, nll): losses of equal pairs of tokens, counted by ``key`` before they meet the student."""
     student, _ = student_of(spark, d)
     pairs = F.zip_with(F.slice("tokens", 1, F.greatest(F.size("tokens") - 1, F.lit(0))), F.slice("tokens", 2, F.size("tokens")), lambda a, b: F.struct(a.alias("ctx"), b.alias("token")))
-    p = docs_of(spark, d).select("shard_id", "doc_id", F.explode(pairs).alias("p")).select("shard_id", "doc_id", "p.*")
-    return p.join(student, ["ctx", "token"]).select("shard_id", "doc_id", (-F.log("p")).alias("nll"))
+    p = docs_of(spark, d).select(key, F.explode(pairs).alias("p")).groupBy(key, "p.ctx", "p.token").agg(F.count(F.lit(1)).alias("n"))
+    return small_join(p, student, ["ctx", "token"]).select(key, "n", (-F.log("p")).alias("nll"))
 
 
 @query("perplexity", "WITH " + NLL_SQL + " SELECT shard_id, count(*) AS n, round(exp(sum(nll) / count(*)), 4) AS perplexity FROM nl GROUP BY shard_id")
 def perplexity(spark, d):
-    return M.perplexity(nll_of(spark, d), ["shard_id"]).withColumn("perplexity", F.round("perplexity", 4))
+    return M.perplexity(nll_of(spark, d, "shard_id"), ["shard_id"]).withColumn("perplexity", F.round("perplexity", 4))
 
 
 @query("gold_ce_band", "WITH " + NLL_SQL + f", dc AS (SELECT doc_id, avg(nll) AS m FROM nl GROUP BY doc_id) SELECT count(*) AS docs, round(avg(m), 6) AS ce, avg(m) < 0.75 * ln({VOCAB}) AS in_band FROM dc")
 def gold_ce_band(spark, d):
-    return M.gold_ce_band(nll_of(spark, d), "doc_id", VOCAB).withColumn("ce", F.round("ce", 6))
+    return M.gold_ce_band(nll_of(spark, d, "doc_id"), "doc_id", VOCAB).withColumn("ce", F.round("ce", 6))
 
 
 @query("kl_divergence", "WITH " + STUDENT_SQL + """, sx AS (SELECT ax.ctx, ax.token, coalesce(sc.n, 0) + 1 AS s, bc.n + 1 AS t FROM ax JOIN bc USING (ctx, token) LEFT JOIN sc USING (ctx, token)),
@@ -342,8 +363,8 @@ def kl_divergence(spark, d):
     every = materialize(S.bigram_counts(w), "pairs")
 
     def shares(counts: DataFrame) -> DataFrame:  # add-one over the context's observed successors
-        j = every.select("ctx", "token").join(counts.select("ctx", "token", "n"), ["ctx", "token"], "left").withColumn("m", F.coalesce("n", F.lit(0)) + 1)
-        return j.join(j.groupBy("ctx").agg(F.sum("m").alias("total")), "ctx").select("ctx", "token", (c("m") / c("total")).alias("p"))
+        j = merge_join(every.select("ctx", "token"), counts.select("ctx", "token", "n"), ["ctx", "token"], "left").withColumn("m", F.coalesce("n", F.lit(0)) + 1)
+        return merge_join(j, j.groupBy("ctx").agg(F.sum("m").alias("total")), "ctx").select("ctx", "token", (c("m") / c("total")).alias("p"))
 
     kl = M.kl_divergence(shares(S.bigram_counts(w.where("doc_id % 2 = 0"))), shares(every), every.groupBy("ctx").agg(F.sum("n").alias("n")))
     return kl.withColumn("kl", F.round("kl", 6))

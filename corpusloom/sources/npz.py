@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import io
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from corpusloom.operators.pack import doc_offsets
+from corpusloom.runtime import merge_join
 from corpusloom.schemas import BULK, CHUNKS
 
 
@@ -116,39 +120,34 @@ def write_npz(bulk: DataFrame, chunks: DataFrame, out_dir: str) -> DataFrame:
     return both.applyInPandas(write, "file string, n bigint")
 
 
-def export_npy(shards: DataFrame, out_dir: str) -> DataFrame:
-    """Write each shard's tokens, tail and mask as ``.npy`` files, for a trainer that maps them.
+#: Tokens of one exported part, besides the rest of its last document.
+PART_TOKENS = 1 << 20
 
-    Rows of a shard are streamed in the order of documents; a file is as large as its shard, as the
-    format asks. Returns (shard_id, n_docs, n_tokens).
+
+def export_npy(shards: DataFrame, out_dir: str, part_tokens: int = PART_TOKENS) -> DataFrame:
+    """Write each shard's tokens, tail and mask as ``.npy`` parts, for a trainer that maps them.
+
+    A shard is cut into parts of about ``part_tokens`` in the order of documents (``tokens-00000.npy``,
+    ...), so a shard of any size is written by many tasks, none of which holds more than one part.
+    Returns (shard_id, part, n_docs, n_tokens).
     """
-    width = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = shards.select("shard_id", "doc_id", "tokens", "tail_w", "loss_mask").repartition(width, "shard_id").sortWithinPartitions("shard_id", "doc_id")
+    off = doc_offsets(shards).select("shard_id", "doc_id", "local_doc", F.expr(f"cast(offset div {part_tokens} as int)").alias("part"))
+    d = merge_join(shards.select("shard_id", "doc_id", "tokens", "tail_w", "loss_mask"), off, ["shard_id", "doc_id"])
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        held, shard = [], None
-
-        def flush() -> pd.DataFrame:
-            fs, root = _fs(out_dir)
-            fs.create_dir(f"{root}/{shard}", recursive=True)
-            for name, kind in (("tokens", "uint32"), ("tail_w", "float32"), ("loss_mask", "uint8")):
-                buffer = io.BytesIO()
-                np.save(buffer, np.concatenate([np.asarray(r[name], kind) for r in held]))
-                with fs.open_output_stream(f"{root}/{shard}/.{name}.part") as f:
-                    f.write(buffer.getvalue())
-                fs.move(f"{root}/{shard}/.{name}.part", f"{root}/{shard}/{name}.npy")
-            return pd.DataFrame({"shard_id": [shard], "n_docs": [len(held)], "n_tokens": [sum(len(r["tokens"]) for r in held)]})
-
-        for b in batches:
-            for r in b.to_dict("records"):
-                if r["shard_id"] != shard:
-                    if held:
-                        yield flush()
-                    held, shard = [], r["shard_id"]
-                held.append(r)
-        if held:
-            yield flush()
-
-    return dealt.mapInPandas(write, "shard_id string, n_docs bigint, n_tokens bigint")
+        shard, part = key
+        rows = rows.sort_values("local_doc")
+        fs, root = _fs(out_dir)
+        fs.create_dir(f"{root}/{shard}", recursive=True)
+        for name, kind in (("tokens", "uint32"), ("tail_w", "float32"), ("loss_mask", "uint8")):
+            buffer = io.BytesIO()
+            np.save(buffer, np.concatenate([np.asarray(x, kind) for x in rows[name]]))
+            own = f"{root}/{shard}/.{name}-{part:05d}-{uuid.uuid4().hex[:8]}"
+            with fs.open_output_stream(own) as f:
+                f.write(buffer.getvalue())
+            fs.move(own, f"{root}/{shard}/{name}-{part:05d}.npy")
+        return pd.DataFrame({"shard_id": [shard], "part": [part], "n_docs": [len(rows)], "n_tokens": [sum(map(len, rows["tokens"]))]})
+
+    return d.groupBy("shard_id", "part").applyInPandas(write, "shard_id string, part int, n_docs bigint, n_tokens bigint")

@@ -2,25 +2,38 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators.pack import doc_offsets
+from corpusloom.runtime import merge_join, small_join
 from corpusloom.schemas import MANIFEST, SHARD
 
 #: Provenance that a writer may set, with what it is if unset.
 DEFAULTS = {"teacher_id": "", "quantization": "", "chat_template_version": "", "fold_version": "v2", "text_source": "", "logit_source": "", "data_class": "a", "alpha_override": None}
 
 
-def shard_manifest(shards: DataFrame, vocab_size: int, **provenance) -> DataFrame:
-    """One row for each shard: counts, offsets and lengths in the order of documents, and provenance."""
+def shard_documents(shards: DataFrame) -> DataFrame:
+    """(shard_id, doc_id, local_doc, len, offset): the manifest's offsets as rows, for shards of any size."""
+    return doc_offsets(shards)
+
+
+def shard_manifest(shards: DataFrame, vocab_size: int, offsets: bool = True, **provenance) -> DataFrame:
+    """One row for each shard: counts, offsets and lengths in the order of documents, and provenance.
+
+    With ``offsets`` a shard's offsets come as two arrays in its row, as the format has it; leave them
+    out for shards too large for that (they are empty then) and write ``shard_documents`` beside.
+    """
     unknown = provenance.keys() - DEFAULTS.keys()
     if unknown:
         raise ValueError(f"no such provenance: {sorted(unknown)}")
     k = shards.groupBy("shard_id").agg(F.max(F.coalesce(F.array_max(F.transform("topk_idx", F.size)), F.lit(0))).alias("k"))
-    rows = F.sort_array(F.collect_list(F.struct("local_doc", "offset", "len")))
+    one = F.struct("local_doc", "offset", "len")
+    rows = F.sort_array(F.collect_list(one if offsets else F.when(F.lit(False), one)))
     per = doc_offsets(shards).groupBy("shard_id").agg(F.sum("len").alias("total_tokens"), F.count(F.lit(1)).alias("num_documents"), rows.alias("r"))
-    m = per.join(k, "shard_id").withColumns({"format_version": F.lit(1), "vocab_size": F.lit(vocab_size), "doc_offsets": F.col("r.offset"), "doc_lengths": F.col("r.len")})
+    m = merge_join(per, k, "shard_id").withColumns({"format_version": F.lit(1), "vocab_size": F.lit(vocab_size), "doc_offsets": F.col("r.offset"), "doc_lengths": F.col("r.len")})
     for name, unset in DEFAULTS.items():
         value = provenance.get(name, unset)
         m = m.withColumn(name, value if not isinstance(value, (str, float, int, type(None))) else F.lit(value))
@@ -35,9 +48,10 @@ def write_shards(shards: DataFrame, manifest: DataFrame, path: str) -> None:
     manifest.write.mode("overwrite").json(f"{path}/manifest")
 
 
-def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    """Documents of all shards of a folder; their schema is fixed, the number of candidates may differ."""
-    return spark.read.schema(SHARD).parquet(f"{path}/shards")
+def read_shards(spark: SparkSession, *paths: str) -> DataFrame:
+    """Documents of all shards of several folders; their schema is fixed, the number of candidates may differ."""
+    one = [spark.read.schema(SHARD).parquet(f"{p}/shards") for p in paths]
+    return reduce(DataFrame.unionByName, one)
 
 
 def read_manifests(spark: SparkSession, *paths: str) -> DataFrame:
@@ -46,14 +60,21 @@ def read_manifests(spark: SparkSession, *paths: str) -> DataFrame:
     return d.withColumn("fold_version", F.coalesce("fold_version", F.lit("v2")))
 
 
-def open_shards(spark: SparkSession, path: str) -> DataFrame:
-    """Shard documents with their manifest's ``k`` and ``vocab_size``; a shard without a manifest fails the job."""
-    m = read_manifests(spark, path).select("shard_id", F.col("k").alias("manifest_k"), "vocab_size")
-    d = read_shards(spark, path).join(m, "shard_id", "left")
+def open_shards(spark: SparkSession, *paths: str) -> DataFrame:
+    """Shard documents of several folders, each with its own manifest's ``k`` and ``vocab_size``.
+
+    A shard without a manifest in its folder fails the job.
+    """
     missing = F.raise_error(F.concat(F.lit("no manifest for shard "), F.col("shard_id"))).cast("boolean")
-    return d.where(F.when(F.col("manifest_k").isNull(), missing).otherwise(F.lit(True)))
+
+    def one(path: str) -> DataFrame:
+        m = read_manifests(spark, path).select("shard_id", F.col("k").alias("manifest_k"), "vocab_size")
+        d = small_join(read_shards(spark, path), m, "shard_id", "left")
+        return d.where(F.when(F.col("manifest_k").isNull(), missing).otherwise(F.lit(True)))
+
+    return reduce(DataFrame.unionByName, map(one, paths))
 
 
 def pending(inputs: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Inputs that no manifest names yet."""
-    return inputs.join(done.select(key).distinct(), key, "left_anti")
+    return merge_join(inputs, done.select(key).distinct(), key, "left_anti")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -21,10 +22,14 @@ def stream_ema(events: DataFrame, decay: float = 0.9) -> DataFrame:
     def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         n, total, ema = state.get if state.exists else (0, 0.0, None)
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        for x in rows["value"]:
-            ema = x if ema is None else decay * ema + (1 - decay) * x
-            n, total = n + 1, total + x
-        state.update((n, float(total), float(ema)))
+        x = rows["value"].to_numpy(float)
+        # a sum with falling weights in place of a loop over rows
+        weights = (1 - decay) * decay ** np.arange(len(x) - 1, -1, -1)
+        if ema is None:
+            weights[0] = decay ** (len(x) - 1)
+        ema = float(weights @ x) + (0.0 if ema is None else decay ** len(x) * ema)
+        n, total = n + len(x), total + float(x.sum())
+        state.update((n, total, ema))
         yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [total], "ema": [ema]})
 
     return events.groupBy("user_id").applyInPandasWithState(update, OUT, STATE, "update", "NoTimeout")

@@ -7,12 +7,15 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from corpusloom.functions import hashing as G
+from corpusloom.operators import address as D
 from corpusloom.operators import memory as Y
 from corpusloom.operators import metrics as M
 from corpusloom.operators import pack as P
 from corpusloom.operators import score as S
 from corpusloom.operators import sizing as Z
 from corpusloom.operators import validate as V
+from corpusloom.operators.prefix import ordered_sums
 from corpusloom.runtime import new_dir
 from corpusloom.sources import npz as N
 from corpusloom.sources import shards as H
@@ -71,9 +74,10 @@ def test_upsert_leaves_other_rows_bit_identical(spark):
 
 def test_guard_refuses_other_versions(spark):
     rows, a, b = spark.range(3), spark.createDataFrame([("x",)], "v string"), spark.createDataFrame([("y",)], "v string")
-    assert Y.guarded(rows, a, a, "v").count() == 3
+    assert Y.guarded(rows, a, a, ["v"]).count() == 3
     with pytest.raises(PySparkException):
-        Y.guarded(rows, a, b, "v").collect()
+        Y.guarded(rows, a, b, ["v"]).collect()
+    assert not Y.same_version(a.limit(0), a, ["v"])
 
 
 def test_kd_loss_equals_numpy_and_masked_is_zero(spark):
@@ -92,6 +96,16 @@ def test_kd_loss_equals_numpy_and_masked_is_zero(spark):
     r = M.kd_loss(teacher, student, 0.9).first()
     assert r["positions"] == 15 and abs(r["loss"] - np.mean([x for x, m in zip(want, mask) if m])) < 1e-9
     assert M.kd_loss(teacher.withColumn("loss_mask", F.lit(0)), student, 0.9).first()["loss"] == 0
+    assert abs(M.kd_loss(teacher.withColumn("n", F.lit(3)), student, 0.9).first()["loss"] - r["loss"]) < 1e-12
+    for temperature in (2.0, 1.5):
+        z = logp / temperature
+        z = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+        hot = []
+        for i in range(n):
+            lp = z[i, idx[i]]
+            hot.append(0.7 * (-(w[i] * lp).sum() - 0.1 * np.log(max(1 - np.exp(lp).sum(), 1e-12))) - 0.3 * z[i, gold[i]])
+        got = M.kd_loss(teacher, student, 0.7, temperature).first()["loss"]
+        assert abs(got - np.mean([x for x, m in zip(hot, mask) if m])) < 1e-9
 
 
 def test_needle_tie_fails(spark):
@@ -141,6 +155,92 @@ def test_shard_without_manifest_is_refused(spark):
         H.open_shards(spark, path).collect()
 
 
+def test_addresses_of_existing_tables():
+    # fixed values: the label of existing tables, and what their format makes of it
+    label = "engram9b.v1"
+    a, b = G.affine(0, 1031, label)
+    assert (a, b % 1031) == (777, 587)
+    assert b == 0x97415F3C079A42B0 and G.affine(1, 1031, label)[1] == 0xB7FCCD4942832E38
+
+
+def test_addresses_are_one_to_one_and_equal_plain_integers(spark):
+    rng = np.random.default_rng(11)
+    tokens = [int(x) for x in rng.integers(0, 1024, 64)]
+    moduli = {(1, 0): 1031, (2, 0): 4093, (2, 1): 4091, (3, 0): 4079}
+    w = spark.createDataFrame([("s", 0, tokens)], "shard_id string, window_id bigint, tokens array<bigint>")
+    got = {(r["pos"], r["order"], r["head"]): (r["row_id"], r["valid"]) for r in D.long_addresses(D.address_batch(w, moduli)).collect()}
+    for (order, head), m in moduli.items():
+        for pos in range(64):
+            if order == 1:
+                a, b = G.affine(head, m)
+                want = (a * tokens[pos] + b) % m
+            else:
+                state = G.const64(order, head, "seed")
+                for k in range(order - 1, -1, -1):
+                    state = (state ^ (((tokens[pos - k] if pos >= k else 0) + G.GOLD) & G.MASK)) * G.multiplier(order, head) & G.MASK
+                want = state % m
+            assert got[pos, order, head] == (want, pos >= order - 1)
+    one = spark.range(1024).select(D.unigram_address(F.col("id"), 0, 1031).alias("a")).distinct().count()
+    assert one == 1024
+
+
+def test_teacher_is_looked_up_or_joined_alike(spark):
+    w = docs(spark, [12, 7, 1, 0])
+    t = S.bigram_teacher(w.union(docs(spark, [9])), 3)
+    one, two = (sorted(map(str, S.teach(w.where("size(tokens) > 0"), t, most).collect())) for most in (10_000, 0))
+    assert one == two and len(one) == 3
+    assert S.teach(w, t.limit(0)).where(F.exists("loss_mask", lambda m: m == 1)).count() == 0
+
+
+def test_ranks_and_sums_of_one_hot_group(spark):
+    d = spark.range(5000).select(F.when(F.col("id") % 50 == 0, F.lit("cold")).when(F.col("id") % 77 != 0, F.lit("hot")).alias("g"), F.xxhash64("id").alias("o"), (F.col("id") % 7).alias("v"))
+    rows = sorted(map(tuple, d.collect()), key=lambda r: (r[0] or "", r[1]))
+    want, n, at = [], {}, {}
+    for g, o, v in rows:
+        want.append((g, o, v, n.get(g, 0), at.get(g, 0)))
+        n[g], at[g] = n.get(g, 0) + 1, at.get(g, 0) + v
+    assert sorted(map(tuple, ordered_sums(d, ["g"], ["o"], ["v"]).collect()), key=lambda r: (r[0] or "", r[1])) == want
+    assert sorted(r["rank"] for r in ordered_sums(d, [], ["o"]).collect()) == list(range(5000))
+    assert ordered_sums(d.limit(0), ["g"], ["o"], ["v"]).count() == 0
+
+
+def test_tiling_tells_of_files_that_one_side_lacks(spark):
+    chunks = spark.createDataFrame([("a", 0, 0, 3), ("b", 0, 0, 2)], "file string, chunk int, start bigint, length bigint")
+    totals = spark.createDataFrame([("a", 3), ("c", 4)], "file string, total bigint")
+    assert {r["file"]: r["faults"] for r in V.chunk_tiling(chunks, totals).collect()} == {"a": 0, "b": 1, "c": 1}
+
+
+def test_average_reseeds_at_the_second_step_and_forgets_long_ago(spark):
+    rng = np.random.default_rng(12)
+    x = rng.random(900)
+    rows = spark.createDataFrame([("r", i + 1, 900, float(v)) for i, v in enumerate(x)], "run string, step bigint, steps bigint, seconds double")
+    for reseed in (False, True):
+        e, want = None, []
+        for i, v in enumerate(x):
+            e = v if e is None or (reseed and i == 1) else 0.9 * e + 0.1 * v
+            want.append(e)
+        got = sorted(M.step_progress(rows, "run", "step", "steps", "seconds", reseed).collect(), key=lambda r: r["step"])
+        assert np.allclose([r["seconds_ema"] for r in got], want, atol=1e-12)
+        assert got[449]["percent"] == 50.0 and got[-1]["eta"] == 0 and abs(got[9]["eta"] - 890 * want[9]) < 1e-6
+
+
+def test_exported_parts_hold_each_shard_in_order(spark, tmp_path):
+    w = docs(spark, [30, 50, 7, 40])
+    parts = N.export_npy(S.teach(w, S.bigram_teacher(w, 2)), str(tmp_path), 64).collect()
+    assert sum(p["n_docs"] for p in parts) == 4 and len(parts) == 2
+    whole = np.concatenate([np.load(tmp_path / "s" / f"tokens-{k:05d}.npy") for k in sorted(p["part"] for p in parts)])
+    assert whole.tolist() == [100 * i + j for i, n in enumerate((30, 50, 7, 40)) for j in range(n)]
+
+
+def test_shards_of_several_folders_keep_their_own_k(spark):
+    w, paths = docs(spark, [9, 6]), [new_dir(spark, "shards-test") for _ in range(2)]
+    for k, path in zip((2, 1), paths):
+        t = S.teach(w.withColumn("shard_id", F.lit(f"s{k}")), S.bigram_teacher(w, k))
+        H.write_shards(t, H.shard_manifest(t, 1000, offsets=False), path)
+    assert H.open_shards(spark, *paths).groupBy("shard_id").agg(F.count(F.lit(1)).alias("n")).count() == 2
+    assert H.read_manifests(spark, *paths).first()["doc_offsets"] == []
+
+
 def test_stream_resumes_as_if_never_stopped(spark):
     rows = [(i, f"2026-01-01 00:00:{i:02d}", i % 3, float(i)) for i in range(30)]
     e = spark.createDataFrame(rows, "event_id bigint, ts string, user_id bigint, value double").withColumn("ts", F.to_timestamp("ts"))
