@@ -14,6 +14,11 @@ def asum(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda s, v: s + v.cast("double"))
 
 
+def each(value: Column, x: Column) -> Column:
+    """``value`` as often as ``x`` is long: within a lambda it would be computed anew for every element."""
+    return F.array_repeat(value, F.greatest(F.size(x), F.lit(0)))
+
+
 def lp_to_prob(logprobs: Column) -> Column:
     """Probabilities of natural-log probabilities."""
     return F.transform(logprobs, lambda v: F.exp(v.cast("double")))
@@ -71,8 +76,8 @@ def last_mask(tokens: Column) -> Column:
 def temp_softmax(logits: Column, temperature: float) -> Column:
     """Softmax of logits over a temperature, shifted by the largest."""
     z = F.transform(logits, lambda v: v.cast("double") / temperature)
-    shifted = F.transform(z, lambda v: F.exp(v - F.array_max(z)))
-    return F.transform(shifted, lambda v: v / asum(shifted))
+    shifted = F.zip_with(z, each(F.array_max(z), z), lambda v, top: F.exp(v - top))
+    return F.zip_with(shifted, each(asum(shifted), shifted), lambda v, total: v / total)
 
 
 def dot(a: Column, b: Column) -> Column:

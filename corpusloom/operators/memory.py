@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.arrays import asum, bf16
+from corpusloom.functions.arrays import asum, bf16, each
 from corpusloom.runtime import merge_join
 
 KEY = ["order", "head", "row_id"]
@@ -22,7 +22,7 @@ def memory_features(gathered: DataFrame, place: list[str], eps: float = 1e-6) ->
     g = gathered.groupBy(*place, "order").agg(F.min("valid").alias("valid"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("head", "vec"))), lambda x: x["vec"])).alias("v"))
     mean = asum(F.transform("v", lambda x: x.cast("double") * x.cast("double"))) / F.size("v")
     g = g.withColumn("scale", F.when(F.col("valid"), 1 / F.sqrt(mean + eps)).otherwise(F.lit(0.0)))
-    return g.select(*place, "order", F.transform("v", lambda x: x.cast("double") * F.col("scale")).alias("feature"))
+    return g.select(*place, "order", F.zip_with("v", each(F.col("scale"), F.col("v")), lambda x, s: x.cast("double") * s).alias("feature"))
 
 
 def vector_sum(fragments: DataFrame, key: list[str] = KEY) -> DataFrame:

@@ -10,7 +10,9 @@ VOCAB = 997
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "[ \t\n\r\f]+"), lambda w: w != "")
+    """Words between spaces, tabs and line ends; none for null."""
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\r\f"))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, "[ \t\n\r\f]+"))
 
 
 def token_of(word: Column) -> Column:
@@ -21,7 +23,8 @@ def token_of(word: Column) -> Column:
 
 def word_docs(docs: DataFrame) -> DataFrame:
     """(shard_id, doc_id, words, tokens) for documents of one word or more; shards are sources."""
-    d = docs.select(F.col("source").alias("shard_id"), "doc_id", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
+    # the filter looks at the text: one on the words would split it twice
+    d = docs.where(F.col("text").rlike("[^ \t\n\r\f]")).select(F.col("source").alias("shard_id"), "doc_id", words_of(F.col("text")).alias("words"))
     return d.withColumn("tokens", F.transform("words", token_of))
 
 

@@ -15,10 +15,15 @@ from corpusloom.runtime import merge_join, small_join
 from corpusloom.schemas import SHARD
 
 
+def pairs_of(tokens: Column) -> Column:
+    """Neighbours (ctx, token) of an array."""
+    n = F.size(tokens)
+    return F.arrays_zip(F.slice(tokens, F.lit(1), F.greatest(n - 1, F.lit(0))).alias("ctx"), F.slice(tokens, F.lit(2), F.greatest(n - 1, F.lit(0))).alias("token"))
+
+
 def bigram_counts(docs: DataFrame) -> DataFrame:
     """(ctx, token, n): how often a token follows another within a document."""
-    pairs = F.zip_with(F.slice("tokens", 1, F.greatest(F.size("tokens") - 1, F.lit(0))), F.slice("tokens", 2, F.size("tokens")), lambda a, b: F.struct(a.alias("ctx"), b.alias("token")))
-    return docs.select(F.explode(pairs).alias("p")).groupBy("p.ctx", "p.token").agg(F.count(F.lit(1)).alias("n"))
+    return docs.select(F.explode(pairs_of(F.col("tokens"))).alias("p")).groupBy("p.ctx", "p.token").agg(F.count(F.lit(1)).alias("n"))
 
 
 def topk_long(dist: DataFrame, ctx: str, token: str, p: str, k: int) -> DataFrame:
@@ -38,7 +43,11 @@ def bigram_teacher(docs: DataFrame, k: int) -> DataFrame:
 
     Counts are partially aggregated before the shuffle; the rows are bounded by the vocabulary.
     """
-    counts = bigram_counts(docs)
+    return count_teacher(bigram_counts(docs), k)
+
+
+def count_teacher(counts: DataFrame, k: int) -> DataFrame:
+    """The same from counts (ctx, token, n)."""
     by = Window.partitionBy("ctx")
     top = topk_long(counts.withColumn("total", F.sum("n").over(by)), "ctx", "token", "n", k)
     t = top.groupBy("ctx").agg(F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("rank", "token", "n"))).alias("r"))
@@ -59,10 +68,10 @@ def teach(docs: DataFrame, teacher: DataFrame, most: int = LOOKUP) -> DataFrame:
     the exact probabilities; the stored ones are rounded to half precision.
     """
     t = teacher.select("ctx", F.col("topk_idx").alias("i"), F.transform("topk_p", lambda v: fp16(v).cast("float")).alias("w"), F.col("tail").cast("float").alias("t"))
-    span = t.agg(F.min("ctx"), F.max("ctx")).first()
-    if span[0] is None or (span[0] >= 0 and span[1] < most):
-        rows: list[dict | None] = [None] * ((span[1] or 0) + 1)
-        for r in t.collect():  # at most ``most`` rows
+    known = t.limit(most + 1).collect()
+    if len(known) <= most and all(0 <= r["ctx"] < most for r in known):
+        rows: list[dict | None] = [None] * (max((r["ctx"] for r in known), default=0) + 1)
+        for r in known:
             rows[r["ctx"]] = {"i": r["i"], "w": r["w"], "t": r["t"]}
         # one text, folded to a literal when the plan is optimised
         table = F.from_json(F.lit(json.dumps(rows)), "array<struct<i:array<bigint>,w:array<float>,t:float>>")

@@ -15,7 +15,7 @@ from corpusloom.operators.prepare import PS_SQL, VOCAB, WD_SQL, words_of
 from corpusloom.plans.data_queries import K, L, docs_of, taught
 from corpusloom.plans.registry import query
 from corpusloom.plans.sql import PLACED, SHARD, TEACHER, brain
-from corpusloom.runtime import materialize, merge_join, new_dir, small_join, table
+from corpusloom.runtime import materialize, merge_join, new_dir, small_join, spread, table
 from corpusloom.schemas import SHARD as SHARD_SCHEMA
 from corpusloom.sources import shards as H
 
@@ -67,7 +67,7 @@ def score_udf(spark, d):
 
 
 def words_long(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.posexplode(words_of(c("text"))).alias("pos", "word"))
+    return spread(table(spark, d, "documents")).select("doc_id", F.posexplode(words_of(c("text"))).alias("pos", "word"))
 
 
 def vocab_of(spark: SparkSession, d: str) -> DataFrame:
@@ -327,7 +327,7 @@ def kd_loss(spark, d):
     # teacher and student look at one token back, so equal pairs are one position that counts n times
     student, pairs = student_of(spark, d)
     gold = pairs.select("ctx", c("token").alias("gold"), "n")
-    t = merge_join(gold, S.bigram_teacher(docs_of(spark, d), K), "ctx").select(F.struct("ctx", "gold").alias("pos_id"), "ctx", "topk_idx", c("topk_p").alias("topk_w"), c("tail").alias("tail_w"), "gold", "n", F.lit(1).alias("loss_mask"))
+    t = merge_join(gold, S.count_teacher(pairs, K), "ctx").select(F.struct("ctx", "gold").alias("pos_id"), "ctx", "topk_idx", c("topk_p").alias("topk_w"), c("tail").alias("tail_w"), "gold", "n", F.lit(1).alias("loss_mask"))
     t = materialize(t, "teacher")
     need = t.select("pos_id", "ctx", F.explode(F.array_distinct(F.concat("topk_idx", F.array("gold")))).alias("token"))
     rows = materialize(merge_join(need, student, ["ctx", "token"]).select("pos_id", "token", F.log("p").alias("logprob")), "student-rows")
@@ -340,8 +340,7 @@ NLL_SQL = STUDENT_SQL + f", nl AS (SELECT p.doc_id, p.shard_id, -ln({P_SQL}) AS
 def nll_of(spark: SparkSession, d: str, key: str) -> DataFrame:
     """(key, n, nll): losses of equal pairs of tokens, counted by ``key`` before they meet the student."""
     student, _ = student_of(spark, d)
-    pairs = F.zip_with(F.slice("tokens", 1, F.greatest(F.size("tokens") - 1, F.lit(0))), F.slice("tokens", 2, F.size("tokens")), lambda a, b: F.struct(a.alias("ctx"), b.alias("token")))
-    p = docs_of(spark, d).select(key, F.explode(pairs).alias("p")).groupBy(key, "p.ctx", "p.token").agg(F.count(F.lit(1)).alias("n"))
+    p = docs_of(spark, d).select(key, F.explode(S.pairs_of(c("tokens"))).alias("p")).groupBy(key, "p.ctx", "p.token").agg(F.count(F.lit(1)).alias("n"))
     return small_join(p, student, ["ctx", "token"]).select(key, "n", (-F.log("p")).alias("nll"))
 
 

@@ -107,5 +107,16 @@ def small_join(a: DataFrame, b: DataFrame, on, how: str = "inner", most_rows: in
     return merge_join(a, b, on, how)
 
 
+#: Tables of fewer bytes, as their files say, are dealt to all cores.
+SMALL_TABLE = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of a small table dealt to all cores: one small file is one row group, and that one task."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(n) if n > 1 and size < SMALL_TABLE else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
