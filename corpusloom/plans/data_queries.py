@@ -361,14 +361,14 @@ def interval_rate(spark, d):
     return r.select("event_id", F.round("rate", 6).alias("rate"))
 
 
-@query("step_progress", """WITH RECURSIVE o AS (SELECT user_id, abs(value) / 7 AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+@query("step_progress", """WITH RECURSIVE o AS (SELECT user_id, abs(value) * 0.371937::DOUBLE AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events),
 g AS (SELECT user_id, r, n, x AS e FROM o WHERE r = 1 UNION ALL SELECT o.user_id, o.r, o.n, CASE WHEN o.r = 2 THEN o.x ELSE 0.9::DOUBLE * g.e + 0.1::DOUBLE * o.x END FROM g JOIN o ON o.user_id = g.user_id AND o.r = g.r + 1)
 SELECT user_id, r AS step, round(100.0::DOUBLE * r / n, 6) AS percent, round(e * (n - r), 4) AS eta FROM g""")
 def step_progress(spark, d):
     from pyspark.sql.window import Window
 
     w = Window.partitionBy("user_id")
-    e = table(spark, d, "events").withColumns({"step": F.row_number().over(w.orderBy("ts", "event_id")).cast("bigint"), "steps": F.count(F.lit(1)).over(w), "seconds": F.abs("value") / 7})
+    e = table(spark, d, "events").withColumns({"step": F.row_number().over(w.orderBy("ts", "event_id")).cast("bigint"), "steps": F.count(F.lit(1)).over(w), "seconds": F.abs("value") * 0.371937})
     p = M.step_progress(e, "user_id", "step", "steps", "seconds", reseed=True)
     return p.select("user_id", "step", F.round("percent", 6).alias("percent"), F.round("eta", 4).alias("eta"))
 
