@@ -181,8 +181,9 @@ def verify(pairs: DataFrame, texts: DataFrame, shingle: int, least: tuple[int, i
 BLOCK, BLOCK_BYTES, TILE = 2048, 16 << 20, 256
 #: Rows and bytes of texts that one call of Python takes on average.
 CALL, CALL_BYTES = 4000, 32 << 20
-#: Buckets of more members that are still in several components are asked for fresh centres first, so many times.
-LARGE, ROUNDS = 512, 3
+#: Buckets of more than a block that are still in several components are asked for fresh centres first, at
+#: most so many times.
+LARGE, ROUNDS = BLOCK, 3
 
 
 def intersections(p: list[np.ndarray], q: list[np.ndarray], width: int = 8192) -> np.ndarray:
@@ -371,7 +372,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, least: tuple[int, int] =
             fresh = rows.where("NOT big").groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), "rep", "n", "comp")).alias("f"))
             fresh = fresh.select("key", c("f.rep").alias("a"), c("f.n").alias("fn"), c("f.comp").alias("fc"))
             pairs = merge_join(rows, fresh, "key").where((c("comp") != c("fc")) & near(c("n"), c("fn"))).select("a", c("rep").alias("b")).distinct()
-            links = tmp.table(links.union(verify(pairs, texts, shingle, least)), "dedup-links")
+            found = tmp.table(verify(pairs, texts, shingle, least), "dedup-fresh")
+            if found.isEmpty():  # further centres pay no more than blocks do
+                break
+            links = tmp.table(links.union(found), "dedup-links")
             comp = tmp.table(components(links, tmp), "dedup-components")
             placed = tmp.table(place(comp), "dedup-placed")
             opened = tmp.table(open_buckets(placed), "dedup-open")
