@@ -13,7 +13,10 @@ from corpusloom.llm.linededup import OP8_SQL, op8_line_dedup
 from corpusloom.llm.minhash import OP1_SQL, op1_near_dedup
 from corpusloom.llm.packing import op2_packing
 from corpusloom.llm.quality import op4_quality
+from corpusloom.llm.repair import OP13_SQL, op13_repair
 from corpusloom.llm.secrets import op3_secrets
+from corpusloom.llm.spelling import OP11_SQL, op11_spelling
+from corpusloom.llm.substring import OP12_SQL, op12_substring_dedup
 from corpusloom.llm.toxicity import op5_toxicity
 from corpusloom.llm.tokenfiles import op9_token_files
 
@@ -28,6 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_token_files": op9_token_files,
     "op10_chat": op10_chat,
+    "op11_spelling": op11_spelling,
+    "op12_substring_dedup": op12_substring_dedup,
+    "op13_repair": op13_repair,
 }
 
-ORACLES: dict[str, str] = {"op1_near_dedup": OP1_SQL, "op8_line_dedup": OP8_SQL, "op10_chat": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_near_dedup": OP1_SQL, "op8_line_dedup": OP8_SQL, "op10_chat": OP10_SQL, "op11_spelling": OP11_SQL, "op12_substring_dedup": OP12_SQL, "op13_repair": OP13_SQL}
