@@ -199,12 +199,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         firsts = small_join(whole, copies, key, "left_anti")
         anchors = s.table(anchors_of(firsts, window), "substring-anchors")
         shared = s.table(anchors.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h"), "substring-shared")
-        hits = small_join(anchors, shared, "h").groupBy(*key).agg(F.collect_set("pos").alias("hits"))
+        hits = merge_join(anchors, shared, "h").groupBy(*key).agg(F.collect_set("pos").alias("hits"))
         hits = s.table(hits, "substring-hits")
         near = merge_join(small_join(firsts, hits.select(*key), key, "left_semi"), hits, key)
         found = s.table(windows_at(near, window), "substring-windows")
         first = found.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("w1", "w2", "first")
-        cuts = small_join(found, s.table(first, "substring-first"), ["w1", "w2"]).where("doc_id > first").groupBy(*key).agg(F.collect_set("pos").alias("cuts"))
+        cuts = merge_join(found, s.table(first, "substring-first"), ["w1", "w2"]).where("doc_id > first").groupBy(*key).agg(F.collect_set("pos").alias("cuts"))
         cuts = s.table(cuts, "substring-cuts")
         flags = copies.withColumn("copy", F.lit(True)).unionByName(cuts.select(*key, F.lit(False).alias("copy")))
         flagged = small_join(d, s.table(flags, "substring-flags"), key, "left")
