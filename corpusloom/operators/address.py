@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions.hashing import DOMAIN, GOLD, affine, const64, mul64, multiplier, signed, umod
-from corpusloom.runtime import merge_join, small_join
+from corpusloom.operators.prefix import ordered_sums
+from corpusloom.runtime import materialize, merge_join, small_join
+from corpusloom.sources.files import exists, names, put_json
 
 
 def canon_map(vocab: DataFrame, canon: Column) -> DataFrame:
@@ -101,11 +105,10 @@ def long_addresses(batch: DataFrame) -> DataFrame:
 def unique_inverse(addresses: DataFrame, batch_key: list[str]) -> DataFrame:
     """Addresses with ``inverse``: the place of the row among the batch's distinct rows of the table.
 
-    Distinct rows are numbered, not positions.
+    Distinct rows are ranked over ranges, so a batch of any size takes many tasks.
     """
     keys = [*batch_key, "order", "head"]
-    uniq = addresses.select(*keys, "row_id").distinct()
-    uniq = uniq.withColumn("inverse", (F.row_number().over(Window.partitionBy(*keys).orderBy("row_id")) - 1).cast("bigint"))
+    uniq = ordered_sums(addresses.select(*keys, "row_id").distinct(), keys, ["row_id"], rank="inverse")
     return merge_join(addresses, uniq, [*keys, "row_id"])
 
 
@@ -125,3 +128,55 @@ def collision_report(grams: DataFrame) -> DataFrame:
     """
     per = grams.groupBy("order", "head", "row_id").agg(F.count(F.lit(1)).alias("n"))
     return per.groupBy("order", "head").agg(F.sum("n").alias("grams"), F.count(F.lit(1)).alias("rows"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("collided"))
+
+
+def head_overlap(grams: DataFrame) -> DataFrame:
+    """(order, head_a, head_b, grams, collided_a, collided_b, both, chance): whether heads collide apart.
+
+    ``grams`` holds distinct (order, head, gram, row_id). A gram has a bit for each head of its order in
+    which it shares its row with another gram; patterns of bits are counted, and pairs of heads are read
+    off the few patterns. ``chance`` is how many grams would collide in both if heads were independent.
+    """
+    shared = grams.groupBy("order", "head", "row_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("order", "head", "row_id", F.lit(True).alias("shared"))
+    bit = F.when(F.col("shared"), F.expr("shiftleft(1L, cast(head AS INT))")).otherwise(F.lit(0).cast("long"))
+    marked = merge_join(grams, shared, ["order", "head", "row_id"], "left").groupBy("order", "gram").agg(F.sum(bit).alias("bits"))
+    patterns = marked.groupBy("order", "bits").agg(F.count(F.lit(1)).alias("n"))
+    heads = grams.select("order", "head").distinct()
+    a, b = (heads.select("order", F.col("head").cast("int").alias(f"head_{x}")) for x in "ab")
+    # a row for each two heads of an order, and one for each pattern of their bits
+    pairs = small_join(small_join(patterns, a, "order"), b, "order").where("head_a < head_b")
+    on = lambda h: F.expr(f"(shiftright(bits, {h}) & 1) = 1")
+    n = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0))
+    g = pairs.groupBy("order", "head_a", "head_b").agg(F.sum("n").alias("grams"), n(on("head_a")).alias("collided_a"), n(on("head_b")).alias("collided_b"), n(on("head_a") & on("head_b")).alias("both"))
+    return g.withColumn("chance", F.col("collided_a") * F.col("collided_b") / F.col("grams"))
+
+
+def add_touches(path: str, addresses: DataFrame, batch_key: list[str]) -> int:
+    """Count the batches of ``addresses`` into the counters kept in ``path``, each batch once for ever.
+
+    Batches that an earlier call has counted are left out, so a run that begins again adds nothing twice.
+    Counts and the keys of their batches are written to a folder of their own, which counts from the moment
+    that its marker is there; one without is ignored. Returns the number of batches added.
+    """
+    spark = addresses.sparkSession
+    done = _touch_runs(spark, path)
+    new = addresses.select(*batch_key, "order", "head", "row_id")
+    if done:
+        new = merge_join(new, spark.read.parquet(*[f"{path}/{r}/batches" for r in done]), batch_key, "left_anti")
+    run = uuid.uuid4().hex[:12]
+    distinct = materialize(new.distinct(), "touches-new")
+    distinct.select(*batch_key).distinct().write.parquet(f"{path}/{run}/batches")
+    touch_counts(distinct, batch_key).write.parquet(f"{path}/{run}/counts")
+    added = spark.read.parquet(f"{path}/{run}/batches").count()
+    put_json(spark, f"{path}/{run}/done.json", {"batches": added})
+    return added
+
+
+def _touch_runs(spark: SparkSession, path: str) -> list[str]:
+    return [r for r in names(spark, path) if exists(spark, f"{path}/{r}/done.json")]
+
+
+def read_touches(spark: SparkSession, path: str) -> DataFrame:
+    """(order, head, row_id, touches) of all batches that ``path`` has counted; runs are merged as they are read."""
+    d = spark.read.parquet(*[f"{path}/{r}/counts" for r in _touch_runs(spark, path)])
+    return d.groupBy("order", "head", "row_id").agg(F.sum("touches").alias("touches"))

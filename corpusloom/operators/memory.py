@@ -17,9 +17,20 @@ def gather_rows(addresses: DataFrame, memory: DataFrame) -> DataFrame:
     return merge_join(addresses, rows, KEY, "left")
 
 
-def memory_features(gathered: DataFrame, place: list[str], eps: float = 1e-6) -> DataFrame:
-    """(place, order, feature): heads' rows side by side, scaled to a root mean square of 1; zero if invalid."""
-    g = gathered.groupBy(*place, "order").agg(F.min("valid").alias("valid"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("head", "vec"))), lambda x: x["vec"])).alias("v"))
+def memory_features(gathered: DataFrame, place: list[str], eps: float = 1e-6, heads: int | None = None, dim: int | None = None) -> DataFrame:
+    """(place, order, feature): heads' rows side by side, scaled to a root mean square of 1; zero if invalid.
+
+    With ``heads`` and ``dim`` a feature is ``heads * dim`` wide whatever was found: a head that is missing
+    at a place, or whose row is, is zeros there. Without them only the heads that are there count.
+    """
+    g = gathered.groupBy(*place, "order").agg(F.min("valid").alias("valid"), F.sort_array(F.collect_list(F.struct("head", "vec"))).alias("r"))
+    if heads and dim:
+        there = F.map_from_entries(F.filter("r", lambda x: x["vec"].isNotNull()))
+        none = F.array_repeat(F.lit(0.0).cast("float"), dim)
+        v = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(heads - 1)), lambda h: F.coalesce(F.try_element_at(there, h), none)))
+    else:
+        v = F.flatten(F.transform("r", lambda x: x["vec"]))
+    g = g.select(*place, "order", "valid", v.alias("v"))
     mean = asum(F.transform("v", lambda x: x.cast("double") * x.cast("double"))) / F.size("v")
     g = g.withColumn("scale", F.when(F.col("valid"), 1 / F.sqrt(mean + eps)).otherwise(F.lit(0.0)))
     return g.select(*place, "order", F.zip_with("v", each(F.col("scale"), F.col("v")), lambda x, s: x.cast("double") * s).alias("feature"))

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.operators.pack import ema_fold
 from corpusloom.operators.prefix import ordered_sums
+from corpusloom.operators.scan import running_average
 from corpusloom.runtime import merge_join
 
 
@@ -106,15 +106,11 @@ def interval_rate(rows: DataFrame, key: str, ts: Column, order: list[str], amoun
 def step_progress(rows: DataFrame, run: str, step: str, steps: str, seconds: str, reseed: bool = False, decay: float = 0.9) -> DataFrame:
     """``rows`` with ``percent`` done, ``seconds_ema`` and ``eta``: the seconds that the steps left will take.
 
-    The moving average begins with the run's first value, or with the second if ``reseed`` (a first step
-    that compiles tells nothing). It is folded over the last 400 rows, beyond which weights vanish.
+    The moving average begins with the run's first value, or anew with its second if ``reseed`` (a first step
+    that compiles tells nothing). It is exact for any decay, and a run of any length takes many tasks.
     """
-    w = Window.partitionBy(run).orderBy(step)
-    d = rows.withColumns({"__r": F.row_number().over(w), "__x": F.collect_list(F.col(seconds).cast("double")).over(w.rowsBetween(-400, Window.currentRow))})
-    late = F.expr("slice(__x, 2, size(__x) - 1)")
-    values = F.when((F.col("__r") > 1) & (F.col("__r") <= 401), late).otherwise(F.col("__x")) if reseed else F.col("__x")
-    d = d.withColumns({"percent": 100.0 * F.col(step) / F.col(steps), "seconds_ema": ema_fold(values, decay)})
-    return d.withColumn("eta", F.greatest(F.col(steps) - F.col(step), F.lit(0)) * F.col("seconds_ema")).drop("__r", "__x")
+    d = running_average(rows, run, [step], seconds, decay, reseed, "seconds_ema").withColumn("percent", 100.0 * F.col(step) / F.col(steps))
+    return d.withColumn("eta", F.greatest(F.col(steps) - F.col(step), F.lit(0)) * F.col("seconds_ema"))
 
 
 def running_totals(per_step: DataFrame, run: str, step: str, columns: list[str]) -> DataFrame:

@@ -48,16 +48,20 @@ def pack_windows(docs: DataFrame, length: int, partial: bool = False) -> DataFra
     off = doc_offsets(docs).select("shard_id", "doc_id", "local_doc", "offset")
     d = merge_join(docs.select("shard_id", "doc_id", "tokens"), off, ["shard_id", "doc_id"]).where(F.size("tokens") > 0)
     first, last = F.expr(f"offset div {length}"), F.expr(f"(offset + size(tokens) - 1) div {length}")
-    s = d.withColumn("window_id", F.explode(F.sequence(first, last)))
+    g = segments(d.withColumn("window_id", F.explode(F.sequence(first, last))), length)
+    return g if partial else g.where(F.size("tokens") == length)
+
+
+def segments(d: DataFrame, length: int) -> DataFrame:
+    """Windows (shard_id, window_id, tokens, doc_ids, loss_mask) of documents with ``offset`` and a window that they overlap."""
     begin = F.greatest(F.lit(0), F.col("window_id") * length - F.col("offset"))
     end = F.least(F.size("tokens"), (F.col("window_id") + 1) * length - F.col("offset"))
-    s = s.select("shard_id", "window_id", "local_doc", (F.col("offset") + begin).alias("at"), F.slice("tokens", (begin + 1).cast("int"), (end - begin).cast("int")).alias("tokens"))
+    s = d.select("shard_id", "window_id", "local_doc", (F.col("offset") + begin).alias("at"), F.slice("tokens", (begin + 1).cast("int"), (end - begin).cast("int")).alias("tokens"))
     # every overlap ends with a document's or a window's end: its last position is off
     on = F.concat(F.array_repeat(F.lit(1).cast("tinyint"), F.size("tokens") - 1), F.array(F.lit(0).cast("tinyint")))
     seg = F.struct("at", "tokens", F.array_repeat("local_doc", F.size("tokens")).alias("doc"), on.alias("mask"))
     g = s.groupBy("shard_id", "window_id").agg(F.sort_array(F.collect_list(seg)).alias("seg"))
-    g = g.select("shard_id", "window_id", F.flatten("seg.tokens").alias("tokens"), F.flatten("seg.doc").alias("doc_ids"), F.flatten("seg.mask").alias("loss_mask"))
-    return g if partial else g.where(F.size("tokens") == length)
+    return g.select("shard_id", "window_id", F.flatten("seg.tokens").alias("tokens"), F.flatten("seg.doc").alias("doc_ids"), F.flatten("seg.mask").alias("loss_mask"))
 
 
 def boundary_mask(docs: DataFrame, length: int) -> DataFrame:

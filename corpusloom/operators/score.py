@@ -5,13 +5,15 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.functions.arrays import dot, fp16, tail_mass
-from corpusloom.runtime import merge_join, small_join
+from corpusloom.functions.arrays import fp16, tail_mass
+from corpusloom.operators.prefix import ordered_sums
+from corpusloom.runtime import materialize, merge_join, small_join
 from corpusloom.schemas import SHARD
 
 
@@ -55,21 +57,24 @@ def count_teacher(counts: DataFrame, k: int) -> DataFrame:
     return t.withColumn("tail", tail_mass(F.col("topk_p")))
 
 
-#: Ids below this, and a teacher of fewer rows, are looked up in place.
-LOOKUP = 200_000
+#: Ids below this, and a teacher of fewer rows and bytes, are looked up in place.
+LOOKUP, LOOKUP_BYTES = 200_000, 16 << 20
 
 
-def teach(docs: DataFrame, teacher: DataFrame, most: int = LOOKUP) -> DataFrame:
+def teach(docs: DataFrame, teacher: DataFrame, most: int = LOOKUP, most_bytes: int = LOOKUP_BYTES) -> DataFrame:
     """Shard documents: each position gets its token's distribution over the next one.
 
-    ``teacher`` has one row for each id of a vocabulary. If its ids lie below ``most`` it is looked up in
-    place, as a literal of its rows, and nothing is shuffled; a larger one is joined by merging.
+    ``teacher`` has one row for each id of a vocabulary. If its ids lie below ``most``, and what it takes as
+    text below ``most_bytes``, it is looked up in place, as a literal of its rows, and nothing is shuffled; a
+    larger one is joined by merging.
     Positions without a distribution, and the last of each document, are masked. Tail mass comes from
     the exact probabilities; the stored ones are rounded to half precision.
     """
     t = teacher.select("ctx", F.col("topk_idx").alias("i"), F.transform("topk_p", lambda v: fp16(v).cast("float")).alias("w"), F.col("tail").cast("float").alias("t"))
-    known = t.limit(most + 1).collect()
-    if len(known) <= most and all(0 <= r["ctx"] < most for r in known):
+    t = materialize(t, "teacher")
+    n, low, high, wide = t.agg(F.count(F.lit(1)), F.min("ctx"), F.max("ctx"), F.coalesce(F.sum(40 * F.size("i") + 60), F.lit(0))).first()
+    if n == 0 or (n <= most and 0 <= low and high < most and wide + 5 * high <= most_bytes):
+        known = t.collect()
         rows: list[dict | None] = [None] * (max((r["ctx"] for r in known), default=0) + 1)
         for r in known:
             rows[r["ctx"]] = {"i": r["i"], "w": r["w"], "t": r["t"]}
@@ -91,21 +96,88 @@ def teach(docs: DataFrame, teacher: DataFrame, most: int = LOOKUP) -> DataFrame:
     )
 
 
-def similarity_topk(vectors: DataFrame, id_col: str, vec_col: str, candidates: DataFrame, k: int, most_candidates: int = 10_000) -> DataFrame:
-    """(id, topk ids, their shares, tail): softmax of dot products with a stated, bounded set of candidates.
+#: Candidates of a slice take so many bytes as doubles; a slice is what a pass over the vectors has in memory.
+SLICE_BYTES = 64 << 20
+#: Vectors and candidates of one product of matrices.
+TILE, BLOCK = 512, 4096
 
-    ``candidates`` (cand_id, cand_vec) is counted and must not exceed ``most_candidates``. All of them
-    meet each row in one array, so the scores of a row never leave it.
+
+class TopState:
+    """Softmax over candidates that come block after block: the largest score, the scaled sum and the ``k`` best.
+
+    States of disjoint sets of candidates merge in any order; only their ties follow the order of columns.
+    """
+
+    def __init__(self, top: np.ndarray, total: np.ndarray, ids: np.ndarray, scores: np.ndarray):
+        self.top, self.total, self.ids, self.scores = top, total, ids, scores
+
+    @classmethod
+    def empty(cls, n: int, k: int) -> TopState:
+        return cls(np.full(n, -np.inf), np.zeros(n), np.full((n, k), -1, np.int64), np.full((n, k), -np.inf))
+
+    def add(self, z: np.ndarray, ids: np.ndarray) -> None:
+        """Take in scores ``z`` (row, candidate) of candidates ``ids``, which rise and follow those before."""
+        top = np.maximum(self.top, z.max(1))
+        scale = np.exp(np.where(np.isinf(self.top), -np.inf, self.top - top))
+        self.total = self.total * scale + np.exp(z - top[:, None]).sum(1)
+        self.top, k = top, self.ids.shape[1]
+        scores = np.concatenate([self.scores, z], 1)
+        names = np.concatenate([self.ids, np.broadcast_to(ids, z.shape)], 1)
+        least = -np.partition(-scores, k - 1, 1)[:, k - 1 : k]
+        over, tied = scores > least, scores == least
+        # of those that tie for the last places the first stay
+        take = over | (tied & (np.cumsum(tied, 1) <= k - over.sum(1, keepdims=True)))
+        at = np.nonzero(take)[1].reshape(-1, k)
+        rows = np.arange(len(at))[:, None]
+        order = np.argsort(-scores[rows, at], 1, kind="stable")
+        self.scores, self.ids = scores[rows, at][rows, order], names[rows, at][rows, order]
+
+
+def similarity_topk(vectors: DataFrame, id_col: str, vec_col: str, candidates: DataFrame, k: int, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """(id, topk_idx, topk_p, tail): softmax of dot products with any number of candidates, the ``k`` largest shares.
+
+    ``candidates`` (cand_id, cand_vec) are ranked by id and cut into slices of ``slice_bytes``; each pass over
+    the vectors has one slice in memory and folds it, block after block, into a state for each vector: the
+    largest score, the scaled sum and the ``k`` best. No table of vectors and candidates is made. Ties go
+    to the smaller id; of fewer than ``k`` candidates there are as many. A null vector has none.
     """
-    n = candidates.count()
-    if n > most_candidates:
-        raise ValueError(f"{n} candidates; at most {most_candidates} are scored at once")
-    every = candidates.agg(F.sort_array(F.collect_list(F.struct("cand_id", F.transform("cand_vec", lambda x: x.cast("double")).alias("cand_vec")))).alias("c"))  # one row
-    scored = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).join(F.broadcast(every)).select("id", F.transform("c", lambda x: F.struct(dot(F.col("v"), x["cand_vec"]).alias("z"), x["cand_id"].alias("c"))).alias("s"))
-    e = scored.withColumn("top", F.array_max("s.z")).withColumn("s", F.transform("s", lambda x: F.struct(F.exp(x["z"] - F.col("top")).alias("e"), x["c"].alias("c"))))
-    e = e.withColumn("sum", F.aggregate("s", F.lit(0.0), lambda a, x: a + x["e"]))
-    t = e.select("id", topk_array(F.col("s.c"), F.transform("s", lambda x: x["e"] / F.col("sum")), k).alias("t"))
-    return t.select("id", F.col("t.id").alias("topk_idx"), F.col("t.p").alias("topk_p"), tail_mass(F.col("t.p")).alias("tail"))
+    spark = vectors.sparkSession
+    c = candidates.select("cand_id", F.transform("cand_vec", lambda x: x.cast("double")).alias("cand_vec"))
+    ranked = materialize(ordered_sums(c, [], ["cand_id"]), "candidates")
+    n, width = ranked.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("cand_vec")), F.lit(1))).first()
+    per, keep = max(1, slice_bytes // (8 * max(1, width))), max(1, min(k, n))
+    state = vectors.select(F.col(id_col).alias("id"), F.transform(vec_col, lambda x: x.cast("double")).alias("v"), F.lit(float("-inf")).alias("top"), F.lit(0.0).alias("total"), F.array_repeat(F.lit(-1).cast("long"), keep).alias("ids"), F.array_repeat(F.lit(float("-inf")), keep).alias("scores"))
+    for start in range(0, n, per):
+        part = ranked.where((F.col("rank") >= start) & (F.col("rank") < start + per)).select("rank", "cand_vec").toPandas().sort_values("rank")
+        held = spark.sparkContext.broadcast((part["rank"].to_numpy(np.int64), np.stack(part["cand_vec"])))
+
+        def fold(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            ranks, matrix = held.value
+            for b in batches:
+                for at in range(0, len(b), TILE):
+                    tile = b.iloc[at : at + TILE].copy()
+                    here = tile["v"].notna()
+                    if here.any():
+                        t = tile[here]
+                        s = TopState(t["top"].to_numpy(float), t["total"].to_numpy(float), np.stack(t["ids"]), np.stack(t["scores"]))
+                        v = np.stack(t["v"])
+                        for m in range(0, len(ranks), BLOCK):
+                            s.add(v @ matrix[m : m + BLOCK].T, ranks[m : m + BLOCK])
+                        t = t.assign(top=s.top, total=s.total, ids=list(s.ids), scores=list(s.scores))
+                        tile = pd.concat([t, tile[~here]])
+                    yield tile
+
+        state = state.mapInPandas(fold, state.schema)
+        if start + per < n:
+            state = materialize(state, "similarity")
+    z = F.filter(F.arrays_zip("ids", "scores"), lambda x: (x["ids"] >= 0) & F.col("v").isNotNull())
+    top = state.select("id", F.transform(z, lambda x: x["ids"]).alias("r"), F.transform(z, lambda x: F.exp(x["scores"] - F.col("top")) / F.col("total")).alias("topk_p"))
+    # ranks back to ids: a short list of the ranks that any vector has kept
+    long = top.select("id", F.posexplode("r").alias("i", "rank"))
+    named = merge_join(long, ranked.select("rank", "cand_id"), "rank").groupBy(F.col("id").alias("__id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "cand_id"))), lambda x: x["cand_id"]).alias("topk_idx"))
+    d = merge_join(top, named, F.col("id").eqNullSafe(F.col("__id")), "left")
+    none = F.array().cast(dict(named.dtypes)["topk_idx"])
+    return d.select("id", F.coalesce("topk_idx", none).alias("topk_idx"), "topk_p", tail_mass(F.col("topk_p")).alias("tail"))
 
 
 def score_with(docs: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:

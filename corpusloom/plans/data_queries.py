@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import arrays as A
 from corpusloom.operators import metrics as M
 from corpusloom.operators import pack as P
+from corpusloom.operators import scan as SC
 from corpusloom.operators import score as S
 from corpusloom.operators import sizing as Z
 from corpusloom.operators import validate as V
@@ -15,6 +16,7 @@ from corpusloom.operators.prepare import VOCAB, word_docs
 from corpusloom.plans.registry import query
 from corpusloom.plans.sql import OFFSETS, PLACED, SHARD, half
 from corpusloom.runtime import materialize, merge_join, new_dir, spread, table
+from corpusloom.sources import convert as CV
 from corpusloom.sources import npz as N
 from corpusloom.sources import shards as H
 from corpusloom.sources import text as X
@@ -35,10 +37,10 @@ def taught(spark: SparkSession, d: str) -> DataFrame:
     return S.teach(w, S.bigram_teacher(w, K))
 
 
-def manifest_of(shards: DataFrame) -> DataFrame:
+def manifest_of(shards: DataFrame, offsets: bool = False) -> DataFrame:
     """A manifest with provenance that depends on the shard's name, for the queries on it."""
     odd = F.ascii(F.substring("shard_id", -1, 1)) % 2 == 1
-    return H.shard_manifest(shards, VOCAB, teacher_id="bigram", text_source="documents", fold_version=F.when(odd, "v1").otherwise("v2"), data_class=F.when(odd, "b").otherwise("a"), alpha_override=F.when(odd, 0.5))
+    return H.shard_manifest(shards, VOCAB, offsets, teacher_id="bigram", text_source="documents", fold_version=F.when(odd, "v1").otherwise("v2"), data_class=F.when(odd, "b").otherwise("a"), alpha_override=F.when(odd, 0.5))
 
 
 MANIFEST_SQL = OFFSETS + """,
@@ -86,6 +88,18 @@ def bulk_of(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return bulk, off.select("file", "chunk", "start", "length")
 
 
+def odd_arrays(name: str, arrays: dict) -> dict:
+    """Bundles with another type, without an array or with another shape, by the file's name."""
+    kind = ord(name[3]) % 4
+    if kind == 1:
+        arrays["teacher_probs"] = arrays["teacher_probs"].astype("float64")
+    elif kind == 2:
+        del arrays["loss_mask"]
+    elif kind == 3:
+        arrays["tokens"], arrays["loss_mask"] = arrays["tokens"].repeat([2] + [1] * (len(arrays["tokens"]) - 1)), arrays["loss_mask"].astype("int32")
+    return arrays
+
+
 FILES_SQL = WD_SQL_ONLY + """, bf AS (SELECT shard_id || '-' || (doc_id // 640) || '.npz' AS file, doc_id, tokens FROM wd)"""
 
 
@@ -97,6 +111,15 @@ def npz_source(spark, d):
     return N.read_npz(spark, path).groupBy("file").agg(F.count(F.lit(1)).alias("positions"), F.sum("token").alias("token_sum"), F.sum("loss_mask").alias("unmasked"))
 
 
+@query("npz_headers", "WITH " + FILES_SQL + """, f AS (SELECT file, sum(len(tokens))::BIGINT AS n, count(*) AS chunks FROM bf GROUP BY file)
+SELECT file, CASE unicode(file[4]) % 4 WHEN 1 THEN ['teacher_probs is <f8, not <f4'] WHEN 2 THEN ['missing loss_mask'] WHEN 3 THEN ['teacher_ids has shape [' || n || ', 3]', 'teacher_probs has shape [' || n || ', 3]', 'loss_mask is <i4, not |u1', 'loss_mask has shape [' || n || ']'] ELSE [] END AS faults FROM f""")
+def npz_headers(spark, d):
+    bulk, chunks = bulk_of(spark, d)
+    path = new_dir(spark, "npz")
+    materialize(N.write_npz(bulk.drop("chunk"), chunks, path, odd_arrays), "npz-written")
+    return N.bundle_faults(N.read_npz_headers(spark, path))
+
+
 @query("shard_open", "WITH " + SHARD + " SELECT shard_id, count(DISTINCT doc_id) AS docs, count(*) AS tokens, 4 AS k FROM sh GROUP BY shard_id")
 def shard_open(spark, d):
     path, t = new_dir(spark, "shards"), materialize(taught(spark, d), "taught")
@@ -126,7 +149,15 @@ def shard_roundtrip(spark, d):
 
 @query("shard_manifest", "WITH " + MANIFEST_SQL + " SELECT shard_id, total_tokens, num_documents, doc_offsets, doc_lengths, fold_version, data_class, alpha_override FROM mf")
 def shard_manifest(spark, d):
-    return manifest_of(taught(spark, d)).select("shard_id", "total_tokens", "num_documents", "doc_offsets", "doc_lengths", "fold_version", "data_class", "alpha_override")
+    return manifest_of(taught(spark, d), offsets=True).select("shard_id", "total_tokens", "num_documents", "doc_offsets", "doc_lengths", "fold_version", "data_class", "alpha_override")
+
+
+@query("window_read", "WITH " + PLACED + f" SELECT shard_id, gpos // {L} AS window_id, list(token ORDER BY gpos) AS tokens, list(local_doc ORDER BY gpos) AS doc_ids FROM pl WHERE (gpos // {L} + 1) * {L} <= total AND gpos // {L} % 5 = 2 GROUP BY 1, 2")
+def window_read(spark, d):
+    path, t = new_dir(spark, "shards"), materialize(taught(spark, d), "taught")
+    H.write_shards(t, manifest_of(t), path)
+    fifth = H.all_windows(spark, path, L).where("window_id % 5 = 2")
+    return H.read_windows(spark, path, fifth, L).select("shard_id", "window_id", "tokens", "doc_ids")
 
 
 @query("manifest_scan", "WITH " + MANIFEST_SQL + " SELECT shard_id, total_tokens, num_documents, fold_version FROM mf")
@@ -144,6 +175,21 @@ def bulk_pending(spark, d):
     return left.union(done.select(F.lit("skipped").alias("state"))).groupBy("state").agg(F.count(F.lit(1)).alias("files"))
 
 
+@query("bulk_convert", "WITH " + FILES_SQL + """, f AS (SELECT file, count(*) AS docs, sum(len(tokens))::BIGINT AS tokens, sum(list_sum(tokens[2:]))::BIGINT AS gold, unicode(file[4]) % 4 AS k FROM bf GROUP BY file)
+SELECT file, CASE WHEN k = 0 THEN 'skipped' ELSE 'rejected' END AS state, CASE WHEN k = 0 THEN docs END AS docs, CASE WHEN k = 0 THEN tokens END AS tokens, CASE WHEN k = 0 THEN coalesce(gold, 0) END AS gold_sum FROM f""")
+def bulk_convert(spark, d):
+    bulk, chunks = bulk_of(spark, d)
+    path, out = new_dir(spark, "npz"), new_dir(spark, "converted")
+    materialize(N.write_npz(bulk.drop("chunk"), chunks, path, odd_arrays), "npz-written")
+    CV.bulk_convert(spark, path, out, VOCAB, files_per_batch=3)
+    report = CV.bulk_convert(spark, path, out, VOCAB).select("file", "state", "shard_id")  # what was converted is left alone
+    if not CV.committed(spark, out):
+        return report.select("file", "state", *[F.lit(None).cast("bigint").alias(n) for n in ("docs", "tokens", "gold_sum")])
+    gold = F.aggregate(F.filter("topk_idx", lambda x: F.size(x) > 0), F.lit(0).cast("bigint"), lambda s, x: s + x[0])
+    per = H.open_shards(spark, out).groupBy("shard_id").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("tokens")).cast("bigint").alias("tokens"), F.sum(gold).alias("gold_sum"))
+    return merge_join(report, per, "shard_id", "left").select("file", "state", "docs", "tokens", "gold_sum")
+
+
 @query("size_shards", """WITH RECURSIVE o AS (SELECT source AS shard_id, doc_id, strlen(text)::BIGINT AS bytes, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents),
 g AS (SELECT shard_id, doc_id, bytes, r, bytes AS size, 0::BIGINT AS file_no FROM o WHERE r = 1
 UNION ALL SELECT o.shard_id, o.doc_id, o.bytes, o.r, CASE WHEN g.size > 0 AND g.size + o.bytes > 100000 THEN o.bytes ELSE g.size + o.bytes END, CASE WHEN g.size > 0 AND g.size + o.bytes > 100000 THEN g.file_no + 1 ELSE g.file_no END FROM g JOIN o ON o.shard_id = g.shard_id AND o.r = g.r + 1)
@@ -373,6 +419,20 @@ def step_progress(spark, d):
     return p.select("user_id", "step", F.round("percent", 6).alias("percent"), F.round("eta", 4).alias("eta"))
 
 
+RUNNING_SQL = """WITH RECURSIVE o AS (SELECT user_id, event_id, CASE WHEN event_id % 11 <> 3 THEN value * 0.371937::DOUBLE END AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+g AS (SELECT user_id, event_id, r, x AS a, x AS b FROM o WHERE r = 1
+UNION ALL SELECT o.user_id, o.event_id, o.r, CASE WHEN o.x IS NULL THEN g.a WHEN g.a IS NULL THEN o.x ELSE 0.99::DOUBLE * g.a + 0.01::DOUBLE * o.x END, CASE WHEN o.x IS NULL THEN g.b WHEN g.b IS NULL THEN o.x ELSE 0.999::DOUBLE * g.b + 0.001::DOUBLE * o.x END FROM g JOIN o ON o.user_id = g.user_id AND o.r = g.r + 1)
+SELECT event_id, round(a, 6) AS slow, round(b, 6) AS slower FROM g"""
+
+
+@query("running_average", RUNNING_SQL)
+def running_average(spark, d):
+    e = table(spark, d, "events").select("user_id", "ts", "event_id", F.when(c("event_id") % 11 != 3, c("value") * 0.371937).alias("x"))
+    r = SC.running_average(e, "user_id", ["ts", "event_id"], "x", 0.99, out="slow")
+    r = SC.running_average(r, "user_id", ["ts", "event_id"], "x", 0.999, out="slower")
+    return r.select("event_id", F.round("slow", 6).alias("slow"), F.round("slower", 6).alias("slower"))
+
+
 EMA_SQL = """WITH RECURSIVE o AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
 g AS (SELECT user_id, r, value AS e, value AS total FROM o WHERE r = 1 UNION ALL SELECT o.user_id, o.r, 0.9::DOUBLE * g.e + 0.1::DOUBLE * o.value, g.total + o.value FROM g JOIN o ON o.user_id = g.user_id AND o.r = g.r + 1)
 SELECT user_id, r AS n, round(e, 6) AS ema{more} FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY r DESC) AS back FROM g) WHERE back = 1"""
@@ -419,13 +479,28 @@ def stream_ingest(spark, d):
     return back.groupBy("shard_id").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("tokens")).alias("tokens"))
 
 
+@query("stream_shards", "WITH " + WD_SQL_ONLY + " SELECT shard_id, count(*) AS docs, sum(len(tokens))::BIGINT AS tokens, sum(len(tokens))::BIGINT AS stated FROM wd GROUP BY shard_id")
+def stream_shards(spark, d):
+    landing, docs = new_dir(spark, "landing"), table(spark, d, "documents")
+    docs.select("doc_id", "text", "source").write.parquet(landing)
+
+    def convert(batch):
+        w = word_docs(batch).select("shard_id", "doc_id", "tokens")
+        return S.teach(w, S.bigram_teacher(w, K))
+
+    out = new_dir(spark, "stream-shards")
+    paths = SI.ingest_shards(spark, landing, "doc_id bigint, text string, source string", convert, out, new_dir(spark, "ingest-checkpoint"), VOCAB)
+    got = H.open_shards(spark, *paths).groupBy("shard_id").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("tokens")).cast("bigint").alias("tokens"))
+    return merge_join(got, H.read_manifests(spark, *paths).groupBy("shard_id").agg(F.sum("total_tokens").alias("stated")), "shard_id")
+
+
 @query("stream_ema", EMA_SQL.format(more=", round(total, 3) AS total"))
 def stream_ema(spark, d):
     landing, out = new_dir(spark, "events"), new_dir(spark, "ema")
     table(spark, d, "events").write.parquet(landing)
     stream = spark.readStream.schema(spark.read.parquet(landing).schema).parquet(landing)
     SI.run_available(SE.stream_ema(stream), out, new_dir(spark, "ema-checkpoint"))
-    last = spark.read.parquet(out).groupBy("user_id").agg(F.max_by(F.struct("n", "total", "ema"), "n").alias("s"))
+    last = spark.read.parquet(out).where("late_id IS NULL").groupBy("user_id").agg(F.max_by(F.struct("n", "total", "ema"), "n").alias("s"))
     return last.select("user_id", c("s.n").alias("n"), F.round("s.ema", 6).alias("ema"), F.round("s.total", 3).alias("total"))
 
 

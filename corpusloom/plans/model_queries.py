@@ -11,6 +11,7 @@ from corpusloom.operators import memory as Y
 from corpusloom.operators import metrics as M
 from corpusloom.operators import pack as P
 from corpusloom.operators import score as S
+from corpusloom.operators import versions as VT
 from corpusloom.operators.prepare import PS_SQL, VOCAB, WD_SQL, words_of
 from corpusloom.plans.data_queries import K, L, docs_of, taught
 from corpusloom.plans.registry import query
@@ -213,6 +214,26 @@ def collision_report(spark, d):
     return D.collision_report(a.select("order", "head", gram.alias("gram"), "row_id").distinct())
 
 
+@query("head_overlap", "WITH " + ADDRESS_SQL + """, gr AS (SELECT DISTINCT "order", head, c0, CASE WHEN "order" > 1 THEN c1 ELSE 0 END AS d1, CASE WHEN "order" > 2 THEN c2 ELSE 0 END AS d2, row_id FROM ad),
+fl AS (SELECT *, count(*) OVER (PARTITION BY "order", head, row_id) > 1 AS hit FROM gr)
+SELECT a."order", a.head AS head_a, b.head AS head_b, count(*) AS grams, sum(a.hit::INT)::BIGINT AS collided_a, sum(b.hit::INT)::BIGINT AS collided_b, sum((a.hit AND b.hit)::INT)::BIGINT AS both, round(sum(a.hit::INT)::DOUBLE * sum(b.hit::INT) / count(*), 6) AS chance
+FROM fl a JOIN fl b USING ("order", c0, d1, d2) WHERE a.head < b.head GROUP BY ALL""")
+def head_overlap(spark, d):
+    a = D.long_addresses(batch_of(spark, d))
+    gram = F.struct("c0", F.when(c("order") > 1, c("c1")).otherwise(0).alias("c1"), F.when(c("order") > 2, c("c2")).otherwise(0).alias("c2"))
+    grams = materialize(a.select("order", "head", gram.alias("gram"), "row_id").distinct(), "grams")
+    return D.head_overlap(grams).withColumn("chance", F.round("chance", 6))
+
+
+@query("touch_store", "WITH " + TOUCH_SQL + ' SELECT "order", head, row_id, touches FROM tc')
+def touch_store(spark, d):
+    a, path = D.long_addresses(batch_of(spark, d)), new_dir(spark, "touches")
+    early = F.ascii(F.substring("shard_id", -1, 1)) % 2 == 1
+    D.add_touches(path, a.where(early), ["shard_id"])
+    D.add_touches(path, a, ["shard_id"])  # what was counted before adds nothing
+    return D.read_touches(spark, path)
+
+
 # memory tables
 
 def memory_of(spark: SparkSession, d: str) -> DataFrame:
@@ -230,6 +251,15 @@ def memory_gather(spark, d):
     return g.groupBy("shard_id", "head").agg(F.count("vec").alias("found"), F.round(F.coalesce(F.sum(F.get("vec", F.lit(0)).cast("double")), F.lit(0.0)), 5).alias("first_sum"))
 
 
+@query("stored_gather", "WITH " + ADDRESS_SQL + ", " + MEMORY_SQL + ' SELECT shard_id, head, count(vec) AS found, round(coalesce(sum(vec[1]::DOUBLE), 0), 5) AS first_sum FROM ad LEFT JOIN me USING ("order", head, row_id) WHERE "order" = 1 GROUP BY ALL')
+def stored_gather(spark, d):
+    path = new_dir(spark, "memory")
+    name = "memory_" + path.rsplit("-", 1)[-1]
+    VT.store_by_key(memory_of(spark, d), name, path, buckets=16)
+    g = VT.gather_stored(D.long_addresses(batch_of(spark, d)).where(c("order") == 1), name)
+    return g.groupBy("shard_id", "head").agg(F.count("vec").alias("found"), F.round(F.coalesce(F.sum(F.get("vec", F.lit(0)).cast("double")), F.lit(0.0)), 5).alias("first_sum"))
+
+
 @query("memory_features", "WITH " + ADDRESS_SQL + ", " + MEMORY_SQL + """, g AS (SELECT shard_id, window_id, pos, count(*) AS n, sum(list_sum(list_transform(vec, lambda x: x::DOUBLE * x::DOUBLE))) / sum(len(vec)) AS ms, sum(list_sum(list_transform(vec, lambda x: x::DOUBLE))) AS s FROM ad JOIN me USING ("order", head, row_id) WHERE "order" = 1 GROUP BY ALL)
 SELECT shard_id, count(*) AS places, round(sum(s / sqrt(ms + 1e-6)), 3) AS feature_sum FROM g GROUP BY shard_id""")
 def memory_features(spark, d):
@@ -262,6 +292,15 @@ def sparse_upsert(spark, d):
     return up.select("head", "row_id", F.round(A.asum(c("vec")), 3).alias("total"))
 
 
+@query("versioned_upsert", "WITH " + UPSERT_SQL + " SELECT head, row_id, round(list_sum(vec), 3) AS total FROM up")
+def versioned_upsert(spark, d):
+    root, base = new_dir(spark, "versioned"), memory_of(spark, d)
+    shape = Y.table_shape(base).first().asDict()
+    VT.create_table(base, root, shape, buckets=16)
+    VT.update_table(spark, root, Y.vector_sum(fragments_of(spark, d)), shape)
+    return VT.read_table(spark, root, shape).select("head", "row_id", F.round(A.asum(c("vec")), 3).alias("total"))
+
+
 @query("accumulate_apply", "WITH " + UPSERT_SQL + " SELECT head, count(*) AS rows, sum(updated::INT)::BIGINT AS updated FROM up GROUP BY head")
 def accumulate_apply(spark, d):
     base = memory_of(spark, d)

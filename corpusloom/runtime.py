@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -50,32 +52,58 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_base(spark)}/corpusloom/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Scratches that own what is materialized, the innermost last, and tables that no scratch deletes.
+_OPEN: list[Scratch] = []
+_KEPT: list[tuple[SparkSession, str]] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back.
 
-    Cuts the lineage (a lost executor costs no recomputation beyond this table) and gives the
-    planner true sizes.
+    Cuts the lineage (a lost executor costs no recomputation beyond this table) and gives the planner true
+    sizes. Within an open ``Scratch`` that ``owns`` what is written the table is deleted with it; others
+    stay for the results that are read from them, until ``sweep`` or the end of the driver.
     """
     spark = df.sparkSession
     path = new_dir(spark, name)
+    if _OPEN:
+        _OPEN[-1].paths.append(path)
+    else:
+        _KEPT.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep() -> None:
+    """Delete the intermediate tables of all results so far; those not yet written out cannot be read after it."""
+    while _KEPT:
+        spark, path = _KEPT.pop()
+        with contextlib.suppress(Exception):  # the session may have ended
+            discard(spark, path)
+
+
+atexit.register(sweep)
+
+
 class Scratch:
     """Intermediate tables of one operator, deleted once its result no longer needs them.
 
     ``with Scratch(spark) as s: ... return s.result(df, name)`` writes tables with ``s.table``; the result
-    is written too, and stays. If the operator fails, its tables go as well.
+    is written too, and stays. If the operator fails, its tables go as well. One that ``owns`` also deletes
+    what is materialized meanwhile, by whatever the operator calls.
     """
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+    def __init__(self, spark: SparkSession, owns: bool = False):
+        self.spark, self.paths, self.owns = spark, [], owns
 
     def __enter__(self) -> Scratch:
+        if self.owns:
+            _OPEN.append(self)
         return self
 
     def __exit__(self, *_) -> None:
+        if self.owns:
+            _OPEN.remove(self)
         discard(self.spark, *self.paths)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
@@ -85,7 +113,14 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def result(self, df: DataFrame, name: str) -> DataFrame:
-        return materialize(df, name)
+        """A table that outlives this scratch, for whoever opened it."""
+        at = _OPEN.index(self) if self.owns else len(_OPEN)
+        inner = _OPEN[at:]
+        del _OPEN[at:]
+        try:
+            return materialize(df, name)
+        finally:
+            _OPEN.extend(inner)
 
 
 def discard(spark: SparkSession, *paths: str) -> None:
@@ -100,9 +135,29 @@ def merge_join(a: DataFrame, b: DataFrame, on, how: str = "inner") -> DataFrame:
     return a.hint("merge").join(b.hint("merge"), on, how)
 
 
-def small_join(a: DataFrame, b: DataFrame, on, how: str = "inner", most_rows: int = 1_000_000) -> DataFrame:
-    """Join with ``b`` broadcast if it is counted at ``most_rows`` or less, else by merging."""
-    if b.limit(most_rows + 1).count() <= most_rows:
+#: A side is broadcast if its files hold no more bytes and rows than these.
+BROADCAST_BYTES, BROADCAST_ROWS = 32 << 20, 1_000_000
+
+
+def _written_bytes(df: DataFrame) -> int | None:
+    """Bytes of the files behind ``df``, if it is nothing but some columns of a table as it was written."""
+    p = df._jdf.queryExecution().optimizedPlan()
+    while p.getClass().getSimpleName() == "Project":
+        p = p.child()
+    return int(str(p.stats().sizeInBytes())) if p.getClass().getSimpleName() == "LogicalRelation" else None
+
+
+def small_join(a: DataFrame, b: DataFrame, on, how: str = "inner", most_rows: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Join with ``b`` broadcast if its files are at most ``most_bytes`` and ``most_rows``, else by merging.
+
+    Unless ``b`` is a written table already it is written first, so it is computed once and judged by
+    what it is. Its rows are counted from the files' footers.
+    """
+    size = _written_bytes(b)
+    if size is None:
+        b = materialize(b, "small-side")
+        size = _written_bytes(b)
+    if size <= most_bytes and b.count() <= most_rows:
         return a.join(b.hint("broadcast"), on, how)
     return merge_join(a, b, on, how)
 

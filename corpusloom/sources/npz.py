@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import io
+import json
 import uuid
-from collections.abc import Iterator
+import zipfile
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from corpusloom.operators.pack import doc_offsets
 from corpusloom.runtime import merge_join
@@ -23,63 +26,179 @@ def _fs(uri: str):
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
 
 
-class _File(InputPartition):
-    def __init__(self, uri: str):
-        self.uri = uri
+#: Arrays of a bundle with their exact types (fixed values of the format) and how their shape follows from
+#: N positions, K candidates and C chunks.
+ARRAYS = {
+    "tokens": ("<u4", "N"),
+    "teacher_ids": ("<i4", "NK"),
+    "teacher_probs": ("<f4", "NK"),
+    "loss_mask": ("|u1", "N"),
+    "chunk_start": ("<i8", "C"),
+    "chunk_length": ("<i8", "C"),
+}
+HEADERS = "file string, array string, dtype string, shape array<long>, in_order boolean, stored boolean, bytes long"
+#: Rows of one batch, and bytes of positions from which a stored bundle is read by several tasks.
+BATCH_ROWS, SPLIT_BYTES = 8192, 64 << 20
+
+
+class _Member:
+    """One array of a bundle, read from its header on; of a stored member any rows by their place."""
+
+    def __init__(self, bundle: zipfile.ZipFile, info: zipfile.ZipInfo):
+        import numpy as np
+
+        self.stored, self.bytes = info.compress_type == zipfile.ZIP_STORED, info.file_size
+        self.stream = bundle.open(info)
+        version = np.lib.format.read_magic(self.stream)
+        read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
+        self.shape, fortran, self.dtype = read(self.stream)
+        self.in_order, self.data = not fortran or len(self.shape) < 2, self.stream.tell()
+
+    def rows(self, low: int, high: int):
+        """Rows ``low`` to ``high``: a stored member is sought, a compressed one read on."""
+        import numpy as np
+
+        width = self.dtype.itemsize * int(np.prod(self.shape[1:], dtype=np.int64))
+        self.stream.seek(self.data + low * width)
+        raw = self.stream.read((high - low) * width)
+        if len(raw) != (high - low) * width:
+            raise ValueError(f"an array ends after {len(raw)} of {(high - low) * width} bytes")
+        return np.frombuffer(raw, self.dtype).reshape(high - low, *self.shape[1:])
+
+
+def _members(f) -> dict[str, _Member]:
+    """Arrays of an open bundle by name; only its directory and the arrays' headers are read."""
+    z = zipfile.ZipFile(f)
+    return {i.filename.removesuffix(".npy"): _Member(z, i) for i in z.infolist() if i.filename.endswith(".npy")}
+
+
+def header_faults(arrays: dict[str, tuple[str, tuple[int, ...], bool]]) -> list[str]:
+    """What is wrong with the (dtype, shape, in_order) of a bundle's arrays, by name."""
+    faults, sizes = [], {}
+    for name, (kind, dims) in ARRAYS.items():
+        if name not in arrays:
+            faults.append(f"missing {name}")
+            continue
+        dtype, shape, in_order = arrays[name]
+        if dtype != kind:
+            faults.append(f"{name} is {dtype}, not {kind}")
+        if len(shape) != len(dims) or any(sizes.setdefault(d, n) != n for d, n in zip(dims, shape)):
+            faults.append(f"{name} has shape {[int(x) for x in shape]}")
+        elif "K" in dims and shape[-1] < 1:
+            faults.append(f"{name} has no candidates")
+        if not in_order:
+            faults.append(f"{name} is not in row order")
+    return faults
+
+
+class _Part(InputPartition):
+    def __init__(self, uri: str, low: int = 0, high: int | None = None):
+        self.uri, self.low, self.high = uri, low, high
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, options: dict, chunks: bool):
-        self.path, self.chunks = options["path"], chunks
+    def __init__(self, options: dict, columns: list[str]):
+        self.path, self.columns = options["path"], columns
+        self.files = set(json.loads(options["files"])) if "files" in options else None
+        self.split = int(options.get("splitBytes", SPLIT_BYTES))
 
-    def partitions(self) -> list[InputPartition]:
+    def uris(self) -> list[tuple[str, int]]:
+        """Bundles of the folder and their sizes."""
         import pyarrow.fs as pafs
 
         fs, root = _fs(self.path)
         scheme = self.path[: len(self.path) - len(root)] if self.path.endswith(root) else ""
-        files = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(root, recursive=False)) if f.path.endswith(".npz"))
-        return [_File(scheme + f) for f in files]
+        files = sorted((f.path, f.size) for f in fs.get_file_info(pafs.FileSelector(root, recursive=False)) if f.path.endswith(".npz"))
+        return [(scheme + p, n) for p, n in files if self.files is None or p.rsplit("/", 1)[-1] in self.files]
+
+    def partitions(self) -> list[InputPartition]:
+        parts = []
+        for uri, size in self.uris():
+            if size <= self.split:
+                parts.append(_Part(uri))
+                continue
+            fs, path = _fs(uri)
+            with fs.open_input_file(path) as f:  # a large bundle: its directory and headers tell if it can be split
+                m = _members(f)
+                whole = header_faults({k: (x.dtype.str, x.shape, x.in_order) for k, x in m.items()}) or not all(x.stored for x in m.values())
+                n = 0 if whole else m["tokens"].shape[0]
+            step = max(BATCH_ROWS, -(-n * self.split // size))
+            parts += [_Part(uri)] if whole else [_Part(uri, k, min(n, k + step)) for k in range(0, n, step)]
+        return parts
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        if partition is None:
+            return
+        fs, path = _fs(partition.uri)
+        name = path.rsplit("/", 1)[-1]
+        with fs.open_input_file(path) as f:
+            m = _members(f)
+            faults = header_faults({k: (x.dtype.str, x.shape, x.in_order) for k, x in m.items()})
+            if faults:
+                raise ValueError(f"{name}: {'; '.join(faults)}")
+            yield from self.batches(name, m, partition)
+
+    def batches(self, name: str, m: dict[str, _Member], part: _Part) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        n = m["tokens"].shape[0]
+        low, high = part.low, n if part.high is None else part.high
+        starts = m["chunk_start"].rows(0, m["chunk_start"].shape[0]) if "chunk" in self.columns else None
+        pairs = lambda k, kind: lambda a, e: pa.FixedSizeListArray.from_arrays(pa.array(m[k].rows(a, e).ravel(), kind), m[k].shape[1]).cast(pa.list_(kind))
+        make = {
+            "file": lambda a, e: pa.array([name] * (e - a)),
+            "pos": lambda a, e: pa.array(np.arange(a, e), pa.int64()),
+            "token": lambda a, e: pa.array(m["tokens"].rows(a, e).astype(np.int64)),
+            "teacher_ids": pairs("teacher_ids", pa.int32()),
+            "teacher_probs": pairs("teacher_probs", pa.float32()),
+            # values above 127 do not fit the column: they stay as they are in the check and are refused here
+            "loss_mask": lambda a, e: pa.array(m["loss_mask"].rows(a, e)).cast(pa.int8()),
+            "chunk": lambda a, e: pa.array((np.searchsorted(starts, np.arange(a, e), "right") - 1).astype(np.int32)),
+        }
+        for a in range(low, high, BATCH_ROWS):
+            e = min(high, a + BATCH_ROWS)
+            yield pa.RecordBatch.from_arrays([make[c](a, e) for c in self.columns], names=self.columns)
+
+
+class _ChunkReader(_Reader):
+    def partitions(self) -> list[InputPartition]:
+        return [_Part(uri) for uri, _ in self.uris()]
+
+    def batches(self, name: str, m: dict[str, _Member], part: _Part) -> Iterator[pa.RecordBatch]:
+        s, n = (m[k].rows(0, m[k].shape[0]) for k in ("chunk_start", "chunk_length"))
+        yield pa.RecordBatch.from_arrays([pa.array([name] * len(s)), pa.array(range(len(s)), pa.int32()), pa.array(s, pa.int64()), pa.array(n, pa.int64())], names=["file", "chunk", "start", "length"])
+
+
+class _HeaderReader(_ChunkReader):
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         if partition is None:
             return
         fs, path = _fs(partition.uri)
-        name = path.rsplit("/", 1)[-1]
-        with fs.open_input_file(path) as f, np.load(io.BytesIO(f.read()), allow_pickle=False) as z:
-            if self.chunks:
-                s, n = z["chunk_start"], z["chunk_length"]
-                yield pa.RecordBatch.from_pydict({"file": [name] * len(s), "chunk": pa.array(range(len(s)), pa.int32()), "start": pa.array(s, pa.int64()), "length": pa.array(n, pa.int64())})
-                return
-            tokens, ids, probs, mask = (z[k] for k in ("tokens", "teacher_ids", "teacher_probs", "loss_mask"))
-            for k in range(0, len(tokens), 8192):
-                e = min(len(tokens), k + 8192)
-                yield pa.RecordBatch.from_pydict({
-                    "file": [name] * (e - k),
-                    "pos": pa.array(range(k, e), pa.int64()),
-                    "token": pa.array(tokens[k:e].astype("int64"), pa.int64()),
-                    "teacher_ids": pa.array(list(ids[k:e].astype("int32")), pa.list_(pa.int32())),
-                    "teacher_probs": pa.array(list(probs[k:e].astype("float32")), pa.list_(pa.float32())),
-                    "loss_mask": pa.array(mask[k:e].astype("int8"), pa.int8()),
-                })
+        with fs.open_input_file(path) as f:
+            m = _members(f)
+        rows = [(path.rsplit("/", 1)[-1], k, x.dtype.str, list(x.shape), x.in_order, x.stored, x.bytes) for k, x in m.items()]
+        rows = rows or [(path.rsplit("/", 1)[-1], None, None, None, None, None, None)]
+        kinds = (pa.string(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.bool_(), pa.bool_(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[x.split()[0] for x in HEADERS.split(", ")])
 
 
 class NpzPositions(DataSource):
-    """Scored positions of all ``.npz`` files of a folder; one input partition for each file."""
+    """Scored positions of all ``.npz`` files of a folder, by ranges of positions where a file is large and stored."""
 
     @classmethod
     def name(cls) -> str:
         return "npz_positions"
 
     def schema(self) -> str:
-        return BULK
+        want = json.loads(self.options.get("columns", "null"))
+        have = {c.split()[0]: c for c in f"{BULK}, chunk int".split(", ")}
+        return ", ".join(have[c] for c in want) if want else BULK
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options, False)
+        return _Reader(self.options, schema.names)
 
 
-class NpzChunks(NpzPositions):
+class NpzChunks(DataSource):
     """Chunks of all ``.npz`` files of a folder."""
 
     @classmethod
@@ -90,16 +209,69 @@ class NpzChunks(NpzPositions):
         return CHUNKS
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options, True)
+        return _ChunkReader(self.options, schema.names)
+
+
+class NpzHeaders(NpzChunks):
+    """A row for each array of each ``.npz`` file: its type and shape as the file states them, without its values."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "npz_headers"
+
+    def schema(self) -> str:
+        return HEADERS
+
+    def reader(self, schema) -> DataSourceReader:
+        return _HeaderReader(self.options, schema.names)
+
+
+def _load(spark: SparkSession, source: type[DataSource], path: str, files: list[str] | None = None, **options) -> DataFrame:
+    spark.dataSource.register(source)
+    r = spark.read.format(source.name()).option("path", path)
+    for k, v in (options | ({} if files is None else {"files": json.dumps(files)})).items():
+        r = r.option(k, v)
+    return r.load()
+
 
+def read_npz(spark: SparkSession, path: str, chunks: bool = False, files: list[str] | None = None, columns: list[str] | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Positions (or chunks) of the bundles of a folder, or of some ``files`` of it.
+
+    Types and shapes are taken from the arrays' own headers and must be the format's exactly: a bundle with
+    others fails the job, nothing is cast. ``columns`` (those of BULK, and ``chunk``: the place of the
+    position's chunk) are all that is read of a stored bundle; one of more than ``split_bytes`` is read by
+    several tasks. Compressed bundles are read as a stream by one task each.
+    """
+    if chunks:
+        return _load(spark, NpzChunks, path, files)
+    return _load(spark, NpzPositions, path, files, splitBytes=split_bytes, **({"columns": json.dumps(columns)} if columns else {}))
+
+
+def read_npz_headers(spark: SparkSession, path: str, files: list[str] | None = None) -> DataFrame:
+    """(file, array, dtype, shape, in_order, stored, bytes) of every array of the bundles of a folder."""
+    return _load(spark, NpzHeaders, path, files)
+
+
+def list_npz(spark: SparkSession, path: str) -> list[str]:
+    """Names of the bundles of a folder."""
+    return [u.rsplit("/", 1)[-1] for u, _ in _Reader({"path": path}, []).uris()]
+
+
+def bundle_faults(headers: DataFrame) -> DataFrame:
+    """(file, faults) of ``read_npz_headers``: missing arrays, other types than the format's, shapes that do not agree."""
+
+    def check(arrays: pd.Series) -> pd.Series:
+        return pd.Series([header_faults({a["array"]: (a["dtype"], tuple(a["shape"]), a["in_order"]) for a in x if a["array"]}) for x in arrays], dtype=object)
+
+    g = headers.groupBy("file").agg(F.collect_list(F.struct("array", "dtype", "shape", "in_order")).alias("a"))
+    return g.select("file", F.pandas_udf(check, "array<string>")("a").alias("faults"))
 
-def read_npz(spark: SparkSession, path: str, chunks: bool = False) -> DataFrame:
-    spark.dataSource.register(NpzChunks if chunks else NpzPositions)
-    return spark.read.format("npz_chunks" if chunks else "npz_positions").option("path", path).load()
 
+def write_npz(bulk: DataFrame, chunks: DataFrame, out_dir: str, alter: Callable[[str, dict], dict] | None = None) -> DataFrame:
+    """Write one bundle for each file name; returns (file, n). A file must fit one task, as its format asks.
 
-def write_npz(bulk: DataFrame, chunks: DataFrame, out_dir: str) -> DataFrame:
-    """Write one bundle for each file name; returns (file, n). A file must fit one task, as its format asks."""
+    ``alter`` may change the arrays of a file before they are written.
+    """
     both = bulk.groupBy("file").cogroup(chunks.groupBy("file"))
 
     def write(rows: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
@@ -111,7 +283,8 @@ def write_npz(bulk: DataFrame, chunks: DataFrame, out_dir: str) -> DataFrame:
         fs, root = _fs(out_dir)
         fs.create_dir(root, recursive=True)
         name, buffer = str(rows["file"].iloc[0]), io.BytesIO()
-        np.savez(buffer, tokens=rows["token"].to_numpy("uint32"), teacher_ids=np.stack(rows["teacher_ids"]).astype("int32"), teacher_probs=np.stack(rows["teacher_probs"]).astype("float32"), loss_mask=rows["loss_mask"].to_numpy("uint8"), chunk_start=parts["start"].to_numpy("int64"), chunk_length=parts["length"].to_numpy("int64"))
+        arrays = {"tokens": rows["token"].to_numpy("uint32"), "teacher_ids": np.stack(rows["teacher_ids"]).astype("int32"), "teacher_probs": np.stack(rows["teacher_probs"]).astype("float32"), "loss_mask": rows["loss_mask"].to_numpy("uint8"), "chunk_start": parts["start"].to_numpy("int64"), "chunk_length": parts["length"].to_numpy("int64")}
+        np.savez(buffer, **(alter(name, arrays) if alter else arrays))
         with fs.open_output_stream(f"{root}/.{name}.part") as f:
             f.write(buffer.getvalue())
         fs.move(f"{root}/.{name}.part", f"{root}/{name}")
@@ -120,34 +293,103 @@ def write_npz(bulk: DataFrame, chunks: DataFrame, out_dir: str) -> DataFrame:
     return both.applyInPandas(write, "file string, n bigint")
 
 
+#: Exported arrays and their types.
+NPY = {"tokens": "uint32", "tail_w": "float32", "loss_mask": "uint8"}
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    """Files of a task, as (own name, final name), and its parts."""
+
+    files: list[tuple[str, str]]
+    parts: list[tuple]
+
+
 #: Tokens of one exported part, besides the rest of its last document.
 PART_TOKENS = 1 << 20
 
 
+class _NpyWriter(DataSourceArrowWriter):
+    """Writes rows (shard_id, part, tokens, tail_w, loss_mask), together and in order by (shard_id, part), as ``.npy`` files.
+
+    A task writes under names of its own; what the job's committed tasks wrote is renamed when all are done.
+    """
+
+    def __init__(self, options: dict):
+        self.path = options["path"]
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
+        import numpy as np
+
+        fs, root = _fs(self.path)
+        made, now, held = [], None, []
+
+        def flush() -> None:
+            if now is None:
+                return
+            shard, part = now
+            fs.create_dir(f"{root}/{shard}", recursive=True)
+            for k, (name, kind) in enumerate(NPY.items()):
+                buffer = io.BytesIO()
+                np.save(buffer, np.concatenate([np.asarray(x[k], kind) for x in held]))
+                own = f"{root}/{shard}/.{name}-{part:05d}-{uuid.uuid4().hex[:8]}"
+                with fs.open_output_stream(own) as f:
+                    f.write(buffer.getvalue())
+                made.append((own, f"{root}/{shard}/{name}-{part:05d}.npy"))
+            parts.append((shard, part, len(held), sum(len(x[0]) for x in held)))
+
+        parts: list[tuple] = []
+        for b in iterator:
+            for shard, part, *arrays in zip(*[b.column(c).to_pylist() for c in ("shard_id", "part", *NPY)]):
+                if (shard, part) != now:
+                    flush()
+                    now, held = (shard, part), []
+                held.append(arrays)
+        flush()
+        return _Written(made, parts)
+
+    def commit(self, messages: list[_Written | None]) -> None:
+        fs, root = _fs(self.path)
+        fs.create_dir(root, recursive=True)
+        for m in filter(None, messages):
+            for own, final in m.files:
+                fs.move(own, final)
+        with fs.open_output_stream(f"{root}/.parts.json") as f:
+            for m in filter(None, messages):
+                f.write("".join(json.dumps(dict(zip(("shard_id", "part", "n_docs", "n_tokens"), p))) + "\n" for p in m.parts).encode())
+        fs.move(f"{root}/.parts.json", f"{root}/parts.json")
+
+    def abort(self, messages: list[_Written | None]) -> None:
+        fs, _ = _fs(self.path)
+        for m in filter(None, messages):
+            for own, _ in m.files:
+                fs.delete_file(own)
+
+
+class NpyParts(DataSource):
+    """The sink of ``export_npy``: arrays in parts, which appear together or not at all."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "npy_parts"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
+        return _NpyWriter(self.options)
+
+
 def export_npy(shards: DataFrame, out_dir: str, part_tokens: int = PART_TOKENS) -> DataFrame:
     """Write each shard's tokens, tail and mask as ``.npy`` parts, for a trainer that maps them.
 
     A shard is cut into parts of about ``part_tokens`` in the order of documents (``tokens-00000.npy``,
-    ...), so a shard of any size is written by many tasks, none of which holds more than one part.
-    Returns (shard_id, part, n_docs, n_tokens).
+    ...), so a shard of any size is written by many tasks, each of which holds one part at a time. Files get
+    their names when all tasks are done; a job that fails leaves none, and removes what its tasks wrote.
+    Returns (shard_id, part, n_docs, n_tokens), which ``parts.json`` keeps.
     """
+    spark = shards.sparkSession
+    spark.dataSource.register(NpyParts)
     off = doc_offsets(shards).select("shard_id", "doc_id", "local_doc", F.expr(f"cast(offset div {part_tokens} as int)").alias("part"))
-    d = merge_join(shards.select("shard_id", "doc_id", "tokens", "tail_w", "loss_mask"), off, ["shard_id", "doc_id"])
-
-    def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        shard, part = key
-        rows = rows.sort_values("local_doc")
-        fs, root = _fs(out_dir)
-        fs.create_dir(f"{root}/{shard}", recursive=True)
-        for name, kind in (("tokens", "uint32"), ("tail_w", "float32"), ("loss_mask", "uint8")):
-            buffer = io.BytesIO()
-            np.save(buffer, np.concatenate([np.asarray(x, kind) for x in rows[name]]))
-            own = f"{root}/{shard}/.{name}-{part:05d}-{uuid.uuid4().hex[:8]}"
-            with fs.open_output_stream(own) as f:
-                f.write(buffer.getvalue())
-            fs.move(own, f"{root}/{shard}/{name}-{part:05d}.npy")
-        return pd.DataFrame({"shard_id": [shard], "part": [part], "n_docs": [len(rows)], "n_tokens": [sum(map(len, rows["tokens"]))]})
-
-    return d.groupBy("shard_id", "part").applyInPandas(write, "shard_id string, part int, n_docs bigint, n_tokens bigint")
+    d = merge_join(shards.select("shard_id", "doc_id", *NPY), off, ["shard_id", "doc_id"])
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    d = d.repartition(n, "shard_id", "part").sortWithinPartitions("shard_id", "part", "local_doc").select("shard_id", "part", *NPY)
+    d.write.format("npy_parts").mode("append").option("path", out_dir).save()
+    return spark.read.schema("shard_id string, part int, n_docs bigint, n_tokens bigint").json(f"{out_dir}/parts.json")

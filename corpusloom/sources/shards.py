@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators.pack import doc_offsets
-from corpusloom.runtime import merge_join, small_join
+from corpusloom.operators.pack import doc_offsets, segments
+from corpusloom.runtime import materialize, merge_join, small_join
 from corpusloom.schemas import MANIFEST, SHARD
 
 #: Provenance that a writer may set, with what it is if unset.
@@ -20,11 +20,11 @@ def shard_documents(shards: DataFrame) -> DataFrame:
     return doc_offsets(shards)
 
 
-def shard_manifest(shards: DataFrame, vocab_size: int, offsets: bool = True, **provenance) -> DataFrame:
+def shard_manifest(shards: DataFrame, vocab_size: int, offsets: bool = False, **provenance) -> DataFrame:
     """One row for each shard: counts, offsets and lengths in the order of documents, and provenance.
 
-    With ``offsets`` a shard's offsets come as two arrays in its row, as the format has it; leave them
-    out for shards too large for that (they are empty then) and write ``shard_documents`` beside.
+    With ``offsets`` a shard's offsets come as two arrays in its row, for shards that are small enough for
+    that; else these are empty. ``write_shards`` keeps the offsets as rows beside the manifest.
     """
     unknown = provenance.keys() - DEFAULTS.keys()
     if unknown:
@@ -42,12 +42,53 @@ def shard_manifest(shards: DataFrame, vocab_size: int, offsets: bool = True, **p
     return m.select(*[F.col(n).cast(types[n]).alias(n) for n in names])
 
 
-def write_shards(shards: DataFrame, manifest: DataFrame, path: str) -> None:
-    """Write documents by shard, and after them the manifest, whose presence marks the shard as done."""
-    shards.repartition("shard_id", F.pmod(F.xxhash64("doc_id"), F.lit(16))).sortWithinPartitions("shard_id", "doc_id").write.mode("overwrite").partitionBy("shard_id").parquet(f"{path}/shards")
+#: Bytes of a position as stored (token, candidates, tail and mask), and of one file, which is then about one row group.
+TOKEN_BYTES, FILE_BYTES = 64, 128 << 20
+
+
+def write_shards(shards: DataFrame, manifest: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
+    """Write documents by shard, their offsets and an index of files, and last the manifest, which marks them as done.
+
+    Documents are dealt by ranges of (shard, document), as many as their bytes need, so a large shard takes
+    many tasks and a small one a single file, and each file holds documents that follow each other.
+    """
+    spark = shards.sparkSession
+    total = shards.agg(F.coalesce(F.sum(F.size("tokens").cast("long")), F.lit(0))).first()[0]
+    n = max(1, -(-total * TOKEN_BYTES // file_bytes))
+    shards.repartitionByRange(n, "shard_id", "doc_id").sortWithinPartitions("shard_id", "doc_id").write.mode("overwrite").partitionBy("shard_id").parquet(f"{path}/shards")
+    written = spark.read.schema(SHARD).parquet(f"{path}/shards")
+    index = written.groupBy("shard_id", F.col("_metadata.file_path").alias("file")).agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+    index.write.mode("overwrite").parquet(f"{path}/index")
+    shard_documents(written).write.mode("overwrite").parquet(f"{path}/offsets")
     manifest.write.mode("overwrite").json(f"{path}/manifest")
 
 
+def all_windows(spark: SparkSession, path: str, length: int) -> DataFrame:
+    """(shard_id, window_id) of all full windows of the shards in ``path``."""
+    t = spark.read.parquet(f"{path}/offsets").groupBy("shard_id").agg(F.sum("len").alias("total")).where(F.col("total") >= length)
+    return t.select("shard_id", F.explode(F.expr(f"sequence(0L, total div {length} - 1)")).alias("window_id"))
+
+
+def read_windows(spark: SparkSession, path: str, windows: DataFrame, length: int) -> DataFrame:
+    """(shard_id, window_id, tokens, doc_ids, loss_mask) of some ``windows`` (shard_id, window_id), by random access.
+
+    Offsets tell which documents a window overlaps, and the index which files hold these; no other file is
+    opened. Windows that are not there, or not full, give no row.
+    """
+    wanted = materialize(windows.select("shard_id", "window_id").distinct(), "windows-wanted")
+    off = spark.read.parquet(f"{path}/offsets").where("len > 0")
+    over = off.withColumn("window_id", F.explode(F.expr(f"sequence(offset div {length}, (offset + len - 1) div {length})")))
+    parts = materialize(small_join(over, wanted, ["shard_id", "window_id"]), "windows-parts")
+    index = spark.read.parquet(f"{path}/index").select(F.col("shard_id").alias("__s"), "file", "first_doc", "last_doc")
+    hit = small_join(parts.select("shard_id", "doc_id").distinct(), index, (F.col("shard_id") == F.col("__s")) & F.col("doc_id").between(F.col("first_doc"), F.col("last_doc")))
+    files = [r["file"] for r in hit.select("file").distinct().collect()]  # names of the files that the windows need
+    reader = spark.read.schema(SHARD).option("basePath", f"{path}/shards")
+    docs = (reader.parquet(*files) if files else spark.createDataFrame([], SHARD)).select("shard_id", "doc_id", "tokens")
+    d = merge_join(docs, parts, ["shard_id", "doc_id"])
+    w = segments(d, length)
+    return w.where(F.size("tokens") == length)
+
+
 def read_shards(spark: SparkSession, *paths: str) -> DataFrame:
     """Documents of all shards of several folders; their schema is fixed, the number of candidates may differ."""
     one = [spark.read.schema(SHARD).parquet(f"{p}/shards") for p in paths]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.operators.prefix import ordered_sums
 from corpusloom.operators.prepare import words_of
 from corpusloom.schemas import DENSE
 
@@ -15,6 +16,15 @@ def read_dense_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_text_corpus(spark: SparkSession, path: str, by_line: bool = True, least_words: int = 2) -> DataFrame:
-    """(path, text, words): a document for each line, or for each whole file; shorter ones go."""
-    d = spark.read.text(path, wholetext=not by_line).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    """(path, block, at, text, words): a document for each line, or for each whole file; shorter ones go.
+
+    Documents are in the order of (path, block, at): a file's lines come in blocks that begin at a byte of
+    it, and rise within a block. ``document_order`` makes numbers of these keys.
+    """
+    d = spark.read.text(path, wholetext=not by_line).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("text"))
     return d.withColumn("words", words_of(F.col("text"))).where(F.size("words") >= least_words)
+
+
+def document_order(docs: DataFrame) -> DataFrame:
+    """(path, block, at, doc_no) of ``read_text_corpus``: numbers from 0 over all files in order. Only keys are moved."""
+    return ordered_sums(docs.select("path", "block", "at"), [], ["path", "block", "at"], rank="doc_no")
