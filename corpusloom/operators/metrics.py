@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from corpusloom.operators.prefix import ordered_sums
+from corpusloom.operators.prefix import ordered_lag, ordered_sums
 from corpusloom.operators.scan import running_average
 from corpusloom.runtime import merge_join
 
@@ -98,9 +97,8 @@ def parse_telemetry(lines: DataFrame) -> DataFrame:
 
 def interval_rate(rows: DataFrame, key: str, ts: Column, order: list[str], amount: Column) -> DataFrame:
     """(rows with) ``rate``: amount over the seconds since the row before of the key, at least 1e-6."""
-    w = Window.partitionBy(key).orderBy(*order)
-    d = rows.withColumn("__t", ts).withColumn("__d", F.col("__t") - F.lag("__t").over(w))
-    return d.withColumn("rate", F.when(F.col("__d").isNotNull(), amount / F.greatest(F.col("__d"), F.lit(1e-6)))).drop("__t", "__d")
+    d = ordered_lag(rows.withColumn("__t", ts), [key], order, "__t", "__last").withColumn("__d", F.col("__t") - F.col("__last"))
+    return d.withColumn("rate", F.when(F.col("__d").isNotNull(), amount / F.greatest(F.col("__d"), F.lit(1e-6)))).drop("__t", "__d", "__last")
 
 
 def step_progress(rows: DataFrame, run: str, step: str, steps: str, seconds: str, reseed: bool = False, decay: float = 0.9) -> DataFrame:

@@ -37,3 +37,24 @@ def ordered_sums(rows: DataFrame, groups: list[str], order: list, sums: list[str
     d = merge_join(d, base, same)
     out = {rank: (F.col("__k") + F.col("__b__n")).cast("bigint"), **{f"{s}_before": (F.col(f"__w_{s}") + F.col(f"__b__s_{s}")).cast("bigint") for s in sums}}
     return d.withColumns(out).select(*rows.columns, *out)
+
+
+def ordered_lag(rows: DataFrame, groups: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """``rows`` with ``out``: ``value`` of the row before within ``groups`` in the order of ``order``, null for the first.
+
+    Rows are dealt by ranges; the first row of a range looks at the last one of the range before, of which
+    there is one for each range and group. Put a tie breaker last in ``order``.
+    """
+    spark = rows.sparkSession
+    n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keys = [F.col(g) for g in [*groups, *order]]
+    dealt = materialize(rows.repartitionByRange(n, *keys).withColumn("__range", F.spark_partition_id()), "ordered")
+    last = F.max(F.struct(*[F.col(o).alias(f"o{k}") for k, o in enumerate(order)], F.col(value).alias("v")))
+    ends = dealt.groupBy(*[F.col(g).alias(f"__g_{g}") for g in groups], F.col("__range").alias("__r")).agg(last.alias("last"))
+    before = ends.withColumn("__before", F.lag("last.v").over(Window.partitionBy(*[f"__g_{g}" for g in groups]).orderBy("__r"))).drop("last")
+    within = Window.partitionBy(*groups, "__range").orderBy(*order)
+    d = dealt.withColumns({"__k": F.row_number().over(within), "__w": F.lag(value).over(within)})
+    same = F.col("__range") == F.col("__r")
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"__g_{g}"))
+    return merge_join(d, before, same).withColumn(out, F.when(F.col("__k") == 1, F.col("__before")).otherwise(F.col("__w"))).select(*rows.columns, out)

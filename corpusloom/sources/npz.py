@@ -44,32 +44,36 @@ BATCH_ROWS, SPLIT_BYTES = 8192, 64 << 20
 class _Member:
     """One array of a bundle, read from its header on; of a stored member any rows by their place."""
 
-    def __init__(self, bundle: zipfile.ZipFile, info: zipfile.ZipInfo):
+    def __init__(self, f, bundle: zipfile.ZipFile, info: zipfile.ZipInfo):
         import numpy as np
 
-        self.stored, self.bytes = info.compress_type == zipfile.ZIP_STORED, info.file_size
-        self.stream = bundle.open(info)
+        self.stored, self.bytes, self.name = info.compress_type == zipfile.ZIP_STORED, info.file_size, info.filename
+        self.stream, start = bundle.open(info), 0
+        if self.stored:  # the member's bytes lie in the file as they are, behind a local header with two texts
+            f.seek(info.header_offset + 26)
+            names = f.read(4)
+            self.stream, start = f, info.header_offset + 30 + int.from_bytes(names[:2], "little") + int.from_bytes(names[2:], "little")
+            f.seek(start)
         version = np.lib.format.read_magic(self.stream)
         read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
         self.shape, fortran, self.dtype = read(self.stream)
-        self.in_order, self.data = not fortran or len(self.shape) < 2, self.stream.tell()
+        self.in_order, self.data, self.end = not fortran or len(self.shape) < 2, self.stream.tell(), start + info.file_size
 
     def rows(self, low: int, high: int):
         """Rows ``low`` to ``high``: a stored member is sought, a compressed one read on."""
         import numpy as np
 
         width = self.dtype.itemsize * int(np.prod(self.shape[1:], dtype=np.int64))
+        if self.data + high * width > self.end:
+            raise ValueError(f"{self.name} ends before its row {high}")
         self.stream.seek(self.data + low * width)
-        raw = self.stream.read((high - low) * width)
-        if len(raw) != (high - low) * width:
-            raise ValueError(f"an array ends after {len(raw)} of {(high - low) * width} bytes")
-        return np.frombuffer(raw, self.dtype).reshape(high - low, *self.shape[1:])
+        return np.frombuffer(self.stream.read((high - low) * width), self.dtype).reshape(high - low, *self.shape[1:])
 
 
 def _members(f) -> dict[str, _Member]:
     """Arrays of an open bundle by name; only its directory and the arrays' headers are read."""
     z = zipfile.ZipFile(f)
-    return {i.filename.removesuffix(".npy"): _Member(z, i) for i in z.infolist() if i.filename.endswith(".npy")}
+    return {i.filename.removesuffix(".npy"): _Member(f, z, i) for i in z.infolist() if i.filename.endswith(".npy")}
 
 
 def header_faults(arrays: dict[str, tuple[str, tuple[int, ...], bool]]) -> list[str]:
