@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ ENTRY_WORDS, BLOCK = 2 * STRIDE, 64
 K1, B = 1.2, 0.75
 #: An index holds at most so many items; more make further passes over the documents.
 MAX_ITEMS = 20_000
+#: Share of an item's question and of its answer that must stand near a passage.
+AGREE, LEAST_PAIRS = 0.5, 0.25
 HITS = "array<struct<item_id:long,word:int,score:double,question:double,answer:double>>"
 
 
@@ -43,51 +47,71 @@ def split_item(text: str) -> tuple[list[str], list[str]]:
     return words[: len(words) - n], words[len(words) - n :]
 
 
-def grams(words: list[str], n: int) -> set[tuple[str, ...]]:
-    return {tuple(words[k : k + n]) for k in range(len(words) - n + 1)}
+def agreement(part: list[str], near: list[str]) -> float:
+    """How much of ``part`` stands in ``near``: the mean share of its words, and of its neighbours in that order.
 
-
-def share(part: set, of: set) -> float:
-    return len(part & of) / len(part) if part else 1.0
+    Neighbours may have one word between them there, so a word put in breaks no pair, and a word that is
+    lost breaks the two pairs it was in. Below ``LEAST_PAIRS`` the share of neighbours counts alone: the same
+    words in another order agree no more than that. 1 for an empty part.
+    """
+    if not part:
+        return 1.0
+    words = set(near)
+    found = sum(w in words for w in part) / len(part)
+    if len(part) == 1:
+        return found
+    pairs = {*zip(near, near[1:]), *zip(near, near[2:])}
+    ordered = sum(x in pairs for x in zip(part, part[1:])) / (len(part) - 1)
+    return (found + ordered) / 2 if ordered >= LEAST_PAIRS else ordered
 
 
 class Index:
-    """Inverted index of items. Impacts are shares of an entry's own score, the score of its own text.
+    """Inverted index of items for block-max WAND. Impacts are shares of an entry's own score, that of its own text.
 
-    For each entry the terms of least impact, together at most ``spare``, are not looked up at first:
-    an entry reaches ``threshold`` only if its other terms reach ``threshold - spare``. Postings of
-    these are kept by blocks of entries with the largest impact of each block.
+    Every term has its postings by entry, the largest impact of them all, and of each block of ``BLOCK``
+    postings. Beside these stand the postings that a stretch of text is judged by as a whole: for each
+    entry the terms of least impact, together at most ``spare``, are left out of them, for an entry reaches
+    ``threshold`` only if its other terms reach ``threshold - spare``. All is held in arrays, so that an
+    index built once goes to the tasks as it is.
     """
 
     def __init__(self, items: list[tuple[int, str]], threshold: float = 0.6, spare: float = 0.25):
         self.threshold = threshold
-        self.items = []
+        self.items: list[tuple[int, list[str], list[str]]] = []
         entries: list[tuple[int, list[str]]] = []
         for item_id, text in items:
             q, a = split_item(text or "")
             words = q + a
             if not words:
                 continue
-            self.items.append((item_id, words, grams(q, min(3, len(q))), grams(a, min(3, len(a)))))
+            self.items.append((item_id, q, a))
             entries += [(len(self.items) - 1, words[k : k + ENTRY_WORDS]) for k in range(0, len(words), ENTRY_WORDS) if k == 0 or len(words) - k >= 8]
         self.owner = [e[0] for e in entries]
         df = Counter(w for _, words in entries for w in set(words))
         mean = sum(len(w) for _, w in entries) / max(1, len(entries))
         idf = {w: math.log(1 + (len(entries) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
-        self.impact: list[dict[str, float]] = []
         essential: dict[str, list[tuple[int, float]]] = {}
+        every: dict[str, list[tuple[int, float]]] = {}
         need = np.zeros(len(entries))
         for e, (_, words) in enumerate(entries):
             raw = {w: idf[w] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(words) / mean)) for w, n in Counter(words).items()}
             own = sum(raw.values())
-            self.impact.append({w: x / own for w, x in raw.items()})
+            impact = {w: x / own for w, x in raw.items()}
             left = 0.0
-            for w, x in sorted(self.impact[e].items(), key=lambda wx: (wx[1], wx[0])):
+            for w, x in sorted(impact.items(), key=lambda wx: (wx[1], wx[0])):
+                every.setdefault(w, []).append((e, x))
                 if left + x <= spare:
                     left += x
                 else:
                     essential.setdefault(w, []).append((e, x))
             need[e] = threshold - left - 1e-9
+        # all postings, for the search of a passage
+        self.posting = {w: k for k, w in enumerate(sorted(every))}
+        lists = [every[w] for w in self.posting]
+        self.list_from = np.cumsum([0, *map(len, lists)])
+        self.list_entry = np.array([e for x in lists for e, _ in x], np.int32)
+        self.list_impact = np.array([x for p in lists for _, x in p])
+        self._lists: dict[int, tuple] = {}
         self.need = need
         self.term = {w: k for k, w in enumerate(sorted(essential))}
         posts = [(k, e // BLOCK, e, x) for w, k in self.term.items() for e, x in essential[w]]
@@ -103,8 +127,68 @@ class Index:
         self.term_from = np.searchsorted(terms, np.arange(len(self.term) + 1))
         self.block_need = np.array([need[k : k + BLOCK].min() for k in range(0, len(entries), BLOCK)])
 
-    def passages(self, words: list[str]) -> list[tuple[int, int]]:
-        """(entry, passage) pairs whose upper bounds reach the threshold, passages by number from -2."""
+    def postings(self, term: int) -> tuple[list[int], list[float], float, list[float], list[int]]:
+        """Of a term: entries, impacts, the largest impact, and those and the last entries of its blocks."""
+        got = self._lists.get(term)
+        if got is None:
+            a, b = self.list_from[term], self.list_from[term + 1]
+            e, x = self.list_entry[a:b].tolist(), self.list_impact[a:b].tolist()
+            cuts = range(0, len(e), BLOCK)
+            got = self._lists[term] = (e, x, max(x), [max(x[k : k + BLOCK]) for k in cuts], [e[min(k + BLOCK, len(e)) - 1] for k in cuts])
+        return got
+
+    def wand(self, words: set[str]) -> list[tuple[int, float]]:
+        """All (entry, score) of a passage's distinct words that reach the threshold, by block-max WAND.
+
+        Cursors stand in the order of their entries. The pivot is the first entry that can reach the
+        threshold by the largest impacts of the terms up to it; if it cannot by those of the blocks it lies
+        in, the cursors skip to the end of the nearest block, else the entry is scored.
+        """
+        least, found = self.threshold - 1e-9, []
+        cursors = []  # entry, place, and the term's postings
+        for w in words:
+            k = self.posting.get(w)
+            if k is not None:
+                p = self.postings(k)
+                cursors.append([p[0][0], 0, p])
+        while cursors:
+            cursors.sort(key=lambda c: c[0])
+            bound, pivot = 0.0, -1
+            for k, c in enumerate(cursors):
+                bound += c[2][2]
+                if bound >= least:
+                    pivot = k
+                    break
+            if pivot < 0:
+                break
+            entry = cursors[pivot][0]
+            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == entry:
+                pivot += 1
+            here = cursors[: pivot + 1]
+            bound, end = 0.0, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else 1 << 60
+            for c in here:
+                block = bisect_left(c[2][4], entry)
+                if block < len(c[2][4]):
+                    bound += c[2][3][block]
+                    end = min(end, c[2][4][block] + 1)
+            if bound < least:
+                goal = max(end, entry + 1)
+            elif here[0][0] == entry:
+                score = math.fsum(c[2][1][c[1]] for c in here)
+                if score >= least:
+                    found.append((entry, score))
+                goal = entry + 1
+            else:
+                goal = entry
+            for c in here:
+                if c[0] < goal:
+                    c[1] = bisect_left(c[2][0], goal, c[1])
+                    c[0] = c[2][0][c[1]] if c[1] < len(c[2][0]) else -1
+            cursors = [c for c in cursors if c[0] >= 0]
+        return found
+
+    def passages(self, words: list[str]) -> list[int]:
+        """Passages by number from -2 in which some entry's upper bound, by blocks of entries, reaches the threshold."""
         get = self.term.get
         terms = np.array([get(w, -1) for w in words], np.int64)
         at = np.flatnonzero(terms >= 0)
@@ -123,23 +207,22 @@ class Index:
         posts, j = _spread(self.block_from, rows)
         entry, where, x = self.post_entry[posts], stretch[k][j], self.post_impact[posts]
         good = _windows(entry, where, x, self.need)
-        return sorted({(int(e), int(s) - d) for e, s in zip(entry[good], where[good]) for d in (0, 1, 2)})
+        return sorted({int(s) - d for s in where[good] for d in (0, 1, 2)})
 
     def search(self, text: str | None) -> list[tuple[int, int, float, float, float]]:
         """Verified hits (item, first word of its passage, score, shares of question and answer found)."""
         words = _WORD.findall(text.lower()) if text and self.items else []
         best: dict[int, tuple[int, int, float, float, float]] = {}
-        for entry, p in self.passages(words) if words else []:
+        for p in self.passages(words) if words else []:
             lo, hi = max(0, p * STRIDE), (p + 3) * STRIDE
-            seen, impact = set(words[lo:hi]), self.impact[entry]
-            score = sum(x for w, x in impact.items() if w in seen)
-            if score < self.threshold:
-                continue
-            item_id, own, q, a = self.items[self.owner[entry]]
-            near = words[max(0, lo - len(own)) : hi + len(own)]
-            found = tuple(share(x, grams(near, len(next(iter(x), ())))) for x in (q, a))
-            if min(found) >= 0.5 and (item_id not in best or score > best[item_id][2]):
-                best[item_id] = (item_id, lo, round(score, 9), round(found[0], 9), round(found[1], 9))
+            for entry, score in self.wand(set(words[lo:hi])):
+                item_id, q, a = self.items[self.owner[entry]]
+                if item_id in best and score <= best[item_id][2]:
+                    continue
+                near = words[max(0, lo - len(q) - len(a)) : hi + len(q) + len(a)]
+                found = agreement(q, near), agreement(a, near)
+                if min(found) >= AGREE:
+                    best[item_id] = (item_id, lo, round(score, 9), round(found[0], 9), round(found[1], 9))
         return sorted(best.values())
 
 
@@ -165,14 +248,14 @@ def _windows(what: np.ndarray, stretch: np.ndarray, x: np.ndarray, need: np.ndar
     return (top >= need[keys // wide])[inv]
 
 
-def contamination(text: Column, items: list[tuple[int, str]], threshold: float = 0.6) -> Column:
-    """Hits of one index of items in a whole text; null and empty texts have none."""
+def contamination(text: Column, index: Broadcast) -> Column:
+    """Hits of one broadcast index of items in a whole text; null and empty texts have none."""
 
     @F.pandas_udf(HITS)
     def hits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index = Index(items, threshold)
+        held = index.value
         for b in batches:
-            yield pd.Series([[dict(zip(("item_id", "word", "score", "question", "answer"), h)) for h in index.search(t)] for t in b])
+            yield pd.Series([[dict(zip(("item_id", "word", "score", "question", "answer"), h)) for h in held.search(t)] for t in b])
 
     return hits(text)
 
@@ -181,13 +264,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, ma
     """Documents with all their columns and ``out``, the test items found in each.
 
     Every passage of every whole text asks the index for all items of at least ``threshold`` of an
-    item's own BM25 score; an item is a hit if half of the three-word sequences of its question and
-    half of its answer's are near the passage. An entry is at most ``ENTRY_WORDS`` words of an item; a
-    last one of fewer than 8 words is left to the entry before, as the item's verification covers it.
+    item's own BM25 score, by block-max WAND; an item is a hit if half of the words and neighbours of its
+    question, and half of its answer's, are near the passage. An entry is at most ``ENTRY_WORDS`` words of
+    an item; a last one of fewer than 8 words is left to the entry before, as the item's verification
+    covers it. Of a text's passages those are searched whose bounds by blocks of entries, taken for all
+    passages at once, reach the threshold for some entry: no other can hold a hit. Of passages with equal
+    scores for an item the first is named.
 
-    Items go to the tasks in indexes of at most ``max_items``, dealt by ranks that Spark sums up; a
-    benchmark of more takes one pass after the other, each written before the next, so that the driver
-    and a task hold one index at a time. Nothing is shuffled but the items.
+    Items go to the tasks in indexes of at most ``max_items``, each built once and broadcast, dealt by ranks
+    that Spark sums up; a benchmark of more takes one pass after the other, each written before the next,
+    so that the driver and a task hold one index at a time. Nothing is shuffled but the items.
 
     Null texts and items have no hits; items with equal ids count separately, equal items once; repeated
     rows and null ids are searched one by one; without items the column holds empty arrays.
@@ -202,7 +288,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, ma
     docs = docs.withColumn(out, F.array().cast(HITS))
     for k, part in enumerate(parts):
         items = [(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").collect()]  # at most max_items rows
-        docs = docs.withColumn(out, F.concat(F.col(out), contamination(F.col(text_col), items, threshold)))
+        docs = docs.withColumn(out, F.concat(F.col(out), contamination(F.col(text_col), docs.sparkSession.sparkContext.broadcast(Index(items, threshold)))))
         if k + 1 < len(parts):
             docs = materialize(docs, "bench-pass")
     return docs

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.llm import decontaminate as C
@@ -286,17 +288,93 @@ def items_and_docs():
     return items, docs
 
 
+def entries_by_hand(items):
+    """(item, question, answer, impacts) of every entry, from the formula of BM25."""
+    cut = []
+    for i, t in items:
+        q, a = C.split_item(t or "")
+        words = q + a
+        cut += [(i, q, a, words[k : k + 64]) for k in range(0, len(words), 64) if k == 0 or len(words) - k >= 8]
+    df = Counter(w for *_, words in cut for w in set(words))
+    mean = sum(len(w) for *_, w in cut) / max(1, len(cut))
+    out = []
+    for i, q, a, words in cut:
+        n = Counter(words)
+        raw = {w: math.log(1 + (len(cut) - df[w] + 0.5) / (df[w] + 0.5)) * n[w] * 2.2 / (n[w] + 1.2 * (0.25 + 0.75 * len(words) / mean)) for w in n}
+        out.append((i, q, a, {w: x / sum(raw.values()) for w, x in raw.items()}))
+    return out
+
+
+def leaks_by_hand(entries, text, threshold=0.6):
+    """Items found in a text: every passage is scored against every entry, and words and neighbours are counted one by one."""
+    words, found = re.findall(r"\w+", (text or "").lower()), set()
+    for p in range(-2, len(words) // 32 + 1):
+        lo, hi = max(0, p * 32), (p + 3) * 32
+        seen = set(words[lo:hi])
+        for i, q, a, impact in entries:
+            if sum(x for w, x in impact.items() if w in seen) < threshold - 1e-9:
+                continue
+            near = words[max(0, lo - len(q) - len(a)) : hi + len(q) + len(a)]
+            good = True
+            for part in (q, a):
+                if not part:
+                    continue
+                here = sum(w in near for w in part) / len(part)
+                if len(part) > 1:
+                    next_to = sum(any(near[k] == x and y in near[k + 1 : k + 3] for k in range(len(near))) for x, y in zip(part, part[1:])) / (len(part) - 1)
+                    here = (here + next_to) / 2 if next_to >= 0.25 else next_to
+                good = good and here >= 0.5
+            if good:
+                found.add(i)
+    return found
+
+
+def test_wand_equals_exhaustive_scores_with_ties():
+    rng = random.Random(1)
+    for _ in range(60):
+        words = [f"w{k}" for k in range(rng.choice([5, 30, 200]))]
+        items = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 100)))) for i in range(rng.randint(1, 200))]
+        ix = C.Index(items, rng.choice([0.2, 0.4, 0.6]))
+        impacts = [x for *_, x in entries_by_hand(items)]
+        for _ in range(4):
+            seen = {rng.choice(words) for _ in range(rng.randint(1, 60))}
+            scores = [(e, sum(x for w, x in impact.items() if w in seen)) for e, impact in enumerate(impacts)]
+            clear = {e for e, x in scores if x >= ix.threshold + 1e-8}
+            got = dict(ix.wand(seen))
+            assert clear <= got.keys() <= {e for e, x in scores if x >= ix.threshold - 1e-8}
+            assert all(abs(got[e] - x) < 1e-9 for e, x in scores if e in got)
+
+
 def test_passages_equal_scores_of_all_entries():
     items, docs = items_and_docs()
-    ix = C.Index(items)
+    ix, entries = C.Index(items), entries_by_hand(items)
     for _, t in docs:
         words = C._WORD.findall(t.lower())
         found = set(ix.passages(words))
         for p in range(-2, len(words) // C.STRIDE + 1):
             seen = set(words[max(0, p * C.STRIDE) : (p + 3) * C.STRIDE])
-            for e, impact in enumerate(ix.impact):
-                if sum(x for w, x in impact.items() if w in seen) >= ix.threshold:
-                    assert (e, p) in found
+            if any(sum(x for w, x in impact.items() if w in seen) >= ix.threshold for *_, impact in entries):
+                assert p in found
+        assert {h[0] for h in ix.search(t)} == leaks_by_hand(entries, t)
+
+
+@pytest.mark.parametrize("lost, put_in, least", [(0.0, 0.0, 1.0), (0.05, 0.0, 0.97), (0.1, 0.0, 0.9), (0.0, 0.1, 0.97), (0.1, 0.1, 0.9), (0.2, 0.0, 0.8)])
+def test_recall_of_changed_items(lost, put_in, least):
+    import duckdb
+
+    items = duckdb.sql("select item_id, text from '/root/testdata/sf0.01/benchmark.parquet' order by 1").fetchall()
+    ix, rng = C.Index(items), random.Random(6)
+    other = [f"zq{k}" for k in range(3000)]
+    around = lambda: [rng.choice(other) for _ in range(rng.randint(50, 150))]
+    hits = []
+    for _ in range(5):
+        for i, t in items:
+            words = [x for w in t.split() if rng.random() >= lost for x in ([w, rng.choice(other)] if rng.random() < put_in else [w])]
+            hits.append(any(h[0] == i for h in ix.search(" ".join([*around(), *words, *around()]))))
+    assert sum(hits) / len(hits) >= least
+    clean = duckdb.sql("select d.text from '/root/testdata/sf0.01/documents.parquet' d order by doc_id limit 200").fetchall()
+    shuffled = [" ".join(rng.sample(t.split(), len(t.split()))) for (t,) in clean if t and not ix.search(t)]
+    assert not any(ix.search(t) for t in shuffled)
 
 
 def test_leaks_are_found_and_clean_texts_left(spark):
