@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.llm.toxicity import is_held_out
-from corpusloom.runtime import materialize, table
+from corpusloom.runtime import materialize, small_join, table
 
 #: First code points of script ranges (Unicode blocks), in order; what lies between is the script before.
 SCRIPTS = (
@@ -32,8 +32,11 @@ _WORD, _ALNUM = re.compile(f"[^\\W\\d_{_NUMERALS}]+"), re.compile(r"[^\W\d_]+")
 #: Training takes at most so many documents for each language, the first by a hash of the id, and keeps
 #: so many n-grams for each.
 DOCS_PER_LANG, GRAMS_PER_LANG = 800, 20_000
-#: Languages that a model has at most, and shares (n-grams times languages): 8 bytes each are broadcast.
-MODEL_LANGS, MODEL_CELLS = 200, 20_000_000
+#: Shares (of an n-gram in a language that has it) that a model holds at most, 6 bytes each: above 200 languages
+#: each keeps fewer n-grams, its commonest, and no language goes.
+MODEL_SHARES = 8_000_000
+#: Scores of words times languages that a worker remembers, and that it works on at once.
+MEMO_CELLS, CHUNK_CELLS = 40_000_000, 4_000_000
 UNKNOWN = "und"
 
 
@@ -57,27 +60,37 @@ def word_grams(word: str) -> list[str]:
     return [f"={word}", *(w[k : k + 3] for k in range(len(w) - 2))]
 
 
-def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, grams_per_lang: int = GRAMS_PER_LANG, lang_col: str = "lang") -> dict:
+def is_word(gram: str) -> bool:
+    return gram[0] == "=" and len(gram) > 1
+
+
+def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, grams_per_lang: int = GRAMS_PER_LANG, lang_col: str = "lang", most_shares: int = MODEL_SHARES) -> dict:
     """Per-language log shares of n-grams, prior shares and scripts, from rows that are not held out.
 
-    At most ``MODEL_LANGS`` languages (the most frequent) and ``docs_per_lang`` whole documents of each
-    are read, and n-grams of each are kept within ``MODEL_CELLS``, so the model is bounded. A language's
-    documents are first thinned by a hash of their ids to some four times as many, in place; only these
-    are ordered by it. Rows with a null language, id or text are not used; repeated rows count once.
+    Every language is in the model, however many there are: shares are held sparse, by n-gram, for the
+    languages that have it, and ``floors`` stand for the others. ``docs_per_lang`` whole documents of each
+    language are read, and ``grams_per_lang`` words and as many triples of letters of each are kept, so that
+    there are at most ``most_shares`` in all. A language's documents are first thinned by a hash of their
+    ids to some four times as many, in place; only these are ordered by it. The driver holds a row for each
+    language, and the model. Rows with a null language, id or text are not used; repeated rows count once.
     """
+    spark = docs.sparkSession
     known = docs.where(F.col(lang_col).isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~is_held_out()).select("doc_id", F.col(lang_col).alias("lang"))
-    priors = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MODEL_LANGS).collect()}
+    per = materialize(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "lang-counts")
+    priors = {r["lang"]: r["n"] for r in per.collect()}
     if not priors:
-        return {"langs": [], "prior": [], "grams": {}, "scripts": {}}
-    grams_per_lang = max(1, min(grams_per_lang, MODEL_CELLS // (2 * len(priors) ** 2)))
+        return {"langs": [], "prior": [], "grams": [], "scripts": {}}
+    langs = sorted(priors)
+    place = {x: k for k, x in enumerate(langs)}
+    grams_per_lang = max(1, min(grams_per_lang, most_shares // (2 * len(langs))))
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     # a draw from 0 to 2 ** 20 - 1; rare languages keep all their documents
     draw = F.xxhash64("doc_id", F.lit(3)).bitwiseAND(F.lit((1 << 20) - 1))
-    most = F.create_map(*[F.lit(x) for lang, n in sorted(priors.items()) for x in (lang, min(1 << 20, (4 * docs_per_lang << 20) // n))])
-    thin = known.withColumn("most", F.try_element_at(most, F.col("lang"))).where(draw < F.col("most"))
+    most = per.select("lang", F.least(F.lit(1 << 20), F.expr(f"{4 * docs_per_lang << 20}L div n")).alias("most"))
+    thin = small_join(known, materialize(most, "lang-most"), "lang").where(draw < F.col("most"))
     ids = thin.dropDuplicates(["lang", "doc_id"]).withColumn("r", F.row_number().over(first)).where(F.col("r") <= docs_per_lang).select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang"))
-    chosen = F.broadcast(ids.dropDuplicates(["__id"]))  # at most MODEL_LANGS * docs_per_lang rows
-    sample = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("__id")).select(F.col("__lang").alias("lang"), "text")
+    chosen = materialize(ids.groupBy("__id").agg(F.min("__lang").alias("__lang")), "lang-chosen")
+    sample = small_join(docs.select("doc_id", "text"), chosen, F.col("doc_id") == F.col("__id")).select(F.col("__lang").alias("lang"), "text")
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from collections import Counter
@@ -97,33 +110,46 @@ def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, grams_per_lang: i
     counts = counts.withColumn("kind", kind)
     totals = {(r["lang"], r["kind"]): (r["n"], r["v"]) for r in counts.groupBy("lang", "kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     top = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "gram")
-    kept = counts.withColumn("r", F.row_number().over(top)).where(F.col("r") <= grams_per_lang).select("lang", "kind", "gram", "n").collect()  # bounded by the two parameters
-    langs = sorted({x for x, _ in totals})
-    place = {x: k for k, x in enumerate(langs)}
-    grams: dict[str, np.ndarray] = {}
+    kept = counts.withColumn("r", F.row_number().over(top)).where(F.col("r") <= grams_per_lang)
     scripts: dict[str, set[int]] = {}
-    floor = {k: np.array([math.log(0.5 / (totals.get((x, k), (0, 0))[0] + 1)) for x in langs]) for k in ("w", "3")}
-    for r in kept:
-        k = place[r["lang"]]
-        if r["kind"] == "s":
-            if r["n"] >= 0.01 * totals[r["lang"], "s"][0]:
-                scripts.setdefault(r["gram"][1:], set()).add(k)
-        else:
-            row = grams.setdefault(r["gram"], floor[r["kind"]].copy())
-            row[k] = math.log((r["n"] + 0.5) / (totals[r["lang"], r["kind"]][0] + 1))
-    all_docs = sum(priors.values())
-    return {"langs": langs, "prior": [math.log(priors[x] / all_docs) for x in langs], "grams": grams, "scripts": {s: sorted(k) for s, k in scripts.items()}}
+    for r in kept.where("kind = 's'").collect():  # a row for each script of a language
+        if r["n"] >= 0.01 * totals[r["lang"], "s"][0]:
+            scripts.setdefault(r["gram"][1:], set()).add(place[r["lang"]])
+    total = {k: np.array([totals.get((x, k), (0, 0))[0] + 1.0 for x in langs]) for k in ("w", "3")}
+    floors = {k: np.log(0.5 / t) for k, t in total.items()}
+    rows = kept.where("kind IN ('w', '3')").groupBy("gram").agg(F.sort_array(F.collect_list(F.struct("lang", "n"))).alias("x")).orderBy("gram").toArrow()
+    x = rows["x"].combine_chunks()
+    at = np.array([place[k] for k in x.flatten().field("lang").to_pylist()], np.uint16 if len(langs) < 1 << 16 else np.uint32)
+    n, offsets, grams = x.flatten().field("n").to_numpy(), np.asarray(x.offsets), rows["gram"].to_pylist()
+    word = np.repeat(np.array(list(map(is_word, grams)), bool), np.diff(offsets))
+    share = np.where(word, np.log((n + 0.5) / total["w"][at]) - floors["w"][at], np.log((n + 0.5) / total["3"][at]) - floors["3"][at])
+    prior = np.log(np.array([priors[k] for k in langs]) / sum(priors.values()))
+    return {"langs": langs, "prior": prior.tolist(), "grams": grams, "first": offsets, "at": at, "share": share.astype(np.float32), "floors": floors, "scripts": {k: sorted(v) for k, v in scripts.items()}}
+
+
+def shares_of(model: dict, gram: str) -> np.ndarray | None:
+    """Log shares of an n-gram by language; None if the model lacks it."""
+    if gram not in model["grams"]:
+        return None
+    k = model["grams"].index(gram)
+    out = model["floors"]["w" if is_word(gram) else "3"].copy()
+    a, b = model["first"][k], model["first"][k + 1]
+    out[model["at"][a:b]] += model["share"][a:b]
+    return out
 
 
 class Labeller:
     """Labels texts with a model; remembers at most ``cap`` words."""
 
     def __init__(self, model: dict, penalty: float = 12.0, cap: int = 300_000):
-        self.langs, self.penalty, self.cap = model["langs"], penalty, cap
+        self.langs, self.penalty = model["langs"], penalty
         self.prior = np.array(model["prior"])
         n = max(1, len(self.langs))
+        self.cap, self.step = max(1000, min(cap, MEMO_CELLS // n)), max(1, min(50_000, CHUNK_CELLS // n))
         self.place = {g: k for k, g in enumerate(model["grams"])}
-        self.shares = np.array(list(model["grams"].values())).reshape(-1, n)
+        none = np.zeros(0, np.int64)
+        self.first, self.at, self.share = model.get("first", np.zeros(1, np.int64)), model.get("at", none), model.get("share", none)
+        self.floors = [model["floors"][k] if "floors" in model else np.zeros(n) for k in ("w", "3")]
         self.barred = {s: np.array([k not in allowed for k in range(n)]) for s, allowed in model["scripts"].items()}
         self.row: dict[str, int] = {}
         self.table, self.post, self.size = np.zeros((1024, n), np.float32), np.zeros((1024, n), np.float32), np.zeros(1024, np.int32)
@@ -135,22 +161,34 @@ class Labeller:
         """
         if len(self.row) + len(words) > self.cap:
             self.row.clear()
-        n, base = len(words), len(self.row)
-        while base + n > len(self.table):
+        base = len(self.row)
+        while base + len(words) > len(self.table):
             self.table, self.post, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.table, self.post, self.size))
-        place = self.place.get
-        at, counts = [], np.zeros(n, np.int64)
+        for k in range(0, len(words), self.step):
+            self._score(words[k : k + self.step], base + k)
+        self.size[base : base + len(words)] = [len(w) for w in words]
+        self.row.update(zip(words, range(base, base + len(words))))
+
+    def _score(self, words: list[str], base: int) -> None:
+        n, wide, place = len(words), max(1, len(self.langs)), self.place.get
+        at, counts, whole = [], np.zeros(n, np.int64), np.zeros(n)
         low = [w.lower() for w in words]
         for k, w in enumerate(low):
-            got = [p for p in map(place, word_grams(w)) if p is not None]
+            got = [place(g) for g in word_grams(w)]
+            whole[k] = got[0] is not None
+            got = [p for p in got if p is not None]
             counts[k] = len(got)
             at += got
-        s = np.zeros((n, len(self.langs)))
+        s = np.zeros((n, wide))
         if at:
-            some = np.flatnonzero(counts)
-            starts = np.concatenate([[0], np.cumsum(counts[some])[:-1]])
-            c = counts[some][:, None]
-            s[some] = np.add.reduceat(self.shares[at], starts, axis=0) / c * np.minimum(3.0, np.sqrt(c))
+            at = np.array(at, np.int64)
+            size = self.first[at + 1] - self.first[at]
+            places = np.repeat(self.first[at] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            cell = np.repeat(np.repeat(np.arange(n), counts), size) * wide + self.at[places]
+            s = np.bincount(cell, self.share[places], n * wide).reshape(n, wide)
+            s += whole[:, None] * self.floors[0] + (counts - whole)[:, None] * self.floors[1]
+            c = np.maximum(counts, 1)[:, None]
+            s = s / c * np.minimum(3.0, np.sqrt(c))
         scripts = [script_of(w) for w in low]
         for name in set(scripts):
             rows = np.array([x == name for x in scripts])
@@ -164,8 +202,6 @@ class Labeller:
                 s[rows] = part
         x = np.exp(s - s.max(axis=1, keepdims=True))
         self.table[base : base + n], self.post[base : base + n] = s, x / x.sum(axis=1, keepdims=True)
-        self.size[base : base + n] = [len(w) for w in words]
-        self.row.update(zip(words, range(base, base + n)))
 
     def rows(self, words: list[str]) -> np.ndarray:
         at = list(map(self.row.get, words))
@@ -194,18 +230,26 @@ class Labeller:
         if float((gain - low).max()) <= p and ends <= p:
             return np.full(len(s), best)
         n, states = s.shape
-        back, own = array("H"), range(states)
-        v = (s[0] + self.prior).tolist()
-        for k in range(1, n, 20_000):
-            for row in s[k : k + 20_000].tolist():
-                top = max(v)
-                least, at = top - p, v.index(top)
-                back.extend([i if x >= least else at for i, x in zip(own, v)])
-                v = [(x if x >= least else least) + y for x, y in zip(v, row)]
-        came, out = np.frombuffer(back, np.uint16).reshape(n - 1, states), np.empty(n, np.int64)
+        if states > 16:  # few states are faster one by one
+            came, v, own = np.empty((n - 1, states), np.uint16 if states < 1 << 16 else np.uint32), s[0] + self.prior, np.arange(states)
+            for k in range(1, n):
+                at = int(v.argmax())
+                least = v[at] - p
+                came[k - 1] = np.where(v >= least, own, at)
+                v = np.maximum(v, least) + s[k]
+        else:
+            back, own, v = array("H"), range(states), (s[0] + self.prior).tolist()
+            for k in range(1, n, 20_000):
+                for row in s[k : k + 20_000].tolist():
+                    top = max(v)
+                    least, at = top - p, v.index(top)
+                    back.extend([i if x >= least else at for i, x in zip(own, v)])
+                    v = [(x if x >= least else least) + y for x, y in zip(v, row)]
+            came = np.frombuffer(back, np.uint16).reshape(n - 1, states)
+        out = np.empty(n, np.int64)
         out[-1] = k = int(np.argmax(v))
         for t in range(n - 1, 0, -1):
-            out[t - 1] = k = came[t - 1, k]
+            out[t - 1] = k = int(came[t - 1, k])
         return out
 
     def label(self, text: str | None) -> tuple[str, float, list[tuple[str, int, int]]]:
@@ -214,8 +258,8 @@ class Labeller:
         if not words:
             return UNKNOWN, 0.0, []
         pieces = []
-        for k in range(0, len(words), 50_000):
-            at = self.rows(words[k : k + 50_000])
+        for k in range(0, len(words), self.step):
+            at = self.rows(words[k : k + self.step])
             pieces.append((self.table[at], self.post[at], self.size[at]))
         s, post, length = (np.concatenate(x) if len(pieces) > 1 else x[0] for x in zip(*pieces))
         path = self.path(s.astype(np.float64))
@@ -235,7 +279,9 @@ def label_languages(docs: DataFrame, model: dict, penalty: float = 12.0, text_co
     """Documents with all their columns and ``out``: language, score (0 to 1) and spans of whole texts.
 
     Null texts and texts without letters are ``und`` with score 0, as are all texts if the model has
-    no language. Spans are in code points, end exclusive.
+    no language. Spans are in code points, end exclusive. Of languages with equal letters, and of paths
+    with equal scores, the first by name is taken; repeated rows are labelled alike; an empty table stays
+    empty; a column of the name ``out`` is replaced.
     """
     spread = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the parameters of train()
 

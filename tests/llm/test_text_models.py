@@ -321,8 +321,8 @@ def test_labels_equal_brute_force(spark):
     def word_score(word):
         w, rows = word.lower(), []
         for g in language.word_grams(w):
-            if g in model["grams"]:
-                rows.append(model["grams"][g])
+            if (x := language.shares_of(model, g)) is not None:
+                rows.append(x)
         s = np.mean(rows, axis=0) * min(3.0, math.sqrt(len(rows))) if rows else np.zeros(len(langs))
         allowed = model["scripts"].get(language.script_of(w))
         if allowed is None:
@@ -373,3 +373,40 @@ def test_path_splits_where_two_languages_meet_over_a_third(seed):
         path = lab.path(s)
         assert abs(lab.prior[path[0]] + s[np.arange(n), path].sum() - 12.0 * (np.diff(path) != 0).sum() - v.max()) < 1e-9
         assert n < 20 or set(path.tolist()) == {0, 1}
+
+
+@pytest.mark.parametrize("n_langs", [260, 2000])
+def test_no_language_is_dropped(spark, n_langs):
+    rng = random.Random(n_langs)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    words = {f"l{k:04d}": [word() for _ in range(6)] for k in range(n_langs)}
+    text = lambda k: " ".join(rng.choice(words[k]) for _ in range(25))
+    rows = [(i * n_langs + j, text(k), k) for i in range(3) for j, k in enumerate(words)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language.train(docs)
+    seen = {k for i, _, k in rows if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert set(model["langs"]) == seen and len(seen) > 0.8 * n_langs
+    asked = [k for k in sorted(seen)][:: max(1, n_langs // 130)]
+    lab = language.Labeller(model)
+    assert np.mean([lab.label(text(k))[0] == k for k in asked]) > 0.97
+    a, b = asked[3], asked[7]
+    assert [x for x, _, _ in lab.label(f"{text(a)} {text(b)}")[2]] == [a, b]
+    assert len(model["share"]) <= language.MODEL_SHARES
+
+
+def test_a_bounded_model_keeps_the_commonest_grams_of_every_language(spark):
+    docs = mixed_docs(spark)
+    small = language.train(docs, most_shares=120)
+    assert set(small["langs"]) == {"en", "de", "ru"} and len(small["share"]) <= 120
+    assert language.Labeller(small).label(f"{DE} {DE}")[0] == "de"
+
+
+@pytest.mark.parametrize("penalty", [0.5, 12.0])
+def test_paths_over_many_languages_equal_plain_viterbi(penalty):
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        n, k = int(rng.integers(1, 40)), int(rng.integers(17, 40))
+        prior = -rng.random(k)
+        lab = language.Labeller({"langs": [str(x) for x in range(k)], "prior": list(prior), "grams": {}, "scripts": {}}, penalty=penalty)
+        s = rng.normal(size=(n, k)) * penalty * rng.choice([0.05, 0.2, 1.0])
+        assert abs(score_of(lab.path(s), s, prior, penalty) - plain_viterbi(s, prior, penalty)[0]) < 1e-9
