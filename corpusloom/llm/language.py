@@ -7,6 +7,7 @@ import re
 from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -170,18 +171,15 @@ class Labeller:
         self.row.update(zip(words, range(base, base + len(words))))
 
     def _score(self, words: list[str], base: int) -> None:
-        n, wide, place = len(words), max(1, len(self.langs)), self.place.get
-        at, counts, whole = [], np.zeros(n, np.int64), np.zeros(n)
+        n, wide = len(words), max(1, len(self.langs))
         low = [w.lower() for w in words]
-        for k, w in enumerate(low):
-            got = [place(g) for g in word_grams(w)]
-            whole[k] = got[0] is not None
-            got = [p for p in got if p is not None]
-            counts[k] = len(got)
-            at += got
-        s = np.zeros((n, wide))
-        if at:
-            at = np.array(at, np.int64)
+        grams = [g for w in low for g in word_grams(w)]
+        at = np.fromiter(map(self.place.get, grams, repeat(-1)), np.int64, len(grams))
+        sizes = np.fromiter(map(len, low), np.int64, n) + 1  # n-grams of each word, itself first
+        known, owner = at >= 0, np.repeat(np.arange(n), sizes)
+        counts, whole = np.bincount(owner[known], minlength=n), known[np.cumsum(sizes) - sizes]
+        at, s = at[known], np.zeros((n, wide))
+        if len(at):
             size = self.first[at + 1] - self.first[at]
             places = np.repeat(self.first[at] - np.cumsum(size) + size, size) + np.arange(size.sum())
             cell = np.repeat(np.repeat(np.arange(n), counts), size) * wide + self.at[places]
