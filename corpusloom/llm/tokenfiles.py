@@ -24,8 +24,8 @@ from pyspark.sql.window import Window
 from corpusloom.llm.encode import default_tokenizer, encoder
 from corpusloom.runtime import materialize, new_dir, table
 
-NULL_ID = -(1 << 63)
-MANIFEST = "part int, path string, width int, n_docs long, n_tokens long"
+#: Null ids come first, so their number tells them from all others.
+MANIFEST = "part int, path string, width int, n_docs long, n_null long, n_tokens long"
 READ_BACK = "part int, row long, doc_id long, local_start long, n_tokens long, base long, ids binary"
 
 
@@ -64,17 +64,18 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int
         fs.create_dir(root, recursive=True)
         stem, own = f"{root}/part-{part:05d}", f"{root}/.part-{part:05d}-{attempt}"
         files = {x: fs.open_output_stream(f"{own}.{x}") for x in ("tok", "off", "ids")}
-        end, at, n = struct.pack("<I", end_id), 0, 0
+        end, at, n, n_null = struct.pack("<I", end_id), 0, 0, 0
         files["off"].write(struct.pack("<q", 0))
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
                 piece = batch.slice(k, 64)
                 coded = [x + end for x in enc.encode(piece.column(1).to_pylist())]
-                ids = [NULL_ID if x is None else x for x in piece.column(0).to_pylist()]
+                ids = np.asarray(piece.column(0).fill_null(0))
+                n_null += piece.column(0).null_count
                 ends = at + np.cumsum([len(x) // 4 for x in coded])
                 files["tok"].write(np.frombuffer(b"".join(coded), "<u4").astype(f"<u{width}").tobytes())
                 files["off"].write(ends.astype("<i8").tobytes())
-                files["ids"].write(np.array(ids, "<i8").tobytes())
+                files["ids"].write(ids.astype("<i8").tobytes())
                 at, n = int(ends[-1]), n + len(ids)
         for x, f in files.items():
             f.close()
@@ -83,7 +84,7 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int
             else:
                 fs.delete_file(f"{own}.{x}")
         if n:
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [f"{out_dir}/part-{part:05d}"], "width": pa.array([width], pa.int32()), "n_docs": [n], "n_tokens": [at]})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [f"{out_dir}/part-{part:05d}"], "width": pa.array([width], pa.int32()), "n_docs": [n], "n_null": [n_null], "n_tokens": [at]})
 
     return materialize(ranged.mapInArrow(write, MANIFEST), "token-manifest")
 
@@ -127,7 +128,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_pydict({
                         "part": pa.array([m["part"]] * (e - k), pa.int32()),
                         "row": pa.array(range(k, e), pa.int64()),
-                        "doc_id": pa.array([None if x == NULL_ID else int(x) for x in ids[k:e]], pa.int64()),
+                        "doc_id": pa.array(np.asarray(ids[k:e]), pa.int64(), mask=np.arange(k, e) < m["n_null"]),
                         "local_start": pa.array(start, pa.int64()),
                         "n_tokens": pa.array(np.asarray(off[k + 1 : e + 1]) - start, pa.int64()),
                         "base": pa.array([m["base"]] * (e - k), pa.int64()),

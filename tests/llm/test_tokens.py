@@ -66,7 +66,7 @@ def test_files_of_a_very_long_text(spark):
 
 
 def test_token_files_round_trip(spark):
-    rows = [(i, x) for i, x in enumerate(reversed(ODD))] + [(None, "none"), (3, "again"), (3, "again")]
+    rows = [(i, x) for i, x in enumerate(reversed(ODD))] + [(None, "none"), (None, "no id"), (-(1 << 63), "the least id"), (3, "again"), (3, "again")]
     random.Random(2).shuffle(rows)
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("part", F.lit("clash"))
     out = new_dir(spark, "tokens-test")
@@ -74,7 +74,7 @@ def test_token_files_round_trip(spark):
     got = sorted(tokenfiles.read_token_files(m).collect(), key=lambda r: r["start"])
     assert len(got) == len(rows)
     ids = [r["doc_id"] for r in got]
-    assert ids[0] is None and ids[1:] == sorted(ids[1:])
+    assert ids[:2] == [None, None] and ids[2] == -(1 << 63) and ids[2:] == sorted(ids[2:])
     at = 0
     want = {i: sorted(struct.pack(f"<{len(e) + 1}I", *e, 1) for e in expected([t for j, t in rows if j == i])) for i in set(ids)}
     for r in got:
