@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -206,8 +207,11 @@ def drop_recurring_runs(docs: DataFrame, run: int = RUN, gram: int = GRAM, id_co
         drop = merge_join(rows, first, "key").where((c("digest") != c("f_digest")) | (c("pos") >= c("f_pos") + run))
         drop = materialize(drop.groupBy("doc_id", "digest").agg(F.collect_set("pos").alias("__r_at")).withColumnsRenamed({"doc_id": "__r_id", "digest": "__r_digest"}), "run-drops")
 
-    # Spark calls it for every row; only texts that lose runs are sent
-    cut = F.udf(lambda text, at: None if at is None else without_runs(text, at, run), "string")
+    # only texts that lose runs are sent; for the others the column is null
+    def without(texts: pd.Series, starts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None or at is None else without_runs(t, at, run) for t, at in zip(texts, starts)], dtype=object)
+
+    cut = F.pandas_udf(without, "string")
     out = merge_join(docs, drop, c(id_col).cast("long").eqNullSafe(c("__r_id")) & (F.xxhash64(text_col) == c("__r_digest")), "left")
     out = out.withColumn("__r_dropped", F.greatest(F.size("__r_at"), F.lit(0)).cast("long")).drop("__r_id", "__r_digest")
     return out.withColumn(text_col, F.when(c("__r_dropped") == 0, c(text_col)).otherwise(cut(F.when(c("__r_dropped") > 0, c(text_col)), c("__r_at")))).drop("__r_at")
