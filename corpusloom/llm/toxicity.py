@@ -71,7 +71,9 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, features: int
     largest two-proportion z of at least ``least_z``. A logistic regression over these minimises the
     log loss plus ``penalty`` times the mean squared change of the logit when identity terms are
     swapped. The sample is bounded, so the last step fits one machine. Without labelled rows of both
-    kinds there are no weights, and the bias is that of the share of toxic rows.
+    kinds there are no weights, and the bias is that of the share of toxic rows. Of features with equal z
+    the smaller hash is kept; rows that repeat a labelled id each count; without documents or labels the
+    bias is that of one toxic row in ten.
     """
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -154,7 +156,8 @@ class Scorer:
 def score_toxicity(docs: DataFrame, model: tuple[float, dict[int, float]], text_col: str = "text", out: str = "toxicity") -> DataFrame:
     """Documents with all their columns and the score (0 to 1) of each whole text in ``out``.
 
-    Null and empty texts get the score of the bias alone.
+    Null and empty texts get the score of the bias alone. Repeated rows are scored alike, so texts may tie;
+    an empty table stays empty; a column of the name ``out`` is replaced, all others stay.
     """
     bias, weights = model
 

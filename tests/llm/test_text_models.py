@@ -225,6 +225,18 @@ def test_scores_equal_the_model_by_hand_and_repeated_rows_are_alike(spark):
     assert len(got) == 6 and toxicity.score_toxicity(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_of_empty_tables_and_a_clashing_column(spark):
+    docs, labels = labelled(spark, 300)
+    for d, l in ((docs.limit(0), labels), (docs, labels.limit(0)), (docs.limit(0), labels.limit(0))):
+        assert toxicity.train(d, l) == (math.log(0.1 / 0.9), {})
+    model = toxicity.train(docs, labels)
+    odd = spark.createDataFrame([(1, "idiot scum"), (1, "idiot scum"), (2, ""), (None, None)], "doc_id bigint, text string").withColumn("toxicity", F.lit("clash"))
+    got = toxicity.score_toxicity(odd, model).collect()
+    assert [f for f, t in toxicity.score_toxicity(odd, model).dtypes if f == "toxicity" and t == "double"] == ["toxicity"]
+    assert got[0]["toxicity"] == got[1]["toxicity"] > got[2]["toxicity"] == got[3]["toxicity"]
+    assert toxicity.score_toxicity(odd.limit(0), model).count() == 0
+
+
 def test_neutral_group_mentions_are_false_positives_less_often_with_the_penalty(spark):
     docs, labels = labelled(spark, 2500, biased=0.3)
     rng = random.Random(15)
