@@ -44,17 +44,14 @@ def smallest_prime_at_least(n: int) -> int:
 
 
 def mul64(a: Column, by: int) -> Column:
-    """``a * by`` modulo 2**64 in four limbs of 16 bits: no step leaves the range of long."""
-    x = [F.shiftrightunsigned(a, 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(4)]
-    m = [by >> (16 * k) & 0xFFFF for k in range(4)]
-    out, carry = None, None
-    for k in range(4):
-        s = sum((x[j] * F.lit(m[k - j]).cast("long") for j in range(1, k + 1)), x[0] * F.lit(m[k]).cast("long"))
-        s = s if carry is None else s + carry
-        limb = F.shiftleft(s.bitwiseAND(F.lit(0xFFFF)), 16 * k)
-        out = limb if out is None else out.bitwiseOR(limb)
-        carry = F.shiftrightunsigned(s, 16)
-    return out
+    """``a * by`` modulo 2**64 in limbs of 22, 22 and 20 bits: six products, and no step leaves the range of long."""
+    low = (1 << 22) - 1
+    x = [a.bitwiseAND(F.lit(low)), F.shiftrightunsigned(a, 22).bitwiseAND(F.lit(low)), F.shiftrightunsigned(a, 44)]
+    m = [F.lit((by & MASK) >> (22 * k) & low).cast("long") for k in range(3)]
+    s0 = x[0] * m[0]
+    s1 = x[0] * m[1] + x[1] * m[0] + F.shiftrightunsigned(s0, 22)
+    s2 = x[0] * m[2] + x[1] * m[1] + x[2] * m[0] + F.shiftrightunsigned(s1, 22)
+    return s0.bitwiseAND(F.lit(low)).bitwiseOR(F.shiftleft(s1.bitwiseAND(F.lit(low)), 22)).bitwiseOR(F.shiftleft(s2, 44))
 
 
 def umod(a: Column, modulus: int) -> Column:
