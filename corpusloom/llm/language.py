@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import math
 import re
+import uuid
 from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -149,6 +149,10 @@ class Labeller:
         self.cap, self.step = max(1000, min(cap, MEMO_CELLS // n)), max(1, min(50_000, CHUNK_CELLS // n))
         self.place = {g: k for k, g in enumerate(model["grams"])}
         none = np.zeros(0, np.int64)
+        short = [g for g in self.place if not is_word(g)]
+        keys = np.array([ord(g[0]) << 42 | ord(g[1]) << 21 | ord(g[2]) for g in short] or [-1], np.int64)
+        order = np.argsort(keys)
+        self.triples, self.triple_at = keys[order], np.array([self.place[g] for g in short] or [0], np.int64)[order]
         self.first, self.at, self.share = model.get("first", np.zeros(1, np.int64)), model.get("at", none), model.get("share", none)
         self.floors = [model["floors"][k] if "floors" in model else np.zeros(n) for k in ("w", "3")]
         self.barred = {s: np.array([k not in allowed for k in range(n)]) for s, allowed in model["scripts"].items()}
@@ -173,24 +177,32 @@ class Labeller:
     def _score(self, words: list[str], base: int) -> None:
         n, wide = len(words), max(1, len(self.langs))
         low = [w.lower() for w in words]
-        grams = [g for w in low for g in word_grams(w)]
-        at = np.fromiter(map(self.place.get, grams, repeat(-1)), np.int64, len(grams))
-        sizes = np.fromiter(map(len, low), np.int64, n) + 1  # n-grams of each word, itself first
-        known, owner = at >= 0, np.repeat(np.arange(n), sizes)
-        counts, whole = np.bincount(owner[known], minlength=n), known[np.cumsum(sizes) - sizes]
-        at, s = at[known], np.zeros((n, wide))
+        whole = np.fromiter(map(self.place.get, map("=".__add__, low), repeat(-1)), np.int64, n)
+        # triples of letters as numbers, looked up all at once
+        points = np.frombuffer(f"^{'$^'.join(low)}$".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        sizes = np.fromiter(map(len, low), np.int64, n)
+        begins = np.cumsum(sizes + 2) - sizes - 2
+        owner = np.repeat(np.arange(n), sizes)
+        p = np.repeat(begins - np.cumsum(sizes) + sizes, sizes) + np.arange(len(owner))
+        triple = points[p] << 42 | points[p + 1] << 21 | points[p + 2]
+        found = np.minimum(np.searchsorted(self.triples, triple), len(self.triples) - 1)
+        known = self.triples[found] == triple
+        at = np.concatenate([whole[whole >= 0], self.triple_at[found[known]]])
+        owner = np.concatenate([np.flatnonzero(whole >= 0), owner[known]])
+        counts, whole = np.bincount(owner, minlength=n), whole >= 0
+        s = np.zeros((n, wide))
         if len(at):
             size = self.first[at + 1] - self.first[at]
             places = np.repeat(self.first[at] - np.cumsum(size) + size, size) + np.arange(size.sum())
-            cell = np.repeat(np.repeat(np.arange(n), counts), size) * wide + self.at[places]
+            cell = np.repeat(owner, size) * wide + self.at[places]
             s = np.bincount(cell, self.share[places], n * wide).reshape(n, wide)
             s += whole[:, None] * self.floors[0] + (counts - whole)[:, None] * self.floors[1]
             c = np.maximum(counts, 1)[:, None]
             s = s / c * np.minimum(3.0, np.sqrt(c))
-        scripts = [script_of(w) for w in low]
-        for name in set(scripts):
-            rows = np.array([x == name for x in scripts])
-            barred = self.barred.get(name)
+        script = np.searchsorted(_FIRST, points[begins + 1], "right") - 1
+        for k in np.unique(script):
+            rows = script == k
+            barred = self.barred.get(SCRIPTS[k][1])
             if barred is None:
                 s[rows] = 0.0
             else:
@@ -202,14 +214,13 @@ class Labeller:
         self.table[base : base + n], self.post[base : base + n] = s, x / x.sum(axis=1, keepdims=True)
 
     def rows(self, words: list[str]) -> np.ndarray:
-        at = list(map(self.row.get, words))
-        if None in at:
-            self._learn(sorted({w for w, r in zip(words, at) if r is None}))
-            at = list(map(self.row.get, words))
-            if None in at:  # the memo started anew
-                self._learn(sorted({w for w, r in zip(words, at) if r is None}))
-                at = list(map(self.row.get, words))
-        return np.array(at, np.int64)
+        at = np.fromiter(map(self.row.get, words, repeat(-1)), np.int64, len(words))
+        for _ in range(2):  # the memo may start anew
+            if (at >= 0).all():
+                break
+            self._learn(sorted({words[k] for k in np.flatnonzero(at < 0)}))
+            at = np.fromiter(map(self.row.get, words, repeat(-1)), np.int64, len(words))
+        return at
 
     def path(self, s: np.ndarray) -> np.ndarray:
         """The best language for each word: sum of scores less ``penalty`` for each switch.
@@ -270,6 +281,8 @@ class Labeller:
         return self.langs[k], score, [(self.langs[path[a]], found[a].start(), found[b - 1].end()) for a, b in zip(edges, edges[1:])]
 
 
+#: The labeller of a worker's last model.
+_LABELLERS: dict[str, Labeller] = {}
 LABEL = "struct<lang:string,score:double,spans:array<struct<lang:string,start:int,end:int>>>"
 
 
@@ -281,11 +294,14 @@ def label_languages(docs: DataFrame, model: dict, penalty: float = 12.0, text_co
     with equal scores, the first by name is taken; repeated rows are labelled alike; an empty table stays
     empty; a column of the name ``out`` is replaced.
     """
-    spread = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the parameters of train()
+    spread, token = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # bounded by the parameters of train()
 
     @F.pandas_udf(LABEL)
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        lab = Labeller(spread.value, penalty)
+        lab = _LABELLERS.get(token)
+        if lab is None:  # kept over a worker's tasks
+            _LABELLERS.clear()
+            lab = _LABELLERS[token] = Labeller(spread.value, penalty)
         for b in batches:
             got = [lab.label(t) for t in b]
             yield pd.DataFrame({"lang": [g[0] for g in got], "score": [g[1] for g in got], "spans": [[{"lang": x, "start": a, "end": e} for x, a, e in g[2]] for g in got]})
