@@ -24,17 +24,16 @@ def words_of(text: Column) -> Column:
     return F.when(F.coalesce(bare, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(bare, "[ \\t-\\r]+"))
 
 
-def pairs_of(words: Column, n: int) -> Column:
-    """Arrays of ``n`` neighbouring words as structs; fewer words give none."""
-    size = F.size(words)
-    zipped = F.arrays_zip(*[(words if k == 0 else F.slice(words, k + 1, F.greatest(size, F.lit(1)))).alias(f"w{k}") for k in range(n)])
-    return F.slice(zipped, 1, F.greatest(size - (n - 1), F.lit(0)))
+def beside(a: Column, b: Column, skip: int, n: Column) -> Column:
+    """Hashes of the first ``n`` elements of ``a``, each with the element of ``b`` that is ``skip`` places on."""
+    n = F.greatest(n, F.lit(0))
+    return F.zip_with(F.slice(a, 1, n), F.slice(b, skip + 1, n), lambda x, y: F.xxhash64(x, y))
 
 
 def buckets_of(words: Column, buckets: int) -> Column:
     """Hashed words and neighbouring pairs."""
     one = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
-    two = F.transform(pairs_of(words, 2), lambda p: F.pmod(F.xxhash64(p["w0"], p["w1"]), F.lit(buckets)).cast("int"))
+    two = F.transform(beside(words, words, 1, F.size(words) - 1), lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
     return F.concat(one, two)
 
 
@@ -46,8 +45,12 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     c = F.col
     body = F.coalesce(c(text), F.lit(""))
     d = docs.withColumn("__q_words", words_of(c(text)))
-    hashes = F.transform(pairs_of(c("__q_words"), 5), lambda p: F.xxhash64(*[p[f"w{k}"] for k in range(5)]))
-    d = d.withColumn("__q_hashes", hashes)
+    # windows of five words are hashed from hashes of one, two and four, and only where four words come twice
+    n = F.size("__q_words")
+    d = d.withColumn("__q_one", F.transform("__q_words", lambda w: F.xxhash64(w)))
+    d = d.withColumn("__q_two", beside(c("__q_one"), c("__q_one"), 1, n - 1))
+    d = d.withColumn("__q_four", beside(c("__q_two"), c("__q_two"), 2, n - 3))
+    d = d.withColumn("__q_hashes", F.when(F.size(F.array_distinct("__q_four")) < F.size("__q_four"), beside(c("__q_four"), c("__q_one"), 4, n - 4)))
     # only texts in which a window comes twice go on to sort theirs
     d = d.withColumn("__q_sorted", F.when(F.size(F.array_distinct("__q_hashes")) < F.size("__q_hashes"), F.sort_array(F.transform("__q_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     nxt = F.slice("__q_sorted", 2, F.size("__q_sorted"))
@@ -109,7 +112,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, th
     failed = (F.col("__q_n_words") < 10) | (100 * F.col("__q_n_repeat_words") > 20 * F.col("__q_n_words"))
     d = d.withColumn("__q_base_failed", failed)
     kept = ~F.col("__q_base_failed") & (F.col("__q_llr_sum") >= threshold * F.col("__q_n_grams"))
-    return d.withColumn("__q_kept", kept).drop("__q_words", "__q_hashes", "__q_sorted", "__q_at", "__q_lines", "__q_buckets")
+    return d.withColumn("__q_kept", kept).drop("__q_words", "__q_one", "__q_two", "__q_four", "__q_hashes", "__q_sorted", "__q_at", "__q_lines", "__q_buckets")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
