@@ -180,12 +180,27 @@ def similarity_topk(vectors: DataFrame, id_col: str, vec_col: str, candidates: D
     return d.select("id", F.coalesce("topk_idx", none).alias("topk_idx"), "topk_p", tail_mass(F.col("topk_p")).alias("tail"))
 
 
-def score_with(docs: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """Run an external scorer over batches of documents on the executors; it returns shard rows."""
+#: Tokens of the documents that a scorer gets at a time, unless one document has more.
+SCORE_TOKENS = 1 << 16
+
+
+def score_with(docs: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame], most_tokens: int = SCORE_TOKENS) -> DataFrame:
+    """Run an external scorer over batches of documents on the executors; it returns shard rows.
+
+    A batch holds whole documents of ``most_tokens`` together, or a single longer one, so what a scorer makes
+    of it is bounded however many documents come at once.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield scorer(b)
+            start = total = 0
+            for k, n in enumerate(b["tokens"].map(lambda t: 0 if t is None else len(t))):
+                if k > start and total + n > most_tokens:
+                    yield scorer(b.iloc[start:k].reset_index(drop=True))
+                    start, total = k, 0
+                total += n
+            if len(b):
+                yield scorer(b.iloc[start:].reset_index(drop=True))
 
     return docs.mapInPandas(run, SHARD)
 
