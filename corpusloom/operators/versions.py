@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from corpusloom.operators.memory import KEY, sparse_upsert
+from corpusloom.runtime import small_join
 from corpusloom.sources.files import get_json, names, put_json
 
 POINTER = "current.json"
@@ -96,5 +97,10 @@ def store_by_key(rows: DataFrame, name: str, path: str, key: list[str] = KEY, bu
 
 
 def gather_stored(addresses: DataFrame, name: str, key: list[str] = KEY) -> DataFrame:
-    """``addresses`` with the columns of the stored table ``name``; missing rows are null. The table is not shuffled."""
-    return addresses.hint("merge").join(addresses.sparkSession.table(name).hint("merge"), key, "left")
+    """``addresses`` with the columns of the stored table ``name``; missing rows are null.
+
+    Each distinct row is looked up once, by a join that does not shuffle the table; where the rows found are
+    few, addresses take them without a shuffle.
+    """
+    rows = addresses.select(*key).distinct().hint("merge").join(addresses.sparkSession.table(name).hint("merge"), key)
+    return small_join(addresses, rows, key, "left")

@@ -16,7 +16,7 @@ from corpusloom.operators import scan as SC
 from corpusloom.operators import score as S
 from corpusloom.operators import sizing as Z
 from corpusloom.operators.prefix import ordered_lag
-from corpusloom.runtime import Scratch, materialize, merge_join, small_join
+from corpusloom.runtime import Scratch, materialize, merge_join, new_dir, small_join
 
 
 def averages(values, decay, reseed):
@@ -185,3 +185,68 @@ def test_an_owning_scratch_deletes_what_it_saw_written(spark):
     assert out.count() == 2
     with pytest.raises(Exception):
         spark.read.parquet(t.inputFiles()[0]).count()
+
+
+def plan_of(d) -> str:
+    return d._jdf.queryExecution().executedPlan().toString()
+
+
+def test_addresses_meet_ranks_and_shared_rows_without_a_shuffle(spark):
+    a = spark.createDataFrame([("b", 1, 0, i % 7) for i in range(40)], "shard_id string, order int, head int, row_id long")
+    assert "BroadcastHashJoin" in plan_of(D.unique_inverse(a, ["shard_id"]))
+    grams = spark.createDataFrame([(2, h, g, g % 5) for h in range(2) for g in range(40)], "order int, head int, gram long, row_id long")
+    assert plan_of(D.head_overlap(grams)).count("SortMergeJoin") == 0
+
+
+def test_vectors_are_gathered_where_addresses_lie(spark):
+    a = spark.createDataFrame([(i, 1, i % 2, i % 9) for i in range(60)], "pos long, order int, head int, row_id long")
+    m = spark.createDataFrame([(1, h, r, [float(r), float(h)]) for h in range(2) for r in range(6)], "order int, head int, row_id long, vec array<float>")
+    g = Y.gather_rows(a, m)
+    assert "BroadcastHashJoin" in plan_of(g)
+    got = {r["pos"]: r["vec"] for r in g.collect()}
+    assert len(got) == 60 and all(got[i] == ([float(i % 9), float(i % 2)] if i % 9 < 6 else None) for i in range(60))
+
+
+def test_features_of_sets_are_those_of_places(spark):
+    m = spark.createDataFrame([(1, h, r, [r + 1.0, h + 2.0]) for h in range(2) for r in range(3)], "order int, head int, row_id long, vec array<float>")
+    w = spark.createDataFrame([("s", 0, [1, 2, 1, 3, 2, 1])], "shard_id string, window_id long, tokens array<bigint>")
+    b = D.address_batch(w, {(1, 0): 5, (1, 1): 5})
+    place = ["shard_id", "window_id", "pos"]
+    want = {r["pos"]: r["feature"] for r in Y.memory_features(Y.gather_rows(D.long_addresses(b), m).where("vec IS NOT NULL"), place).collect()}
+    sets = Y.row_sets(b, 1)
+    features = Y.set_features(sets, m)
+    assert features.count() < len(want)
+    got = {r["pos"]: r["feature"] for r in merge_join(sets, features, "rows").collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_distinct_grams_are_hashed_once(spark):
+    moduli = {(1, 0): 7, (2, 0): 11, (2, 1): 13, (3, 0): 17}
+    w = spark.createDataFrame([("s", 0, [1, 2, 1, 2, 1, 2]), ("t", 0, [1, 2, 5])], "shard_id string, window_id long, tokens array<bigint>")
+    got = [(r["order"], r["head"], tuple(r["gram"]), r["row_id"]) for r in D.gram_addresses(w, moduli).collect()]
+    want = {(r["order"], r["head"], tuple([r["c0"], r["c1"], r["c2"]][: r["order"]] + [0] * (3 - r["order"])), r["row_id"]) for r in D.long_addresses(D.address_batch(w, moduli)).collect()}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_a_scorer_gets_few_tokens_at_a_time(spark):
+    docs = spark.createDataFrame([("s", i, [i] * n) for i, n in enumerate([30, 30, 30, 500, 1, 1, 99])], "shard_id string, doc_id long, tokens array<bigint>").coalesce(1)
+
+    def scorer(b):  # each row's tail says how many tokens came with it
+        total = sum(map(len, b["tokens"]))
+        return b.assign(topk_idx=[[]] * len(b), topk_w=[[]] * len(b), tail_w=[[float(total)]] * len(b), loss_mask=[[]] * len(b))
+
+    got = {r["doc_id"]: r["tail_w"][0] for r in S.score_with(docs, scorer, most_tokens=100).collect()}
+    assert got == {0: 90, 1: 90, 2: 90, 3: 500, 4: 2, 5: 2, 6: 99}
+
+
+def test_what_is_counted_does_not_meet_by_batch(spark):
+    a = spark.createDataFrame([(f"b{i % 3}", 1, 0, i % 11) for i in range(90)], "shard_id string, order int, head int, row_id long")
+    path, seen = new_dir(spark, "touches"), []
+    D.add_touches(path, a.where("shard_id = 'b0'"), ["shard_id"])
+    whole, D.materialize = D.materialize, lambda d, name: seen.append(plan_of(d)) or whole(d, name)
+    try:
+        assert D.add_touches(path, a, ["shard_id"]) == 2 and D.add_touches(path, a, ["shard_id"]) == 0
+    finally:
+        D.materialize = whole
+    assert seen and not any("SortMergeJoin" in p for p in seen)
+    assert {r["row_id"]: r["touches"] for r in D.read_touches(spark, path).collect()} == dict.fromkeys(range(11), 3)
