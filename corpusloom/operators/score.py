@@ -75,12 +75,23 @@ def teach(docs: DataFrame, teacher: DataFrame, most: int = LOOKUP, most_bytes: i
     n, low, high, wide = t.agg(F.count(F.lit(1)), F.min("ctx"), F.max("ctx"), F.coalesce(F.sum(40 * F.size("i") + 60), F.lit(0))).first()
     if n == 0 or (n <= most and 0 <= low and high < most and wide + 5 * high <= most_bytes):
         known = t.collect()
-        rows: list[dict | None] = [None] * (max((r["ctx"] for r in known), default=0) + 1)
-        for r in known:
-            rows[r["ctx"]] = {"i": r["i"], "w": r["w"], "t": r["t"]}
-        # one text, folded to a literal when the plan is optimised
-        table = F.from_json(F.lit(json.dumps(rows)), "array<struct<i:array<bigint>,w:array<float>,t:float>>")
-        found = docs.select("shard_id", "doc_id", "tokens", F.transform("tokens", lambda x, k: F.when(k < F.size("tokens") - 1, F.get(table, x.cast("int")))).alias("r"))
+        size = max((r["ctx"] for r in known), default=0) + 1
+
+        def column(value: Callable, kind: str, unset: Column) -> Column:
+            rows: list = [None] * size
+            for r in known:
+                rows[r["ctx"]] = value(r)
+            # one text for each column, folded to a literal when the plan is optimised
+            table = F.from_json(F.lit(json.dumps(rows)), f"array<{kind}>")
+            return F.transform("tokens", lambda x, k: F.coalesce(F.when(k < F.size("tokens") - 1, F.get(table, x.cast("int"))), unset))
+
+        return docs.select(
+            "shard_id", "doc_id", "tokens",
+            column(lambda r: r["i"], "array<bigint>", F.array().cast("array<bigint>")).alias("topk_idx"),
+            column(lambda r: r["w"], "array<float>", F.array().cast("array<float>")).alias("topk_w"),
+            column(lambda r: r["t"], "float", F.lit(1.0).cast("float")).alias("tail_w"),
+            column(lambda r: 1, "tinyint", F.lit(0).cast("tinyint")).alias("loss_mask"),
+        )
     else:
         p = docs.select("shard_id", "doc_id", F.size("tokens").alias("len"), F.posexplode("tokens").alias("pos", "token"))
         j = merge_join(p, t, F.col("token") == F.col("ctx"), "left")

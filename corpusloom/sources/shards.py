@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,11 +30,12 @@ def shard_manifest(shards: DataFrame, vocab_size: int, offsets: bool = False, **
     unknown = provenance.keys() - DEFAULTS.keys()
     if unknown:
         raise ValueError(f"no such provenance: {sorted(unknown)}")
-    k = shards.groupBy("shard_id").agg(F.max(F.coalesce(F.array_max(F.transform("topk_idx", F.size)), F.lit(0))).alias("k"))
-    one = F.struct("local_doc", "offset", "len")
-    rows = F.sort_array(F.collect_list(one if offsets else F.when(F.lit(False), one)))
-    per = doc_offsets(shards).groupBy("shard_id").agg(F.sum("len").alias("total_tokens"), F.count(F.lit(1)).alias("num_documents"), rows.alias("r"))
-    m = merge_join(per, k, "shard_id").withColumns({"format_version": F.lit(1), "vocab_size": F.lit(vocab_size), "doc_offsets": F.col("r.offset"), "doc_lengths": F.col("r.len")})
+    k = F.max(F.coalesce(F.array_max(F.transform("topk_idx", F.size)), F.lit(0))).alias("k")
+    m = shards.groupBy("shard_id").agg(F.sum(F.size("tokens").cast("bigint")).alias("total_tokens"), F.count(F.lit(1)).alias("num_documents"), k)
+    if offsets:
+        rows = F.sort_array(F.collect_list(F.struct("local_doc", "offset", "len")))
+        m = merge_join(m, doc_offsets(shards).groupBy("shard_id").agg(rows.alias("r")), "shard_id")
+    m = m.withColumns({"format_version": F.lit(1), "vocab_size": F.lit(vocab_size), "doc_offsets": F.col("r.offset") if offsets else F.array(), "doc_lengths": F.col("r.len") if offsets else F.array()})
     for name, unset in DEFAULTS.items():
         value = provenance.get(name, unset)
         m = m.withColumn(name, value if not isinstance(value, (str, float, int, type(None))) else F.lit(value))
@@ -46,21 +48,24 @@ def shard_manifest(shards: DataFrame, vocab_size: int, offsets: bool = False, **
 TOKEN_BYTES, FILE_BYTES = 64, 128 << 20
 
 
-def write_shards(shards: DataFrame, manifest: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
+def write_shards(shards: DataFrame, manifest: DataFrame | Callable[[DataFrame], DataFrame], path: str, file_bytes: int = FILE_BYTES, fill: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Write documents by shard, their offsets and an index of files, and last the manifest, which marks them as done.
 
     Documents are dealt by ranges of (shard, document), as many as their bytes need, so a large shard takes
-    many tasks and a small one a single file, and each file holds documents that follow each other.
+    many tasks and a small one a single file, and each file holds documents that follow each other. ``fill``
+    adds the missing columns to documents that are dealt already, so that only tokens are shuffled; it must
+    work row by row. ``manifest`` may be a function of the shards as written, which then are made once.
     """
     spark = shards.sparkSession
     total = shards.agg(F.coalesce(F.sum(F.size("tokens").cast("long")), F.lit(0))).first()[0]
     n = max(1, -(-total * TOKEN_BYTES // file_bytes))
-    shards.repartitionByRange(n, "shard_id", "doc_id").sortWithinPartitions("shard_id", "doc_id").write.mode("overwrite").partitionBy("shard_id").parquet(f"{path}/shards")
+    dealt = shards.repartitionByRange(n, "shard_id", "doc_id").sortWithinPartitions("shard_id", "doc_id")
+    (fill(dealt) if fill else dealt).write.mode("overwrite").partitionBy("shard_id").parquet(f"{path}/shards")
     written = spark.read.schema(SHARD).parquet(f"{path}/shards")
     index = written.groupBy("shard_id", F.col("_metadata.file_path").alias("file")).agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
     index.write.mode("overwrite").parquet(f"{path}/index")
     shard_documents(written).write.mode("overwrite").parquet(f"{path}/offsets")
-    manifest.write.mode("overwrite").json(f"{path}/manifest")
+    (manifest(written) if callable(manifest) else manifest).write.mode("overwrite").json(f"{path}/manifest")
 
 
 def all_windows(spark: SparkSession, path: str, length: int) -> DataFrame:

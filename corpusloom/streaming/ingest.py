@@ -28,18 +28,19 @@ def ingest(spark: SparkSession, landing: str, schema: str, convert: Callable[[Da
     return spark.read.parquet(out).withColumn("batch", F.col("batch").cast("bigint"))
 
 
-def ingest_shards(spark: SparkSession, landing: str, schema: str, convert: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, vocab_size: int, files_per_batch: int = 1000, **provenance) -> list[str]:
+def ingest_shards(spark: SparkSession, landing: str, schema: str, convert: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, vocab_size: int, files_per_batch: int = 1000, fill: Callable[[DataFrame], Callable[[DataFrame], DataFrame]] | None = None, **provenance) -> list[str]:
     """Convert what is new in ``landing`` to shards with their manifests; returns the folders of all micro-batches.
 
     A micro-batch is a folder of shards of its own, whose manifest is written last. One that runs again
-    overwrites its folder; one without a manifest is not listed.
+    overwrites its folder; one without a manifest is not listed. ``fill`` makes of a micro-batch's converted
+    documents what adds the rest of their columns row by row, as ``write_shards`` has it.
     """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(landing)
 
     def sink(batch: DataFrame, number: int) -> None:
         docs = materialize(convert(batch), "ingest")
         if docs.limit(1).count():
-            write_shards(docs, shard_manifest(docs, vocab_size, **provenance), f"{out}/batch={number}")
+            write_shards(docs, lambda written: shard_manifest(written, vocab_size, **provenance), f"{out}/batch={number}", fill=fill(docs) if fill else None)
 
     q = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
