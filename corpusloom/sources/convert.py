@@ -12,10 +12,12 @@ from corpusloom.operators.pack import shift_chunks
 from corpusloom.operators.validate import chunk_tiling, gold_slot
 from corpusloom.runtime import discard, materialize, new_dir
 from corpusloom.schemas import BULK
-from corpusloom.sources.files import exists, names, put_json, replace_folder
-from corpusloom.sources.npz import bundle_faults, list_npz, read_npz, read_npz_headers
+from corpusloom.sources.files import names, put_json, replace_folder
+from corpusloom.sources.npz import SPLIT_BYTES, bundle_faults, list_npz, read_npz, read_npz_headers
 from corpusloom.sources.shards import shard_manifest
 
+#: Bundles are converted together until they have so many bytes.
+BATCH_BYTES = 4 << 30
 REPORT = "file string, shard_id string, state string, reasons array<string>"
 
 
@@ -68,20 +70,32 @@ def commit(spark: SparkSession, staged: str, out: str, shard: str, row: dict) ->
     put_json(spark, f"{out}/manifest/{shard}.json", row)
 
 
-def bulk_convert(spark: SparkSession, path: str, out: str, vocab_size: int, files_per_batch: int = 64, commit: Callable = commit, **provenance) -> DataFrame:
+def batches_of(files: list[str], sizes: dict[str, int], least: int, batch_bytes: int) -> list[list[str]]:
+    """``files`` in order, at least ``least`` together (the last ones excepted) and as many as ``batch_bytes`` hold."""
+    out, now, held = [], [], 0
+    for f in files:
+        if len(now) >= least and held + sizes[f] > batch_bytes:
+            out.append(now)
+            now, held = [], 0
+        now.append(f)
+        held += sizes[f]
+    return [*out, now] if now else out
+
+
+def bulk_convert(spark: SparkSession, path: str, out: str, vocab_size: int, files_per_batch: int = 64, commit: Callable = commit, batch_bytes: int = BATCH_BYTES, **provenance) -> DataFrame:
     """Convert the bundles of ``path`` that ``out`` lacks to shards; returns (file, shard_id, state, reasons).
 
     A bundle is ``skipped`` if its manifest row is there, ``rejected`` with reasons if its arrays, chunks or
     gold slots break the contract, else ``converted``: checked, moved by one row within its chunks, and
-    written as a shard of its name. Bundles are taken ``files_per_batch`` at a time. Their shards are written
+    written as a shard of its name. Bundles are taken at least ``files_per_batch`` at a time, and small ones
+    together up to ``batch_bytes``, so the number of jobs follows bytes and not files. Their shards are written
     to a folder aside, and each is then moved to its place and marked by its manifest row, last and at once.
     A run that dies leaves shards without a row at worst; the next run writes these anew, with the same rows.
     """
     files, done = list_npz(spark, path), committed(spark, out)
     report = [(f, shard_of(f), "skipped", []) for f in files if shard_of(f) in done]
     pending = [f for f in files if shard_of(f) not in done]
-    for k in range(0, len(pending), files_per_batch):
-        batch = pending[k : k + files_per_batch]
+    for batch in batches_of(pending, files, files_per_batch, batch_bytes):
         bad = faults_of(spark, path, batch)
         report += [(f, shard_of(f), "rejected", sorted(bad[f])) for f in batch if f in bad]
         good = [f for f in batch if f not in bad]
@@ -90,12 +104,14 @@ def bulk_convert(spark: SparkSession, path: str, out: str, vocab_size: int, file
         staged = new_dir(spark, "convert")
         columns = [c.split()[0] for c in BULK.split(", ")] + ["chunk"]
         docs = materialize(bundle_documents(read_npz(spark, path, files=good, columns=columns)), "converted")
-        spread = F.pmod(F.xxhash64("doc_id"), F.lit(16))
+        large = [shard_of(f) for f in good if files[f] > SPLIT_BYTES]  # the others are a single file each
+        spread = F.when(F.col("shard_id").isin(large), F.pmod(F.xxhash64("doc_id"), F.lit(16))) if large else F.lit(0)
         docs.repartition("shard_id", spread).sortWithinPartitions("shard_id", "doc_id").write.partitionBy("shard_id").parquet(staged)
         rows = {r["shard_id"]: r.asDict() for r in shard_manifest(docs, vocab_size, **provenance).collect()}  # one for each of these files
+        there = set(names(spark, staged))
         for f in good:
             shard = shard_of(f)
-            if exists(spark, f"{staged}/shard_id={shard}"):
+            if f"shard_id={shard}" in there:
                 commit(spark, staged, out, shard, rows[shard])
                 report.append((f, shard, "converted", []))
             else:

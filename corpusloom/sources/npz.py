@@ -39,6 +39,8 @@ ARRAYS = {
 HEADERS = "file string, array string, dtype string, shape array<long>, in_order boolean, stored boolean, bytes long"
 #: Rows of one batch, and bytes of positions from which a stored bundle is read by several tasks.
 BATCH_ROWS, SPLIT_BYTES = 8192, 64 << 20
+#: Small bundles that one task reads, up to ``SPLIT_BYTES`` of them.
+TASK_FILES = 64
 
 
 class _Member:
@@ -95,11 +97,32 @@ def header_faults(arrays: dict[str, tuple[str, tuple[int, ...], bool]]) -> list[
     return faults
 
 
-class _Part(InputPartition):
+class _Piece:
+    """A bundle, or a range of its positions."""
+
     def __init__(self, uri: str, low: int = 0, high: int | None = None):
         self.uri, self.low, self.high = uri, low, high
 
 
+class _Part(InputPartition):
+    """What one task reads: a piece of a large bundle, or some small bundles."""
+
+    def __init__(self, *pieces: _Piece):
+        self.pieces = pieces
+
+
+def _together(uris: list[tuple[str, int]], most_bytes: int, most_files: int = TASK_FILES) -> list[_Part]:
+    """Bundles in groups of at most so many files, and bytes unless one alone has more: a task for each would cost more than its file."""
+    parts, now, held = [], [], 0
+    for uri, size in uris:
+        if now and (len(now) >= most_files or held + size > most_bytes):
+            parts.append(_Part(*now))
+            now, held = [], 0
+        now.append(_Piece(uri))
+        held += size
+    return [*parts, _Part(*now)] if now else parts
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict, columns: list[str]):
         self.path, self.columns = options["path"], columns
@@ -116,10 +139,10 @@ class _Reader(DataSourceReader):
         return [(scheme + p, n) for p, n in files if self.files is None or p.rsplit("/", 1)[-1] in self.files]
 
     def partitions(self) -> list[InputPartition]:
-        parts = []
-        for uri, size in self.uris():
+        uris = self.uris()
+        parts = _together([x for x in uris if x[1] <= self.split], self.split)
+        for uri, size in uris:
             if size <= self.split:
-                parts.append(_Part(uri))
                 continue
             fs, path = _fs(uri)
             with fs.open_input_file(path) as f:  # a large bundle: its directory and headers tell if it can be split
@@ -127,22 +150,21 @@ class _Reader(DataSourceReader):
                 whole = header_faults({k: (x.dtype.str, x.shape, x.in_order) for k, x in m.items()}) or not all(x.stored for x in m.values())
                 n = 0 if whole else m["tokens"].shape[0]
             step = max(BATCH_ROWS, -(-n * self.split // size))
-            parts += [_Part(uri)] if whole else [_Part(uri, k, min(n, k + step)) for k in range(0, n, step)]
+            parts += [_Part(_Piece(uri))] if whole else [_Part(_Piece(uri, k, min(n, k + step))) for k in range(0, n, step)]
         return parts
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        if partition is None:
-            return
-        fs, path = _fs(partition.uri)
-        name = path.rsplit("/", 1)[-1]
-        with fs.open_input_file(path) as f:
-            m = _members(f)
-            faults = header_faults({k: (x.dtype.str, x.shape, x.in_order) for k, x in m.items()})
-            if faults:
-                raise ValueError(f"{name}: {'; '.join(faults)}")
-            yield from self.batches(name, m, partition)
-
-    def batches(self, name: str, m: dict[str, _Member], part: _Part) -> Iterator[pa.RecordBatch]:
+        for piece in partition.pieces if partition is not None else ():
+            fs, path = _fs(piece.uri)
+            name = path.rsplit("/", 1)[-1]
+            with fs.open_input_file(path) as f:
+                m = _members(f)
+                faults = header_faults({k: (x.dtype.str, x.shape, x.in_order) for k, x in m.items()})
+                if faults:
+                    raise ValueError(f"{name}: {'; '.join(faults)}")
+                yield from self.batches(name, m, piece)
+
+    def batches(self, name: str, m: dict[str, _Member], part: _Piece) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         n = m["tokens"].shape[0]
@@ -166,22 +188,23 @@ class _Reader(DataSourceReader):
 
 class _ChunkReader(_Reader):
     def partitions(self) -> list[InputPartition]:
-        return [_Part(uri) for uri, _ in self.uris()]
+        return _together(self.uris(), SPLIT_BYTES)
 
-    def batches(self, name: str, m: dict[str, _Member], part: _Part) -> Iterator[pa.RecordBatch]:
+    def batches(self, name: str, m: dict[str, _Member], part: _Piece) -> Iterator[pa.RecordBatch]:
         s, n = (m[k].rows(0, m[k].shape[0]) for k in ("chunk_start", "chunk_length"))
         yield pa.RecordBatch.from_arrays([pa.array([name] * len(s)), pa.array(range(len(s)), pa.int32()), pa.array(s, pa.int64()), pa.array(n, pa.int64())], names=["file", "chunk", "start", "length"])
 
 
 class _HeaderReader(_ChunkReader):
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        if partition is None:
+        rows: list[tuple] = []
+        for piece in partition.pieces if partition is not None else ():
+            fs, path = _fs(piece.uri)
+            with fs.open_input_file(path) as f:
+                m, name = _members(f), path.rsplit("/", 1)[-1]
+            rows += [(name, k, x.dtype.str, list(x.shape), x.in_order, x.stored, x.bytes) for k, x in m.items()] or [(name, None, None, None, None, None, None)]
+        if not rows:
             return
-        fs, path = _fs(partition.uri)
-        with fs.open_input_file(path) as f:
-            m = _members(f)
-        rows = [(path.rsplit("/", 1)[-1], k, x.dtype.str, list(x.shape), x.in_order, x.stored, x.bytes) for k, x in m.items()]
-        rows = rows or [(path.rsplit("/", 1)[-1], None, None, None, None, None, None)]
         kinds = (pa.string(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.bool_(), pa.bool_(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[x.split()[0] for x in HEADERS.split(", ")])
 
@@ -256,9 +279,9 @@ def read_npz_headers(spark: SparkSession, path: str, files: list[str] | None = N
     return _load(spark, NpzHeaders, path, files)
 
 
-def list_npz(spark: SparkSession, path: str) -> list[str]:
-    """Names of the bundles of a folder."""
-    return [u.rsplit("/", 1)[-1] for u, _ in _Reader({"path": path}, []).uris()]
+def list_npz(spark: SparkSession, path: str) -> dict[str, int]:
+    """Names of the bundles of a folder, and their bytes."""
+    return {u.rsplit("/", 1)[-1]: n for u, n in _Reader({"path": path}, []).uris()}
 
 
 def bundle_faults(headers: DataFrame) -> DataFrame:
@@ -278,23 +301,35 @@ def write_npz(bulk: DataFrame, chunks: DataFrame, out_dir: str, alter: Callable[
     """
     both = bulk.groupBy("file").cogroup(chunks.groupBy("file"))
 
-    def write(rows: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+    def values(column: pa.ChunkedArray, kind: str):
+        return column.combine_chunks().to_numpy(zero_copy_only=False).astype(kind)
+
+    def matrix(name: str, column: pa.ChunkedArray, kind: str):
+        import pyarrow.compute as pc
+
+        column = column.combine_chunks()
+        widths = pc.list_value_length(column).unique().to_pylist()
+        if len(widths) != 1 or widths[0] is None:
+            raise ValueError(f"{name}: all positions need equally many candidates")
+        return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, widths[0])
+
+    def write(rows: pa.Table, parts: pa.Table) -> pa.Table:
         import numpy as np
 
-        if rows.empty:
-            return pd.DataFrame({"file": [], "n": []})
-        rows, parts = rows.sort_values("pos"), parts.sort_values("chunk")
+        if not rows.num_rows:
+            return pa.table({"file": pa.array([], pa.string()), "n": pa.array([], pa.int64())})
+        rows, parts = rows.sort_by("pos"), parts.sort_by("chunk")
         fs, root = _fs(out_dir)
         fs.create_dir(root, recursive=True)
-        name, buffer = str(rows["file"].iloc[0]), io.BytesIO()
-        arrays = {"tokens": rows["token"].to_numpy("uint32"), "teacher_ids": np.stack(rows["teacher_ids"]).astype("int32"), "teacher_probs": np.stack(rows["teacher_probs"]).astype("float32"), "loss_mask": rows["loss_mask"].to_numpy("uint8"), "chunk_start": parts["start"].to_numpy("int64"), "chunk_length": parts["length"].to_numpy("int64")}
+        name, buffer = rows["file"][0].as_py(), io.BytesIO()
+        arrays = {"tokens": values(rows["token"], "uint32"), "teacher_ids": matrix(name, rows["teacher_ids"], "int32"), "teacher_probs": matrix(name, rows["teacher_probs"], "float32"), "loss_mask": values(rows["loss_mask"], "uint8"), "chunk_start": values(parts["start"], "int64"), "chunk_length": values(parts["length"], "int64")}
         np.savez(buffer, **(alter(name, arrays) if alter else arrays))
         with fs.open_output_stream(f"{root}/.{name}.part") as f:
             f.write(buffer.getvalue())
         fs.move(f"{root}/.{name}.part", f"{root}/{name}")
-        return pd.DataFrame({"file": [name], "n": [len(rows)]})
+        return pa.table({"file": pa.array([name]), "n": pa.array([rows.num_rows], pa.int64())})
 
-    return both.applyInPandas(write, "file string, n bigint")
+    return both.applyInArrow(write, "file string, n bigint")
 
 
 #: Exported arrays and their types.
@@ -344,7 +379,13 @@ class _NpyWriter(DataSourceArrowWriter):
 
         parts: list[tuple] = []
         for b in iterator:
-            for shard, part, *arrays in zip(*[b.column(c).to_pylist() for c in ("shard_id", "part", *NPY)]):
+            lists = [b.column(c) for c in NPY]
+            if any(x.null_count for x in lists):
+                raise ValueError("a document without tokens, tail or mask cannot be exported")
+            ends = [x.offsets.to_numpy() for x in lists]
+            flat = [x.values.to_numpy(zero_copy_only=False) for x in lists]
+            for i, (shard, part) in enumerate(zip(b.column("shard_id").to_pylist(), b.column("part").to_pylist())):
+                arrays = [x[e[i] : e[i + 1]] for x, e in zip(flat, ends)]
                 if (shard, part) != now:
                     flush()
                     now, held = (shard, part), []

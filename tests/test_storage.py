@@ -16,7 +16,7 @@ from corpusloom.operators import memory as Y
 from corpusloom.operators import pack as P
 from corpusloom.operators import score as S
 from corpusloom.operators import versions as VT
-from corpusloom.runtime import new_dir
+from corpusloom.runtime import materialize, new_dir
 from corpusloom.sources import convert as CV
 from corpusloom.sources import npz as N
 from corpusloom.sources import shards as H
@@ -270,3 +270,37 @@ def test_lines_keep_their_order(spark, tmp_path):
     no = X.document_order(d)
     got = [r["text"] for r in d.join(no, ["path", "block", "at"]).orderBy("doc_no").collect()]
     assert got == [f"{n} line {i}" for n in ("a.txt", "b.txt") for i in range(50)]
+
+
+def test_small_bundles_are_read_together(spark, tmp_path):
+    for k in range(9):
+        bundle(tmp_path, f"s{k}.npz", [7, 4 + k], seed=k)
+    for d, rows in ((N.read_npz(spark, str(tmp_path)), sum(11 + k for k in range(9))), (N.read_npz(spark, str(tmp_path), chunks=True), 18), (N.read_npz_headers(spark, str(tmp_path)), 54)):
+        assert d.rdd.getNumPartitions() == 1 and d.count() == rows
+    assert N.bundle_faults(N.read_npz_headers(spark, str(tmp_path))).where(F.size("faults") == 0).count() == 9
+    assert [len(p.pieces) for p in N._together([(str(k), 10) for k in range(7)], 30)] == [3, 3, 1]
+
+
+def test_small_bundles_are_converted_together(spark, tmp_path, monkeypatch):
+    sizes = {f"s{k}": 10 for k in range(7)}
+    assert CV.batches_of(list(sizes), sizes, 2, 30) == [["s0", "s1", "s2"], ["s3", "s4", "s5"], ["s6"]]
+    assert [len(b) for b in CV.batches_of(list(sizes), sizes, 4, 30)] == [4, 3] and CV.batches_of([], sizes, 2, 30) == []
+    for k in range(4):
+        bundle(tmp_path, f"b{k}.npz", [7, 4 + k], seed=k)
+    asked, faults = [], CV.faults_of
+    monkeypatch.setattr(CV, "faults_of", lambda spark, path, files: asked.append(files) or faults(spark, path, files))
+    out, single = new_dir(spark, "together"), new_dir(spark, "single")
+    CV.bulk_convert(spark, str(tmp_path), out, WORDS, files_per_batch=1)
+    CV.bulk_convert(spark, str(tmp_path), single, WORDS, files_per_batch=1, batch_bytes=1)
+    assert [len(a) for a in asked] == [4, 1, 1, 1, 1] and rows_of(spark, out) == rows_of(spark, single)
+
+
+def test_documents_are_dealt_before_they_are_filled(spark):
+    docs = spark.createDataFrame([("s", i, [1, 2, 3 + i % 4, 1]) for i in range(12)], "shard_id string, doc_id long, tokens array<bigint>")
+    teacher = S.bigram_teacher(docs, 2)
+    t, whole, filled = materialize(S.teach(docs, teacher), "taught"), new_dir(spark, "shards"), new_dir(spark, "shards")
+    H.write_shards(t, H.shard_manifest(t, WORDS), whole, file_bytes=64 * 12)
+    H.write_shards(docs, lambda written: H.shard_manifest(written, WORDS), filled, file_bytes=64 * 12, fill=lambda d: S.teach(d, teacher))
+    assert rows_of(spark, whole) == rows_of(spark, filled) and H.read_manifests(spark, whole).drop("manifest_file").collect() == H.read_manifests(spark, filled).drop("manifest_file").collect()
+    ends = [sorted((r["first_doc"], r["last_doc"]) for r in spark.read.parquet(f"{p}/index").collect()) for p in (whole, filled)]
+    assert ends[0] == ends[1] and len(ends[0]) > 1
