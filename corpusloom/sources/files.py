@@ -4,12 +4,20 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
 
+@lru_cache(maxsize=4)
+def _classes(jvm):
+    """Path, FileContext and the options of a rename: each part of a name costs a call to the JVM, so they are looked up once."""
+    fs = jvm.org.apache.hadoop.fs
+    return fs.Path, fs.FileContext, getattr(fs, "Options$Rename")
+
+
 def _at(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p = _classes(spark._jvm)[0](path)
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
@@ -44,11 +52,13 @@ def put_json(spark: SparkSession, path: str, value, only_new: bool = False) -> N
     out = fs.create(own, True)
     out.write(bytearray(json.dumps(value).encode()))
     out.close()
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    how = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    # nothing to replace: a plain rename, which on a local disk starts no program to look at links
+    if not only_new and not fs.exists(p) and fs.rename(own, p):
+        return
+    (_, files, how), conf = _classes(spark._jvm), spark.sparkContext._jsc.hadoopConfiguration()
     options = spark.sparkContext._gateway.new_array(how, 1)
     options[0] = how.NONE if only_new else how.OVERWRITE
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(own.toUri(), conf)
+    context = files.getFileContext(own.toUri(), conf)
     try:
         context.rename(context.makeQualified(own), context.makeQualified(p), options)
     except Exception:

@@ -21,7 +21,7 @@ from corpusloom.sources import convert as CV
 from corpusloom.sources import npz as N
 from corpusloom.sources import shards as H
 from corpusloom.sources import text as X
-from corpusloom.sources.files import get_json, put_json
+from corpusloom.sources.files import get_json, names, put_json
 from corpusloom.streaming import ema as SE
 from corpusloom.streaming import ingest as SI
 
@@ -304,3 +304,13 @@ def test_documents_are_dealt_before_they_are_filled(spark):
     assert rows_of(spark, whole) == rows_of(spark, filled) and H.read_manifests(spark, whole).drop("manifest_file").collect() == H.read_manifests(spark, filled).drop("manifest_file").collect()
     ends = [sorted((r["first_doc"], r["last_doc"]) for r in spark.read.parquet(f"{p}/index").collect()) for p in (whole, filled)]
     assert ends[0] == ends[1] and len(ends[0]) > 1
+
+
+def test_json_is_put_anew_over_an_old_value_or_not_at_all(spark):
+    path = f"{new_dir(spark, 'values')}/v.json"
+    for value in (1, 2):
+        put_json(spark, path, value)
+        assert get_json(spark, path) == value
+    with pytest.raises(Exception):
+        put_json(spark, path, 3, only_new=True)
+    assert get_json(spark, path) == 2 and names(spark, path.rsplit("/", 1)[0]) == ["v.json"]
