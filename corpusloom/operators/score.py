@@ -7,11 +7,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions.arrays import fp16, tail_mass
+from corpusloom.functions.batches import cuts, lengths, offsets
 from corpusloom.operators.prefix import ordered_sums
 from corpusloom.runtime import materialize, merge_join, small_join
 from corpusloom.schemas import SHARD
@@ -23,9 +25,44 @@ def pairs_of(tokens: Column) -> Column:
     return F.arrays_zip(F.slice(tokens, F.lit(1), F.greatest(n - 1, F.lit(0))).alias("ctx"), F.slice(tokens, F.lit(2), F.greatest(n - 1, F.lit(0))).alias("token"))
 
 
+#: Ids below this are counted in a table of all their pairs; tokens of documents that are counted together.
+PAIRED, PAIR_TOKENS = 2048, 1 << 21
+
+
 def bigram_counts(docs: DataFrame) -> DataFrame:
-    """(ctx, token, n): how often a token follows another within a document."""
-    return docs.select(F.explode(pairs_of(F.col("tokens"))).alias("p")).groupBy("p.ctx", "p.token").agg(F.count(F.lit(1)).alias("n"))
+    """(ctx, token, n): how often a token follows another within a document.
+
+    A task counts pairs of ids below ``PAIRED`` in one table, others slice by slice, so only pairs that
+    differ are shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(PAIRED * PAIRED, np.int64)
+        kind = None
+        for batch in batches:
+            lists = batch.column(0)
+            sizes, kind = lengths(lists), lists.type.value_type
+            for i, j in cuts(sizes, PAIR_TOKENS):
+                flat = lists.slice(i, j - i).flatten()
+                if len(flat) < 2:
+                    continue
+                inner = np.ones(len(flat) + 1, bool)
+                inner[offsets(sizes[i:j])] = False
+                inner = inner[1:-1]
+                if not flat.null_count and pa.types.is_integer(kind):
+                    ids = flat.to_numpy().astype(np.int64)
+                    if 0 <= ids.min() and ids.max() < PAIRED:
+                        table += np.bincount((ids[:-1] * PAIRED + ids[1:])[inner], minlength=len(table))
+                        continue
+                pairs = pa.table({"ctx": flat[:-1], "token": flat[1:]}).filter(pa.array(inner))
+                counts = pairs.group_by(["ctx", "token"], use_threads=False).aggregate([([], "count_all")])
+                yield from counts.rename_columns({"count_all": "n"}).select(["ctx", "token", "n"]).to_batches()
+        at = np.nonzero(table)[0]
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(at // PAIRED).cast(kind), pa.array(at % PAIRED).cast(kind), pa.array(table[at])], ["ctx", "token", "n"])
+
+    kind = dict(docs.dtypes)["tokens"].removeprefix("array<")[:-1]
+    return docs.select("tokens").mapInArrow(run, f"ctx {kind}, token {kind}, n bigint").groupBy("ctx", "token").agg(F.sum("n").alias("n"))
 
 
 def topk_long(dist: DataFrame, ctx: str, token: str, p: str, k: int) -> DataFrame:
@@ -61,6 +98,12 @@ def count_teacher(counts: DataFrame, k: int) -> DataFrame:
 LOOKUP, LOOKUP_BYTES = 200_000, 16 << 20
 
 
+def known_rows(teacher: DataFrame, width: Column, most: int = LOOKUP, most_bytes: int = LOOKUP_BYTES) -> list | None:
+    """The rows of a teacher (ctx, ...) of ``width`` bytes each as text, if its ids lie below ``most`` and all bytes below ``most_bytes``."""
+    n, low, high, wide = teacher.agg(F.count(F.lit(1)), F.min("ctx"), F.max("ctx"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return teacher.collect() if n == 0 or (n <= most and 0 <= low and high < most and wide + 5 * high <= most_bytes) else None
+
+
 def teach(docs: DataFrame, teacher: DataFrame, most: int = LOOKUP, most_bytes: int = LOOKUP_BYTES) -> DataFrame:
     """Shard documents: each position gets its token's distribution over the next one.
 
@@ -72,9 +115,8 @@ def teach(docs: DataFrame, teacher: DataFrame, most: int = LOOKUP, most_bytes: i
     """
     t = teacher.select("ctx", F.col("topk_idx").alias("i"), F.transform("topk_p", lambda v: fp16(v).cast("float")).alias("w"), F.col("tail").cast("float").alias("t"))
     t = materialize(t, "teacher")
-    n, low, high, wide = t.agg(F.count(F.lit(1)), F.min("ctx"), F.max("ctx"), F.coalesce(F.sum(40 * F.size("i") + 60), F.lit(0))).first()
-    if n == 0 or (n <= most and 0 <= low and high < most and wide + 5 * high <= most_bytes):
-        known = t.collect()
+    known = known_rows(t, 40 * F.size("i") + 60, most, most_bytes)
+    if known is not None:
         size = max((r["ctx"] for r in known), default=0) + 1
 
         def column(value: Callable, kind: str, unset: Column) -> Column:
