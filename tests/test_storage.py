@@ -66,6 +66,27 @@ def test_large_bundles_are_split_and_read_alike(spark, tmp_path):
     assert one.count() == 22000 and N.read_npz(spark, str(tmp_path)).count() == 22040
 
 
+def test_bundles_are_written_compressed_from_packed_positions(spark, tmp_path):
+    lengths, out = [900, 1100, 500], tmp_path / "written"
+    want = {f"w{k}.npz": arrays(lengths, seed=k) for k in range(2)}
+    rows = [(f, i, int(a["tokens"][i]), a["teacher_ids"][i].tolist(), a["teacher_probs"][i].tolist(), int(a["loss_mask"][i])) for f, a in want.items() for i in range(sum(lengths))]
+    bulk = spark.createDataFrame(rows, "file string, pos long, token long, teacher_ids array<int>, teacher_probs array<float>, loss_mask tinyint")
+    chunks = spark.createDataFrame([(f, k, int(a["chunk_start"][k]), n) for f, a in want.items() for k, n in enumerate(lengths)], "file string, chunk int, start long, length long")
+    w = N.write_npz(bulk.repartition(3), chunks, str(out))  # positions of both files in any order
+    plan = w._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan.split("Exchange hashpartitioning(file", 1)[1].split("Exchange hashpartitioning(file", 1)[0]
+    assert sorted(map(tuple, w.collect())) == [("w0.npz", 2500), ("w1.npz", 2500)]
+    for f, a in want.items():
+        got = np.load(out / f, allow_pickle=False)
+        assert set(got) == set(a) and all(got[c].dtype == a[c].dtype and (got[c] == a[c]).all() for c in a)
+        assert os.path.getsize(out / f) < sum(x.nbytes for x in a.values()) / 3
+    read = sorted(map(tuple, N.read_npz(spark, str(out)).select("file", "pos", "token", "teacher_ids", "teacher_probs", "loss_mask").collect()))
+    assert read == sorted(rows)
+    for odd in ((rows[0][0], 9999, 1, [1], [0.5], 1), (rows[0][0], 9999, None, [1, 2, 3], [0.5, 0.25, 0.125], 1)):
+        with pytest.raises(PySparkException, match="w0.npz: (all positions need|token has nulls)"):
+            N.write_npz(bulk.union(spark.createDataFrame([odd], bulk.schema)), chunks, new_dir(spark, "odd")).collect()
+
+
 @pytest.mark.parametrize(
     "change, said",
     [
