@@ -75,9 +75,14 @@ def chunk_tiling(chunks: DataFrame, totals: DataFrame) -> DataFrame:
     return both.select("file", (F.coalesce("bad", F.lit(0)) + miss).alias("faults"))
 
 
+def wrong_gold() -> Column:
+    """If a position is unmasked and its first candidate is not the true token."""
+    return (F.col("loss_mask") == 1) & (F.get("teacher_ids", F.lit(0)) != F.col("token"))
+
+
 def gold_slot(bulk: DataFrame) -> DataFrame:
     """Unmasked positions whose first candidate is not the true token."""
-    return bulk.where((F.col("loss_mask") == 1) & (F.get("teacher_ids", F.lit(0)) != F.col("token")))
+    return bulk.where(wrong_gold())
 
 
 def shard_reconcile(shards: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -7,13 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions.arrays import fp16, tail_mass
-from corpusloom.operators.pack import shift_chunks
-from corpusloom.operators.validate import chunk_tiling, gold_slot
-from corpusloom.runtime import discard, materialize, new_dir
-from corpusloom.schemas import BULK
+from corpusloom.operators.validate import chunk_tiling, wrong_gold
+from corpusloom.runtime import Scratch, discard, new_dir
+from corpusloom.schemas import SHARD
 from corpusloom.sources.files import names, put_json, replace_folder
-from corpusloom.sources.npz import SPLIT_BYTES, bundle_faults, list_npz, read_npz, read_npz_headers
+from corpusloom.sources.npz import bundle_faults, list_npz, read_npz, read_npz_documents, read_npz_headers
 from corpusloom.sources.shards import shard_manifest
 
 #: Bundles are converted together until they have so many bytes.
@@ -30,22 +28,11 @@ def committed(spark: SparkSession, out: str) -> set[str]:
     return {n.removesuffix(".json") for n in names(spark, f"{out}/manifest") if n.endswith(".json") and not n.startswith(".")}
 
 
-def bundle_documents(bulk: DataFrame) -> DataFrame:
-    """Shard documents of positions (BULK and ``chunk``): a document for each chunk, rows moved by one.
-
-    Chunks are bounded by the format, so a chunk is one group. The tail is what the stored probabilities
-    leave of 1; they are kept as they are, in half precision.
-    """
-    s = shift_chunks(bulk)
-    one = F.struct("pos", "token", "topk_idx", "topk_p", "loss_mask")
-    g = s.groupBy("file", "chunk").agg(F.sort_array(F.collect_list(one)).alias("r"))
-    wide = lambda a: F.transform(a, lambda x: x.cast("bigint"))
-    return g.select(
-        F.regexp_replace("file", "[.]npz$", "").alias("shard_id"), F.col("chunk").cast("bigint").alias("doc_id"), F.col("r.token").alias("tokens"),
-        F.transform("r", lambda x: wide(x["topk_idx"])).alias("topk_idx"),
-        F.transform("r", lambda x: F.transform(x["topk_p"], lambda p: fp16(p).cast("float"))).alias("topk_w"),
-        F.transform("r", lambda x: tail_mass(x["topk_p"]).cast("float")).alias("tail_w"), F.col("r.loss_mask").alias("loss_mask"),
-    )
+def bundle_documents(spark: SparkSession, path: str, files: list[str]) -> DataFrame:
+    """Shard documents of sound bundles, together by bundle and in order; nothing is shuffled."""
+    held = read_npz_headers(spark, path, files).groupBy("file").agg(F.sum("bytes").alias("held")).collect()  # one row for each of these files
+    shard = F.regexp_replace("file", "[.]npz$", "").alias("shard_id")
+    return read_npz_documents(spark, path, {r["file"]: r["held"] for r in held}).select(shard, F.col("chunk").cast("bigint").alias("doc_id"), "tokens", "topk_idx", "topk_w", "tail_w", "loss_mask")
 
 
 def faults_of(spark: SparkSession, path: str, files: list[str]) -> dict[str, list[str]]:
@@ -55,12 +42,14 @@ def faults_of(spark: SparkSession, path: str, files: list[str]) -> dict[str, lis
     if not sound:
         return bad
     bulk = read_npz(spark, path, files=sound, columns=["file", "token", "teacher_ids", "loss_mask"])
-    per = bulk.groupBy("file").agg(F.count(F.lit(1)).alias("total"), F.sum((~F.col("loss_mask").isin(0, 1)).cast("long")).alias("odd"))
-    tiling = chunk_tiling(read_npz(spark, path, chunks=True, files=sound), per.select("file", "total")).where("faults > 0").select("file", F.lit("chunks do not tile the positions").alias("why"))
-    gold = gold_slot(bulk).select("file", F.lit("slot 0 is not the token").alias("why")).distinct()
-    mask = per.where("odd > 0").select("file", F.lit("the mask is neither 0 nor 1").alias("why"))
-    for r in tiling.unionByName(gold).unionByName(mask).collect():  # at most three rows for each of these files
-        bad.setdefault(r["file"], []).append(r["why"])
+    count = lambda bad: F.sum(bad.cast("long"))
+    with Scratch(spark) as scratch:  # bundles are read once for all that is asked of their positions
+        per = scratch.table(bulk.groupBy("file").agg(F.count(F.lit(1)).alias("total"), count(~F.col("loss_mask").isin(0, 1)).alias("odd"), count(wrong_gold()).alias("wrong")), "checked")
+        tiling = chunk_tiling(read_npz(spark, path, chunks=True, files=sound), per.select("file", "total")).where("faults > 0").select("file", F.lit("chunks do not tile the positions").alias("why"))
+        gold = per.where("wrong > 0").select("file", F.lit("slot 0 is not the token").alias("why"))
+        mask = per.where("odd > 0").select("file", F.lit("the mask is neither 0 nor 1").alias("why"))
+        for r in tiling.unionByName(gold).unionByName(mask).collect():  # at most three rows for each of these files
+            bad.setdefault(r["file"], []).append(r["why"])
     return bad
 
 
@@ -89,8 +78,9 @@ def bulk_convert(spark: SparkSession, path: str, out: str, vocab_size: int, file
     gold slots break the contract, else ``converted``: checked, moved by one row within its chunks, and
     written as a shard of its name. Bundles are taken at least ``files_per_batch`` at a time, and small ones
     together up to ``batch_bytes``, so the number of jobs follows bytes and not files. Their shards are written
-    to a folder aside, and each is then moved to its place and marked by its manifest row, last and at once.
-    A run that dies leaves shards without a row at worst; the next run writes these anew, with the same rows.
+    to a folder aside as they are read, without a shuffle or another copy, and each is then moved to its place
+    and marked by its manifest row, last and at once. A run that dies leaves shards without a row at worst; the
+    next run writes these anew, with the same rows.
     """
     files, done = list_npz(spark, path), committed(spark, out)
     report = [(f, shard_of(f), "skipped", []) for f in files if shard_of(f) in done]
@@ -102,12 +92,8 @@ def bulk_convert(spark: SparkSession, path: str, out: str, vocab_size: int, file
         if not good:
             continue
         staged = new_dir(spark, "convert")
-        columns = [c.split()[0] for c in BULK.split(", ")] + ["chunk"]
-        docs = materialize(bundle_documents(read_npz(spark, path, files=good, columns=columns)), "converted")
-        large = [shard_of(f) for f in good if files[f] > SPLIT_BYTES]  # the others are a single file each
-        spread = F.when(F.col("shard_id").isin(large), F.pmod(F.xxhash64("doc_id"), F.lit(16))) if large else F.lit(0)
-        docs.repartition("shard_id", spread).sortWithinPartitions("shard_id", "doc_id").write.partitionBy("shard_id").parquet(staged)
-        rows = {r["shard_id"]: r.asDict() for r in shard_manifest(docs, vocab_size, **provenance).collect()}  # one for each of these files
+        bundle_documents(spark, path, good).sortWithinPartitions("shard_id", "doc_id").write.partitionBy("shard_id").parquet(staged)
+        rows = {r["shard_id"]: r.asDict() for r in shard_manifest(spark.read.schema(SHARD).parquet(staged), vocab_size, **provenance).collect()}  # one for each of these files
         there = set(names(spark, staged))
         for f in good:
             shard = shard_of(f)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from corpusloom.functions.batches import cuts, offsets
 from corpusloom.operators.pack import doc_offsets
 from corpusloom.runtime import merge_join
 from corpusloom.schemas import BULK, CHUNKS
@@ -39,6 +40,9 @@ ARRAYS = {
 HEADERS = "file string, array string, dtype string, shape array<long>, in_order boolean, stored boolean, bytes long"
 #: Rows of one batch, and bytes of positions from which a stored bundle is read by several tasks.
 BATCH_ROWS, SPLIT_BYTES = 8192, 64 << 20
+#: Documents of bundles as they are read, and bytes of arrays from which one task makes them: as rows they take several times as many.
+DOCUMENTS = "file string, chunk int, tokens array<bigint>, topk_idx array<array<bigint>>, topk_w array<array<float>>, tail_w array<float>, loss_mask array<tinyint>"
+DOCUMENT_BYTES = 32 << 20
 #: Small bundles that one task reads, up to ``SPLIT_BYTES`` of them.
 TASK_FILES = 64
 
@@ -186,6 +190,52 @@ class _Reader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([make[c](a, e) for c in self.columns], names=self.columns)
 
 
+class _DocumentReader(_Reader):
+    """Reads documents: a chunk goes with the range that its first position lies in."""
+
+    def __init__(self, options: dict, columns: list[str]):
+        super().__init__(options, columns)
+        self.held = json.loads(options["held"])
+        self.files = self.held.keys()
+
+    def uris(self) -> list[tuple[str, int]]:
+        """Bundles and the bytes of their arrays, which a compressed file does not tell."""
+        return [(u, self.held[u.rsplit("/", 1)[-1]]) for u, _ in super().uris()]
+
+    def batches(self, name: str, m: dict[str, _Member], part: _Piece) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        n, k = m["teacher_ids"].shape
+        starts, sizes = (m[x].rows(0, m[x].shape[0]) for x in ("chunk_start", "chunk_length"))
+        if (sizes < 1).any() or (starts != np.cumsum(sizes) - sizes).any() or sizes.sum() != n:
+            raise ValueError(f"{name}: chunks do not tile the positions")
+        first, last = np.searchsorted(starts, [part.low, n if part.high is None else part.high])
+        for i, j in cuts(sizes[first:last], BATCH_ROWS):
+            at, long = starts[first + i : first + j], sizes[first + i : first + j]
+            low, high = int(at[0]), int(at[-1] + long[-1])
+            tokens, ids, probs, mask = (m[x].rows(low, high) for x in ("tokens", "teacher_ids", "teacher_probs", "loss_mask"))
+            # a row takes what the row after it says of its own token, if that is unmasked and of the same chunk
+            on = np.append(mask[1:] == 1, False)
+            on[at + long - 1 - low] = False
+            ids, probs = (np.where(on[:, None], np.roll(x, -1, 0), 0) for x in (ids, probs))
+            mass = np.zeros(high - low)
+            for c in range(k):
+                mass += probs[:, c]
+            with np.errstate(over="ignore"):
+                half = probs.astype(np.float16).astype(np.float32)
+            docs, rows = pa.array(offsets(long), pa.int32()), pa.array(np.arange(high - low + 1) * k, pa.int32())
+            columns = {
+                "file": pa.array([name] * len(at)),
+                "chunk": pa.array(np.arange(first + i, first + j), pa.int32()),
+                "tokens": pa.array(tokens, pa.int64()),
+                "topk_idx": pa.ListArray.from_arrays(rows, pa.array(ids.ravel(), pa.int64())),
+                "topk_w": pa.ListArray.from_arrays(rows, pa.array(half.ravel())),
+                "tail_w": pa.array(np.fmax(0, np.fmin(1, 1 - mass)), pa.float32()),
+                "loss_mask": pa.array(on.astype(np.int8)),
+            }
+            yield pa.RecordBatch.from_arrays([x if c in ("file", "chunk") else pa.ListArray.from_arrays(docs, x) for c, x in columns.items()], names=list(columns))
+
+
 class _ChunkReader(_Reader):
     def partitions(self) -> list[InputPartition]:
         return _together(self.uris(), SPLIT_BYTES)
@@ -239,6 +289,20 @@ class NpzChunks(DataSource):
         return _ChunkReader(self.options, schema.names)
 
 
+class NpzDocuments(DataSource):
+    """Shard documents of some ``.npz`` files of a folder, a document for each chunk."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "npz_documents"
+
+    def schema(self) -> str:
+        return DOCUMENTS
+
+    def reader(self, schema) -> DataSourceReader:
+        return _DocumentReader(self.options, schema.names)
+
+
 class NpzHeaders(NpzChunks):
     """A row for each array of each ``.npz`` file: its type and shape as the file states them, without its values."""
 
@@ -274,6 +338,17 @@ def read_npz(spark: SparkSession, path: str, chunks: bool = False, files: list[s
     return _load(spark, NpzPositions, path, files, splitBytes=split_bytes, **({"columns": json.dumps(columns)} if columns else {}))
 
 
+def read_npz_documents(spark: SparkSession, path: str, held: dict[str, int], split_bytes: int = DOCUMENT_BYTES) -> DataFrame:
+    """(file, chunk, tokens, topk_idx, topk_w, tail_w, loss_mask) of some bundles of a folder, whose chunks must tile them.
+
+    Rows are moved by one within their chunks as they are read, so no position is shuffled: each takes the
+    candidates of the row after it if that is unmasked, else zeros. Probabilities are kept in half precision;
+    the tail is what they leave of 1 before that. ``held`` has the bundles' names and the bytes of their arrays,
+    of which a task reads about ``split_bytes``.
+    """
+    return _load(spark, NpzDocuments, path, held=json.dumps(held), splitBytes=split_bytes)
+
+
 def read_npz_headers(spark: SparkSession, path: str, files: list[str] | None = None) -> DataFrame:
     """(file, array, dtype, shape, in_order, stored, bytes) of every array of the bundles of a folder."""
     return _load(spark, NpzHeaders, path, files)

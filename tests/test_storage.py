@@ -11,6 +11,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from corpusloom.functions.arrays import fp16
 from corpusloom.operators import address as D
 from corpusloom.operators import memory as Y
 from corpusloom.operators import pack as P
@@ -50,6 +51,15 @@ def bundle(folder, name, lengths=(6, 5), change=None, save=np.savez, **kw):
     return a
 
 
+def odd_distributions(a):
+    """Probabilities of all sizes, some that are no numbers, and masked rows within chunks."""
+    rng = np.random.default_rng(9)
+    n, k = a["teacher_ids"].shape
+    p = (rng.random((n, k)) ** 9 / k).astype("float32")
+    p[5], p[7], p[11], p[13] = 1e5, 65519.99, 3e-8, np.nan
+    a["teacher_probs"], a["loss_mask"][rng.integers(0, n, 9)] = p, 0
+
+
 def rows_of(spark, out):
     return sorted(map(str, H.open_shards(spark, out).collect()))
 
@@ -124,6 +134,29 @@ def test_conversion_moves_rows_within_chunks(spark, tmp_path):
     assert (m["total_tokens"], m["num_documents"], m["fold_version"], m["teacher_id"]) == (23, 3, "v2", "t")
 
 
+def test_bundles_are_converted_without_a_shuffle_or_a_copy(spark, tmp_path):
+    bundle(tmp_path, "a.npz", [700, 1, 900, 40], k=10, seed=1, change=odd_distributions)
+    bundle(tmp_path, "b.npz", [5000, 9000, 3, 8000], k=3, seed=2, change=odd_distributions)
+    bundle(tmp_path, "c.npz", [300, 20], k=2, seed=3, save=np.savez_compressed)
+    files = [f"{x}.npz" for x in "abc"]
+    columns = ["file", "pos", "token", "teacher_ids", "teacher_probs", "loss_mask", "chunk"]
+    s = P.shift_chunks(N.read_npz(spark, str(tmp_path), columns=columns))  # the same by a shuffle of positions
+    tail = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.aggregate("topk_p", F.lit(0.0), lambda t, v: t + v.cast("double")))).cast("float")
+    s = s.select("*", F.transform("topk_p", lambda p: fp16(p).cast("float")).alias("w"), tail.alias("tail"))
+    g = s.groupBy("file", "chunk").agg(F.sort_array(F.collect_list(F.struct("pos", "token", F.col("topk_idx").cast("array<bigint>").alias("i"), "w", "tail", "loss_mask"))).alias("r"))
+    want = sorted(map(str, g.select(F.regexp_replace("file", "[.]npz$", "").alias("shard_id"), F.col("chunk").cast("long").alias("doc_id"), "r.token", "r.i", "r.w", "r.tail", "r.loss_mask").toDF(*H.SHARD.replace(",", "").split()[::2]).collect()))
+    docs = CV.bundle_documents(spark, str(tmp_path), files)
+    assert "Exchange" not in docs._jdf.queryExecution().executedPlan().toString() and sorted(map(str, docs.collect())) == want
+    held = {r["file"]: r["n"] for r in N.read_npz_headers(spark, str(tmp_path)).groupBy("file").agg(F.sum("bytes").alias("n")).collect()}
+    split = N.read_npz_documents(spark, str(tmp_path), held, split_bytes=held["b.npz"] // 3)
+    assert split.rdd.getNumPartitions() == 4 and split.where("file = 'b.npz'").selectExpr("sum(size(tokens))", "count(*)").first() == (22003, 4)
+
+    shared = new_dir(spark, "x").rsplit("/", 1)[0]
+    out, there = new_dir(spark, "out"), set(names(spark, shared))
+    assert {r["state"] for r in CV.bulk_convert(spark, str(tmp_path), out, WORDS).collect()} == {"converted"}
+    assert sorted(map(str, H.read_shards(spark, out).select(docs.columns).collect())) == want and set(names(spark, shared)) - there == {out.rsplit("/", 1)[1]}
+
+
 def test_contract_breaks_are_rejected_and_the_rest_converted(spark, tmp_path):
     bundle(tmp_path, "good.npz")
     bundle(tmp_path, "gold.npz", change=lambda a: a["teacher_ids"].__setitem__((3, 0), 1))
